@@ -1,7 +1,7 @@
 """URL and key columns.
 
-Everything is built from codegen string functions; a URL without a query string never
-reaches the higher-order functions.
+One pattern match splits a URL; a URL without a query never reaches the parameter functions,
+and one whose query is plain text skips decoding and encoding.
 """
 
 from __future__ import annotations
@@ -13,40 +13,41 @@ from linkshelf import constants as C
 from linkshelf.functions.text import strip
 
 
+# Scheme with host, path, query and fragment of an absolute http(s) URL.
+_HTTP_URL = r"(?s)^([hH][tT][tT][pP][sS]?://[^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+_SEP = "\x01\x02"
+# A query that form decoding and encoding would leave as it is.
+_PLAIN_QUERY = r"^(?:[A-Za-z0-9_.~-]*(?:=[A-Za-z0-9_.~-]*)?(?:&|$))*$"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _after(whole: Column, head: Column) -> Column:
     """What follows ``head`` and its one-character delimiter."""
     return F.substr(whole, F.length(head) + 2)
 
 
-class _Parts:
-    """Column expressions for the components of an absolute URL."""
-
-    def __init__(self, url: Column):
-        self.raw = url
-        clean = F.translate(url, "\t\r\n", "")
-        before_fragment = F.substring_index(clean, "#", 1)
-        before_query = F.substring_index(before_fragment, "?", 1)
-        self.fragment = _after(clean, before_fragment)
-        self.query = _after(before_fragment, before_query)
-        scheme = F.substring_index(before_query, ":", 1)
-        after_scheme = _after(before_query, scheme)
-        host_and_path = F.substr(after_scheme, F.lit(3))
-        self.scheme = F.lower(scheme)
-        self.netloc = F.substring_index(host_and_path, "/", 1)
-        full_path = F.substr(host_and_path, F.length(self.netloc) + 1)
-        last = F.substring_index(full_path, "/", -1)
-        last_name = F.substring_index(last, ";", 1)
-        self.params = _after(last, last_name)
-        self.path = F.rtrim(
-            F.concat(F.substr(full_path, F.lit(1), F.length(full_path) - F.length(last)), last_name), F.lit("/")
-        )
-        balanced = F.contains(self.netloc, F.lit("[")) == F.contains(self.netloc, F.lit("]"))
-        self.is_http = (
-            self.scheme.isin("http", "https")
-            & F.startswith(after_scheme, F.lit("//"))
-            & (self.netloc != "")
-            & balanced
-        )
+def _parts(url: Column) -> Column:
+    """``[scheme and host, path, query, fragment]`` by one pattern match; any other size is no http URL."""
+    clean = F.when(F.rlike(url, F.lit(r"[\t\r\n]")), F.translate(url, "\t\r\n", "")).otherwise(url)
+    return F.split(F.regexp_replace(clean, _HTTP_URL, _SEP.join(["$1", "$2", "$3", "$4"])), _SEP)
+
+
+def _balanced(host: Column) -> Column:
+    return F.contains(host, F.lit("[")) == F.contains(host, F.lit("]"))
+
+
+def _trimmed_path(path: Column) -> Column:
+    """Path without trailing slashes; the parameters of the last segment are kept apart."""
+    last = F.substring_index(path, "/", -1)
+    name = F.substring_index(last, ";", 1)
+    params = _after(last, name)
+    bare = F.rtrim(F.concat(F.left(path, F.length(path) - F.length(last)), name), F.lit("/"))
+    with_params = F.concat(F.when((bare == "") & (params != ""), "/").otherwise(bare), F.when(params != "", F.concat(F.lit(";"), params)).otherwise(""))
+    return F.when(F.contains(path, F.lit(";")), with_params).otherwise(F.rtrim(path, F.lit("/")))
 
 
 def _decode(value: Column) -> Column:
@@ -78,13 +79,17 @@ def query_params(query: Column) -> Column:
 
 def url_query(url: Column) -> Column:
     """Raw query string of a URL ('' when absent)."""
-    return _Parts(strip(F.coalesce(url, F.lit("")))).query
+    return F.coalesce(F.get(_parts(strip(F.coalesce(url, F.lit("")))), F.lit(2)), F.lit(""))
 
 
 def _clean_query(query: Column) -> Column:
+    segments = F.filter(
+        F.split(query, "&"), lambda s: (s != "") & ~is_tracking_param(F.substring_index(s, "=", 1))
+    )
+    plain = F.array_join(F.transform(segments, lambda s: F.when(F.contains(s, F.lit("=")), s).otherwise(F.concat(s, F.lit("=")))), "&")
     kept = F.filter(query_params(query), lambda p: ~is_tracking_param(p["name"]))
-    text = F.array_join(F.transform(kept, lambda p: F.concat(_encode(p["name"]), F.lit("="), _encode(p["value"]))), "&")
-    return F.when(query == "", F.lit("")).otherwise(text)
+    coded = F.array_join(F.transform(kept, lambda p: F.concat(_encode(p["name"]), F.lit("="), _encode(p["value"]))), "&")
+    return F.when(F.rlike(query, F.lit(_PLAIN_QUERY)), plain).otherwise(coded)
 
 
 def canonical_url(url: Column) -> Column:
@@ -94,21 +99,22 @@ def canonical_url(url: Column) -> Column:
     the path removed. Anything that is not an absolute http(s) URL is only trimmed.
     """
     raw = strip(F.coalesce(url, F.lit("")))
-    p = _Parts(raw)
-    query = _clean_query(p.query)
-    path = F.when((p.path == "") & (p.params != ""), F.lit("/")).otherwise(p.path)
-    rebuilt = F.concat(
-        p.scheme, F.lit("://"), F.lower(p.netloc), path,
-        F.when(p.params != "", F.concat(F.lit(";"), p.params)).otherwise(""),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(p.fragment != "", F.concat(F.lit("#"), p.fragment)).otherwise(""),
-    )
-    return F.when(p.is_http, rebuilt).otherwise(F.rtrim(raw, F.lit("/")))
+
+    def rebuild(p: Column) -> Column:
+        host, path, query, fragment = [F.get(p, F.lit(i)) for i in range(4)]
+        cleaned = F.when(query == "", "").otherwise(
+            _let(_clean_query(query), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+        )
+        anchor = F.when(fragment == "", "").otherwise(F.concat(F.lit("#"), fragment))
+        return F.when((F.size(p) == 4) & _balanced(host), F.concat(F.lower(host), _trimmed_path(path), cleaned, anchor))
+
+    return F.coalesce(_let(_parts(raw), rebuild), F.rtrim(raw, F.lit("/")))
 
 
 def is_valid_http_url(url: Column) -> Column:
     """True for an absolute http(s) URL with a host."""
-    return F.coalesce(_Parts(F.coalesce(url, F.lit(""))).is_http, F.lit(False))
+    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[hH][tT][tT][pP][sS]?://([^/?#]+)", 1)
+    return (host != "") & _balanced(host)
 
 
 def url_hash(url: Column) -> Column:
