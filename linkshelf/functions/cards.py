@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkshelf import constants as C
 from linkshelf.functions.frontmatter import location_line, quoted, render_fields, tag_lines
+from linkshelf.functions.numbers import fixed
 from linkshelf.functions.tags import canonical_category, card_tags, category_tag, route_tag, weight_color
 from linkshelf.functions.text import checklist, first_of, safe_filename, text_or_blank
 from linkshelf.operators.routing import stage_for
@@ -102,7 +103,7 @@ def travel_card(*, category, title, creator, url, summary, destination, location
     maker = first_of(creator, F.lit("Unknown"))
     pinned = stage != "manual-review"
     has = lambda c: F.nullif(c, F.lit(""))
-    fixed6 = lambda c: F.format_string("%.6f", c)
+    six = lambda c: fixed(c, 6, 50)
     block = render_fields([
         ("category", quoted(name)), ("creator", quoted(maker)), ("url", quoted(url)), ("status", F.lit('"inbox"')),
         ("stage", quoted(stage)), ("confidence", confidence.cast("string")), ("summary", quoted(summary)),
@@ -110,7 +111,7 @@ def travel_card(*, category, title, creator, url, summary, destination, location
         ("", F.when(pinned, _optional("location_name", has(location_name)))),
         ("", F.when(pinned, F.lit("weight: 0"))),
         ("", F.when(pinned, _text("mapMarkerColor: ", quoted(weight_color(F.lit(0)))))),
-        ("", F.when(lat.isNotNull() & lon.isNotNull(), location_line(fixed6(lat), fixed6(lon)))),
+        ("", F.when(lat.isNotNull() & lon.isNotNull(), location_line(six(lat), six(lon)))),
         ("", _optional("address", has(address))),
         ("", tag_lines(F.array_append(card_tags(name), route_tag(stage)))),
     ])

@@ -6,14 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkshelf import constants as C
+from linkshelf.functions.numbers import fixed
 from linkshelf.functions.text import has_list_claim, text_or_blank
 from linkshelf.operators.ordered import carry_forward, running_sums
 
 
-def _fixed2(value: Column) -> Column:
-    return F.format_string("%.2f", value)
-
-
 def visual_reasons(
     *, carousel: Column, words: Column, speech_ratio: Column, retry_hint: Column, has_analysis: Column,
     expected: Column, items: Column, self_flag: Column, title: Column, caption: Column, source: Column,
@@ -35,7 +32,7 @@ def visual_reasons(
         ),
         F.when(
             speech_ratio < C.MIN_SPEECH_RATIO,
-            F.concat(F.lit("speech ratio "), _fixed2(speech_ratio), F.lit(f" < {C.MIN_SPEECH_RATIO}")),
+            F.concat(F.lit("speech ratio "), fixed(speech_ratio, 2), F.lit(f" < {C.MIN_SPEECH_RATIO}")),
         ),
         F.when(text_or_blank(retry_hint) != "", F.concat(F.lit("completeness retry: "), retry_hint)),
         F.when(
@@ -45,7 +42,7 @@ def visual_reasons(
         F.when(has_analysis & F.coalesce(self_flag, F.lit(False)), F.lit("summarizer flagged on-screen-only content")),
         F.when(claim, F.lit("list claim with little speech")),
         F.when(
-            probability >= C.NEEDS_VISUALS_THRESHOLD, F.concat(F.lit("jev needs_visuals="), _fixed2(probability))
+            probability >= C.NEEDS_VISUALS_THRESHOLD, F.concat(F.lit("jev needs_visuals="), fixed(probability, 2))
         ),
     ))
 
@@ -85,7 +82,7 @@ def position_gaps(items: DataFrame, key: str, position: str, first: int = 10, bl
     gaps = (
         blocks.withColumn("next_lo", F.lead("lo").over(order))
         .withColumn("inside", F.array_sort(F.array_except(F.sequence("lo", "hi"), "ps")))
-        .withColumn("jump", F.least(F.col("next_lo") - 1, F.col("hi") + first))
+        .withColumn("jump", F.when(F.col("next_lo").isNotNull(), F.least(F.col("next_lo") - 1, F.col("hi") + first)))
         .withColumn(
             "after", F.when(F.col("jump") > F.col("hi"), F.sequence(F.col("hi") + 1, "jump")).otherwise(F.array().cast("array<bigint>"))
         )

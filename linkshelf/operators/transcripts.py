@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkshelf import constants as C
+from linkshelf.functions.numbers import rounded
 from linkshelf.functions.text import clock, cue_seconds, strip, text_or_blank
 from linkshelf.operators.ordered import previous_value, row_numbers, spaced_points
 
@@ -92,7 +93,7 @@ def speech_ratio(segments: DataFrame) -> DataFrame:
     ratio = F.least(F.lit(1.0), F.coalesce("speech_ms", F.lit(0)) / 1000.0 / F.col("duration"))
     return clips.join(spoken, "clip", "left").select(
         "clip", "duration",
-        F.when(F.col("duration") > 0, F.bround(ratio, 3)).otherwise(0.0).alias("speech_ratio"),
+        F.when(F.col("duration") > 0, rounded(ratio, 3, 62)).otherwise(0.0).alias("speech_ratio"),
     )
 
 

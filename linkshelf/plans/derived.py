@@ -32,7 +32,10 @@ class Tables:
         self.sf_dir = sf_dir
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name == "events":
+            df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+        return df
 
     @cached_property
     def captures(self) -> DataFrame:

@@ -1 +1,154 @@
-"""Placeholder."""
+"""End-to-end and streaming queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from linkshelf.functions.urls import canonical_url
+from linkshelf.operators.scoring import rule_scorer
+from linkshelf.plans import ingest
+from linkshelf.plans import sqltext as Q
+from linkshelf.plans.gates import _ATTEMPTS
+from linkshelf.plans.registry import query
+from linkshelf.session import scratch_path
+from linkshelf.sources import readers
+from linkshelf.streaming import incremental as INC
+
+# --- captures to cards -------------------------------------------------------------------------
+
+
+def _shared(t):
+    """Share lines of catalogued videos: three spellings each, and lines that are no URL."""
+    d = F.col("doc_id")
+    spellings = F.array(
+        F.concat("url", F.lit("?utm_source=x")), F.concat(F.lit("  "), "url", F.lit("/")), F.concat(F.lit("HTTPS"), F.substr("url", F.lit(6))),
+        F.concat(F.lit("note "), d.cast("string")),
+    )
+    rows = t.video_metadata.select("doc_id", F.posexplode(spellings).alias("k", "line"))
+    return rows.select((d * 4 + F.col("k")).alias("seq"), "line")
+
+
+_RULES = {
+    "travel": "Travel", "places": "Travel", "song": "Saved Music", "recipe": "Recipes & Food", "workout": "Fitness & Health", "code": "Tech & Coding", "movie": "Movies & Shows",
+}
+_TEXT = "lower(left(title, 70) || ' ' || left(description, 90))"
+_RULED = "(CASE " + " ".join(f"WHEN contains({_TEXT}, {Q.lit(w)}) THEN {Q.lit(c)}" for w, c in _RULES.items()) + " ELSE 'Miscellaneous' END)"
+
+
+def captured_cards(t):
+    items = ingest.new_items(_shared(t), t.ledger, t.video_metadata)
+    rows = ingest.classified(items, rule_scorer(), "doc_id", block=1000)
+    existing = t.cards.select("folder", F.regexp_replace("name", r"\.md$", "").alias("stem"))
+    return ingest.cards(rows, existing, "doc_id")
+
+
+query("capture_to_card", f"""
+    WITH n AS (SELECT doc_id AS seq, url, {_RULED} AS category, title FROM video_metadata WHERE url NOT IN (SELECT url FROM ledger)),
+    s AS (SELECT seq, url, category, {Q.folder('category')} AS folder, {Q.safe_filename("CASE WHEN title = '' THEN NULL ELSE title END")} AS stem, title FROM n)
+    SELECT seq, url, category, folder FROM s""")(lambda t: captured_cards(t).select("seq", "url", "category", "folder"))
+
+
+@query("a7_write_counters", f"""
+    WITH n AS (SELECT {_RULED} AS category FROM video_metadata WHERE url NOT IN (SELECT url FROM ledger))
+    SELECT category, {Q.folder('category')} AS folder, count(*) AS created FROM n GROUP BY category""")
+def _(t):
+    return captured_cards(t).groupBy("category", "folder").agg(F.count(F.lit(1)).alias("created"))
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+
+def _drop(df, name):
+    """Write derived rows as the files a stream reads."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+@query("x1_capture_stream", "SELECT DISTINCT url FROM capture_urls WHERE valid")
+def _(t):
+    folder, root = scratch_path(t.spark, "inbox"), scratch_path(t.spark, "x1")
+    t.captures.select("line").write.text(folder)
+    INC.capture_stream(readers.stream_captures(t.spark, folder), f"{root}/ledger", f"{root}/invalid", f"{root}/ck").awaitTermination()
+    return t.spark.read.parquet(f"{root}/ledger").select("url")
+
+
+@query("s2_capture_stream_invalid", "SELECT DISTINCT trim(line) AS line FROM capture_urls WHERE NOT valid")
+def _(t):
+    folder, root = scratch_path(t.spark, "inbox"), scratch_path(t.spark, "s2")
+    t.captures.select("line").write.text(folder)
+    INC.capture_stream(readers.stream_captures(t.spark, folder), f"{root}/ledger", f"{root}/invalid", f"{root}/ck").awaitTermination()
+    return t.spark.read.parquet(f"{root}/invalid").select("line")
+
+
+@query("x2_stream_dedupe", "SELECT DISTINCT url FROM ledger")
+def _(t):
+    root = scratch_path(t.spark, "x2")
+    rows = _drop(t.analysis_state.select("url", "ts"), "x2-in")
+    once = INC.deduplicated(rows, "ts", "60 days").select("url")
+    once.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{root}/out")
+
+
+@query("x3_attempts_stream", f"""
+    WITH {_ATTEMPTS} SELECT url, max(seq) AS seq, max_by(status, seq) AS status, max_by(base + fails, seq)::BIGINT AS attempts FROM b GROUP BY url""")
+def _(t):
+    root = scratch_path(t.spark, "x3")
+    status = F.col("status")
+    log = t.analysis_state.select(
+        "url", "seq", "status", F.col("attempts").alias("passes"), status.isin("done", "needs-review").alias("is_success"),
+        status.isin("failed-retryable", "manual-review").alias("is_failure"),
+    )
+    INC.attempts_stream(_drop(log, "x3-in"), f"{root}/state", f"{root}/ck").awaitTermination()
+    return t.spark.read.parquet(f"{root}/state/v=0")
+
+
+@query("x3_latest_status_stream", "SELECT url, max(seq) AS seq, max_by(status, seq) AS status FROM analysis_state GROUP BY url")
+def _(t):
+    root = scratch_path(t.spark, "x3b")
+    out = INC.latest_status(_drop(t.analysis_state.select("url", "seq", "status"), "x3b-in"))
+
+    def handle(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+
+    out.writeStream.outputMode("complete").foreachBatch(handle).option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{root}/v=0")
+
+
+@query("x4_live_load", """
+    WITH w AS (SELECT key, in_tokens, to_timestamp(epoch(ts) // 10 * 10 - unnest([0, 10, 20, 30, 40, 50]))::TIMESTAMP AS from_ts FROM request_log)
+    SELECT key, from_ts, from_ts + INTERVAL 60 SECONDS AS to_ts, count(*) AS requests, sum(in_tokens)::BIGINT AS tokens, count(*) > 5 AS over_limit FROM w GROUP BY key, from_ts""")
+def _(t):
+    root = scratch_path(t.spark, "x4")
+    load = INC.live_load(_drop(t.request_log.select("key", "ts", "in_tokens"), "x4-in"), 5)
+
+    def handle(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+
+    load.writeStream.outputMode("complete").foreachBatch(handle).option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{root}/v=0")
+
+
+@query("k7_card_stream", f"SELECT DISTINCT {Q.canonical('url')} AS url FROM pages")
+def _(t):
+    root = scratch_path(t.spark, "k7")
+    rows = _drop(t.read("pages").select("url", "html"), "k7-in")
+    render = lambda df: df.select(canonical_url(F.col("url")).alias("url"), F.left("html", F.lit(100)).alias("content"))
+    INC.card_stream(rows, f"{root}/cards", f"{root}/ledger", f"{root}/ck", render).awaitTermination()
+    cards, events = t.spark.read.parquet(f"{root}/cards"), t.spark.read.parquet(f"{root}/ledger")
+    return cards.join(events.select("url"), "url").select("url")
+
+
+@query("x5_retry_stream", """
+    SELECT DISTINCT trim(line) AS line, CASE WHEN NOT valid THEN 'permanent' ELSE 'ok' END AS result FROM capture_urls WHERE NOT (valid AND length(trim(line)) % 4 = 0)""")
+def _(t):
+    """One pass of the retry lane: lines that fail for now wait in the retry table."""
+    root = scratch_path(t.spark, "x5")
+    line = F.col("line")
+    rows = _drop(t.capture_urls.select("line", "valid"), "x5-in").withColumn("line", F.when(F.col("valid"), line).otherwise(F.concat(F.lit("!"), line)))
+    outcome = lambda df: df.withColumn(
+        "result", F.when(F.startswith("line", F.lit("!")), "permanent").when(F.length("line") % 4 == 0, "transient").otherwise("ok")
+    )
+    INC.retry_lane(rows.select("line"), f"{root}/retry", f"{root}/done", f"{root}/ck", outcome).awaitTermination()
+    done = t.spark.read.parquet(f"{root}/done/v=0")
+    return done.select(F.regexp_replace("line", "^!", "").alias("line"), "result")
