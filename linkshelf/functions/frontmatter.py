@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linkshelf import constants as C
+from linkshelf.functions.bind import let
 from linkshelf.functions.text import strip
 
 _BLOCK = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
@@ -50,11 +51,6 @@ def _unquote(raw: Column) -> Column:
     )
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _entry(text: Column) -> Column:
     """One ``key:`` line with the list lines below it."""
     head = F.substring_index(text, "\n", 1)
@@ -79,7 +75,7 @@ def entries(block: Column) -> Column:
         keys = F.transform(rows, lambda e: e["key"])
         return F.filter(rows, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
 
-    return _let(F.transform(found, _entry), last_only)
+    return let(F.transform(found, _entry), last_only)
 
 
 def scalars_of(rows: Column) -> Column:

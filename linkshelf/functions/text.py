@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linkshelf import constants as C
+from linkshelf.functions.bind import let
 
 _SPACES = C.SPACE_CLASS + "+"
 
@@ -51,7 +52,14 @@ def caption_title(caption: Column, fallback: str, limit: int = 60) -> Column:
 
 
 def has_list_claim(text: Column) -> Column:
-    return F.rlike(text_or_blank(text), F.lit("(?iU)" + C.LIST_CLAIM_PATTERN))
+    """A numbered, favourite or ranked list is announced.
+
+    Every form needs a digit or one of three words, which is far cheaper to test than the
+    whole pattern on long captions.
+    """
+    text = text_or_blank(text)
+    likely = F.rlike(text, F.lit(r"\p{Nd}")) | contains_any(F.lower(text), ["favo", "ranking", "tier"])
+    return likely & F.rlike(text, F.lit("(?iU)" + C.LIST_CLAIM_PATTERN))
 
 
 def caption_is_sparse(caption: Column, limit: int = C.SPARSE_CAPTION_CHARS) -> Column:
@@ -85,32 +93,37 @@ def safe_filename(title: Column, limit: int = 60, fallback: str = "Saved Video")
     """File stem that every desktop file system accepts."""
     legal = F.regexp_replace(text_or_blank(title), C.ILLEGAL_NAME_CHARS, "")
     cut = F.rtrim(strip(F.left(squeeze(legal), F.lit(limit))), F.lit(". "))
-    return (
-        F.when(cut == "", F.lit(fallback))
-        .when(_is_reserved(cut), F.concat(F.lit("_"), cut))
-        .otherwise(cut)
-    )
+
+    def named(stem: Column) -> Column:
+        return F.when(stem == "", F.lit(fallback)).when(_is_reserved(stem), F.concat(F.lit("_"), stem)).otherwise(stem)
+
+    return let(cut, named)
 
 
 def folder_segment(raw: Column) -> Column:
     """A single folder name, or NULL when it must be rejected (nothing is repaired)."""
-    name = squeeze(text_or_blank(raw))
-    bad = (
-        (name == "")
-        | F.startswith(name, F.lit("."))
-        | F.rlike(name, F.lit(C.ILLEGAL_NAME_CHARS))
-        | (F.rtrim(name, F.lit(". ")) != name)
-        | _is_reserved(name)
-    )
-    return F.when(~bad, name)
+
+    def checked(name: Column) -> Column:
+        bad = (
+            (name == "")
+            | F.startswith(name, F.lit("."))
+            | F.rlike(name, F.lit(C.ILLEGAL_NAME_CHARS))
+            | (F.rtrim(name, F.lit(". ")) != name)
+            | _is_reserved(name)
+        )
+        return F.when(~bad, name)
+
+    return let(squeeze(text_or_blank(raw)), checked)
 
 
 def project_name(raw: Column) -> Column:
     """A project folder name with illegal characters removed; slashes are rejected."""
     text = text_or_blank(raw)
-    cleaned = safe_filename(squeeze(text), 80, "")
-    bad = F.rlike(text, F.lit(r"[/\\]")) | (cleaned == "") | F.startswith(cleaned, F.lit("."))
-    return F.when(~bad, cleaned)
+    slashed = F.rlike(text, F.lit(r"[/\\]"))
+    return let(
+        safe_filename(squeeze(text), 80, ""),
+        lambda name: F.when(~slashed & (name != "") & ~F.startswith(name, F.lit(".")), name),
+    )
 
 
 def heading_title(body: Column, stem: Column) -> Column:
@@ -147,12 +160,15 @@ def excerpt(body: Column, limit: int = 280) -> Column:
     """Short single-line preview of the notes, or of the whole body."""
     notes = F.regexp_extract(body, r"(?ms)^## Notes[^\n]*\n(.*)\z", 1)
     has_notes = F.rlike(body, F.lit(r"(?m)^## Notes[^\n]*\n"))
-    text = squeeze(F.when(has_notes, notes).otherwise(body))
-    return (
-        F.when(text == "", F.lit("(no notes)"))
-        .when(F.length(text) > limit, F.concat(rstrip(F.left(text, F.lit(limit))), F.lit("...")))
-        .otherwise(text)
-    )
+
+    def cut(text: Column) -> Column:
+        return (
+            F.when(text == "", F.lit("(no notes)"))
+            .when(F.length(text) > limit, F.concat(rstrip(F.left(text, F.lit(limit))), F.lit("...")))
+            .otherwise(text)
+        )
+
+    return let(squeeze(F.when(has_notes, notes).otherwise(body)), cut)
 
 
 def checklist(items: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linkshelf import constants as C
+from linkshelf.functions.bind import let
 from linkshelf.functions.text import strip
 
 
@@ -20,11 +21,6 @@ _SEP = "\x01\x02"
 _PLAIN_QUERY = r"^(?:[A-Za-z0-9_.~-]*(?:=[A-Za-z0-9_.~-]*)?(?:&|$))*$"
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _after(whole: Column, head: Column) -> Column:
     """What follows ``head`` and its one-character delimiter."""
     return F.substr(whole, F.length(head) + 2)
@@ -103,12 +99,12 @@ def canonical_url(url: Column) -> Column:
     def rebuild(p: Column) -> Column:
         host, path, query, fragment = [F.get(p, F.lit(i)) for i in range(4)]
         cleaned = F.when(query == "", "").otherwise(
-            _let(_clean_query(query), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+            let(_clean_query(query), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
         )
         anchor = F.when(fragment == "", "").otherwise(F.concat(F.lit("#"), fragment))
         return F.when((F.size(p) == 4) & _balanced(host), F.concat(F.lower(host), _trimmed_path(path), cleaned, anchor))
 
-    return F.coalesce(_let(_parts(raw), rebuild), F.rtrim(raw, F.lit("/")))
+    return F.coalesce(let(_parts(raw), rebuild), F.rtrim(raw, F.lit("/")))
 
 
 def is_valid_http_url(url: Column) -> Column:

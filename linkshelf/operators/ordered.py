@@ -135,84 +135,103 @@ def spaced_points(
     are chained per key; then every block is walked on its own with a known entry state.
     """
     width = int(interval) * int(cells)
+    # Many blocks share one Python call; a bucket holds about one shuffle partition of instants.
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
     flag = F.lit(False) if cut is None else F.coalesce(cut, F.lit(False))
     points = (
         df.groupBy(key, at)
         .agg(F.max(flag).alias("cut"))
         .select(F.col(key).alias("k"), F.col(at).cast("bigint").alias("at"), "cut", F.floor(F.col(at) / width).alias("blk"))
+        .withColumn("part", bucket("k", "blk"))
     )
     key_type = points.schema["k"].dataType.simpleString()
 
-    def summarize(ids, pdf):
+    def segments(pdf, *by):
+        """Sorted frame and the row ranges of its equal ``by`` values."""
+        import numpy as np
+
+        names = list(by)
+        pdf = pdf.sort_values([*names, "at"] if "at" in pdf else names).reset_index(drop=True)
+        changed = np.zeros(len(pdf), dtype=bool)
+        for name in names[: 2 if "at" in pdf else 1]:
+            values = pdf[name].to_numpy()
+            changed[1:] |= values[1:] != values[:-1]
+        edges = [0, *np.flatnonzero(changed).tolist(), len(pdf)]
+        return pdf, list(zip(edges[:-1], edges[1:])) if len(pdf) else []
+
+    def summarize(pdf):
         import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values("at")
-        t, is_cut = pdf["at"].to_numpy("int64"), pdf["cut"].to_numpy(bool)
-        n = len(t)
-        next_cut = np.full(n + 1, n)
-        for i in range(n - 1, -1, -1):
-            next_cut[i] = i if is_cut[i] else next_cut[i + 1]
-        follow = np.minimum(np.searchsorted(t, t + interval), next_cut[1:])
-        leave = np.arange(n)
-        for i in range(n - 1, -1, -1):
-            if follow[i] < n:
-                leave[i] = leave[follow[i]]
-        start = int(ids[1]) * width
-        reach = int(np.searchsorted(t, start + interval))
-        at_list, out_list = [], []
-        for entry in range(reach + 1):
-            first = min(entry, int(next_cut[0]))
-            out = int(t[leave[first]]) if first < n else None
-            edge = int(t[entry]) if entry < n else None
-            if out_list and out_list[-1] == out:
-                at_list[-1] = edge
-            else:
-                at_list.append(edge)
-                out_list.append(out)
-        return pd.DataFrame({"k": [ids[0]], "blk": [ids[1]], "edges": [at_list], "exits": [out_list]})
+        pdf, ranges = segments(pdf, "k", "blk")
+        times, cuts, keys, blks = (pdf[c].to_numpy() for c in ("at", "cut", "k", "blk"))
+        out = []
+        for lo, hi in ranges:
+            t, n = times[lo:hi], hi - lo
+            stops = np.append(np.flatnonzero(cuts[lo:hi]), n)
+            next_cut = stops[np.searchsorted(stops, np.arange(n + 1))]
+            follow = np.minimum(np.searchsorted(t, t + interval), next_cut[1:]).tolist()
+            leave = list(range(n))
+            for i in range(n - 1, -1, -1):
+                if follow[i] < n:
+                    leave[i] = leave[follow[i]]
+            reach = int(np.searchsorted(t, int(blks[lo]) * width + interval))
+            edges, exits = [], []
+            for entry in range(reach + 1):
+                first = min(entry, int(next_cut[0]))
+                gone = int(t[leave[first]]) if first < n else None
+                edge = int(t[entry]) if entry < n else None
+                if exits and exits[-1] == gone:
+                    edges[-1] = edge
+                else:
+                    edges.append(edge)
+                    exits.append(gone)
+            out.append((keys[lo], int(blks[lo]), edges, exits))
+        return pd.DataFrame(out, columns=["k", "blk", "edges", "exits"])
 
     def chain(pdf):
         import bisect
 
         import pandas as pd
 
-        pdf = pdf.sort_values("blk")
-        last, entries = None, []
-        for edges, exits in zip(pdf["edges"], pdf["exits"]):
-            entries.append(last)
-            need = -(1 << 62) if last is None else last + interval
-            known = [int(e) for e in edges if e is not None and e == e]
-            spot = bisect.bisect_left(known, need)
-            out = exits[spot] if spot < len(exits) else None
-            if out is not None and out == out:
-                last = int(out)
-        return pd.DataFrame(
-            {"k": pdf["k"].to_numpy(), "blk": pdf["blk"].to_numpy(), "last": pd.array(entries, dtype="Int64")}
-        )
+        pdf, ranges = segments(pdf, "k", "blk")
+        edges, exits = pdf["edges"].tolist(), pdf["exits"].tolist()
+        entries = []
+        for lo, hi in ranges:
+            last = None
+            for row in range(lo, hi):
+                entries.append(last)
+                need = -(1 << 62) if last is None else last + interval
+                known = [int(e) for e in edges[row] if e is not None and e == e]
+                spot = bisect.bisect_left(known, need)
+                gone = exits[row][spot] if spot < len(exits[row]) else None
+                if gone is not None and gone == gone:
+                    last = int(gone)
+        return pd.DataFrame({"k": pdf["k"], "blk": pdf["blk"], "last": pd.array(entries, dtype="Int64")})
 
     def walk(rows, entry):
         import pandas as pd
 
-        rows = rows.sort_values("at")
-        start = entry["last"].iloc[0]
-        last = None if pd.isna(start) else int(start)
+        state = dict(zip(zip(entry["k"].tolist(), entry["blk"].tolist()), entry["last"].tolist()))
+        rows, ranges = segments(rows, "k", "blk")
+        times, cuts, keys, blks = (rows[c].tolist() for c in ("at", "cut", "k", "blk"))
         taken = []
-        for at_value, is_cut in zip(rows["at"], rows["cut"]):
-            timed = last is None or at_value - last >= interval
-            if timed:
-                taken.append(at_value)
-            if timed or is_cut:
-                last = at_value
-        return pd.DataFrame({"k": [rows["k"].iloc[0]] * len(taken), "at": taken})
-
-    tables = points.groupBy("k", "blk").applyInPandas(
-        summarize, f"k {key_type}, blk bigint, edges array<bigint>, exits array<bigint>"
-    )
-    entries = tables.groupBy("k").applyInPandas(chain, f"k {key_type}, blk bigint, last bigint")
-    taken = points.groupBy("k", "blk").cogroup(entries.groupBy("k", "blk")).applyInPandas(
-        walk, f"k {key_type}, at bigint"
-    )
+        for lo, hi in ranges:
+            start = state[(keys[lo], blks[lo])]
+            last = None if pd.isna(start) else int(start)
+            for i in range(lo, hi):
+                timed = last is None or times[i] - last >= interval
+                if timed:
+                    taken.append(i)
+                if timed or cuts[i]:
+                    last = times[i]
+        return rows.loc[taken, ["k", "at"]]
+
+    tables = points.groupBy("part").applyInPandas(summarize, f"k {key_type}, blk bigint, edges array<bigint>, exits array<bigint>")
+    entries = tables.withColumn("part", bucket("k")).groupBy("part").applyInPandas(chain, f"k {key_type}, blk bigint, last bigint")
+    entries = entries.withColumn("part", bucket("k", "blk"))
+    taken = points.groupBy("part").cogroup(entries.groupBy("part")).applyInPandas(walk, f"k {key_type}, at bigint")
     return taken.select(F.col("k").alias(key), F.col("at").alias(at))
 
 

@@ -69,34 +69,36 @@ def expected_count(claimed: Column, slides: Column, shape: Column, images: Colum
 
 
 def position_gaps(items: DataFrame, key: str, position: str, first: int = 10, block: int = 1024) -> DataFrame:
-    """Per key: distinct positions, smallest, largest, and the ``first`` missing ones.
+    """Per key: rows, distinct positions, smallest, largest, and the ``first`` missing ones.
 
     Positions are grouped in blocks of ``block`` values, so no array outgrows a block however
-    many rows a key has; gaps between blocks come from the next block's first position.
+    many rows a key has. Gaps between blocks come from the next block's first position, and
+    only the blocks that hold the first missing positions are listed.
     """
-    spots = items.filter(F.col(position).isNotNull()).select(key, F.col(position).cast("bigint").alias("p")).distinct()
-    blocks = spots.groupBy(key, F.floor(F.col("p") / block).alias("blk")).agg(
-        F.min("p").alias("lo"), F.max("p").alias("hi"), F.collect_list("p").alias("ps")
-    )
-    order = Window.partitionBy(key).orderBy("blk")
+    none = F.array().cast("array<bigint>")
+    p = F.col(position).cast("bigint")
+    blocks = items.groupBy(key, F.floor(p / block).alias("blk")).agg(
+        F.count(F.lit(1)).alias("n"), F.collect_set(p).alias("ps")
+    ).withColumns({"lo": F.array_min("ps"), "hi": F.array_max("ps")})
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_first("blk"))
+    edge = F.when(F.col("next_lo").isNotNull(), F.least(F.col("next_lo") - 1, F.col("hi") + first))
+    inside = F.when(F.col("hi") - F.col("lo") + 1 > F.size("ps"), F.array_sort(F.array_except(F.sequence("lo", "hi"), "ps")))
     gaps = (
         blocks.withColumn("next_lo", F.lead("lo").over(order))
-        .withColumn("inside", F.array_sort(F.array_except(F.sequence("lo", "hi"), "ps")))
-        .withColumn("jump", F.when(F.col("next_lo").isNotNull(), F.least(F.col("next_lo") - 1, F.col("hi") + first)))
-        .withColumn(
-            "after", F.when(F.col("jump") > F.col("hi"), F.sequence(F.col("hi") + 1, "jump")).otherwise(F.array().cast("array<bigint>"))
-        )
-        .select(key, F.explode(F.concat(F.slice("inside", 1, first), "after")).alias("missing"))
-    )
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("missing"))
-    kept = gaps.withColumn("r", rank).filter(F.col("r") <= first)
-    listed = kept.groupBy(key).agg(F.array_sort(F.collect_list("missing")).alias("missing"))
-    spans = spots.groupBy(key).agg(
-        F.count(F.lit(1)).alias("distinct_positions"), F.min("p").alias("first_position"), F.max("p").alias("last_position")
+        .withColumn("edge", edge)
+        .withColumn("gap", F.concat(
+            F.coalesce(F.slice(inside, 1, first), none),
+            F.when(F.col("edge") > F.col("hi"), F.sequence(F.col("hi") + 1, "edge")).otherwise(none),
+        ))
+        .withColumn("before", F.coalesce(F.sum(F.size("gap")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     )
-    return spans.join(listed, key, "left").withColumn(
-        "missing", F.coalesce("missing", F.array().cast("array<bigint>"))
+    listed = F.when((F.col("before") < first) & (F.size("gap") > 0), F.struct("blk", "gap"))
+    rolled = gaps.groupBy(key).agg(
+        F.sum("n").alias("rows"), F.sum(F.size("ps")).alias("distinct_positions"), F.min("lo").alias("first_position"),
+        F.max("hi").alias("last_position"), F.array_sort(F.collect_list(listed)).alias("gs"),
     )
+    missing = F.slice(F.flatten(F.transform("gs", lambda g: g["gap"])), 1, first)
+    return rolled.withColumn("missing", missing).drop("gs")
 
 
 def completeness(expected: Column, actual: Column, missing: Column) -> tuple[Column, Column]:

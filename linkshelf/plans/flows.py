@@ -116,7 +116,7 @@ def _(t):
 
 
 @query("x4_live_load", """
-    WITH w AS (SELECT key, in_tokens, to_timestamp(epoch(ts) // 10 * 10 - unnest([0, 10, 20, 30, 40, 50]))::TIMESTAMP AS from_ts FROM request_log)
+    WITH w AS (SELECT key, in_tokens, to_timestamp(epoch(ts)::BIGINT // 10 * 10 - unnest([0, 10, 20, 30, 40, 50]))::TIMESTAMP AS from_ts FROM request_log)
     SELECT key, from_ts, from_ts + INTERVAL 60 SECONDS AS to_ts, count(*) AS requests, sum(in_tokens)::BIGINT AS tokens, count(*) > 5 AS over_limit FROM w GROUP BY key, from_ts""")
 def _(t):
     root = scratch_path(t.spark, "x4")

@@ -241,14 +241,13 @@ _SPANS = """
     WITH {_SPANS} SELECT video, n AS distinct_positions, lo AS first_position, hi AS last_position, array_to_string(missing, ', ') AS missing FROM gaps""")
 def _(t):
     rows = QU.position_gaps(t.items, "video", "position")
-    return rows.withColumn("missing", joined(F.col("missing"), ", "))
+    return rows.withColumn("missing", joined(F.col("missing"), ", ")).drop("rows")
 
 
 def _item_lists(t):
     """Per video: item count, gaps and the four sources of an expected count."""
     v = F.col("video")
-    counts = t.items.groupBy("video").agg(F.count(F.lit(1)).alias("actual"))
-    rows = counts.join(QU.position_gaps(t.items, "video", "position"), "video")
+    rows = QU.position_gaps(t.items, "video", "position").withColumnRenamed("rows", "actual")
     return rows.select(
         "video", "actual", "missing", (F.col("actual") + v % 3 - 1).alias("claimed"), (v % 50).alias("slides"),
         pick(C.MEDIA_SHAPES, v % 9).alias("shape"), F.when(v % 11 == 0, 6).otherwise(0).cast("bigint").alias("images"),

@@ -1,7 +1,8 @@
 """Captures to cards: the whole batch path as one lineage.
 
-The only stored intermediate is the model's answers, because they are paid for; everything
-else is recomputed from tables if an executor is lost.
+Three stages are written once to the shared folder: the new items, the model's answers (they
+are paid for) and the classified rows. Each is read more than once below, and a lost executor
+only repeats work since the last of them.
 """
 
 from __future__ import annotations
@@ -30,14 +31,14 @@ def new_items(captures: DataFrame, known: DataFrame, metadata: DataFrame) -> Dat
 
 def classified(items: DataFrame, scorer: Callable[[str], str | None], order: str, size: int = C.BATCH_SIZE, block: int = 100_000) -> DataFrame:
     """Items with ``category`` and ``summary``; unscored batches are left out and stay queued."""
-    rows = packed(items, order, size, block)
+    rows = packed(materialize(items, "items"), order, size, block)
     scored = materialize(scoring.score_batches(scoring.batch_payloads(rows), scorer), "answers")
     checked = scoring.validated(scored)
     staged = scoring.stop_at_first_failure(checked, F.col("problem").isNotNull() | F.col("error").isNotNull())
     committed = staged.filter("committed")
     answered = scoring.answers(committed)
     kept = rows.join(committed.select("block", "batch"), ["block", "batch"], "left_semi")
-    return scoring.reconciled(kept, answered)
+    return materialize(scoring.reconciled(kept, answered), "classified")
 
 
 def cards(rows: DataFrame, existing: DataFrame, seq: str) -> DataFrame:
