@@ -9,6 +9,7 @@ from linkshelf import constants as C
 from linkshelf.functions.tags import canonical_category, folder_for, replace_category_tag, weight_color
 from linkshelf.functions.text import folder_segment, project_name, strip, text_or_blank
 from linkshelf.operators.ordered import row_numbers, running_sums
+from linkshelf.operators.sets import union_all
 
 # --- predicates -------------------------------------------------------------------
 
@@ -122,7 +123,7 @@ def _indexed(names: DataFrame) -> DataFrame:
         "folder", F.regexp_extract("stem", numbered, 1).alias("base"),
         F.regexp_extract("stem", numbered, 2).cast("bigint").alias("x"),
     ).filter("x >= 2").select("folder", F.col("base").alias("stem"), "x")
-    return own.unionByName(base)
+    return union_all(own, base)
 
 
 def _numbered_names(new: DataFrame, taken: DataFrame, seq: str) -> DataFrame:
@@ -140,7 +141,7 @@ def _numbered_names(new: DataFrame, taken: DataFrame, seq: str) -> DataFrame:
         .select(*keys, (F.col("thr") * 2 + 1).alias("at"), "w", F.lit(None).cast("bigint").alias(seq))
     )
     rows = ranked.select(*keys, (F.col("__k") * 2).alias("at"), F.lit(0).cast("bigint").alias("w"), F.col(seq).cast("bigint").alias(seq))
-    merged = running_sums(rows.unionByName(offsets), keys, "at", {"shift": F.col("w")})
+    merged = running_sums(union_all(rows, offsets), keys, "at", {"shift": F.col("w")})
     index = F.expr("at div 2") + F.col("shift")
     named = F.when(index == 1, F.col("stem")).otherwise(F.concat("stem", F.lit(" ("), index.cast("string"), F.lit(")")))
     return merged.filter(F.col(seq).isNotNull()).select(*keys, seq, index.alias("x"), named.alias("final_stem"))
@@ -173,7 +174,7 @@ def unique_names(new: DataFrame, existing: DataFrame, seq: str = "seq", store=No
         moved = store(first.select("folder", F.col("b.stem").alias("stem"), F.col("b.x").alias("x")), "moved")
         if moved.isEmpty():
             return named
-        taken = taken.unionByName(moved)
+        taken = union_all(taken, moved)
 
 
 # --- aggregates ----------------------------------------------------------------------
@@ -250,7 +251,7 @@ def triage_effects(cards: DataFrame, decisions: DataFrame, taxonomy: DataFrame,
     )
     rows = rows.withColumn("typed", typed)
     area = lambda df, where: df.select(F.lit(where).alias("where"), "existing")
-    known = area(folders, "folder").unionByName(area(projects, "project"))
+    known = union_all(area(folders, "folder"), area(projects, "project"))
     keyed = rows.withColumn("where", F.when(F.col("action") == "p", "project").otherwise("folder"))
     matches = known.groupBy("where", F.lower("existing").alias("low")).agg(
         F.collect_set("existing").alias("names")

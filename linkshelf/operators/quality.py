@@ -9,6 +9,7 @@ from linkshelf import constants as C
 from linkshelf.functions.numbers import fixed
 from linkshelf.functions.text import has_list_claim, text_or_blank
 from linkshelf.operators.ordered import carry_forward, running_sums
+from linkshelf.operators.sets import union_all
 
 
 def visual_reasons(
@@ -165,7 +166,7 @@ def escalation_passes(items: DataFrame, summarize, limit: int = C.MAX_PASSES, st
         )
         done = store(summarize(pending, n).withColumn("step", step).withColumn("passes", F.lit(n)), f"pass{n}")
         ended = done.filter(F.col("step").isin("stop", "accept"))
-        finished = ended if finished is None else finished.unionByName(ended)
+        finished = ended if finished is None else union_all(finished, ended)
         again = done.filter(~F.col("step").isin("stop", "accept"))
         pending = again.withColumns({
             "tier": F.when(F.col("step") == "visual", 3).otherwise(F.col("tier")),

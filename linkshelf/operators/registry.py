@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linkshelf.functions.text import squeeze, strip
 from linkshelf.functions.urls import canonical_url, is_valid_http_url
+from linkshelf.operators.sets import union_all
 
 
 def classified_captures(captures: DataFrame) -> DataFrame:
@@ -40,17 +41,13 @@ def already_known(rows: DataFrame, known: DataFrame, key: str = "url") -> DataFr
 
 def in_flight(*queues: DataFrame) -> DataFrame:
     """Canonical URLs waiting in any queue, blanks removed."""
-    out = None
-    for queue in queues:
-        part = queue.select(canonical_url(F.col("url")).alias("url"))
-        out = part if out is None else out.unionByName(part)
-    return out.filter(F.col("url") != "").distinct()
+    waiting = union_all(*[queue.select(canonical_url(F.col("url")).alias("url")) for queue in queues])
+    return waiting.filter(F.col("url") != "").distinct()
 
 
 def known_urls(cards: DataFrame, ledger: DataFrame, queued: DataFrame) -> DataFrame:
     """Cards, ledger and queues as one distinct URL set."""
-    parts = [d.select("url") for d in (cards, ledger, queued)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+    return union_all(*[d.select("url") for d in (cards, ledger, queued)]).distinct()
 
 
 def carried_over(captures: DataFrame, initial: DataFrame, failed: DataFrame, invalid: DataFrame) -> DataFrame:
@@ -61,7 +58,7 @@ def carried_over(captures: DataFrame, initial: DataFrame, failed: DataFrame, inv
     """
     ranked = lambda df, rank: df.select("line", F.struct(F.lit(rank).alias("r"), F.col("seq").alias("s")).alias("at"))
     appended = captures.join(initial.select("line"), "line", "left_anti")
-    rows = ranked(failed, 0).unionByName(ranked(invalid, 1)).unionByName(ranked(appended, 2))
+    rows = union_all(ranked(failed, 0), ranked(invalid, 1), ranked(appended, 2))
     return rows.groupBy("line").agg(F.min("at").alias("at")).select(
         "line", F.col("at.r").alias("source_rank"), F.col("at.s").alias("seq")
     )
@@ -85,7 +82,7 @@ def ledger_sync(cards: DataFrame, ledger: DataFrame, source: str = "vault-sync")
     carded = per_url.join(ledger.select("url"), "url", "left_anti").select("url", F.lit("carded").alias("event"))
     seen = ledger.filter(F.col("event") == "tossed").select("url")
     tossed = per_url.filter("tossed").join(seen, "url", "left_anti").select("url", F.lit("tossed").alias("event"))
-    return carded.unionByName(tossed).withColumn("source", F.lit(source))
+    return union_all(carded, tossed).withColumn("source", F.lit(source))
 
 
 def manual_review_lines(failures: DataFrame, listed: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from linkshelf import constants as C
 from linkshelf.functions import tags as G
 from linkshelf.operators.ordered import last_by
 from linkshelf.operators.registry import classified_captures
+from linkshelf.session import configure
 
 _NAMES = C.CATEGORIES + ["Unknown A", "Unknown B"]
 
@@ -29,6 +30,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
+        configure(spark)
         self.sf_dir = sf_dir
 
     def read(self, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ def build_session(master: str | None = None, app: str = "linkshelf", **extra: st
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.unionOutputPartitioning", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -24,6 +25,12 @@ def build_session(master: str | None = None, app: str = "linkshelf", **extra: st
     return builder.getOrCreate()
 
 
+def configure(spark: SparkSession) -> None:
+    """Settings results depend on, for sessions built elsewhere. See ``operators.sets``."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from linkshelf.functions.urls import canonical_url, is_valid_http_url
 from linkshelf.operators.quality import attempts_along_log
 from linkshelf.operators.registry import without_known
+from linkshelf.operators.sets import union_all
 from linkshelf.session import materialize
 from linkshelf.sources.writers import read_or_empty
 
@@ -105,7 +106,7 @@ def retry_lane(lines: DataFrame, retry_path: str, done_path: str, checkpoint: st
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         waiting = read_or_empty(spark, f"{retry_path}/v={batch_id - 1}", "line string, attempts int")
-        rows = batch.select("line", F.lit(0).alias("attempts")).unionByName(waiting)
+        rows = union_all(batch.select("line", F.lit(0).alias("attempts")), waiting)
         once = rows.groupBy("line").agg(F.max("attempts").alias("attempts"))
         judged = materialize(outcome(once), "retry")
         failed = F.col("result") == "transient"
