@@ -43,22 +43,37 @@ def cost_totals(log: DataFrame, by: list[str], price_in: float | None, price_out
 def minute_load(log: DataFrame, rpm: int | None, tpm: int | None, seconds: int = 60) -> DataFrame:
     """Requests and tokens per key in the last ``seconds`` at every instant a request started.
 
-    The frame includes its lower bound. Rows of one instant share a frame, so they are summed
-    before the window; each minute bucket then only needs itself and the one before it, which
-    keeps a busy key spread over its minutes.
+    The frame includes its lower bound. Every request adds itself at its start and takes
+    itself back just after it has left the frame, so the load is a running sum whose cost does
+    not depend on how many requests a frame holds. Time is cut into blocks of ten frames; a
+    request still in the frame at a block's end is carried into the next block's opening, so
+    a busy key is spread over its blocks and no block waits for another.
     """
     span = seconds * 1_000_000
-    at = log.groupBy("key", "ts").agg(F.count(F.lit(1)).alias("n"), F.sum("in_tokens").alias("tok"))
-    at = at.withColumn("us", F.unix_micros("ts")).withColumn("home", F.expr(f"us div {span}L"))
-    seen = at.withColumn("bucket", F.explode(F.array(F.col("home"), F.col("home") + 1)))
-    frame = Window.partitionBy("key", "bucket").orderBy("us").rangeBetween(-span, Window.currentRow)
-    loaded = seen.withColumn("requests", F.sum("n").over(frame)).withColumn("tokens", F.sum("tok").over(frame))
+    width = 10 * span
+    at = log.groupBy("key", F.unix_micros("ts").alias("us")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("in_tokens").cast("bigint").alias("tok")
+    )
+    block = lambda t: F.call_function("div", t, F.lit(width).cast("bigint"))
+    here, gone = block(F.col("us")), F.col("us") + span + 1
+    step = lambda blk, t, sign, starts: F.struct(
+        blk.alias("blk"), t.alias("us"), (F.col("n") * sign).alias("n"), (F.col("tok") * sign).alias("tok"), F.lit(starts).alias("starts")
+    )
+    carried = F.array(step(here + 1, (here + 1) * width - 1, 1, False), step(here + 1, gone, -1, False))
+    steps = F.concat(
+        F.array(step(here, F.col("us"), 1, True)),
+        F.when(block(gone) == here, F.array(step(here, gone, -1, False))).otherwise(carried),
+    )
+    upto = Window.partitionBy("key", "blk").orderBy("us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    loaded = at.select("key", F.explode(steps).alias("s")).select("key", "s.*").withColumns({
+        "requests": F.sum("n").over(upto), "tokens": F.sum("tok").over(upto),
+    })
     over = F.lit(False)
     if rpm is not None:
         over = over | (F.col("requests") > rpm)
     if tpm is not None:
         over = over | (F.col("tokens") > tpm)
-    return loaded.filter(F.col("bucket") == F.col("home")).select("key", "ts", "requests", "tokens", over.alias("over_limit"))
+    return loaded.filter("starts").select("key", F.timestamp_micros("us").alias("ts"), "requests", "tokens", over.alias("over_limit"))
 
 
 def spend_cut(work: DataFrame, seq: str, price_in: float | None, price_out: float | None, *,

@@ -148,30 +148,49 @@ def spaced_points(
     key_type = points.schema["k"].dataType.simpleString()
 
     def segments(pdf, *by):
-        """Sorted frame and the row ranges of its equal ``by`` values."""
+        """Frame sorted by key and ``by``, and the row ranges equal in all but the last of them."""
         import numpy as np
+        import pandas as pd
 
-        names = list(by)
-        pdf = pdf.sort_values([*names, "at"] if "at" in pdf else names).reset_index(drop=True)
+        # Keys are sorted by number: comparing strings row by row would dominate the task.
+        codes = pd.factorize(pdf["k"])[0]
+        columns = [codes, *[pdf[c].to_numpy() for c in by]]
+        order = np.lexsort(columns[::-1])
         changed = np.zeros(len(pdf), dtype=bool)
-        for name in names[: 2 if "at" in pdf else 1]:
-            values = pdf[name].to_numpy()
-            changed[1:] |= values[1:] != values[:-1]
+        for values in columns[:-1]:
+            ranked = values[order]
+            changed[1:] |= ranked[1:] != ranked[:-1]
         edges = [0, *np.flatnonzero(changed).tolist(), len(pdf)]
-        return pdf, list(zip(edges[:-1], edges[1:])) if len(pdf) else []
+        return pdf.iloc[order].reset_index(drop=True), list(zip(edges[:-1], edges[1:])) if len(pdf) else []
+
+    def successors(t, is_cut):
+        """For each instant the next one taken after it was taken, and the first cut."""
+        import bisect
+
+        import numpy as np
+
+        n = len(t)
+        if n > 64:
+            stops = np.append(np.flatnonzero(is_cut), n)
+            next_cut = stops[np.searchsorted(stops, np.arange(n + 1))]
+            return np.minimum(np.searchsorted(t, t + interval), next_cut[1:]).tolist(), int(next_cut[0])
+        # Array calls cost more than they save on a short run.
+        ts, follow, cut = t.tolist(), [n] * n, n
+        for i in range(n - 1, -1, -1):
+            follow[i] = min(bisect.bisect_left(ts, ts[i] + interval), cut)
+            cut = i if is_cut[i] else cut
+        return follow, cut
 
     def summarize(pdf):
         import numpy as np
         import pandas as pd
 
-        pdf, ranges = segments(pdf, "k", "blk")
+        pdf, ranges = segments(pdf, "blk", "at")
         times, cuts, keys, blks = (pdf[c].to_numpy() for c in ("at", "cut", "k", "blk"))
         out = []
         for lo, hi in ranges:
             t, n = times[lo:hi], hi - lo
-            stops = np.append(np.flatnonzero(cuts[lo:hi]), n)
-            next_cut = stops[np.searchsorted(stops, np.arange(n + 1))]
-            follow = np.minimum(np.searchsorted(t, t + interval), next_cut[1:]).tolist()
+            follow, first_cut = successors(t, cuts[lo:hi])
             leave = list(range(n))
             for i in range(n - 1, -1, -1):
                 if follow[i] < n:
@@ -179,7 +198,7 @@ def spaced_points(
             reach = int(np.searchsorted(t, int(blks[lo]) * width + interval))
             edges, exits = [], []
             for entry in range(reach + 1):
-                first = min(entry, int(next_cut[0]))
+                first = min(entry, first_cut)
                 gone = int(t[leave[first]]) if first < n else None
                 edge = int(t[entry]) if entry < n else None
                 if exits and exits[-1] == gone:
@@ -195,7 +214,7 @@ def spaced_points(
 
         import pandas as pd
 
-        pdf, ranges = segments(pdf, "k", "blk")
+        pdf, ranges = segments(pdf, "blk")
         edges, exits = pdf["edges"].tolist(), pdf["exits"].tolist()
         entries = []
         for lo, hi in ranges:
@@ -214,18 +233,20 @@ def spaced_points(
         import pandas as pd
 
         state = dict(zip(zip(entry["k"].tolist(), entry["blk"].tolist()), entry["last"].tolist()))
-        rows, ranges = segments(rows, "k", "blk")
-        times, cuts, keys, blks = (rows[c].tolist() for c in ("at", "cut", "k", "blk"))
+        rows, ranges = segments(rows, "blk", "at")
+        times, cuts, keys, blks = (rows[c].to_numpy() for c in ("at", "cut", "k", "blk"))
         taken = []
         for lo, hi in ranges:
             start = state[(keys[lo], blks[lo])]
-            last = None if pd.isna(start) else int(start)
-            for i in range(lo, hi):
-                timed = last is None or times[i] - last >= interval
-                if timed:
-                    taken.append(i)
-                if timed or cuts[i]:
-                    last = times[i]
+            last = -(1 << 62) if pd.isna(start) else int(start)
+            t, n = times[lo:hi], hi - lo
+            follow, first_cut = successors(t, cuts[lo:hi])
+            i = min(int(t.searchsorted(last + interval)), first_cut)
+            while i < n:
+                at_value = int(t[i])
+                if at_value - last >= interval:
+                    taken.append(lo + i)
+                last, i = at_value, follow[i]
         return rows.loc[taken, ["k", "at"]]
 
     tables = points.groupBy("part").applyInPandas(summarize, f"k {key_type}, blk bigint, edges array<bigint>, exits array<bigint>")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkshelf import constants as C
 from linkshelf.functions.numbers import fixed
 from linkshelf.functions.text import has_list_claim, text_or_blank
-from linkshelf.operators.ordered import carry_forward, running_sums
+from linkshelf.operators.ordered import BLOCK_ROWS
 from linkshelf.operators.sets import union_all
 
 
@@ -126,12 +126,27 @@ def attempts_along_log(
     """Attempt counter after each log row.
 
     A failure adds one, a success restarts the count at the passes it used, anything else
-    carries the value forward.
+    carries the value forward. ``seq`` is a whole number, unique within its key.
+
+    Inside a block of the sequence the counter is the failures so far plus what the last
+    success set; across blocks only two numbers per block travel: its failures and where its
+    last success left the count.
     """
-    counted = running_sums(log, [key], seq, {"__fails": F.when(failure, 1).otherwise(0).cast("bigint")})
-    restart = F.when(success, passes.cast("bigint") - F.col("__fails"))
-    carried = carry_forward(counted, [key], seq, restart, "__base")
-    return carried.withColumn(name, F.coalesce("__base", F.lit(0)) + F.col("__fails")).drop("__fails", "__base")
+    blk = F.expr(f"`{seq}` div {BLOCK_ROWS}L")
+    base = log.withColumns({"__blk": blk, "__f": F.when(failure, 1).otherwise(0).cast("bigint")})
+    inside = Window.partitionBy(key, "__blk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    local = base.withColumn("__fails", F.sum("__f").over(inside))
+    local = local.withColumn("__set", F.when(success, passes.cast("bigint") - F.col("__fails")))
+    totals = local.groupBy(key, "__blk").agg(
+        F.sum("__f").alias("fails"), F.max_by("__set", F.when(F.col("__set").isNotNull(), F.col(seq))).alias("set")
+    )
+    before = Window.partitionBy(key).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.withColumn("__f0", F.coalesce(F.sum("fails").over(before), F.lit(0)))
+    earlier = earlier.withColumn("__s0", F.last(F.col("set") - F.col("__f0"), ignorenulls=True).over(before))
+    local = local.withColumn("__last", F.last("__set", ignorenulls=True).over(inside))
+    joined = local.join(earlier.select(key, "__blk", "__f0", "__s0"), [key, "__blk"])
+    start = F.coalesce(F.col("__last"), F.col("__s0") + F.col("__f0"), F.col("__f0"))
+    return joined.withColumn(name, start + F.col("__fails")).drop("__blk", "__f", "__fails", "__set", "__last", "__f0", "__s0")
 
 
 def escalation_step(passes: Column, tier: Column, visual_ok: Column, wants_visuals: Column, complete: Column,
