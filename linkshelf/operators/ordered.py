@@ -121,7 +121,7 @@ def evenly_sampled(
 
 
 def spaced_points(
-    df: DataFrame, key: str, at: str, interval: int, cut: Column | None = None, cells: int = 1024
+    df: DataFrame, key: str, at: str, interval: int, cut: Column | None = None, cells: int = 1024, light: int = BLOCK_ROWS
 ) -> DataFrame:
     """Instants that pass the spacing rule: ``key, at``.
 
@@ -130,9 +130,10 @@ def spaced_points(
     holds the instants the spacing rule itself picked. ``at`` and ``interval`` are whole
     numbers of one unit.
 
-    The rule is sequential, so a key is split into time blocks. Each block first says, for every
-    instant it could be entered at, where the clock stands when it is left; those small tables
-    are chained per key; then every block is walked on its own with a known entry state.
+    The rule is sequential. A key of at most ``light`` rows is walked in one go. A heavier key is
+    split into time blocks: each block first says, for every instant it could be entered at,
+    where the clock stands when it is left; those small tables are chained per key; then every
+    block is walked on its own with a known entry state.
     """
     width = int(interval) * int(cells)
     # Many blocks share one Python call; a bucket holds about one shuffle partition of instants.
@@ -142,9 +143,12 @@ def spaced_points(
     points = (
         df.groupBy(key, at)
         .agg(F.max(flag).alias("cut"))
-        .select(F.col(key).alias("k"), F.col(at).cast("bigint").alias("at"), "cut", F.floor(F.col(at) / width).alias("blk"))
-        .withColumn("part", bucket("k", "blk"))
+        .select(F.col(key).alias("k"), F.col(at).cast("bigint").alias("at"), "cut")
     )
+    rows_per_key = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    heavy = rows_per_key.filter(F.col("n") > light).select("k", F.lit(True).alias("heavy"))
+    points = points.join(heavy, "k", "left").withColumn("blk", F.when(F.col("heavy"), F.floor(F.col("at") / width)).otherwise(0))
+    points = points.withColumn("part", F.when(F.col("heavy"), bucket("k", "blk")).otherwise(bucket("k")))
     key_type = points.schema["k"].dataType.simpleString()
 
     def segments(pdf, *by):
@@ -237,8 +241,8 @@ def spaced_points(
         times, cuts, keys, blks = (rows[c].to_numpy() for c in ("at", "cut", "k", "blk"))
         taken = []
         for lo, hi in ranges:
-            start = state[(keys[lo], blks[lo])]
-            last = -(1 << 62) if pd.isna(start) else int(start)
+            start = state.get((keys[lo], blks[lo]))
+            last = -(1 << 62) if start is None or pd.isna(start) else int(start)
             t, n = times[lo:hi], hi - lo
             follow, first_cut = successors(t, cuts[lo:hi])
             i = min(int(t.searchsorted(last + interval)), first_cut)
@@ -249,7 +253,7 @@ def spaced_points(
                 last, i = at_value, follow[i]
         return rows.loc[taken, ["k", "at"]]
 
-    tables = points.groupBy("part").applyInPandas(summarize, f"k {key_type}, blk bigint, edges array<bigint>, exits array<bigint>")
+    tables = points.filter("heavy").groupBy("part").applyInPandas(summarize, f"k {key_type}, blk bigint, edges array<bigint>, exits array<bigint>")
     entries = tables.withColumn("part", bucket("k")).groupBy("part").applyInPandas(chain, f"k {key_type}, blk bigint, last bigint")
     entries = entries.withColumn("part", bucket("k", "blk"))
     taken = points.groupBy("part").cogroup(entries.groupBy("part")).applyInPandas(walk, f"k {key_type}, at bigint")

@@ -75,7 +75,8 @@ def test_even_sample(df, rows, cap):
 
 @pytest.mark.parametrize("cells", [1, 3, 1024])
 @pytest.mark.parametrize("density", [5, 60])
-def test_spaced_points(spark, cells, density):
+@pytest.mark.parametrize("light", [0, 100, 100_000])
+def test_spaced_points(spark, cells, density, light):
     rng = random.Random(cells * 100 + density)
     rows = []
     for key, n in (("hot", 600), ("a", 5), ("b", 90)):
@@ -84,7 +85,7 @@ def test_spaced_points(spark, cells, density):
             t += rng.randint(0, 600 // density)
             rows.append((key, t, rng.random() < 0.05))
     df = spark.createDataFrame(rows, "k string, at bigint, cut boolean")
-    got = sorted((r.k, r.at) for r in ordered.spaced_points(df, "k", "at", 100, F.col("cut"), cells).collect())
+    got = sorted((r.k, r.at) for r in ordered.spaced_points(df, "k", "at", 100, F.col("cut"), cells, light).collect())
     want = []
     for key in ("hot", "a", "b"):
         last = None
