@@ -48,11 +48,11 @@ def _(t):
     return S.batch_payloads(batches(t))
 
 
-@query("b2_scored_batches")
+@query("b2_scored_batches", f"WITH {_PACKED} SELECT block, batch, count(*) AS n_items, NULL::VARCHAR AS problem, count(*) AS answers FROM packed GROUP BY block, batch")
 def _(t):
     scored = S.score_batches(S.batch_payloads(batches(t)), S.rule_scorer())
     checked = S.validated(scored)
-    return checked.select("block", "batch", "n_items", "problem", F.size("results").alias("answers"))
+    return checked.select("block", "batch", "n_items", "problem", F.size("results").cast("bigint").alias("answers"))
 
 
 # A model that skips some rows, repeats others and answers for rows it was not given.
@@ -116,8 +116,7 @@ def _(t):
     return S.stop_at_first_failure(rows, F.col("problem").isNotNull()).select("block", "batch", "committed")
 
 
-@query("b5_two_stage")
-def _(t):
+def _two_stage(t):
     rows = _gate_rows(t)
     first = rows.withColumn("reasons", _reasons(rows, F.lit(False), F.lit(None).cast("double")))
     asked = first.filter(F.size("reasons") == 0).select("doc_id", F.concat("title", F.lit(" "), "description").alias("state"))
@@ -129,12 +128,13 @@ def _(t):
     return scored.select("doc_id", F.col("response").try_cast("double").alias("needs_visuals"))
 
 
-@query("b6_extraction")
+@query("b6_extraction", f"""
+    SELECT doc_id, length(description) % 3 = 0 AS is_travel, trim(split_part({Q.squeeze('description')}, ' ', 1), '.,') AS place_name, 0.6::DOUBLE AS confidence FROM video_metadata""")
 def _(t):
     import json
 
     def extract(payload):
-        place = next((w.strip(".,") for w in payload.split() if w[:1].isupper()), None)
+        place = payload.split()[0].strip(".,")
         return json.dumps({"is_travel": len(payload) % 3 == 0, "place_name": place, "summary": payload[:40], "confidence": 0.6})
 
     scored = S.score_batches(t.video_metadata.select("doc_id", F.col("description").alias("payload")), extract)
@@ -213,6 +213,12 @@ def _(t):
     return rows.withColumn("r", reasons).select("doc_id", joined(F.col("r"), "; ").alias("reasons"), (F.size("r") > 0).alias("needs_visuals"))
 
 
+query("b5_two_stage", f"""
+    WITH {_GATE} SELECT doc_id, (length(title || ' ' || description) % 100) / 100.0::DOUBLE AS needs_visuals FROM g
+    WHERE NOT is_carousel AND words >= 25 AND NOT coalesce(ratio < 0.2, FALSE) AND doc_id % 9 <> 4
+      AND NOT ({Q.list_claim("title || ' ' || description")} AND source <> 'captions' AND words < 120)""")(_two_stage)
+
+
 @query("d2_audio_needed", f"WITH {_GATE} SELECT doc_id, words < 25 AND NOT is_carousel AND NOT (doc_id % 7 = 0) AS audio FROM g")
 def _(t):
     return _gate_rows(t).select("doc_id", QU.audio_needed(F.col("words"), F.col("is_carousel"), F.col("doc_id") % 7 == 0).alias("audio"))

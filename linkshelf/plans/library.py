@@ -117,14 +117,9 @@ def _(t):
     return CAT.board_entries(_board_rows(t)).select("column", "title", "added_seq", "position")
 
 
-@query("h12_watch_board", f"SELECT \"column\", string_agg('- [ ] [[' || title || ']]', chr(10) ORDER BY position) AS lines FROM ({_BOARD.strip()}) GROUP BY \"column\"")
+@query("h12_watch_board", f"SELECT \"column\", position, '- [ ] [[' || title || ']]' AS line FROM ({_BOARD.strip()})")
 def _(t):
-    entries = CAT.board_entries(_board_rows(t))
-    line = F.concat(F.lit("- [ ] [["), "title", F.lit("]]"))
-    # A board is one note: titles per column, already distinct.
-    return entries.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("l")))).alias("ls")).select(
-        "column", F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("lines")
-    )
+    return CAT.board_entries(_board_rows(t)).select("column", "position", F.concat(F.lit("- [ ] [["), "title", F.lit("]]")).alias("line"))
 
 
 @query("j10_movie_merge", "SELECT seq, title, count(*) OVER (PARTITION BY title) AS clips, seq <> min(seq) OVER (PARTITION BY title) AS merged FROM movies")

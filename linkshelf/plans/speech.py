@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkshelf import constants as C
+from linkshelf.functions import text as T
 from linkshelf.operators import transcripts as TR
 from linkshelf.operators.ordered import evenly_sampled, row_numbers
 from linkshelf.plans import sqltext as Q
@@ -112,36 +113,44 @@ def _(t):
     return TR.transcript_chunks(_marked(t), "video", "pos", "line")
 
 
-@query("r1_vtt_text", """
-    WITH c AS (SELECT conv_id AS video, turn AS pos, turn * 4.0::DOUBLE AS start_s, regexp_replace(text, '\\s+', ' ', 'g') AS line FROM conversations),
-    s AS (SELECT *, trim(line) AS l FROM c), k AS (SELECT * FROM (SELECT *, lag(l) OVER (PARTITION BY video ORDER BY pos) AS prev FROM s WHERE l <> '') WHERE prev IS DISTINCT FROM l),
-    f AS (SELECT video, list_reduce(list({'s': start_s, 'p': pos} ORDER BY pos), lambda a, x: {'last': CASE WHEN x.s - a.last >= 10 THEN x.s ELSE a.last END,
-      'due': CASE WHEN x.s - a.last >= 10 THEN list_append(a.due, x.p) ELSE a.due END}, {'last': -10.0::DOUBLE, 'due': []::BIGINT[]}) AS f FROM k GROUP BY video),
-    d AS (SELECT video, unnest(f.due) AS pos FROM f)
-    SELECT k.video, string_agg(CASE WHEN d.pos IS NULL THEN k.l ELSE '[' || """ + Q.clock("floor(k.start_s)") + """ || '] ' || k.l END, ' ' ORDER BY k.pos) AS text
-    FROM k LEFT JOIN d ON d.video = k.video AND d.pos = k.pos GROUP BY k.video""")
+# Each document's lines as the cues of one caption payload, four seconds apart. Angle brackets are
+# blanked and a word is put first, so that no line looks like a tag, a header or a cue time.
+_LINE_LIST = f"""list_transform(string_split(text, chr(10)), lambda x, i: {{'l': 'say ' || {Q.squeeze("translate(x, '<>', '  ')")}, 's': (i - 1) * 4.0::DOUBLE}})"""
+_START = "{'last': -10.0::DOUBLE, 'line': '', 'out': []::VARCHAR[]}"
+_CAPTIONED = """list_reduce(LINES, lambda a, x: {'last': CASE WHEN SAME THEN a.last WHEN x.s - a.last >= 10 THEN x.s ELSE a.last END, 'line': x.l,
+      'out': CASE WHEN SAME THEN a.out WHEN x.s - a.last >= 10 THEN list_concat(a.out, ['[' || CLOCK || ']', x.l]) ELSE list_append(a.out, x.l) END}, START).out"""
+
+
+def _captioned(same):
+    text = _CAPTIONED.replace("LINES", _LINE_LIST).replace("SAME", same).replace("START", _START)
+    return text.replace("CLOCK", Q.clock("floor(x.s)"))
+
+
+def _cues(make):
+    lines = F.split("text", "\n")
+    words = lambda x: F.concat(F.lit("say "), T.squeeze(F.translate(x, "<>", "  ")))
+    return F.transform(lines, lambda x, i: make(words(x), i * 4))
+
+
+@query("r1_vtt_text", f"SELECT doc_id, array_to_string({_captioned('x.l = a.line')}, ' ') AS text FROM documents")
 def _(t):
-    """Each conversation as one WebVTT payload (the format's unit), flattened inside its row."""
-    turn = F.col("turn")
-    stamp = lambda s: F.concat(F.lit("00:"), F.lpad(F.floor(s / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"), F.lit(".000"))
-    cue = F.concat(stamp(turn * 4), F.lit(" --> "), stamp(turn * 4 + 4), F.lit("\n<c>"), F.regexp_replace("text", r"\s+", " "), F.lit("</c>\n"))
-    payload = t.read("conversations").groupBy(F.col("conv_id").alias("video")).agg(F.array_sort(F.collect_list(F.struct("turn", cue.alias("cue")))).alias("cues"))
-    vtt = F.concat(F.lit("WEBVTT\nKind: captions\n\n"), F.array_join(F.transform("cues", lambda c: F.concat(c["turn"].cast("string"), F.lit("\n"), c["cue"])), "\n"))
-    return payload.select("video", TR.vtt_text(vtt).alias("text"))
-
-
-@query("r2_json3_text", """
-    WITH f AS (SELECT video, list_reduce(list({'s': start_s, 'l': line} ORDER BY pos), lambda a, x: {'last': CASE WHEN x.s - a.last >= 10 THEN x.s ELSE a.last END,
-      'out': CASE WHEN x.s - a.last >= 10 THEN list_concat(a.out, ['[' || """ + Q.clock("floor(x.s)") + """ || ']', x.l]) ELSE list_append(a.out, x.l) END}, {'last': -10.0::DOUBLE, 'out': []::VARCHAR[]}) AS f FROM cues GROUP BY video)
-    SELECT video, array_to_string(f.out, ' ') AS text FROM f""")
+    """One WebVTT payload per document, flattened inside its row."""
+    pad = lambda v: F.lpad(v.cast("string"), 2, "0")
+    part = lambda s, n: F.call_function("div", s.cast("bigint"), F.lit(n).cast("bigint"))
+    stamp = lambda s: F.concat(pad(part(s, 3600)), F.lit(":"), pad(part(s, 60) % 60), F.lit(":"), pad(s % 60), F.lit(".000"))
+    cues = _cues(lambda line, s: F.concat(stamp(s), F.lit(" --> "), stamp(s + 4), F.lit("\n<c>"), line, F.lit("</c>\n")))
+    vtt = F.concat(F.lit("WEBVTT\nKind: captions\n\n"), F.array_join(cues, "\n"))
+    return t.documents.select("doc_id", TR.vtt_text(vtt).alias("text"))
+
+
+@query("r2_json3_text", f"SELECT doc_id, array_to_string({_captioned('FALSE')}, ' ') AS text FROM documents")
 def _(t):
-    event = F.struct(
-        (F.col("start_s") * 1000).cast("bigint").alias("tStartMs"),
-        F.array(F.struct(F.left("line", F.lit(3)).alias("utf8")), F.struct(F.substr("line", F.lit(4)).alias("utf8"))).alias("segs"),
+    event = lambda line, s: F.struct(
+        (s * 1000).alias("tStartMs"),
+        F.array(F.struct(F.left(line, F.lit(5)).alias("utf8")), F.struct(F.substr(line, F.lit(6)).alias("utf8"))).alias("segs"),
     )
-    rows = t.cues.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("pos", event.alias("e")))).alias("es"))
-    raw = F.to_json(F.struct(F.transform("es", lambda x: x["e"]).alias("events")))
-    return rows.select("video", TR.json3_text(raw).alias("text"))
+    raw = F.to_json(F.struct(_cues(event).alias("events")))
+    return t.documents.select("doc_id", TR.json3_text(raw).alias("text"))
 
 
 @query("r3_speech_transcript", """

@@ -216,13 +216,12 @@ def _(t):
     )
 
 
-@query("t18_checklist", """
-    SELECT video, kind, string_agg('- [ ] ' || name, chr(10) ORDER BY name) AS lines FROM (SELECT DISTINCT video, kind, name FROM items) GROUP BY video, kind""")
+@query("t18_checklist", f"""
+    WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {Q.squeeze('x')}), lambda x: x <> '') AS items FROM documents)
+    SELECT doc_id, CASE WHEN len(items) = 0 THEN '- [ ]' ELSE array_to_string(list_transform(items, lambda x: '- [ ] ' || x), chr(10)) END AS lines FROM l""")
 def _(t):
-    # Items of one kind in one order; blanks around names are squeezed by the checklist.
-    names = t.items.select("video", "kind", F.concat(F.lit("  "), "name").alias("name")).distinct()
-    lists = names.groupBy("video", "kind").agg(F.array_sort(F.collect_list("name")).alias("names"))
-    return lists.select("video", "kind", T.checklist(F.col("names")).alias("lines"))
+    """Every line of a document as one item; a document without lines keeps the empty box."""
+    return t.documents.select("doc_id", T.checklist(F.split("text", "\n")).alias("lines"))
 
 
 # --- rendered cards -------------------------------------------------------------------------------
@@ -289,22 +288,21 @@ def _(t):
     return t.fetch_log.select("doc_id", K.manual_card(F.col("url"), summary, F.lit(0.0), F.lit("")).alias("content"))
 
 
-@query("t20_analysis_block", """
-    WITH i AS (SELECT DISTINCT video, kind, name FROM items),
-    a AS (SELECT video, string_agg('- [' || kind || '] ' || name || CASE WHEN kind = 'destination' THEN ' (here)' ELSE '' END, chr(10) ORDER BY kind, name) AS listed FROM i GROUP BY video)
-    SELECT video, '<!-- crusher:start -->' || chr(10) || '## Video Analysis' || chr(10) || chr(10) || '> **Summary:** order ' || video || chr(10) || chr(10) ||
-      '- **Media shape:** `standard_video`' || chr(10) || '- **Confidence:** 0.5' || chr(10) || CASE WHEN video % 2 = 0 THEN '- **Language:** en' || chr(10) ELSE '' END ||
-      chr(10) || '### Findings' || chr(10) || '- first' || chr(10) || '- second' || chr(10) || chr(10) || '### Extracted items' || chr(10) || listed || chr(10) || '<!-- crusher:end -->' || chr(10) AS block FROM a""")
+@query("t20_analysis_block", f"""
+    WITH l AS (SELECT doc_id, lang, source, string_split(text, chr(10)) AS findings FROM documents)
+    SELECT doc_id, '<!-- crusher:start -->' || chr(10) || '## Video Analysis' || chr(10) || chr(10) || '> **Summary:** from ' || source || chr(10) || chr(10) ||
+      '- **Media shape:** `standard_video`' || chr(10) || '- **Confidence:** 0.5' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '- **Language:** ' || lang || chr(10) ELSE '' END ||
+      chr(10) || '### Findings' || chr(10) || array_to_string(list_transform(findings, lambda x: '- ' || {Q.strip("ltrim(x, '- ')")}), chr(10)) || chr(10) || chr(10) ||
+      '### Extracted items' || chr(10) || '- [tip] ' || lang || chr(10) || '- [destination] ' || source || ' (here)' || chr(10) || '<!-- crusher:end -->' || chr(10) AS block FROM l""")
 def _(t):
-    named = t.items.select("video", "kind", "name").distinct()
-    item = F.struct("kind", "name", F.when(F.col("kind") == "destination", "here").alias("location_name"))
-    rows = named.groupBy("video").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    nowhere = F.lit(None).cast("string")
+    item = lambda kind, name, place: F.struct(F.lit(kind).alias("kind"), F.col(name).alias("name"), place.alias("location_name"))
     block = K.findings_block(
-        summary=F.concat(F.lit("order "), F.col("video").cast("string")), shape=F.lit("standard_video"), confidence=F.lit(0.5),
-        language=F.when(F.col("video") % 2 == 0, "en"), notes=F.lit(None).cast("string"),
-        findings=F.array(F.lit("- first"), F.lit(" - second ")), items=F.col("items"),
+        summary=F.concat(F.lit("from "), "source"), shape=F.lit("standard_video"), confidence=F.lit(0.5),
+        language=F.when(F.col("doc_id") % 2 == 0, F.col("lang")), notes=nowhere, findings=F.split("text", "\n"),
+        items=F.array(item("tip", "lang", nowhere), item("destination", "source", F.lit("here"))),
     )
-    return rows.select("video", block.alias("block"))
+    return t.documents.select("doc_id", block.alias("block"))
 
 
 @query("t21_state_text", """
