@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from linkshelf import constants as C
 from linkshelf.functions.bind import let
 
-_SPACES = C.SPACE_CLASS + "+"
+# The same characters as SPACE_CHARS; Java matches this spelling several times faster than explicit ranges.
+_SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
 def text_or_blank(c: Column) -> Column:
@@ -27,7 +28,7 @@ def rstrip(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Stripped, with every run of whitespace turned into one blank."""
-    return strip(F.regexp_replace(c, _SPACES, " "))
+    return F.trim(F.regexp_replace(c, _SPACES, " "))
 
 
 def first_of(*cols: Column) -> Column:

@@ -82,13 +82,12 @@ def child_rows(parents: DataFrame) -> DataFrame:
 
 def child_columns(rows: DataFrame) -> DataFrame:
     """Inherited and kind-specific fields of item rows (``kind, name, artist, location_name, position``)."""
-    kind = F.col("kind")
-    category = item_category(kind, F.col("parent_category"))
+    kind, category = F.col("kind"), F.col("child_category")
+    rows = rows.withColumn("child_category", item_category(kind, F.col("parent_category")))
     destination = kind == "destination"
     nothing = F.lit(None).cast("string")
     named_place = F.coalesce(F.nullif(F.col("location_name"), F.lit("")), F.col("name"))
     return rows.withColumns({
-        "child_category": category,
         "child_folder": F.concat(folder_for(category), F.lit("/"), safe_filename(F.col("stem"), 50)),
         "child_stem": safe_filename(F.col("name"), 60, "Item"),
         "item_id": item_id(F.col("url"), kind, F.col("name"), F.col("position")),

@@ -15,63 +15,67 @@ from linkshelf.functions.numbers import rounded
 from linkshelf.functions.text import clock, cue_seconds, strip, text_or_blank
 from linkshelf.operators.ordered import previous_value, row_numbers, spaced_points
 
-_FOLD = "struct<out:array<string>,last_line:string,last_mark:double,cue:double>"
+_EVENTS = "array<struct<tStartMs:double,segs:array<struct<utf8:string>>>>"
+_STRINGS = "array<string>"
 
 
-def _fold_start(every: float) -> Column:
-    return F.struct(
-        F.array().cast("array<string>").alias("out"), F.lit("").alias("last_line"),
-        F.lit(-float(every)).alias("last_mark"), F.lit(0.0).alias("cue"),
-    ).cast(_FOLD)
+def _marked_text(lines: Column, every: float, drop_repeats: bool) -> Column:
+    """Join ``ARRAY<STRUCT<at, text>>`` in order with a ``[m:ss]`` marker where one is due.
 
+    An entry without text only moves the clock for the entries after it.
+    """
+    start = F.struct(
+        F.array().cast(_STRINGS).alias("out"), F.lit("").alias("line"), F.lit(-float(every)).alias("mark"), F.lit(0.0).alias("at"),
+    )
+
+    def state(acc: Column, **changes: Column) -> Column:
+        return F.struct(*[changes.get(name, acc[name]).alias(name) for name in ("out", "line", "mark", "at")])
+
+    def step(acc: Column, entry: Column) -> Column:
+        at, text = F.coalesce(entry["at"], acc["at"]), entry["text"]
+        mark = F.concat(F.lit("["), clock(at), F.lit("]"))
+        skipped = text.isNull() | (text == "")
+        if drop_repeats:
+            skipped = skipped | (text == acc["line"])
+        return (
+            F.when(skipped, state(acc, at=at))
+            .when(
+                at - acc["mark"] >= every,
+                state(acc, out=F.concat(acc["out"], F.array(mark, text)), line=text, mark=at, at=at),
+            )
+            .otherwise(state(acc, out=F.array_append(acc["out"], text), line=text, at=at))
+        )
 
-def _emit(acc: Column, at: Column, text: Column, every: float) -> Column:
-    """Append ``text``, preceded by a marker when one is due."""
-    due = at - acc["last_mark"] >= every
-    mark = F.concat(F.lit("["), clock(at), F.lit("]"))
-    return F.struct(
-        F.concat(acc["out"], F.when(due, F.array(mark, text)).otherwise(F.array(text))).alias("out"),
-        text.alias("last_line"),
-        F.when(due, at).otherwise(acc["last_mark"]).alias("last_mark"),
-        at.alias("cue"),
-    ).cast(_FOLD)
+    return F.array_join(F.aggregate(lines, start, step)["out"], " ")
 
 
 def vtt_text(vtt: Column, every: float = C.MARKER_SECONDS) -> Column:
     """WebVTT payload to text with coarse ``[m:ss]`` markers and no rolling repeats."""
     lines = F.transform(F.split(text_or_blank(vtt), r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\x{2028}\x{2029}]"), strip)
-    useful = F.filter(
-        lines,
-        lambda s: (s != "") & ~F.rlike(s, F.lit(r"^(?:WEBVTT|NOTE|Kind:|Language:|STYLE)")) & ~F.rlike(s, F.lit(r"^\p{Nd}+$")),
-    )
-
-    def step(acc: Column, raw: Column) -> Column:
-        text = strip(F.regexp_replace(raw, "<[^>]+>", ""))
-        timed = F.struct(
-            acc["out"].alias("out"), acc["last_line"].alias("last_line"), acc["last_mark"].alias("last_mark"),
-            cue_seconds(F.substring_index(raw, "-->", 1)).alias("cue"),
-        ).cast(_FOLD)
-        return (
-            F.when(F.contains(raw, F.lit("-->")), timed)
-            .when((text == "") | (text == acc["last_line"]), acc)
-            .otherwise(_emit(acc, acc["cue"], text, every))
+    header = r"^(?:WEBVTT|NOTE|Kind:|Language:|STYLE|\p{Nd}+$)"
+    useful = F.filter(lines, lambda s: (s != "") & ~F.rlike(s, F.lit(header)))
+
+    def entry(raw: Column) -> Column:
+        is_cue = F.contains(raw, F.lit("-->"))
+        return F.struct(
+            F.when(is_cue, cue_seconds(F.substring_index(raw, "-->", 1))).alias("at"),
+            F.when(~is_cue, strip(F.regexp_replace(raw, "<[^>]+>", ""))).alias("text"),
         )
 
-    return F.array_join(F.aggregate(useful, _fold_start(every), step)["out"], " ")
+    return _marked_text(F.transform(useful, entry), every, True)
 
 
 def json3_text(raw: Column, every: float = C.MARKER_SECONDS) -> Column:
     """json3 captions to text with markers; '' when the payload does not parse."""
-    schema = "events array<struct<tStartMs:double,segs:array<struct<utf8:string>>>>"
-    events = F.coalesce(F.from_json(raw, schema)["events"], F.array().cast("array<struct<tStartMs:double,segs:array<struct<utf8:string>>>>"))
+    events = F.coalesce(F.from_json(raw, f"events {_EVENTS}")["events"], F.array().cast(_EVENTS))
 
-    def step(acc: Column, event: Column) -> Column:
-        segs = F.transform(F.coalesce(event["segs"], F.array().cast("array<struct<utf8:string>>")), lambda s: text_or_blank(s["utf8"]))
-        text = strip(F.array_join(segs, ""))
-        at = F.coalesce(event["tStartMs"], F.lit(0.0)) / 1000.0
-        return F.when(text == "", acc).otherwise(_emit(acc, at, text, every))
+    def entry(event: Column) -> Column:
+        pieces = F.transform(F.coalesce(event["segs"], F.array().cast("array<struct<utf8:string>>")), lambda s: text_or_blank(s["utf8"]))
+        return F.struct(
+            (F.coalesce(event["tStartMs"], F.lit(0.0)) / 1000.0).alias("at"), strip(F.array_join(pieces, "")).alias("text")
+        )
 
-    return F.array_join(F.aggregate(events, _fold_start(every), step)["out"], " ")
+    return _marked_text(F.transform(events, entry), every, False)
 
 
 def speech_only(segments: DataFrame) -> DataFrame:
