@@ -115,13 +115,17 @@ def counts_for_weight(name: Column) -> Column:
 # --- names --------------------------------------------------------------------------
 
 
+# A stem that already ends in a number, and every number at its end.
+_NUMBERED = r"(?s)^(.*) \(([1-9]\d{0,8})\)$"
+_SUFFIXES = r"(?: \([1-9]\d*\))+$"
+
+
 def _indexed(names: DataFrame) -> DataFrame:
     """Existing names as occupied indexes of a stem: the name itself is 1, ``stem (n)`` is n."""
-    numbered = r"(?s)^(.*) \(([1-9]\d{0,8})\)$"
     own = names.select("folder", F.col("stem"), F.lit(1).cast("bigint").alias("x"))
-    base = names.filter(F.rlike("stem", F.lit(numbered))).select(
-        "folder", F.regexp_extract("stem", numbered, 1).alias("base"),
-        F.regexp_extract("stem", numbered, 2).cast("bigint").alias("x"),
+    base = names.filter(F.rlike("stem", F.lit(_NUMBERED))).select(
+        "folder", F.regexp_extract("stem", _NUMBERED, 1).alias("base"),
+        F.regexp_extract("stem", _NUMBERED, 2).cast("bigint").alias("x"),
     ).filter("x >= 2").select("folder", F.col("base").alias("stem"), "x")
     return union_all(own, base)
 
@@ -158,22 +162,25 @@ def unique_names(new: DataFrame, existing: DataFrame, seq: str = "seq", store=No
 
     store = store or materialize
     taken = _indexed(existing)
-    numbered = r"(?s)^(.*) \(([1-9]\d{0,8})\)$"
-    # Only a stem that itself looks numbered can meet another stem's numbering.
-    literal = new.filter(F.rlike("stem", F.lit(numbered)))
-    if literal.isEmpty():
+    # Only names that share a stem apart from such numbers can meet; the others are done in one pass.
+    rooted = new.withColumn("root", F.regexp_replace("stem", _SUFFIXES, ""))
+    roots = rooted.filter(F.rlike("stem", F.lit(_NUMBERED))).select("folder", "root").distinct()
+    mixed = store(rooted.join(roots, ["folder", "root"], "left_semi").drop("root"), "mixed")
+    if mixed.isEmpty():
         return _numbered_names(new, taken, seq)
+    plain = rooted.join(roots, ["folder", "root"], "left_anti").drop("root")
+    done = _numbered_names(plain, taken, seq)
     while True:
-        named = store(_numbered_names(new, taken, seq), "names")
+        named = store(_numbered_names(mixed, taken, seq), "names")
         clashes = named.groupBy("folder", "final_stem").agg(
             F.count(F.lit(1)).alias("n"), F.min(seq).alias("winner")
         ).filter("n > 1").drop("n")
         losers = named.join(clashes, ["folder", "final_stem"]).filter(F.col(seq) != F.col("winner"))
-        root = F.regexp_replace("final_stem", r"(?: \([1-9]\d*\))+$", "")
-        first = losers.groupBy("folder", root.alias("root")).agg(F.min_by(F.struct("stem", "x"), F.col(seq)).alias("b"))
+        family = F.regexp_replace("final_stem", _SUFFIXES, "")
+        first = losers.groupBy("folder", family.alias("family")).agg(F.min_by(F.struct("stem", "x"), F.col(seq)).alias("b"))
         moved = store(first.select("folder", F.col("b.stem").alias("stem"), F.col("b.x").alias("x")), "moved")
         if moved.isEmpty():
-            return named
+            return union_all(done, named)
         taken = union_all(taken, moved)
 
 
