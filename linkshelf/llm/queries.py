@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkshelf.llm import exact_dedup, language_id, mixing, packing, quality_classifier
+from linkshelf.llm import exact_dedup, language_id, mixing, packing, quality_classifier, quality_rules, simhash_dedup
 from linkshelf.llm.workers import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,7 +75,7 @@ _MIX_SQL = f"""
         FROM shares s, period, ends),
     read AS (
         SELECT doc_id, src, epoch, epoch * bytes + start AS start, (epoch * bytes + start) // {mixing.BLOCK_BYTES} AS block, n, q, blocks
-        FROM (SELECT *, unnest(generate_series(0, greatest(0, (blocks * {mixing.BLOCK_BYTES} - 1) // bytes))) AS epoch FROM placed JOIN plan USING (src)))
+        FROM placed JOIN plan USING (src) JOIN range(10000) e(epoch) ON epoch <= greatest(0, (blocks * {mixing.BLOCK_BYTES} - 1) // bytes))
     SELECT doc_id, r.src AS mix_source, CAST(start AS BIGINT) AS mix_start, CAST(epoch AS BIGINT) AS epoch, CAST(block AS BIGINT) AS block,
            CAST(block // n * q + slot AS BIGINT) AS slot, CAST(block // n * q + (block % n) * q // n AS BIGINT) AS release,
            CAST(block // n * q + ((block % n + 1) * q + n - 1) // n AS BIGINT) AS deadline
@@ -98,3 +98,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language_id.languages(docs, language_id.fit(docs))
+
+
+@query("op9_quality_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rule_table(_table(spark, sf_dir, "documents"))
+
+
+@query("op10_simhash_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicate_table(_table(spark, sf_dir, "documents"))
