@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkshelf.llm import exact_dedup, html_extract, language_id, mixing, packing, quality_classifier, quality_rules, simhash_dedup
+from linkshelf.llm import exact_dedup, html_extract, language_id, mixing, packing, quality_classifier, quality_rules, simhash_dedup, toxicity
 from linkshelf.llm.workers import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
