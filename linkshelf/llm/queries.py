@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkshelf.llm import exact_dedup, html_extract, language_id, mixing, packing, quality_classifier, quality_rules, simhash_dedup, toxicity
+from linkshelf.llm import exact_dedup, html_extract, language_id, mixing, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, toxicity
 from linkshelf.llm.workers import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix_source", "mix_start", "epoch", "block", "slot", "release", "deadline")
 
 
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_table(_table(spark, sf_dir, "documents"))
+
+
 @query("op6_html_extract")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(_table(spark, sf_dir, "pages"))
