@@ -37,14 +37,12 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     repeats, whole texts where length and prefix repeat. Counts are combined before they are shuffled, so a large group
     costs one row a task.
     """
-    rows = docs.select(F.col("doc_id").alias("id"), whole().alias("body"))
-    sized = rows.withColumn("size", F.octet_length("body"))
-    lengths = sized.groupBy("size").agg(F.count("*").alias("n")).filter("n > 1").select("size")
-    begun = sized.join(lengths, "size", "left_semi").select(
-        "size", F.xxhash64(lowered(F.substring("body", 1, PREFIX_CHARS))).alias("prefix"))
-    heads = begun.groupBy("size", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("size", "prefix")
-    alike = sized.withColumn("prefix", F.xxhash64(lowered(F.substring("body", 1, PREFIX_CHARS)))).join(
-        heads, ["size", "prefix"], "left_semi")
+    rows = docs.select(F.col("doc_id").alias("id"), whole().alias("body")).withColumn("size", F.octet_length("body"))
+    rows = rows.withColumn("head", F.xxhash64("size", lowered(F.substring("body", 1, PREFIX_CHARS))))
+    lengths = rows.groupBy("size").agg(F.count("*").alias("n")).filter("n > 1").select("size")
+    begun = rows.select("size", "head").join(lengths, "size", "left_semi")
+    heads = begun.groupBy("size", "head").agg(F.count("*").alias("n")).filter("n > 1").select("head")
+    alike = rows.join(heads, "head", "left_semi")
     return (
         alike.select("id", content_hash(F.col("body")).alias("digest"))
         .groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
