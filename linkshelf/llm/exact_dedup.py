@@ -41,7 +41,8 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("head", F.xxhash64("size", lowered(F.substring("body", 1, PREFIX_CHARS))))
     lengths = rows.groupBy("size").agg(F.count("*").alias("n")).filter("n > 1").select("size")
     begun = rows.select("size", "head").join(lengths, "size", "left_semi")
-    heads = begun.groupBy("size", "head").agg(F.count("*").alias("n")).filter("n > 1").select("head")
+    # By the hash alone, which covers the length: dealt anew after partial counts, not by length as the join was.
+    heads = begun.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head")
     alike = rows.join(heads, "head", "left_semi")
     return (
         alike.select("id", content_hash(F.col("body")).alias("digest"))
