@@ -106,7 +106,8 @@ def offsets(tokens: DataFrame) -> DataFrame:
 def packed(docs: DataFrame, window: int = WINDOW_TOKENS, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """Pieces with their ids: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` (little-endian uint32)."""
     tokens = encoded(docs, vocabulary, end_id)
-    placed = tokens.join(offsets(tokens), "part").withColumn("at", F.col("base") + F.col("start"))
+    # One row of two integers for each partition of the input: small at any size, and the ids needn't be shuffled.
+    placed = tokens.join(F.broadcast(offsets(tokens)), "part").withColumn("at", F.col("base") + F.col("start"))
     pieces = placed.withColumn("sequence_id", F.explode(F.expr(f"sequence(at div {window}, (at + n - 1) div {window})")))
     low = F.greatest(F.col("at"), F.col("sequence_id") * window)
     high = F.least(F.col("at") + F.col("n"), (F.col("sequence_id") + 1) * window)
