@@ -209,11 +209,15 @@ def estimates(stats: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("level"), F.lit("").alias("g_lang"), F.lit("").alias("g_source")))
     rows = stats.filter(~F.col("base_failed")).select(*VECTOR, F.explode(levels).alias("g")).select(*VECTOR, "g.*")
     sizes = rows.groupBy(*_GROUP).agg(F.count("*").alias("rows_")).filter((F.col("rows_") >= MIN_ROWS) | (F.col("level") == 0)).drop("rows_")
-    rows = rows.join(sizes, _GROUP, "left_semi")
-    long = rows.select(*_GROUP, F.posexplode(F.array(*VECTOR)).alias("i", "x"))
+    # Joined by a hash of the group and summed by the group itself: sums are then combined before they are dealt, and a
+    # large group, such as all rows, may be split by the join.
+    group_hash = F.xxhash64(*_GROUP).alias("gid")
+    hashed = lambda df: df.select(group_hash, *[c for c in df.columns if c not in _GROUP])
+    rows = rows.select("*", group_hash).join(hashed(sizes), "gid", "left_semi")
+    long = rows.select("gid", *_GROUP, F.posexplode(F.array(*VECTOR)).alias("i", "x"))
     step = 1024  # bins of a transformed statistic to the unit; all lie between 0 and 4
     middle = _order_bin(long, [*_GROUP, "i"], F.floor(F.col("x") * step), 0.5).withColumn("median", (F.col("at") + 0.5) / step).drop("at")
-    spread = _order_bin(long.join(middle, [*_GROUP, "i"]), [*_GROUP, "i"], F.floor(F.abs(F.col("x") - F.col("median")) * step), 0.5)
+    spread = _order_bin(long.join(hashed(middle), ["gid", "i"]), [*_GROUP, "i"], F.floor(F.abs(F.col("x") - F.col("median")) * step), 0.5)
     start = middle.join(spread, [*_GROUP, "i"]).withColumn("scale", 1.4826 * (F.col("at") + 0.5) / step)
     floor = F.get(F.array(*map(F.lit, FLOORS)), F.col("i"))
     weight = 1 / (F.col("scale") * F.col("scale") + floor * floor)
@@ -223,9 +227,9 @@ def estimates(stats: DataFrame) -> DataFrame:
         *[(at(i, weight) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in _PAIRS])
     state = materialize(state, "mcd")
     for _ in range(STEPS):
-        placed = rows.join(state, _GROUP).withColumn("bin", _distance_bin())
+        placed = rows.join(hashed(state), "gid").withColumn("bin", _distance_bin())
         limit = _order_bin(placed, _GROUP, F.col("bin"), SHARE)
-        near = placed.join(limit, _GROUP).filter(F.col("bin") <= F.col("at"))
+        near = placed.join(hashed(limit), "gid").filter(F.col("bin") <= F.col("at"))
         sums = near.groupBy(*_GROUP).agg(
             F.count("*").alias("n"), *[F.sum(VECTOR[i]).alias(f"s{i}") for i in range(4)],
             *[F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"s{i}{j}") for i, j in _PAIRS])

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from linkshelf.llm import exact_dedup, html_extract, language_id, mixing, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, toxicity
 from linkshelf.llm.workers import reachable
 
@@ -124,3 +125,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicate_table(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
