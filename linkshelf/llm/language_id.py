@@ -53,7 +53,7 @@ class ContextTrees:
                                      return_counts=True) for name in self.languages])
         self.costs, self.escapes = [], []
         for k in range(order + 1):
-            known = np.unique(np.concatenate([keys for keys, _ in counts[k]]))
+            known = np.unique(np.concatenate([np.zeros(0, np.uint32), *[keys for keys, _ in counts[k]]]))
             contexts = np.unique(known >> np.uint32(8))
             escape = np.zeros((len(contexts), len(self.languages)), np.float32)
             cost = np.zeros((len(known), len(self.languages)), np.float32)

@@ -48,9 +48,12 @@ def with_prior(fit: tuple, sampled: np.ndarray, counts: dict[int, int]) -> tuple
     return mean, scale, w
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(mean, scale, weights)`` of a ridge logistic regression, intercept last. One class only: the intercept says so."""
-    mean, scale = (x.mean(0), np.maximum(x.std(0), 1e-9)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, least_scale: float = 1e-9, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(mean, scale, weights)`` of a ridge logistic regression, intercept last. One class only: the intercept says so.
+
+    ``least_scale``: a column that varies less is not stretched to unit variance, so it can't decide alone on other rows.
+    """
+    mean, scale = (x.mean(0), np.maximum(x.std(0), least_scale)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
     w, penalty = np.zeros(z.shape[1]), np.r_[np.full(x.shape[1], ridge), 1e-3]
     for _ in range(rounds):

@@ -261,7 +261,7 @@ class ToxicityModel:
                 x.append(evidence(np.frombuffer(t, np.uint8), np.array([0, len(t)]), weights)[0])
                 marks.append(y)
         marks = np.array(marks, float)
-        self.fit = with_prior(logistic_fit(np.array(x).reshape(len(x), 2), marks), marks, counts)
+        self.fit = with_prior(logistic_fit(np.array(x).reshape(len(x), 2), marks, least_scale=0.5), marks, counts)
         self.weights = _learn(texts)
         self.constant = None if 0 < marks.sum() < len(marks) else float(counts.get(1, 0) > 0)
 
