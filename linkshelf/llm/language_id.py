@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkshelf.llm.buffers import pieces, string_array, text_bytes
 from linkshelf.llm.columns import held_out, whole
+from linkshelf.llm.samples import lowest_by_hash
 
 ORDER = 3
 SAMPLE_DOCS = 250
@@ -147,16 +148,12 @@ class _Slots:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -> ContextTrees:
     """Trees of the languages named in the rows that may be learned from."""
     named = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang")
-    # Ids are ranked apart from texts; a partition hands on no more than the sample of each language.
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = named.withColumn("nth", nth).filter(F.col("nth") <= sample_docs).select("doc_id", "lang").distinct()
+    chosen = lowest_by_hash(named, "lang", sample_docs, MAX_LANGUAGES).distinct()
     texts = docs.select("doc_id", "lang", F.substring(whole(), 1, SAMPLE_BYTES).alias("text"))
     rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.max("text").alias("text")).collect()
     sample: dict[str, list[bytes]] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
         sample.setdefault(row["lang"], []).append(row["text"].encode()[:SAMPLE_BYTES])
-    if len(sample) > MAX_LANGUAGES:
-        raise ValueError(f"{len(sample)} language names; at most {MAX_LANGUAGES} are learned")
     return ContextTrees(sample, order)
 
 

@@ -9,6 +9,29 @@ from pyspark.sql import functions as F
 from linkshelf.llm.columns import held_out, whole
 
 
+#: Parts of the hash range a sample is cut from.
+_RANGE = 1 << 30
+#: Expected rows of a class before the exact cut, as a multiple of those wanted.
+_SPARE = 4
+
+
+def lowest_by_hash(rows: DataFrame, by: str, count: int, most_classes: int) -> DataFrame:
+    """Of ``rows(doc_id, by)``, the ``count`` of each class with the lowest hash of the id.
+
+    Class sizes give a hash bound below which about ``_SPARE * count`` rows of a class lie; only those are ranked, so no task
+    ranks more, whatever the size of the table.
+    """
+    sizes = rows.groupBy(by).count().limit(most_classes + 1).collect()
+    if len(sizes) > most_classes:
+        raise ValueError(f"over {most_classes} classes in {by}")
+    if not sizes:
+        return rows.limit(0)
+    bounds = F.create_map(*[F.lit(v) for r in sizes for v in (r[by], min(_RANGE, _RANGE * _SPARE * count // r["count"] + 1))])
+    low = rows.withColumn("h", F.xxhash64("doc_id")).filter(F.pmod("h", F.lit(_RANGE)) < bounds[F.col(by)])
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.pmod("h", F.lit(_RANGE)), "h", "doc_id"))
+    return low.withColumn("nth", nth).filter(F.col("nth") <= count).drop("nth", "h")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, chars: int) -> list[tuple[int, str, int]]:
     """``(doc_id, text, y)`` of at most ``rows_per_class`` documents of each class, ``chars`` characters of each.
 
@@ -21,8 +44,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
         .groupBy("doc_id").agg(F.max("y").alias("y"))
     )
     present = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = present.withColumn("nth", nth).filter(F.col("nth") <= rows_per_class).select("doc_id", "y")
+    chosen = lowest_by_hash(present.select("doc_id", "y"), "y", rows_per_class, 2)
     rows = (
         docs.select("doc_id", F.substring(whole(), 1, chars).alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # 2 * rows_per_class rows at most
