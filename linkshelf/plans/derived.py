@@ -73,12 +73,12 @@ class Tables:
         d, text = F.col("doc_id"), F.col("text")
         title = (
             F.when(d % 7 == 0, "Top 10 places to see").when(d % 7 == 1, "my favourite songs").when(d % 7 == 2, "")
-            .otherwise(F.left(text, F.lit(80)))
+            .otherwise(text)
         )
         described = F.concat(text, F.lit(" #"), F.col("lang"), F.lit(" #"), F.col("source"), F.lit(" #"), F.col("lang"))
         return self.documents.select(
             "doc_id", video_url(F.col("source"), d).alias("url"), title.alias("title"),
-            F.when(d % 9 == 0, F.left(text, F.lit(15))).otherwise(described).alias("description"),
+            F.when(d % 9 == 0, F.concat(F.lit("#"), F.col("source"))).otherwise(described).alias("description"),
             F.when(d % 11 != 0, F.col("source")).alias("creator"), F.array("lang", "source", F.lit("")).alias("tags"),
             ((d * 7) % 240).cast("double").alias("duration"), (d % 13 == 0).alias("is_carousel"), "text", "lang", "source",
         )
@@ -102,7 +102,7 @@ class Tables:
             F.timestamp_micros((F.lit(1706659200) - d * 3600) * 1_000_000).alias("ctime"),
             F.array(F.lit("old-library"), F.lit("category/recipes-&-food"), F.col("lang")).alias("tags"),
             F.when(d % 3 == 1, 0.0).when(d % 3 == 2, 0.8).alias("confidence"),
-            F.col("source").alias("creator"), F.left("text", F.lit(60)).alias("summary"), "text", "quality",
+            F.col("source").alias("creator"), F.col("text").alias("summary"), "text", "quality",
         )
 
     @cached_property
@@ -205,7 +205,7 @@ class Tables:
         d = F.col("doc_id")
         fixed = pick(["HTTP Error 429", "Private video ... HTTP Error 429", "timed out", "404: Not Found"], d % 5)
         return self.documents.select(
-            "doc_id", video_url(F.col("source"), d).alias("url"), F.coalesce(fixed, F.left("text", F.lit(40))).alias("stderr")
+            "doc_id", video_url(F.col("source"), d).alias("url"), F.coalesce(fixed, "text").alias("stderr")
         )
 
     @cached_property

@@ -129,14 +129,14 @@ def _(t):
     return t.spark.read.parquet(f"{root}/v=0")
 
 
-@query("k7_card_stream", f"SELECT DISTINCT {Q.canonical('url')} AS url FROM pages")
+@query("k7_card_stream", f"SELECT {Q.canonical('url')} AS url, md5(min(html)) AS content_md5 FROM pages GROUP BY 1")
 def _(t):
     root = scratch_path(t.spark, "k7")
     rows = _drop(t.read("pages").select("url", "html"), "k7-in")
-    render = lambda df: df.select(canonical_url(F.col("url")).alias("url"), F.left("html", F.lit(100)).alias("content"))
+    render = lambda df: df.select(canonical_url(F.col("url")).alias("url"), F.col("html").alias("content"))
     INC.card_stream(rows, f"{root}/cards", f"{root}/ledger", f"{root}/ck", render).awaitTermination()
     cards, events = t.spark.read.parquet(f"{root}/cards"), t.spark.read.parquet(f"{root}/ledger")
-    return cards.join(events.select("url"), "url").select("url")
+    return cards.join(events.select("url"), "url").select("url", F.md5("content").alias("content_md5"))
 
 
 @query("x5_retry_stream", """

@@ -176,7 +176,7 @@ def _gate_rows(t):
     rows = t.video_metadata.join(t.best_scores, "doc_id", "left")
     return rows.select(
         "doc_id", "title", "description", "is_carousel", "needs_visuals",
-        T.word_count(F.when(d % 4 == 0, F.left("text", F.lit(60))).when(d % 4 == 1, F.left("text", F.lit(500))).otherwise(F.col("text"))).alias("words"),
+        T.word_count(F.when(d % 4 == 0, F.col("source")).when(d % 4 == 1, F.repeat(F.concat("source", F.lit(" ")), F.lit(80))).otherwise(F.col("text"))).alias("words"),
         F.when(d % 5 != 0, (d % 20) / 20.0).alias("ratio"), pick(["captions", "whisper", "none"], d % 3).alias("source"),
         (d % 6).alias("expected"), (d % 4).alias("found"), (d % 8 == 3).alias("self_flag"),
     )
@@ -192,7 +192,7 @@ def _reasons(rows, analyzed, probability):
 
 _GATE = f"""
     g AS (SELECT v.doc_id, v.title, v.description, v.is_carousel, s.needs_visuals,
-      {Q.words("CASE v.doc_id % 4 WHEN 0 THEN left(v.text, 60) WHEN 1 THEN left(v.text, 500) ELSE v.text END")} AS words,
+      {Q.words("CASE v.doc_id % 4 WHEN 0 THEN v.source WHEN 1 THEN repeat(v.source || ' ', 80) ELSE v.text END")} AS words,
       CASE WHEN v.doc_id % 5 <> 0 THEN (v.doc_id % 20) / 20.0::DOUBLE END AS ratio, ['captions', 'whisper', 'none'][v.doc_id % 3 + 1] AS source,
       v.doc_id % 6 AS expected, v.doc_id % 4 AS found, v.doc_id % 8 = 3 AS self_flag, v.doc_id % 2 = 1 AS analyzed
       FROM video_metadata v LEFT JOIN best_scores s ON s.doc_id = v.doc_id)"""

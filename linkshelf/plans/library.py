@@ -286,7 +286,7 @@ def _(t):
 
 
 @query("v4_enriched_card", f"""
-    WITH r AS (SELECT c.doc_id, c.url, c.creator, c.status, c.stage, s.confidence, {Q.list_of(C.HIGH_VALUE + [C.AMBIGUOUS])}[c.doc_id % 4 + 1] AS cat, left(v.title, 30) AS summ, lower(coalesce(c.status, '')) IN ('kept', 'promoted', 'tossed') AS human
+    WITH r AS (SELECT c.doc_id, c.url, c.creator, c.status, c.stage, s.confidence, {Q.list_of(C.HIGH_VALUE + [C.AMBIGUOUS])}[c.doc_id % 4 + 1] AS cat, v.title AS summ, lower(coalesce(c.status, '')) IN ('kept', 'promoted', 'tossed') AS human
         FROM cards c JOIN best_scores s ON s.doc_id = c.doc_id JOIN video_metadata v ON v.doc_id = c.doc_id),
     x AS (SELECT *, confidence < 0.65 OR cat = 'Other / Ambiguous' AS manual FROM r),
     y AS (SELECT *, CASE WHEN manual THEN 'Miscellaneous' ELSE cat END AS label, CASE WHEN human THEN stage WHEN manual THEN 'manual-review' WHEN cat = 'Movies & Shows' THEN 'to-watch' END AS st,
@@ -299,7 +299,7 @@ def _(t):
 def _(t):
     cat = pick(C.HIGH_VALUE + [C.AMBIGUOUS], F.col("doc_id") % 4)
     rows = t.cards.select("doc_id", "url", "creator", "status", "stage").join(t.best_scores.select("doc_id", F.col("confidence").alias("score")), "doc_id")
-    rows = rows.join(t.video_metadata.select("doc_id", F.left("title", F.lit(30)).alias("summ")), "doc_id").withColumn("cat", cat)
+    rows = rows.join(t.video_metadata.select("doc_id", F.col("title").alias("summ")), "doc_id").withColumn("cat", cat)
     where = RT.high_value_route(F.col("cat"), F.col("score"), F.lit(False), F.lit(True))
     rows = rows.withColumns({"label": where["label"], "route_stage": where["stage"]})
     guard = RT.guarded(F.col("status"), F.col("stage"), F.col("route_stage"))

@@ -260,11 +260,11 @@ def _(t):
 
 
 @query("s4_csv", """
-    SELECT category AS "Category", left(text, 40) AS "Summary", creator AS "Creator", url AS "URL", coalesce(status, '') AS "Title", array_to_string(tags, ', ') AS "Tags" FROM cards""")
+    SELECT category AS "Category", text AS "Summary", creator AS "Creator", url AS "URL", coalesce(status, '') AS "Title", array_to_string(tags, ', ') AS "Tags" FROM cards""")
 def _(t):
     path = scratch_path(t.spark, "classified")
     rows = t.cards.select(
-        F.col("category").alias("Category"), F.left("text", F.lit(40)).alias("Summary"), F.col("creator").alias("Creator"),
+        F.col("category").alias("Category"), F.col("text").alias("Summary"), F.col("creator").alias("Creator"),
         F.col("url").alias("URL"), F.coalesce("status", F.lit("")).alias("Title"), F.array_join("tags", ", ").alias("Tags"),
     )
     writers.write_table_csv(rows, path)

@@ -210,14 +210,14 @@ def _(t):
 
 @query("r5_transcript_choice", """
     WITH c AS (SELECT doc_id, text FROM video_metadata)
-    SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'cached' WHEN doc_id % 3 = 0 THEN left(text, 30) WHEN doc_id % 7 = 0 THEN 'heard' ELSE '' END AS transcript,
+    SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'cached' WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 7 = 0 THEN 'heard' ELSE '' END AS transcript,
       CASE WHEN doc_id % 5 = 0 THEN 'captions' WHEN doc_id % 3 = 0 THEN 'captions' WHEN doc_id % 7 = 0 THEN 'whisper' ELSE 'none' END AS transcript_source FROM c""")
 def _(t):
     d = F.col("doc_id")
     stage = lambda keep, text, name: t.video_metadata.filter(keep).select("doc_id", text.alias(name))
     rows = t.video_metadata.select("doc_id")
     rows = rows.join(stage(d % 5 == 0, F.lit("cached"), "cached"), "doc_id", "left")
-    rows = rows.join(stage(d % 3 == 0, F.left("text", F.lit(30)), "captions"), "doc_id", "left")
+    rows = rows.join(stage(d % 3 == 0, F.col("text"), "captions"), "doc_id", "left")
     rows = rows.join(stage(d % 7 == 0, F.lit("heard"), "asr"), "doc_id", "left")
     cols = TR.transcript_choice(F.col("cached"), F.lit("captions"), F.col("captions"), F.col("asr"))
     return rows.select("doc_id", *[c.alias(n) for n, c in cols.items()])

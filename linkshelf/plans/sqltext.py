@@ -183,8 +183,8 @@ DERIVED = {
     "known": "SELECT DISTINCT url FROM capture_urls WHERE seq % 15 = 0 AND valid",
     "video_metadata": f"""
         SELECT doc_id, {_VIDEO} AS url,
-            CASE doc_id % 7 WHEN 0 THEN 'Top 10 places to see' WHEN 1 THEN 'my favourite songs' WHEN 2 THEN '' ELSE left(text, 80) END AS title,
-            CASE WHEN doc_id % 9 = 0 THEN left(text, 15) ELSE text || ' #' || lang || ' #' || source || ' #' || lang END AS description,
+            CASE doc_id % 7 WHEN 0 THEN 'Top 10 places to see' WHEN 1 THEN 'my favourite songs' WHEN 2 THEN '' ELSE text END AS title,
+            CASE WHEN doc_id % 9 = 0 THEN '#' || source ELSE text || ' #' || lang || ' #' || source || ' #' || lang END AS description,
             CASE WHEN doc_id % 11 <> 0 THEN source END AS creator, [lang, source, ''] AS tags,
             ((doc_id * 7) % 240)::DOUBLE AS duration, doc_id % 13 = 0 AS is_carousel, text, lang, source
         FROM documents""",
@@ -196,7 +196,7 @@ DERIVED = {
             TIMESTAMP '2024-01-31 00:00:00' - to_hours(d.doc_id) AS ctime,
             ['old-library', 'category/recipes-&-food', d.lang] AS tags,
             CASE d.doc_id % 3 WHEN 1 THEN 0.0::DOUBLE WHEN 2 THEN 0.8::DOUBLE END AS confidence,
-            d.source AS creator, left(d.text, 60) AS summary, d.text, l.quality
+            d.source AS creator, d.text AS summary, d.text, l.quality
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id,
         LATERAL (SELECT CASE WHEN d.doc_id % 28 = 0 THEN 'Music' ELSE {_T}[d.doc_id % 14 + 1] END AS category) c,
         LATERAL (SELECT CASE WHEN d.doc_id % 17 = 0 THEN 'Inbox/Manual Review' ELSE {folder('c.category')} END AS folder) f,
@@ -244,7 +244,7 @@ DERIVED = {
                n_nationkey * 10.0::DOUBLE - 120 AS lon FROM nation WHERE n_nationkey % 4 <> 0""",
     "fetch_log": f"""
         SELECT doc_id, {_VIDEO} AS url, CASE doc_id % 5 WHEN 0 THEN 'HTTP Error 429' WHEN 1 THEN 'Private video ... HTTP Error 429'
-               WHEN 2 THEN 'timed out' WHEN 3 THEN '404: Not Found' ELSE left(text, 40) END AS stderr FROM documents""",
+               WHEN 2 THEN 'timed out' WHEN 3 THEN '404: Not Found' ELSE text END AS stderr FROM documents""",
     "redirects": "SELECT url AS short, replace(url, '//m.', '//') || '?x=1' AS target FROM pages WHERE contains(url, '//m.')",
     "movies": "SELECT p_partkey AS seq, p_type AS title, 'https://v.example.com/p/' || p_partkey AS url FROM part",
     "taxonomy": "SELECT unnest([" + ", ".join(

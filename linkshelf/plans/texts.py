@@ -75,13 +75,13 @@ def _(t):
     return t.fetch_log.select("doc_id", T.failure_class(F.col("stderr")).alias("failure"))
 
 
-_TITLES = """CASE doc_id % 6 WHEN 0 THEN 'CON' WHEN 1 THEN ' a/b: "c" <' || left(text, 70) || '>. . ' WHEN 2 THEN '???' WHEN 3 THEN 'nul.txt' ELSE text END"""
+_TITLES = """CASE doc_id % 6 WHEN 0 THEN 'CON' WHEN 1 THEN ' a/b: "c" <' || text || '>. . ' WHEN 2 THEN '???' WHEN 3 THEN 'nul.txt' ELSE text END"""
 
 
 def _titles():
     d, text = F.col("doc_id") % 6, F.col("text")
     return (
-        F.when(d == 0, "CON").when(d == 1, F.concat(F.lit(' a/b: "c" <'), F.left(text, F.lit(70)), F.lit(">. . ")))
+        F.when(d == 0, "CON").when(d == 1, F.concat(F.lit(' a/b: "c" <'), text, F.lit(">. . ")))
         .when(d == 2, "???").when(d == 3, "nul.txt").otherwise(text)
     )
 
@@ -261,7 +261,7 @@ def _card_sql() -> str:
         f"{_NL} || {_NL} || '## Notes & Insights' || {_NL} || '- ' || {_NL}"
     )
     return f"""
-    WITH r AS (SELECT v.doc_id, s.cat AS cat0, v.title AS title0, coalesce(v.creator, '') AS raw_creator, v.url, left(v.text, 40) AS summary,
+    WITH r AS (SELECT v.doc_id, s.cat AS cat0, v.title AS title0, coalesce(v.creator, '') AS raw_creator, v.url, v.text AS summary,
         array_to_string(v.tags, ', ') AS tags_text FROM video_metadata v JOIN best_scores s ON s.doc_id = v.doc_id),
     c AS (SELECT *, {cat} AS c, {Q.first_of('title0', 'summary', "'Saved Post'")} AS title, {Q.first_of('raw_creator', "'Unknown'")} AS creator FROM r),
     x AS (SELECT *, {Q.stage_for('c')} AS stage FROM c)
@@ -272,7 +272,7 @@ def _card_sql() -> str:
 def _(t):
     rows = t.video_metadata.join(t.best_scores, "doc_id")
     cols = K.classified_card(
-        F.col("cat"), F.col("title"), F.col("creator"), F.col("url"), F.left("text", F.lit(40)), F.array_join("tags", ", ")
+        F.col("cat"), F.col("title"), F.col("creator"), F.col("url"), F.col("text"), F.array_join("tags", ", ")
     )
     return rows.select("doc_id", *[c.alias(n) for n, c in cols.items()])
 
