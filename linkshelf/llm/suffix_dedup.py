@@ -3,19 +3,21 @@
 A byte goes when a string of ``LENGTH`` (50) bytes that covers it also starts in a document with a smaller id. One suffix array
 of all text would not fit a task, so suffixes are compared only where they can matter:
 
-1. Anchors. Of the 16-byte grams of any 50-byte string, those with the least hash are its anchors. They depend on nothing
-   but the string, so equal strings have an anchor at the same offset. About every 18th byte is one.
+1. Anchors. Of the 24-byte grams of any 50-byte string, those with the least hash are its anchors. They depend on nothing
+   but the string, so equal strings have an anchor at the same offset. About every 14th byte is one.
 2. Anchors are dealt by their hash. One that occurs in one document only can lie in no repeat, and is dropped.
-3. Around each remaining anchor lie all 50-byte strings that hold it: 34 bytes before it and 50 from it. Equal
-   surroundings in a chunk of documents are one row with their least id, however many copies there are. They
-   are dealt by the anchor's hash. A part is sorted as a suffix array from the anchors on, and once more from the anchors
-   backwards; both get their common-prefix lengths. Cut at depth 50 - o, the first gives the prefix intervals whose
-   members share the bytes from the anchor on; the second tells, at depth o, which of them differ in their left
-   extension. Members alike in both hold the same 50-byte string with all its occurrences, and the least id of the
-   group decides for each. This is done for every o from 0 to 34.
-4. Each chunk of documents gets back which strings go, and marks their bytes.
-
-Texts are shuffled once, by chunk, and that shuffle is read in steps 1, 3 and 4. What is dealt by hash is packed: one row for a
+3. Around each remaining anchor lie all 50-byte strings that hold it: 26 bytes before it and 50 from it. Equal
+   surroundings in a chunk of documents are one row with their least id, however many copies there are. Their 64-bit
+   hashes are dealt by the anchor's hash: where the same surroundings exist with a smaller id, all their strings go, and
+   where all surroundings of an anchor are the same, nothing else can match. That settles most.
+4. The bytes of the rest are dealt by the anchor's hash. A part is sorted as a suffix array from the anchors on, and once
+   more from the anchors backwards; both get their common-prefix lengths. Cut at depth 50 - o, the first gives the prefix
+   intervals whose members share the bytes from the anchor on; the second tells, at depth o, which of them differ in
+   their left extension. Members alike in both hold the same 50-byte string with all its occurrences, and the least id
+   of the group decides for each. This is done for every o from 0 to 26.
+5. Each chunk of documents gets back which strings go, and marks their bytes.
+
+Texts are shuffled once, by chunk, and that shuffle is read in steps 1, 3, 4 and 5. What is dealt by hash is packed: one row for a
 chunk and part.
 
 Defined cases: null texts are empty; texts under 50 bytes lose nothing; matches inside one document count for nothing
@@ -37,18 +39,18 @@ from linkshelf.llm.buffers import pieces, string_array, text_bytes
 from linkshelf.llm.columns import whole
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24  # a multiple of 8
 BEFORE = LENGTH - GRAM
 #: Bytes of text a chunk of documents and a part of the anchors stand for, on average.
 CHUNK_BYTES = 4 << 20
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 _OFFSETS = BEFORE + 1
 _NULL_ID = -(1 << 63)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 16 bytes from each place on."""
+    """A 64-bit hash of the ``GRAM`` bytes from each place on."""
     n = len(data) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -56,9 +58,10 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     eight = np.lib.stride_tricks.as_strided(held, (len(held) - 7, 8), (1, 1))
     x = np.ascontiguousarray(eight).view("<u8").ravel()
     h = x[:n] * _C1
-    h ^= h >> np.uint64(29)
-    h += x[8: 8 + n]
-    h *= _C2
+    for k in range(8, GRAM, 8):
+        h ^= h >> np.uint64(29)
+        h += x[k: k + n]
+        h *= _C2
     h ^= h >> np.uint64(32)
     h *= _C1
     h ^= h >> np.uint64(29)
@@ -192,8 +195,7 @@ def _surroundings(data: np.ndarray, starts: np.ndarray, answers: pa.Table):
 
     A surrounding is the bytes before and from the anchor, zero beyond its document, and how many of each there are.
     """
-    told = [np.cumsum(_unplanes(x, 4)).astype(np.int64) for x in answers.column("places").to_pylist()]
-    places = np.unique(np.concatenate(told)) if told else np.zeros(0, np.int64)
+    places = np.unique(_numbers(answers, "places"))
     owners = np.searchsorted(starts, places, side="right") - 1
     left = np.minimum(BEFORE, places - starts[owners])
     right = np.minimum(LENGTH, starts[owners + 1] - places)
@@ -210,19 +212,108 @@ def _surroundings(data: np.ndarray, starts: np.ndarray, answers: pa.Table):
     return places, owners, number.ravel(), rows[first], first
 
 
-def _emit_surroundings(parts: int):
+# What a chunk was told before goes along with its rows (places, settled), so each step has all answers from the one before.
+_CLASS_ROWS = "part int, chunk long, places binary, numbers binary, grams binary, around binary, ids binary"
+_BYTE_ROWS = "part int, chunk long, places binary, settled binary, numbers binary, bytes binary, ids binary"
+_SETTLED_ROWS = "a_chunk long, places binary, settled binary, open binary"
+_DECIDED_ROWS = "a_chunk long, places binary, settled binary, numbers binary, bits binary"
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    """Arrow table of a Spark schema of integers and binaries."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
+
+
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    """64-bit hashes of rows of bytes."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    h = np.full(len(rows), _C2)
+    for column in wide.view("<u8").T:
+        h = (h ^ (h >> np.uint64(31)) ^ column) * _C1
+        h ^= h >> np.uint64(28)
+        h *= _C2
+    return h ^ (h >> np.uint64(33))
+
+
+def _grams_of(rows: np.ndarray) -> np.ndarray:
+    return gram_hashes(np.ascontiguousarray(rows[:, BEFORE: BEFORE + GRAM]).ravel())[::GRAM] if len(rows) else np.zeros(0, np.uint64)
+
+
+def _emit_classes(parts: int):
     def emit(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        names, kinds = ["part", "chunk", "numbers", "bytes", "ids"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         out = []
         if docs.num_rows and answers.num_rows:
             chunk = docs.column("chunk")[0].as_py()
             _, data, starts, ids = _chunk(docs)
             places, owners, _, rows, first = _surroundings(data, starts, answers)
-            part = (gram_hashes(np.ascontiguousarray(rows[:, BEFORE: BEFORE + GRAM]).ravel())[::GRAM] % np.uint64(parts)).astype(np.int64)
+            out.append((chunk % parts, chunk, _planes(np.diff(places, prepend=0), 4), None, None, None, None))
+            grams, around, own = _grams_of(rows), _row_hashes(rows), ids[owners[first]]
+            part = (grams % np.uint64(parts)).astype(np.int64)
             for p in np.unique(part):
                 at = np.flatnonzero(part == p)
-                out.append((int(p), chunk, at.astype("<u4").tobytes(), rows[at].tobytes(), ids[owners[first[at]]].astype("<i8").tobytes()))
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+                out.append((int(p), chunk, None, _planes(np.diff(at, prepend=0), 4), _planes(grams[at] >> np.uint64(16), 6),
+                            _planes(around[at], 8), _planes(own[at].view(np.uint64), 8)))
+        return _table(_CLASS_ROWS, out)
+
+    return emit
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    """Which surroundings of each chunk exist with a smaller id, and which are left to compare byte by byte."""
+    chunks, numbers, grams, around, ids, out = [], [], [], [], [], []
+    for chunk, told, n, g, a, i in zip(*(table.column(c).to_pylist() for c in ("chunk", "places", "numbers", "grams", "around", "ids"))):
+        if told is not None:
+            out.append((chunk, told, None, None))
+            continue
+        numbers.append(np.cumsum(_unplanes(n, 4)).astype(np.int64))
+        chunks.append(np.full(len(numbers[-1]), chunk, np.int64))
+        grams.append(_unplanes(g, 6))
+        around.append(_unplanes(a, 8))
+        ids.append(_unplanes(i, 8).view(np.int64))
+    if not numbers:
+        return _table(_SETTLED_ROWS, out)
+    c, n, g, a, i = (np.concatenate(x) for x in (chunks, numbers, grams, around, ids))
+    order = np.lexsort((a, g))
+    starts = np.flatnonzero(np.r_[True, (g[order][1:] != g[order][:-1]) | (a[order][1:] != a[order][:-1])])
+    sizes = np.diff(np.r_[starts, len(order)])
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(i[order], starts), sizes)
+    families = _runs(g[order][starts])  # classes of one anchor
+    kinds = np.repeat(np.diff(np.r_[families, len(starts)]), np.diff(np.r_[families, len(starts)]))
+    several = np.empty(len(order), bool)
+    several[order] = np.repeat(kinds > 1, sizes)
+    settled, left = i > least, (i == least) & several
+    told = np.flatnonzero(settled | left)
+    for at in np.split(told, _runs(c[told])[1:]) if len(told) else ():
+        pick = lambda mask: _planes(np.diff(n[at[mask[at]]], prepend=0), 4)
+        out.append((int(c[at[0]]), None, pick(settled), pick(left)))
+    return _table(_SETTLED_ROWS, out)
+
+
+def _numbers(answers: pa.Table, name: str) -> np.ndarray:
+    told = [np.cumsum(_unplanes(x, 4)).astype(np.int64) for x in answers.column(name).to_pylist() if x]
+    return np.concatenate(told) if told else np.zeros(0, np.int64)
+
+
+def _emit_bytes(parts: int):
+    def emit(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        if docs.num_rows and answers.num_rows:
+            chunk = docs.column("chunk")[0].as_py()
+            for name, at in (("places", 2), ("settled", 3)):
+                out += [(chunk % parts, chunk, *[x if k == at else None for k in range(2, 7)]) for x in answers.column(name).to_pylist() if x]
+            left = np.sort(_numbers(answers, "open"))
+            if len(left):
+                _, data, starts, ids = _chunk(docs)
+                _, owners, _, rows, first = _surroundings(data, starts, answers)
+                part = (_grams_of(rows[left]) % np.uint64(parts)).astype(np.int64)
+                for p in np.unique(part):
+                    at = left[part == p]
+                    out.append((int(p), chunk, None, None, at.astype("<u4").tobytes(), rows[at].tobytes(), ids[owners[first[at]]].astype("<i8").tobytes()))
+        return _table(_BYTE_ROWS, out)
 
     return emit
 
@@ -265,26 +356,31 @@ def smaller_elsewhere(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _decide(table: pa.Table) -> pa.Table:
-    chunks, numbers, rows, ids = [], [], [], []
-    for chunk, n, b, i in zip(*(table.column(c).to_pylist() for c in ("chunk", "numbers", "bytes", "ids"))):
+    chunks, numbers, rows, ids, out = [], [], [], [], []
+    for chunk, told, settled, n, b, i in zip(*(table.column(c).to_pylist() for c in ("chunk", "places", "settled", "numbers", "bytes", "ids"))):
+        if n is None:
+            out.append((chunk, told, settled, None, None))
+            continue
         numbers.append(np.frombuffer(n, "<u4"))
         chunks.append(np.full(len(numbers[-1]), chunk, np.int64))
         rows.append(np.frombuffer(b, np.uint8).reshape(-1, BEFORE + LENGTH + 2))
         ids.append(np.frombuffer(i, "<i8"))
+    if not numbers:
+        return _table(_DECIDED_ROWS, out)
     c, n, rows, i = (np.concatenate(x) for x in (chunks, numbers, rows, ids))
     bits = smaller_elsewhere(rows, i)
     at = np.flatnonzero(bits)
-    out = [(int(c[p[0]]), n[p].tobytes(), bits[p].tobytes()) for p in (np.split(at, _runs(c[at])[1:]) if len(at) else ())]
-    kinds = {"d_chunk": pa.int64(), "numbers": pa.binary(), "bits": pa.binary()}
-    return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+    out += [(int(c[p[0]]), None, None, n[p].tobytes(), bits[p].tobytes()) for p in (np.split(at, _runs(c[at])[1:]) if len(at) else ())]
+    return _table(_DECIDED_ROWS, out)
 
 
 def _removed(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, answers: pa.Table) -> np.ndarray:
     """Which bytes of a chunk go."""
-    places, owners, number, rows, first = _surroundings(data, starts, answers.filter(answers.column("places").is_valid()))
+    places, owners, number, rows, first = _surroundings(data, starts, answers)
     change = np.zeros(len(data) + 1, np.int32)
     if len(places):
         bits = np.zeros(len(rows), np.uint64)
+        bits[_numbers(answers, "settled")] = np.uint64((1 << _OFFSETS) - 1)
         for n, b in zip(answers.column("numbers").to_pylist(), answers.column("bits").to_pylist()):
             if n is not None:
                 bits[np.frombuffer(n, "<u4")] = np.frombuffer(b, "<u8")
@@ -328,23 +424,20 @@ def _chunked(docs: DataFrame) -> tuple[DataFrame, int]:
     return rows.withColumn("chunk", F.pmod(F.xxhash64("rank_id", "digest"), F.lit(chunks))).repartition(tasks, "chunk"), parts
 
 
-def _answers(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The chunks, which of their anchors are shared, and which strings around them go."""
+def _answers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chunks, and all they are told: shared anchors, settled surroundings, decided strings."""
     chunks, parts = _chunked(docs)
+    told = lambda answers: chunks.groupBy("chunk").cogroup(answers.groupBy("a_chunk"))
     shared = chunks.groupBy("chunk").applyInArrow(_emit_anchors(parts), _ANCHOR_ROWS).groupBy("part").applyInArrow(
         _shared_anchors, "a_chunk long, places binary")
-    around = chunks.groupBy("chunk").cogroup(shared.groupBy("a_chunk")).applyInArrow(
-        _emit_surroundings(parts), "part int, chunk long, numbers binary, bytes binary, ids binary")
-    decided = around.groupBy("part").applyInArrow(_decide, "d_chunk long, numbers binary, bits binary")
-    return chunks, shared, decided
+    settled = told(shared).applyInArrow(_emit_classes(parts), _CLASS_ROWS).groupBy("part").applyInArrow(_settle, _SETTLED_ROWS)
+    decided = told(settled).applyInArrow(_emit_bytes(parts), _BYTE_ROWS).groupBy("part").applyInArrow(_decide, _DECIDED_ROWS)
+    return chunks, decided
 
 
 def repeat_table(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of each row of ``docs``."""
-    chunks, shared, decided = _answers(docs)
-    none = F.lit(None).cast("binary")
-    both = shared.select("a_chunk", "places", none.alias("numbers"), none.alias("bits")).unionAll(
-        decided.select(F.col("d_chunk").alias("a_chunk"), none.alias("places"), "numbers", "bits"))
+    chunks, answers = _answers(docs)
     field = docs.schema["doc_id"].dataType
-    return chunks.groupBy("chunk").cogroup(both.groupBy("a_chunk")).applyInArrow(
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("a_chunk")).applyInArrow(
         _finish(to_arrow_type(field)), f"doc_id {field.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
