@@ -103,7 +103,7 @@ def travel_card(*, category, title, creator, url, summary, destination, location
     maker = first_of(creator, F.lit("Unknown"))
     pinned = stage != "manual-review"
     has = lambda c: F.nullif(c, F.lit(""))
-    six = lambda c: fixed(c, 6, 50)
+    six = lambda c: fixed(c, 6)
     block = render_fields([
         ("category", quoted(name)), ("creator", quoted(maker)), ("url", quoted(url)), ("status", F.lit('"inbox"')),
         ("stage", quoted(stage)), ("confidence", confidence.cast("string")), ("summary", quoted(summary)),

@@ -2,14 +2,16 @@
 
 A plain ``Window.partitionBy(key)`` puts a whole key in one task. Here the order column
 (a whole number, unique within its key) is cut into blocks of ``block`` consecutive values,
-so a task never holds more than ``block`` rows of a key. One small total per block carries
-the running state across blocks, and only those totals are windowed per key.
+so a task never holds more than ``block`` rows of a key; a table without keys is cut at quantiles.
+One small total per block carries the running state across blocks, and only those totals are
+windowed per key.
 
 Key columns must not be NULL.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,29 @@ def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
     return df.withColumn(_BLK, F.expr(f"`{order}` div {block}L"))
 
 
-def _inside(keys: list[str], order: str):
-    return Window.partitionBy(*keys, _BLK).orderBy(order)
+#: Most blocks a whole table is cut into; beyond it they grow instead.
+MOST_BLOCKS = 1000
+
+
+def _cut(df: DataFrame, keys: list[str], order: str | list[str], block: int) -> DataFrame:
+    """``df`` with its block: ranges of the order value inside a key, ranges of equal row counts without one.
+
+    Without keys the ranges come from quantiles, so sparse ids, timestamps and hashes fill blocks as evenly as dense ids.
+    """
+    first = order if isinstance(order, str) else order[0]
+    if keys:
+        return _blocked(df, first, block)
+    blocks = min(MOST_BLOCKS, -(-df.count() // block))
+    if blocks <= 1:
+        return df.withColumn(_BLK, F.lit(0).cast("bigint"))
+    shares = [k / blocks for k in range(1, blocks)]
+    bounds = sorted({float(b) for b in df.agg(F.percentile_approx(first, shares, 10 * MOST_BLOCKS)).first()[0]})
+    cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="__at", outputCol=_BLK)
+    return cut.transform(df.withColumn("__at", F.col(first).cast("double"))).withColumn(_BLK, F.col(_BLK).cast("bigint")).drop("__at")
+
+
+def _inside(keys: list[str], order: str | list[str]):
+    return Window.partitionBy(*keys, _BLK).orderBy(*([order] if isinstance(order, str) else order))
 
 
 def _across(keys: list[str]):
@@ -42,10 +65,10 @@ def last_by(df: DataFrame, keys: list[str], order: str, cols: list[str]) -> Data
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], block: int = BLOCK_ROWS
+    df: DataFrame, keys: list[str], order: str | list[str], sums: dict[str, Column], block: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Inclusive running sum of each expression per key, in ``order``."""
-    base = _blocked(df, order, block)
+    """Inclusive running sum of each expression per key, in ``order``; of several columns the first is cut into blocks."""
+    base = _cut(df, keys, order, block)
     inside = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     totals = base.groupBy(*keys, _BLK).agg(*[F.sum(e).alias(f"__t_{n}") for n, e in sums.items()])
@@ -59,7 +82,7 @@ def running_sums(
     )
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: str, name: str = "rn", block: int = BLOCK_ROWS) -> DataFrame:
+def row_numbers(df: DataFrame, keys: list[str], order: str | list[str], name: str = "rn", block: int = BLOCK_ROWS) -> DataFrame:
     """1, 2, 3 ... per key, in ``order``."""
     return running_sums(df, keys, order, {name: F.lit(1).cast("bigint")}, block)
 
@@ -86,7 +109,7 @@ def previous_value(
     df: DataFrame, keys: list[str], order: str, value: Column, name: str, block: int = BLOCK_ROWS
 ) -> DataFrame:
     """``value`` of the preceding row per key; NULL on the first row."""
-    base = _blocked(df, order, block).withColumn("__v", F.struct(value.alias("v")))
+    base = _cut(df, keys, order, block).withColumn("__v", F.struct(value.alias("v")))
     ends = base.groupBy(*keys, _BLK).agg(F.max_by("__v", F.col(order)).alias("__e"))
     offsets = ends.select(*keys, _BLK, F.lag("__e").over(_across(keys)).alias("__o"))
     local = base.withColumn("__p", F.lag("__v").over(_inside(keys, order)))
@@ -263,15 +286,12 @@ def spaced_points(
 def packed(df: DataFrame, order: str, size: int, block: int = BLOCK_ROWS) -> DataFrame:
     """Request batches of at most ``size`` rows: adds ``block, batch, i``.
 
-    Rows are numbered inside blocks of the order column, so packing needs no global sort and
-    no total; only the last batch of a block may be short. ``(block, batch)`` orders batches.
+    Rows are numbered by their place in ``order``, whatever the gaps between its values, so only the last batch of all is
+    short. A block is ``block`` rows, a multiple of ``size``; ``(block, batch)`` orders batches.
     """
-    base = _blocked(df, order, block)
-    rank = F.row_number().over(_inside([], order)) - 1
-    return (
-        base.withColumn("__r", rank)
-        .withColumn("block", F.col(_BLK))
-        .withColumn("batch", F.expr(f"cast(__r div {size} as bigint)"))
-        .withColumn("i", F.expr(f"cast(__r % {size} as int)"))
-        .drop(_BLK, "__r")
-    )
+    whole = block - block % size
+    place = row_numbers(df, [], order, "__r", block)
+    return place.withColumns({
+        "block": F.expr(f"(__r - 1) div {whole}L"), "batch": F.expr(f"(__r - 1) % {whole}L div {size}L"),
+        "i": F.expr(f"cast((__r - 1) % {size} as int)"),
+    }).drop("__r")

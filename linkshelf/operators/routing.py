@@ -94,6 +94,16 @@ def recategorized(old: Column, proposed: Column, wanted: Column, locked: Column)
     return {"new_category": new, "previous_category": F.when((text_or_blank(old) != "") & (old != new), old)}
 
 
+def known_in_run(lines: DataFrame, seq: str, handled: Column) -> DataFrame:
+    """``lines(url, valid, seen)`` with ``known``: stored before the run, or handled by an earlier line of it.
+
+    A line that is not ``handled``, as its fetch failed for now, leaves its URL to the next one.
+    """
+    first = lines.filter(F.col("valid") & ~F.col("seen") & handled).groupBy("url").agg(F.min(seq).alias("__first"))
+    joined = lines.join(first, "url", "left")
+    return joined.withColumn("known", F.col("seen") | F.coalesce(F.col(seq) > F.col("__first"), F.lit(False))).drop("__first")
+
+
 def dispatch_outcome(
     *, valid: Column, known: Column, fetch: Column, quota_stopped: Column, category: Column, confidence: Column,
     parsed: Column, threshold: float = C.CLASSIFIER_MIN_CONFIDENCE,

@@ -97,7 +97,7 @@ def speech_ratio(segments: DataFrame) -> DataFrame:
     ratio = F.least(F.lit(1.0), F.coalesce("speech_ms", F.lit(0)) / 1000.0 / F.col("duration"))
     return clips.join(spoken, "clip", "left").select(
         "clip", "duration",
-        F.when(F.col("duration") > 0, rounded(ratio, 3, 62)).otherwise(0.0).alias("speech_ratio"),
+        F.when(F.col("duration") > 0, rounded(ratio, 3)).otherwise(0.0).alias("speech_ratio"),
     )
 
 

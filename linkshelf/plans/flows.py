@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from linkshelf.functions.urls import canonical_url
 from linkshelf.operators.scoring import rule_scorer
+from linkshelf.operators.sets import union_all
 from linkshelf.plans import ingest
 from linkshelf.plans import sqltext as Q
 from linkshelf.plans.gates import _ATTEMPTS
@@ -37,7 +38,7 @@ _RULED = "(CASE " + " ".join(f"WHEN contains({_TEXT}, {Q.lit(w)}) THEN {Q.lit(c)
 
 def captured_cards(t):
     items = ingest.new_items(_shared(t), t.ledger, t.video_metadata)
-    rows = ingest.classified(items, rule_scorer(), "doc_id", block=1000)
+    rows = ingest.classified(items, rule_scorer(), "doc_id")
     existing = t.cards.select("folder", F.regexp_replace("name", r"\.md$", "").alias("stem"))
     return ingest.cards(rows, existing, "doc_id")
 
@@ -65,6 +66,12 @@ def _drop(df, name):
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
+def _latest(spark, path):
+    """The newest of the versions a stream has written, one a micro-batch."""
+    versions = spark.read.parquet(path)
+    return versions.filter(F.col("v") == versions.agg(F.max("v")).scalar()).drop("v")
+
+
 @query("x1_capture_stream", "SELECT DISTINCT url FROM capture_urls WHERE valid")
 def _(t):
     folder, root = scratch_path(t.spark, "inbox"), scratch_path(t.spark, "x1")
@@ -100,7 +107,7 @@ def _(t):
         status.isin("failed-retryable", "manual-review").alias("is_failure"),
     )
     INC.attempts_stream(_drop(log, "x3-in"), f"{root}/state", f"{root}/ck").awaitTermination()
-    return t.spark.read.parquet(f"{root}/state/v=0")
+    return _latest(t.spark, f"{root}/state")
 
 
 @query("x3_latest_status_stream", "SELECT url, max(seq) AS seq, max_by(status, seq) AS status FROM analysis_state GROUP BY url")
@@ -109,10 +116,10 @@ def _(t):
     out = INC.latest_status(_drop(t.analysis_state.select("url", "seq", "status"), "x3b-in"))
 
     def handle(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{root}/out/v={batch_id}")
 
     out.writeStream.outputMode("complete").foreachBatch(handle).option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{root}/v=0")
+    return _latest(t.spark, f"{root}/out")
 
 
 @query("x4_live_load", """
@@ -123,10 +130,10 @@ def _(t):
     load = INC.live_load(_drop(t.request_log.select("key", "ts", "in_tokens"), "x4-in"), 5)
 
     def handle(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{root}/out/v={batch_id}")
 
     load.writeStream.outputMode("complete").foreachBatch(handle).option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{root}/v=0")
+    return _latest(t.spark, f"{root}/out")
 
 
 @query("k7_card_stream", f"SELECT {Q.canonical('url')} AS url, md5(min(html)) AS content_md5 FROM pages GROUP BY 1")
@@ -140,9 +147,9 @@ def _(t):
 
 
 @query("x5_retry_stream", """
-    SELECT DISTINCT trim(line) AS line, CASE WHEN NOT valid THEN 'permanent' ELSE 'ok' END AS result FROM capture_urls WHERE NOT (valid AND length(trim(line)) % 4 = 0)""")
+    SELECT DISTINCT trim(line) AS line, CASE WHEN NOT valid THEN 'permanent' WHEN length(trim(line)) % 4 = 0 THEN 'waiting' ELSE 'ok' END AS result FROM capture_urls""")
 def _(t):
-    """One pass of the retry lane: lines that fail for now wait in the retry table."""
+    """The retry lane's ended lines of every micro-batch, and those still waiting in the retry table."""
     root = scratch_path(t.spark, "x5")
     line = F.col("line")
     rows = _drop(t.capture_urls.select("line", "valid"), "x5-in").withColumn("line", F.when(F.col("valid"), line).otherwise(F.concat(F.lit("!"), line)))
@@ -150,5 +157,6 @@ def _(t):
         "result", F.when(F.startswith("line", F.lit("!")), "permanent").when(F.length("line") % 4 == 0, "transient").otherwise("ok")
     )
     INC.retry_lane(rows.select("line"), f"{root}/retry", f"{root}/done", f"{root}/ck", outcome).awaitTermination()
-    done = t.spark.read.parquet(f"{root}/done/v=0")
+    waiting = _latest(t.spark, f"{root}/retry").select("line", F.lit("waiting").alias("result"))
+    done = union_all(t.spark.read.parquet(f"{root}/done").select("line", "result"), waiting)
     return done.select(F.regexp_replace("line", "^!", "").alias("line"), "result")

@@ -20,10 +20,9 @@ from linkshelf.plans.registry import query
 
 # --- batches ---------------------------------------------------------------------------------
 
-_BLOCK = 1000  # small, so that several blocks exist at test scale
 _PACKED = """
-    packed AS (SELECT *, r // 100 AS batch, (r % 100)::INTEGER AS i FROM (SELECT *, doc_id // 1000 AS block,
-      row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) - 1 AS r FROM video_metadata WHERE url NOT IN (SELECT url FROM cards WHERE status = 'kept')))"""
+    packed AS (SELECT *, r // 100000 AS block, r % 100000 // 100 AS batch, (r % 100)::INTEGER AS i FROM (SELECT *,
+      row_number() OVER (ORDER BY doc_id) - 1 AS r FROM video_metadata WHERE url NOT IN (SELECT url FROM cards WHERE status = 'kept')))"""
 
 
 def to_score(t):
@@ -33,7 +32,7 @@ def to_score(t):
 
 
 def batches(t):
-    return packed(to_score(t), "doc_id", C.BATCH_SIZE, _BLOCK)
+    return packed(to_score(t), "doc_id", C.BATCH_SIZE)
 
 
 @query("w1_request_batches", f"WITH {_PACKED} SELECT doc_id, block, batch, i FROM packed")
@@ -462,9 +461,11 @@ def _(t):
 
 
 @query("d13_dispatch", f"""
-    WITH l AS (SELECT c.seq, c.valid, c.url, c.url IN (SELECT url FROM known) AS known, ['ok', 'ok', 'ok', 'transient', 'permanent'][c.seq % 7 % 5 + 1] AS fetched,
+    WITH l AS (SELECT c.seq, c.valid, c.url, c.url IN (SELECT url FROM known) AS stored, ['ok', 'ok', 'ok', 'transient', 'permanent'][c.seq % 7 % 5 + 1] AS fetched,
         s.cat, s.confidence, c.seq % 13 <> 0 AS parsed FROM capture_urls c LEFT JOIN best_scores s ON s.doc_id = c.seq),
-    k AS (SELECT *, {Q.canonical_category('cat')} AS name FROM l)
+    h AS (SELECT url, min(seq) AS handled FROM l WHERE valid AND NOT stored AND fetched <> 'transient' GROUP BY url),
+    j AS (SELECT l.*, stored OR coalesce(l.seq > h.handled, FALSE) AS known FROM l LEFT JOIN h ON h.url = l.url),
+    k AS (SELECT *, {Q.canonical_category('cat')} AS name FROM j)
     SELECT seq, CASE WHEN NOT valid THEN 'kept-invalid' WHEN coalesce(known, FALSE) THEN 'skipped-known' WHEN fetched = 'transient' THEN 'kept-transient' WHEN fetched = 'permanent' THEN 'manual-dead-link'
       WHEN coalesce(cat, '') = '' OR coalesce(confidence, 0) < 0.7 THEN 'manual-low-confidence'
       WHEN NOT parsed AND name IN {Q.in_list(C.ACTIONABLE + [C.TRAVEL])} THEN 'manual-unparseable' WHEN name IN {Q.in_list(C.ACTIONABLE)} THEN 'card-actionable'
@@ -473,8 +474,10 @@ def _(t):
     seq = F.col("seq")
     scored = t.best_scores.select(F.col("doc_id").alias("seq"), "cat", "confidence")
     rows = t.capture_urls.join(scored, "seq", "left").join(t.known.select("url", F.lit(True).alias("seen")), "url", "left")
+    rows = rows.withColumn("fetch", pick(["ok", "ok", "ok", "transient", "permanent"], seq % 7 % 5))
+    rows = RT.known_in_run(rows.withColumn("seen", F.coalesce("seen", F.lit(False))), "seq", F.col("fetch") != "transient")
     outcome = RT.dispatch_outcome(
-        valid=F.col("valid"), known=F.coalesce("seen", F.lit(False)), fetch=pick(["ok", "ok", "ok", "transient", "permanent"], seq % 7 % 5),
+        valid=F.col("valid"), known=F.col("known"), fetch=F.col("fetch"),
         quota_stopped=F.lit(False), category=F.col("cat"), confidence=F.col("confidence"), parsed=seq % 13 != 0,
     )
     return rows.select("seq", outcome.alias("outcome"))

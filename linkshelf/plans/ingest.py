@@ -29,9 +29,9 @@ def new_items(captures: DataFrame, known: DataFrame, metadata: DataFrame) -> Dat
     return fresh.join(metadata, "url")
 
 
-def classified(items: DataFrame, scorer: Callable[[str], str | None], order: str, size: int = C.BATCH_SIZE, block: int = 100_000) -> DataFrame:
+def classified(items: DataFrame, scorer: Callable[[str], str | None], order: str, size: int = C.BATCH_SIZE) -> DataFrame:
     """Items with ``category`` and ``summary``; unscored batches are left out and stay queued."""
-    rows = packed(materialize(items, "items"), order, size, block)
+    rows = materialize(packed(materialize(items, "items"), order, size), "packed")
     scored = materialize(scoring.score_batches(scoring.batch_payloads(rows), scorer), "answers")
     checked = scoring.validated(scored)
     staged = scoring.stop_at_first_failure(checked, F.col("problem").isNotNull() | F.col("error").isNotNull())

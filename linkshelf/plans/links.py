@@ -33,13 +33,13 @@ query("new_links", """
 # --- columns ------------------------------------------------------------------------------
 
 @query("u1_canonical_url", f"""
-    SELECT seq, url FROM capture_urls WHERE valid
-    UNION ALL SELECT page_id + 1000000, {Q.canonical('url')} FROM pages
-    UNION ALL SELECT seq + 2000000, {Q.canonical('line')} FROM captures""")
+    SELECT 'line' AS source, seq, url FROM capture_urls WHERE valid
+    UNION ALL SELECT 'page', page_id, {Q.canonical('url')} FROM pages
+    UNION ALL SELECT 'raw', seq, {Q.canonical('line')} FROM captures""")
 def _(t):
-    lines = t.capture_urls.filter("valid").select("seq", "url")
-    pages = t.read("pages").select((F.col("page_id") + 1000000).alias("seq"), U.canonical_url(F.col("url")).alias("url"))
-    raw = t.captures.select((F.col("seq") + 2000000).alias("seq"), U.canonical_url(F.col("line")).alias("url"))
+    lines = t.capture_urls.filter("valid").select(F.lit("line").alias("source"), "seq", "url")
+    pages = t.read("pages").select(F.lit("page").alias("source"), F.col("page_id").alias("seq"), U.canonical_url(F.col("url")).alias("url"))
+    raw = t.captures.select(F.lit("raw").alias("source"), "seq", U.canonical_url(F.col("line")).alias("url"))
     return lines.unionByName(pages).unionByName(raw)
 
 
@@ -365,7 +365,7 @@ def _(t):
     rows = t.analysis_state.select("url", F.col("seq").alias("version"), "prompt_version", F.concat(F.lit("v"), F.col("seq").cast("string")).alias("payload"))
     writers.cache_rows(rows, "info").write.mode("append").parquet(path)
     tossed = t.cards.filter(F.col("status") == "tossed").select("url")
-    writers.cleared(tossed, ["info", "transcript"], 1 << 40).write.mode("append").parquet(path)
+    writers.cleared(tossed, ["info", "transcript"], t.spark.read.parquet(path)).write.mode("append").parquet(path)
     current = writers.latest_cache(t.spark.read.parquet(path))
     return current.select("url_hash", F.substr("payload", F.lit(2)).cast("bigint").alias("version"), "payload")
 

@@ -154,7 +154,7 @@ def _(t):
 
 
 @query("r3_speech_transcript", """
-    WITH k AS (SELECT clip, seq, start_s, text, row_number() OVER (PARTITION BY clip ORDER BY start_s * 1000000000 + seq) AS n FROM segments WHERE NOT (no_speech > 0.6 AND logprob < -1.0)),
+    WITH k AS (SELECT clip, seq, start_s, text, row_number() OVER (PARTITION BY clip ORDER BY start_s, seq) AS n FROM segments WHERE NOT (no_speech > 0.6 AND logprob < -1.0)),
     f AS (SELECT clip, list_reduce(list({'s': start_s, 'p': n} ORDER BY n), lambda a, x: {'last': CASE WHEN x.s - a.last >= 10 THEN x.s ELSE a.last END,
       'due': CASE WHEN x.s - a.last >= 10 THEN list_append(a.due, x.p) ELSE a.due END}, {'last': -10.0::DOUBLE, 'due': []::BIGINT[]}) AS f FROM k GROUP BY clip),
     d AS (SELECT clip, unnest(f.due) AS n FROM f)
@@ -162,9 +162,9 @@ def _(t):
     FROM k LEFT JOIN d ON d.clip = k.clip AND d.n = k.n GROUP BY k.clip, (k.n - 1) // 1000""")
 def _(t):
     spoken = TR.speech_only(t.segments)
-    # Time order with the segment number as tie break, as one whole number.
-    placed = spoken.withColumn("at", (F.col("start_s") * 1_000_000_000).cast("bigint") + F.col("seq"))
-    numbered = row_numbers(placed, ["clip"], "at", "pos", block=10_000_000_000)
+    # Time order with the segment number as tie break; blocks of ten seconds.
+    placed = spoken.withColumn("at_us", F.round(F.col("start_s") * 1_000_000).cast("bigint"))
+    numbered = row_numbers(placed, ["clip"], ["at_us", "start_s", "seq"], "pos", block=10_000_000)
     marked = TR.with_markers(numbered.select("clip", "pos", "start_s", "text"), "clip", "pos", "start_s")
     return TR.transcript_chunks(marked, "clip", "pos", "text")
 

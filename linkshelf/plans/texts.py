@@ -40,12 +40,12 @@ def _(t):
 
 
 @query("t4_list_claim", f"""
-    SELECT doc_id, {Q.list_claim("title || ' ' || description")} AS claims FROM video_metadata
-    UNION ALL SELECT item_id + 1000000000, {Q.list_claim('text')} FROM benchmark""")
+    SELECT 'video' AS source, doc_id AS id, {Q.list_claim("title || ' ' || description")} AS claims FROM video_metadata
+    UNION ALL SELECT 'benchmark', item_id, {Q.list_claim('text')} FROM benchmark""")
 def _(t):
     both = F.concat("title", F.lit(" "), "description")
-    videos = t.video_metadata.select("doc_id", T.has_list_claim(both).alias("claims"))
-    bench = t.read("benchmark").select((F.col("item_id") + 1000000000).alias("doc_id"), T.has_list_claim(F.col("text")).alias("claims"))
+    videos = t.video_metadata.select(F.lit("video").alias("source"), F.col("doc_id").alias("id"), T.has_list_claim(both).alias("claims"))
+    bench = t.read("benchmark").select(F.lit("benchmark").alias("source"), F.col("item_id").alias("id"), T.has_list_claim(F.col("text")).alias("claims"))
     return videos.unionByName(bench)
 
 

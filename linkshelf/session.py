@@ -32,11 +32,13 @@ def configure(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """Shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset and Spark runs on one machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "linkshelf.scratch.dir", None
     )
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="linkshelf-")
         spark.conf.set("linkshelf.scratch.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

@@ -48,18 +48,21 @@ def cache_rows(rows: DataFrame, stage: str) -> DataFrame:
 
 
 def latest_cache(cache: DataFrame) -> DataFrame:
-    """Current cache content: the newest version of each key and stage, cleared keys left out."""
-    current = last_by(cache, ["url_hash", "stage"], "version", ["prompt_version", "payload"])
+    """Current cache content: the newest version of each key and stage, cleared keys left out.
+
+    A tombstone has the version it clears, and hides that one and all before it.
+    """
+    at = cache.withColumn("__at", F.struct("version", F.col("payload").isNull()))
+    current = last_by(at, ["url_hash", "stage"], "__at", ["version", "prompt_version", "payload"])
     return current.filter(F.col("payload").isNotNull())
 
 
-def cleared(urls: DataFrame, stages: list[str], version: int) -> DataFrame:
-    """Tombstones that drop every cached stage of the given URLs."""
-    return urls.select(
-        url_hash(F.col("url")).alias("url_hash"), F.explode(F.array(*[F.lit(s) for s in stages])).alias("stage"),
-        F.lit(version).cast("bigint").alias("version"), F.lit(None).cast("string").alias("prompt_version"),
-        F.lit(None).cast("string").alias("payload"),
-    )
+def cleared(urls: DataFrame, stages: list[str], cache: DataFrame) -> DataFrame:
+    """Tombstones for what ``cache`` holds of the given URLs in the given stages; a later version shows again."""
+    newest = cache.filter(F.col("stage").isin(stages)).groupBy("url_hash", "stage").agg(F.max("version").alias("version"))
+    gone = newest.join(urls.select(url_hash(F.col("url")).alias("url_hash")).distinct(), "url_hash", "left_semi")
+    none = F.lit(None).cast("string")
+    return gone.select("url_hash", "stage", "version", none.alias("prompt_version"), none.alias("payload"))
 
 
 def write_table_csv(df: DataFrame, path: str) -> None:

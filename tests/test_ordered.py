@@ -99,9 +99,22 @@ def test_spaced_points(spark, cells, density, light):
 
 
 def test_packing_has_no_gaps(spark):
-    df = spark.range(0, 2500).filter("id % 3 <> 1")
-    rows = ordered.packed(df, "id", 100, 1000).groupBy("block", "batch").agg(F.count("*").alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi"))
-    assert all(r.n <= 100 and r.lo == 0 and r.hi == r.n - 1 for r in rows.collect())
+    dense, n = spark.range(0, 2500).filter("id % 3 <> 1"), 1667
+    spread = {"dense": F.col("id"), "sparse": F.col("id") * (1 << 33), "time": F.col("id") * F.col("id") + 1_700_000_000_000_000, "minus": -F.col("id")}
+    for order in spread.values():
+        rows = ordered.packed(dense.select(order.alias("id")), "id", 100, 500).groupBy("block", "batch").agg(
+            F.count("*").alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.min("id").alias("first")).collect()
+        assert all(r.lo == 0 and r.hi == r.n - 1 for r in rows)
+        in_order = [r.n for r in sorted(rows, key=lambda r: (r.block, r.batch))]
+        assert in_order == [100] * (n // 100) + [n % 100]
+        assert [r.first for r in sorted(rows, key=lambda r: (r.block, r.batch))] == sorted(r.first for r in rows)
+
+
+def test_row_numbers_take_several_order_columns(spark):
+    rows = [("a", 1.0, 2_500_000_000), ("a", 2.0, 1), ("a", 1.0, 3), ("a", 25.0, 0)]
+    df = spark.createDataFrame(rows, "k string, s double, seq bigint").withColumn("at", F.col("s").cast("bigint"))
+    got = ordered.row_numbers(df, ["k"], ["at", "s", "seq"], "n", block=10).orderBy("n").collect()
+    assert [(r.s, r.seq) for r in got] == sorted((s, q) for _, s, q in rows)
 
 
 def brute_names(new, existing):

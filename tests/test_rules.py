@@ -289,3 +289,26 @@ def test_track_order(spark):
     df = spark.createDataFrame([("v", b, lang, e, 0, f"{b}-{lang}") for b, lang, e in tracks], "video string, bucket string, lang string, ext string, entry int, track_url string")
     got = transcripts.ranked_tracks(df).orderBy("rank").collect()
     assert [r.track_url for r in got] == ["manual-eng-US", "auto-en-orig", "auto-en"]
+
+
+def test_a_url_is_dispatched_once_in_a_run(spark):
+    from linkshelf.operators import routing
+
+    lines = [(1, "u", True, False, "transient"), (2, "u", True, False, "ok"), (3, "u", True, False, "ok"), (4, "u", True, False, "transient"),
+             (5, "v", True, True, "ok"), (6, None, False, False, "ok"), (7, None, False, False, "ok"), (8, "w", True, False, "permanent")]
+    df = spark.createDataFrame(lines, "seq int, url string, valid boolean, seen boolean, fetch string")
+    got = {r.seq: r.known for r in routing.known_in_run(df, "seq", F.col("fetch") != "transient").collect()}
+    assert got == {1: False, 2: False, 3: True, 4: True, 5: True, 6: False, 7: False, 8: False}
+
+
+def test_a_cleared_cache_shows_later_versions_only(spark):
+    from linkshelf.sources import writers
+
+    urls = spark.createDataFrame([("https://a/1",), ("https://a/2",)], "url string")
+    rows = lambda n: writers.cache_rows(urls.select("url", F.lit(n).cast("bigint").alias("version"), F.lit("2").alias("prompt_version"),
+                                                    F.lit(f"v{n}").alias("payload")), "info")
+    cache = rows(7).unionAll(rows((1 << 41) + 5))
+    cleared = cache.unionAll(writers.cleared(urls.filter("url like '%1'"), ["info", "transcript"], cache))
+    assert {r.payload for r in writers.latest_cache(cleared).collect()} == {f"v{(1 << 41) + 5}"} and writers.latest_cache(cleared).count() == 1
+    later = cleared.unionAll(rows((1 << 41) + 6))
+    assert [r.payload for r in writers.latest_cache(later).collect()] == [f"v{(1 << 41) + 6}"] * 2
