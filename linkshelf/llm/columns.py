@@ -16,6 +16,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def dealt_apart(*keys: str) -> Column:
+    """A further join key beside ``keys``. A side that was just summed by the keys is dealt again with it, and so a join may
+    split a hot key of the other side; else Spark would leave that key in the task that summed it."""
+    return F.xxhash64(*keys, F.lit("apart"))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """``names``, lengthened until no column of ``df`` has one of them."""
     taken = {c.lower() for c in df.columns}

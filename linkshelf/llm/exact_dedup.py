@@ -14,7 +14,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkshelf.llm.columns import fresh, whole
+from linkshelf.llm.columns import dealt_apart, fresh, whole
 
 #: Characters of the prefix hash, the second refinement.
 PREFIX_CHARS = 96
@@ -39,11 +39,10 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").alias("id"), whole().alias("body")).withColumn("size", F.octet_length("body"))
     rows = rows.withColumn("head", F.xxhash64("size", lowered(F.substring("body", 1, PREFIX_CHARS))))
-    lengths = rows.groupBy("size").agg(F.count("*").alias("n")).filter("n > 1").select("size")
-    begun = rows.select("size", "head").join(lengths, "size", "left_semi")
+    again = lambda df, key: df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key, dealt_apart(key).alias("apart"))
+    begun = rows.select("size", "head", dealt_apart("size").alias("apart")).join(again(rows, "size"), ["size", "apart"], "left_semi")
     # By the hash alone, which covers the length: dealt anew after partial counts, not by length as the join was.
-    heads = begun.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head")
-    alike = rows.join(heads, "head", "left_semi")
+    alike = rows.withColumn("apart", dealt_apart("head")).join(again(begun, "head"), ["head", "apart"], "left_semi")
     return (
         alike.select("id", content_hash(F.col("body")).alias("digest"))
         .groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -62,7 +61,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     digest, keep, size, stays, nth = fresh(docs, "text_sha256", "keep_id", "group_size", "kept", "nth")
     groups = duplicate_groups(docs).toDF("g_digest", "g_keep", "g_size")
     hashed = docs.withColumn(digest, content_hash(whole()))
-    joined = hashed.join(groups, F.col(digest) == F.col("g_digest"), "left")
+    joined = hashed.join(groups, (F.col(digest) == F.col("g_digest")) & (dealt_apart(digest) == dealt_apart("g_digest")), "left")
     single = F.col("g_digest").isNull()
     # Dealt by text and id, not by text alone: the join above may then split a group that holds much of the table.
     repeated = F.row_number().over(Window.partitionBy(digest, "doc_id").orderBy(F.lit(0)))
