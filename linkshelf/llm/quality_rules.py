@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkshelf.llm.buffers import pieces, string_array, text_bytes
-from linkshelf.llm.columns import fresh, whole
+from linkshelf.llm.columns import dealt_apart, fresh, whole
 from linkshelf.session import materialize
 
 MIN_WORDS = 50
@@ -248,8 +248,8 @@ def verdicts(stats: DataFrame) -> DataFrame:
         .join(by_level[1].drop("g_source").withColumnRenamed("g_lang", "lang"), "lang", "left")
         .join(F.broadcast(by_level[0].select("e0")), how="left")  # one row
         .select("lang", "source", F.coalesce("e2", "e1", "e0").alias("e")).select("lang", "source", "e.*")
-    )
-    measured = stats.join(pairs, ["lang", "source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    ).withColumn("apart", dealt_apart("lang", "source"))
+    measured = stats.withColumn("apart", dealt_apart("lang", "source")).join(pairs, ["lang", "source", "apart"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return measured.withColumn("kept", kept).select(*stats.columns, "distance", "kept")
 
