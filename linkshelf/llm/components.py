@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkshelf.llm.columns import dealt_apart
 from linkshelf.session import materialize
 
 MAX_ROUNDS = 60
@@ -15,6 +16,10 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    return edges.join(_least(edges), (F.col("u") == F.col("k")) & (dealt_apart("u") == dealt_apart("k")))
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
 
@@ -35,10 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
         # Large star: greater neighbours of a node move to its least neighbour.
         two_way = _both(edges)
-        large = two_way.join(_least(two_way), F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(two_way).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and its lesser neighbours move to the least of them.
-        lesser = _least(large)
-        joined = large.join(lesser, F.col("u") == F.col("k"))
-        small = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        small = _with_least(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = materialize(small.select("e.*").filter("u <> v").distinct(), "links")
     raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkshelf.llm.buffers import string_array
-from linkshelf.llm.columns import fresh, whole
+from linkshelf.llm.columns import dealt_apart, fresh, whole
 from linkshelf.llm.components import components
 from linkshelf.session import materialize
 
@@ -148,7 +148,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = components(links(distinct.select("fp"), distinct.count()))
     rooted = distinct.join(joined, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select(F.col("fp").alias("k"), "root").join(least, "root").select("k", "component_id")
+    apart = dealt_apart("root").alias("apart")
+    named = rooted.select(F.col("fp").alias("k"), "root", apart).join(least.select("*", apart), ["root", "apart"]).select("k", "component_id")
     return prints.join(named, F.col("fp") == F.col("k")).drop("k")
 
 
