@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 100_000
+#: Rows a bucket of the spacing rule holds on average.
+BUCKET_ROWS = 200_000
 _BLK = "__blk"
 
 
@@ -159,8 +161,8 @@ def spaced_points(
     block is walked on its own with a known entry state.
     """
     width = int(interval) * int(cells)
-    # Many blocks share one Python call; a bucket holds about one shuffle partition of instants.
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Many blocks share one Python call, but no more than about BUCKET_ROWS rows: buckets grow in number, not in size.
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BUCKET_ROWS))
     bucket = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
     flag = F.lit(False) if cut is None else F.coalesce(cut, F.lit(False))
     points = (

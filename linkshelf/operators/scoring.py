@@ -12,6 +12,9 @@ from linkshelf import constants as C
 from linkshelf.functions.tags import known_category
 from linkshelf.functions.text import body_context, first_of, heading_title, text_or_blank
 from linkshelf.operators.ordered import last_by
+from linkshelf.operators.sets import union_all
+from linkshelf.session import materialize
+from linkshelf.sources.writers import read_or_empty
 
 RESPONSE = "results array<struct<i:int,cat:string,summ:string>>"
 RESULT_ROWS = "array<struct<i:int,cat:string,summ:string>>"
@@ -57,6 +60,34 @@ def score_batches(batches: DataFrame, scorer: Callable[[str], str | None], text:
     return batches.mapInPandas(run, schema)
 
 
+STORED = "payload_hash string, response string"
+
+
+def scored_once(batches: DataFrame, scorer: Callable[[str], str | None], store: str) -> DataFrame:
+    """``batches`` with ``response`` and ``error``; a payload answered before is taken from ``store``, not asked again.
+
+    ``store`` is a folder of answers by payload hash that lives from run to run. Every answer of this run is added to
+    it, also those of batches that stay queued behind a failed one. Payloads that failed are asked again next time.
+    """
+    spark = batches.sparkSession
+    hashed = batches.withColumn("payload_hash", F.sha2("payload", 256))
+    stored = read_or_empty(spark, store, STORED).groupBy("payload_hash").agg(F.max("response").alias("response"))
+    asked = hashed.join(stored.select("payload_hash"), "payload_hash", "left_anti").select("payload_hash", "payload").dropDuplicates(["payload_hash"])
+    new = materialize(score_batches(asked, scorer).select("payload_hash", "response", "error"), "asked")
+    known = union_all(stored.withColumn("error", F.lit(None).cast("string")), new)
+    told = materialize(hashed.join(known, "payload_hash").drop("payload_hash"), "answers")
+    new.filter(F.col("error").isNull() & F.col("response").isNotNull()).select("payload_hash", "response").write.mode("append").parquet(store)
+    return told
+
+
+def extraction_records(scored: DataFrame, record: str) -> DataFrame:
+    """Adds the typed record ``r`` and ``problem``: 'error' when the scorer raised, 'invalid' when its answer can't be
+    read or its confidence is out of bounds. No row is dropped: one with a problem goes to manual review."""
+    r = F.from_json("response", record)
+    problem = F.when(F.col("error").isNotNull(), "error").when(r.isNull() | ~bounded_confidence(r["confidence"]), "invalid")
+    return scored.withColumn("problem", problem).withColumn("r", F.when(problem.isNull(), r))
+
+
 def rule_scorer(keywords: dict[str, str] | None = None, default: str = C.DEFAULT_CATEGORY) -> Callable[[str], str]:
     """Deterministic scorer: the first keyword found in title or caption picks the category."""
     table = keywords or {

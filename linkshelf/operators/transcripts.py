@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkshelf import constants as C
+from linkshelf.functions.bind import let
 from linkshelf.functions.numbers import rounded
 from linkshelf.functions.text import clock, cue_seconds, strip, text_or_blank
 from linkshelf.operators.ordered import previous_value, row_numbers, spaced_points
@@ -19,34 +20,44 @@ _EVENTS = "array<struct<tStartMs:double,segs:array<struct<utf8:string>>>>"
 _STRINGS = "array<string>"
 
 
-def _marked_text(lines: Column, every: float, drop_repeats: bool) -> Column:
-    """Join ``ARRAY<STRUCT<at, text>>`` in order with a ``[m:ss]`` marker where one is due.
+def _marked_text(entries: Column, every: float, drop_repeats: bool) -> Column:
+    """Join ``ARRAY<STRUCT<at, text>>`` in order with a ``[m:ss]`` marker where one is due; entries without text fall out.
 
-    An entry without text only moves the clock for the entries after it.
+    The fold carries the clock and the places of the markers only. The text is joined once, in pieces from one marker to
+    the next, so the cost of a payload follows its length.
     """
-    start = F.struct(
-        F.array().cast(_STRINGS).alias("out"), F.lit("").alias("line"), F.lit(-float(every)).alias("mark"), F.lit(0.0).alias("at"),
-    )
+    texts = lambda rows: F.transform(rows, lambda e: e["text"])
+
+    def without_repeats(spoken: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(None).cast("string")), texts(spoken)), F.lit(1), F.size(spoken))
+        return F.filter(F.zip_with(spoken, before, lambda e, b: F.when(b.isNull() | (e["text"] != b), e)), lambda e: e.isNotNull())
+
+    def due(kept: Column) -> Column:
+        start = F.struct(F.lit(-float(every)).alias("mark"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("due"))
 
-    def state(acc: Column, **changes: Column) -> Column:
-        return F.struct(*[changes.get(name, acc[name]).alias(name) for name in ("out", "line", "mark", "at")])
-
-    def step(acc: Column, entry: Column) -> Column:
-        at, text = F.coalesce(entry["at"], acc["at"]), entry["text"]
-        mark = F.concat(F.lit("["), clock(at), F.lit("]"))
-        skipped = text.isNull() | (text == "")
-        if drop_repeats:
-            skipped = skipped | (text == acc["line"])
-        return (
-            F.when(skipped, state(acc, at=at))
-            .when(
-                at - acc["mark"] >= every,
-                state(acc, out=F.concat(acc["out"], F.array(mark, text)), line=text, mark=at, at=at),
+        def step(acc: Column, entry: Column) -> Column:
+            late = entry["at"] - acc["mark"] >= every
+            return F.struct(
+                F.when(late, entry["at"]).otherwise(acc["mark"]).alias("mark"), (acc["i"] + 1).alias("i"),
+                F.when(late, F.array_append(acc["due"], acc["i"])).otherwise(acc["due"]).alias("due"),
             )
-            .otherwise(state(acc, out=F.array_append(acc["out"], text), line=text, at=at))
+
+        return F.aggregate(kept, start, step)["due"]
+
+    def joined(kept: Column, marks: Column) -> Column:
+        ends = F.concat(F.slice(marks, F.lit(2), F.size(marks)), F.array(F.size(kept)))
+        spans = F.zip_with(marks, ends, lambda f, t: F.struct(f.alias("f"), t.alias("t")))
+        piece = lambda p: F.concat(
+            F.lit("["), clock(F.get(kept, p["f"])["at"]), F.lit("] "), F.array_join(texts(F.slice(kept, p["f"] + 1, p["t"] - p["f"])), " ")
         )
+        # What comes before the first marker: nothing, unless the clock starts below zero.
+        head = F.array_join(texts(F.slice(kept, F.lit(1), F.coalesce(F.get(marks, F.lit(0)), F.size(kept)))), " ")
+        pieces = F.when(F.size(marks) > 0, F.transform(spans, piece)).otherwise(F.array().cast(_STRINGS))
+        return F.array_join(F.filter(F.concat(F.array(head), pieces), lambda x: x != ""), " ")
 
-    return F.array_join(F.aggregate(lines, start, step)["out"], " ")
+    spoken = F.filter(entries, lambda e: text_or_blank(e["text"]) != "")
+    last = lambda kept: let(due(kept), lambda marks: joined(kept, marks))
+    return let(spoken, lambda rows: let(without_repeats(rows), last)) if drop_repeats else let(spoken, last)
 
 
 def vtt_text(vtt: Column, every: float = C.MARKER_SECONDS) -> Column:
@@ -55,14 +66,20 @@ def vtt_text(vtt: Column, every: float = C.MARKER_SECONDS) -> Column:
     header = r"^(?:WEBVTT|NOTE|Kind:|Language:|STYLE|\p{Nd}+$)"
     useful = F.filter(lines, lambda s: (s != "") & ~F.rlike(s, F.lit(header)))
 
-    def entry(raw: Column) -> Column:
-        is_cue = F.contains(raw, F.lit("-->"))
-        return F.struct(
-            F.when(is_cue, cue_seconds(F.substring_index(raw, "-->", 1))).alias("at"),
-            F.when(~is_cue, strip(F.regexp_replace(raw, "<[^>]+>", ""))).alias("text"),
-        )
+    # Every cue line begins a part: its time holds for the lines up to the next one.
+    parts = F.split(F.array_join(useful, "\n"), r"(?md)^(?=[^\n]*-->)")
+
+    def spoken(part: Column) -> Column:
+        def entries(rows: Column) -> Column:
+            is_cue = F.contains(F.get(rows, F.lit(0)), F.lit("-->"))
+            at = F.when(is_cue, cue_seconds(F.substring_index(F.get(rows, F.lit(0)), "-->", 1))).otherwise(0.0)
+            rest = F.slice(rows, F.when(is_cue, 2).otherwise(1), F.size(rows))
+            return let(at, lambda t: F.transform(
+                rest, lambda raw: F.struct(t.alias("at"), strip(F.regexp_replace(raw, "<[^>]+>", "")).alias("text"))))
+
+        return let(F.split(part, "\n"), entries)
 
-    return _marked_text(F.transform(useful, entry), every, True)
+    return _marked_text(F.flatten(F.transform(parts, spoken)), every, True)
 
 
 def json3_text(raw: Column, every: float = C.MARKER_SECONDS) -> Column:

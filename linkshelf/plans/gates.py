@@ -128,18 +128,22 @@ def _two_stage(t):
 
 
 @query("b6_extraction", f"""
-    SELECT doc_id, length(description) % 3 = 0 AS is_travel, trim(split_part({Q.squeeze('description')}, ' ', 1), '.,') AS place_name, 0.6::DOUBLE AS confidence FROM video_metadata""")
+    WITH p AS (SELECT doc_id, length(description) AS n, CASE WHEN length(description) % 17 = 0 THEN 'error' WHEN length(description) % 19 = 0 THEN 'invalid' END AS problem,
+      trim(split_part({Q.squeeze('description')}, ' ', -1), '.,') AS place FROM video_metadata)
+    SELECT doc_id, CASE WHEN problem IS NULL THEN n % 3 = 0 END AS is_travel, CASE WHEN problem IS NULL THEN place END AS place_name,
+      CASE WHEN problem IS NULL THEN 0.6::DOUBLE END AS confidence, problem FROM p""")
 def _(t):
     import json
 
     def extract(payload):
-        place = payload.split()[0].strip(".,")
-        return json.dumps({"is_travel": len(payload) % 3 == 0, "place_name": place, "summary": payload[:40], "confidence": 0.6})
+        if len(payload) % 17 == 0:
+            raise ValueError("no answer")
+        place = payload.split()[-1].strip(".,")
+        return json.dumps({"is_travel": len(payload) % 3 == 0, "place_name": place, "summary": payload, "confidence": 6 if len(payload) % 19 == 0 else 0.6})
 
     scored = S.score_batches(t.video_metadata.select("doc_id", F.col("description").alias("payload")), extract)
-    record = F.from_json("response", "is_travel boolean, place_name string, country string, summary string, confidence double")
-    rows = scored.withColumn("r", record)
-    return rows.filter(S.bounded_confidence(F.col("r.confidence"))).select("doc_id", "r.is_travel", "r.place_name", "r.confidence")
+    rows = S.extraction_records(scored, "is_travel boolean, place_name string, country string, summary string, confidence double")
+    return rows.select("doc_id", "r.is_travel", "r.place_name", "r.confidence", "problem")
 
 
 @query("j5_enrichment_match", """

@@ -19,7 +19,7 @@ from linkshelf.functions.text import safe_filename
 from linkshelf.operators import registry, scoring
 from linkshelf.operators.catalog import unique_names
 from linkshelf.operators.ordered import packed
-from linkshelf.session import materialize
+from linkshelf.session import materialize, scratch_path
 
 
 def new_items(captures: DataFrame, known: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -29,10 +29,14 @@ def new_items(captures: DataFrame, known: DataFrame, metadata: DataFrame) -> Dat
     return fresh.join(metadata, "url")
 
 
-def classified(items: DataFrame, scorer: Callable[[str], str | None], order: str, size: int = C.BATCH_SIZE) -> DataFrame:
-    """Items with ``category`` and ``summary``; unscored batches are left out and stay queued."""
+def classified(items: DataFrame, scorer: Callable[[str], str | None], order: str, size: int = C.BATCH_SIZE,
+               store: str | None = None) -> DataFrame:
+    """Items with ``category`` and ``summary``; unscored batches are left out and stay queued.
+
+    ``store`` keeps paid answers from run to run; without it they last for this run.
+    """
     rows = materialize(packed(materialize(items, "items"), order, size), "packed")
-    scored = materialize(scoring.score_batches(scoring.batch_payloads(rows), scorer), "answers")
+    scored = scoring.scored_once(scoring.batch_payloads(rows), scorer, store or scratch_path(items.sparkSession, "paid"))
     checked = scoring.validated(scored)
     staged = scoring.stop_at_first_failure(checked, F.col("problem").isNotNull() | F.col("error").isNotNull())
     committed = staged.filter("committed")

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -312,3 +313,44 @@ def test_a_cleared_cache_shows_later_versions_only(spark):
     assert {r.payload for r in writers.latest_cache(cleared).collect()} == {f"v{(1 << 41) + 5}"} and writers.latest_cache(cleared).count() == 1
     later = cleared.unionAll(rows((1 << 41) + 6))
     assert [r.payload for r in writers.latest_cache(later).collect()] == [f"v{(1 << 41) + 6}"] * 2
+
+
+def test_answers_are_paid_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def scorer(payload, fails=()):
+        (calls / f"{payload}-{len(list(calls.iterdir()))}").touch()
+        if payload in fails:
+            raise ValueError("quota")
+        return f"answer {payload}"
+
+    batches = spark.createDataFrame([(0, i, f"p{i}") for i in range(6)], "block bigint, batch bigint, payload string").coalesce(1)
+    store = str(tmp_path / "paid")
+    first = scoring.scored_once(batches, lambda p: scorer(p, ("p2",)), store)
+    staged = scoring.stop_at_first_failure(first, F.col("error").isNotNull())
+    assert sorted(r.batch for r in staged.filter("committed").collect()) == [0, 1]
+    asked = sorted(f.name.split("-")[0] for f in calls.iterdir())
+    assert asked == [f"p{i}" for i in range(6)]
+    second = scoring.scored_once(batches, scorer, store)
+    assert {r.payload: r.response for r in second.collect()} == {f"p{i}": f"answer p{i}" for i in range(6)}
+    assert sorted(f.name.split("-")[0] for f in calls.iterdir()) == sorted(asked + ["p2"])  # only the failed one again
+
+
+def test_a_long_caption_payload_is_folded_in_order(evaluate):
+    rng = random.Random(2)
+    lines, out, mark, shown, at = ["WEBVTT"], [], -10.0, "", 0.0
+    for k in range(16_000):
+        if k % 2 == 0:
+            at = k * 1.5
+            lines.append(f"{int(at) // 3600:02d}:{int(at) // 60 % 60:02d}:{at % 60:06.3f} --> x")
+        else:
+            text = f"w{rng.randrange(3)}"
+            lines.append(f"<b>{text}</b>")
+            if text != shown:
+                if at - mark >= 10.0:
+                    out.append(f"[{int(at) // 60}:{int(at) % 60:02d}]")
+                    mark = at
+                out.append(text)
+                shown = text
+    assert evaluate(lambda c: transcripts.vtt_text(c, 10.0), "\n".join(lines)) == " ".join(out)
