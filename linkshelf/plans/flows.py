@@ -92,8 +92,7 @@ def _(t):
 def _(t):
     root = scratch_path(t.spark, "x2")
     rows = _drop(t.analysis_state.select("url", "ts"), "x2-in")
-    once = INC.deduplicated(rows, "ts", "60 days").select("url")
-    once.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
+    INC.dedupe_stream(rows, "ts", f"{root}/out", f"{root}/ck").awaitTermination()
     return t.spark.read.parquet(f"{root}/out")
 
 
@@ -114,12 +113,8 @@ def _(t):
 def _(t):
     root = scratch_path(t.spark, "x3b")
     out = INC.latest_status(_drop(t.analysis_state.select("url", "seq", "status"), "x3b-in"))
-
-    def handle(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/out/v={batch_id}")
-
-    out.writeStream.outputMode("complete").foreachBatch(handle).option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
-    return _latest(t.spark, f"{root}/out")
+    INC.updates_stream(out, f"{root}/out", f"{root}/ck").awaitTermination()
+    return INC.newest(t.spark.read.parquet(f"{root}/out"), ["url"])
 
 
 @query("x4_live_load", """
@@ -128,12 +123,8 @@ def _(t):
 def _(t):
     root = scratch_path(t.spark, "x4")
     load = INC.live_load(_drop(t.request_log.select("key", "ts", "in_tokens"), "x4-in"), 5)
-
-    def handle(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/out/v={batch_id}")
-
-    load.writeStream.outputMode("complete").foreachBatch(handle).option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
-    return _latest(t.spark, f"{root}/out")
+    INC.updates_stream(load, f"{root}/out", f"{root}/ck").awaitTermination()
+    return INC.newest(t.spark.read.parquet(f"{root}/out"), ["key", "from_ts", "to_ts"])
 
 
 @query("k7_card_stream", f"SELECT {Q.canonical('url')} AS url, md5(min(html)) AS content_md5 FROM pages GROUP BY 1")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from linkshelf.functions.urls import canonical_url, is_valid_http_url
+from linkshelf.operators.ordered import last_by
 from linkshelf.operators.quality import attempts_along_log
 from linkshelf.operators.registry import without_known
 from linkshelf.operators.sets import union_all
@@ -28,17 +29,20 @@ def _run(df: DataFrame, handler, checkpoint: str) -> StreamingQuery:
     )
 
 
-def capture_stream(lines: DataFrame, ledger_path: str, invalid_path: str, checkpoint: str) -> StreamingQuery:
-    """New canonical URLs of each micro-batch, appended once to the ledger."""
+def capture_stream(lines: DataFrame, captured_path: str, invalid_path: str, checkpoint: str) -> StreamingQuery:
+    """New canonical URLs of each micro-batch, appended once to the table of captured URLs.
+
+    The ledger hears of a URL from ``card_stream``, when its card exists: one whose card failed is not taken for known.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         valid = is_valid_http_url(F.col("line"))
         urls = batch.filter(valid).select(canonical_url(F.col("line")).alias("url")).distinct()
-        fresh = without_known(urls, read_or_empty(spark, ledger_path, SEEN))
+        fresh = without_known(urls, read_or_empty(spark, captured_path, SEEN))
         fresh.select(
-            "url", F.lit("carded").alias("event"), F.lit("stream").alias("source"), F.lit(batch_id).cast("bigint").alias("batch")
-        ).write.mode("append").parquet(ledger_path)
+            "url", F.lit("captured").alias("event"), F.lit("stream").alias("source"), F.lit(batch_id).cast("bigint").alias("batch")
+        ).write.mode("append").parquet(captured_path)
         done = read_or_empty(spark, invalid_path, "line string, batch bigint").filter(F.col("batch") == batch_id)
         rejected = batch.filter(~valid).select("line").distinct().join(done.select("line"), "line", "left_anti")
         rejected.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(invalid_path)
@@ -47,10 +51,39 @@ def capture_stream(lines: DataFrame, ledger_path: str, invalid_path: str, checkp
 
 
 def deduplicated(events: DataFrame, ts: str, lateness: str = "1 hour") -> DataFrame:
-    """First arrival of each URL within the watermark; older history belongs to the ledger."""
+    """First arrival of each URL within the watermark; for older history see ``dedupe_stream``."""
     return events.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(["url"])
 
 
+def dedupe_stream(events: DataFrame, ts: str, table: str, checkpoint: str, known: DataFrame | None = None, lateness: str = "1 hour") -> StreamingQuery:
+    """URLs of ``events`` once each, over any span of time: state drops repeats within the watermark, the table and
+    ``known`` (a ledger) those that come later."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        urls = batch.select("url").distinct()
+        fresh = without_known(urls, read_or_empty(batch.sparkSession, table, "url string"))
+        (without_known(fresh, known.select("url")) if known is not None else fresh).write.mode("append").parquet(table)
+
+    return _run(deduplicated(events, ts, lateness), handle, checkpoint)
+
+
+def updates_stream(updates: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Changed rows of a streaming aggregation, one version a micro-batch; ``newest`` reads them."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+
+    return (
+        updates.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def newest(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows written in several versions ``v``, the newest of each key."""
+    values = [c for c in versions.columns if c not in (*keys, "v")]
+    return last_by(versions, keys, "v", values)
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """Running latest status per URL, as a streaming aggregation with partial merge."""
     best = F.max_by(F.struct("seq", "status"), F.col("seq")).alias("b")
