@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkshelf import constants as C
-from linkshelf.functions.tags import canonical_category, folder_for, replace_category_tag, weight_color
-from linkshelf.functions.text import folder_segment, project_name, strip, text_or_blank
+from linkshelf.functions.tags import canonical_category, coordinates_ok, folder_for, replace_category_tag, weight_color
+from linkshelf.functions.text import folder_segment, project_name, squeeze, strip, text_or_blank
 from linkshelf.operators.ordered import row_numbers, running_sums
 from linkshelf.operators.sets import union_all
 
@@ -187,13 +187,28 @@ def unique_names(new: DataFrame, existing: DataFrame, seq: str = "seq", store=No
 # --- aggregates ----------------------------------------------------------------------
 
 
-def reweighted(cards: DataFrame) -> DataFrame:
-    """Travel cards whose weight or colour differs from the current place count."""
+def reweighted(cards: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
+    """Travel cards whose weight or colour differs from the current place count.
+
+    Hub and map notes (``name``) are no cards: they neither count nor change. A card without weight has weight 0. With a
+    ``gazetteer(place, lat, lon)``, one row a place, changed cards that lack ``lat`` get their place's coordinates.
+    """
     named = cards.withColumn("place", strip(text_or_blank(F.col("location_name")))).filter(F.col("place") != "")
+    if "name" in cards.columns:
+        named = named.filter(~F.contains("name", F.lit("Hub")) & ~F.contains("name", F.lit("Map")))
     counts = named.groupBy("place").agg(F.count(F.lit(1)).alias("new_weight"))
     joined = named.join(counts, "place").withColumn("new_color", weight_color(F.col("new_weight")))
-    same = F.col("weight").eqNullSafe(F.col("new_weight")) & F.col("color").eqNullSafe(F.col("new_color"))
-    return joined.filter(~same).drop("place")
+    same = (F.coalesce("weight", F.lit(0)) == F.col("new_weight")) & F.col("color").eqNullSafe(F.col("new_color"))
+    changed = joined.filter(~same)
+    if gazetteer is None:
+        return changed.drop("place")
+    places = gazetteer.filter(coordinates_ok(F.col("lat"), F.col("lon"))).select(
+        F.lower(squeeze(F.col("place"))).alias("__place"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    filled = changed.withColumn("__key", F.lower(squeeze(F.col("place")))).join(places, F.col("__key") == F.col("__place"), "left")
+    lacks = F.col("lat").isNull()
+    return filled.withColumns({
+        "lat": F.when(lacks, F.col("__lat")).otherwise(F.col("lat")), "lon": F.when(lacks, F.col("__lon")).otherwise(F.col("lon")),
+    }).drop("place", "__key", "__place", "__lat", "__lon")
 
 
 def board_entries(rows: DataFrame, seq: str = "seq") -> DataFrame:

@@ -190,6 +190,8 @@ class Tables:
         return self.read("supplier").join(nations, "s_nationkey").select(
             s.alias("id"), F.col("n_name").alias("location_name"), (s % 8).alias("weight"),
             F.when(s % 2 == 1, "#000000").otherwise(G.weight_color(s % 8)).alias("color"),
+            F.concat(F.lit("card "), s.cast("string"), pick([".md", " Hub.md", " Map.md"], F.when(s % 9 < 2, s % 9 + 1).otherwise(0))).alias("name"),
+            F.when(s % 3 == 0, 1.5).alias("lat"), F.when(s % 3 == 0, 2.5).alias("lon"),
         )
 
     @cached_property

@@ -97,10 +97,11 @@ def _(t):
 
 
 @query("a1_place_weights", f"""
-    WITH n AS (SELECT *, count(*) OVER (PARTITION BY location_name) AS w FROM travel_cards)
-    SELECT id, w AS new_weight, {Q.weight_color('w')} AS new_color FROM n WHERE weight <> w OR color <> {Q.weight_color('w')}""")
+    WITH n AS (SELECT *, count(*) OVER (PARTITION BY location_name) AS w FROM travel_cards WHERE NOT contains(name, 'Hub') AND NOT contains(name, 'Map'))
+    SELECT id, w AS new_weight, {Q.weight_color('w')} AS new_color, coalesce(n.lat, g.lat) AS lat, coalesce(n.lon, g.lon) AS lon
+    FROM n LEFT JOIN (SELECT * FROM gazetteer WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180) g ON lower(g.place) = lower(n.location_name) WHERE weight <> w OR color <> {Q.weight_color('w')}""")
 def _(t):
-    return CAT.reweighted(t.travel_cards).select("id", "new_weight", "new_color")
+    return CAT.reweighted(t.travel_cards, t.gazetteer).select("id", "new_weight", "new_color", "lat", "lon")
 
 
 def _board_rows(t):

@@ -431,14 +431,17 @@ def _(t):
 
 
 @query("k5_run_report", f"""
-    SELECT seq, CASE status WHEN 'unavailable' THEN '- UNAVAILABLE `' || url || '`: gone'
+    SELECT seq, CASE status WHEN 'unavailable' THEN CASE WHEN attempts >= 3 THEN '- UNAVAILABLE after ' || attempts || ' tries `' || url || '`: gone' ELSE '- UNAVAILABLE `' || url || '`: gone' END
       WHEN 'failed-retryable' THEN '- RETRY LATER `' || url || '` (attempt ' || attempts || '): gone'
       WHEN 'manual-review' THEN '- MANUAL REVIEW `card' || seq || '.md` `' || url || '`: gone'
-      ELSE '- card' || seq || '.md: **Tips** (music_only) tier=captions' || CASE WHEN status = 'needs-review' THEN ' REVIEW' ELSE '' END END AS line
+      ELSE '- card' || seq || '.md: **Tips** (music_only) conf=' || ['0.25', '0.5', '0.75', '1.0'][seq % 4 + 1] || ' items=' || seq % 6 || ' tier=captions transcript=' || ['captions', 'whisper', 'none'][seq % 3 + 1] ||
+        ' classifier=rules' || CASE WHEN status = 'needs-review' THEN ' REVIEW' ELSE '' END END AS line
     FROM analysis_state""")
 def _(t):
     rows = t.analysis_state.withColumns({
         "name": F.concat(F.lit("card"), F.col("seq").cast("string"), F.lit(".md")), "detail": F.lit("gone"),
-        "category": F.lit("Tips"), "shape": F.lit("music_only"), "tier": F.lit("captions"),
+        "category": F.lit("Tips"), "shape": F.lit("music_only"), "tier": F.lit("captions"), "classifier": F.lit("rules"),
+        "confidence": (F.col("seq") % 4 + 1) / 4.0, "items": F.col("seq") % 6, "transcript_source": pick(["captions", "whisper", "none"], F.col("seq") % 3),
+        "tries": F.when(F.col("attempts") >= 3, F.col("attempts")),
     })
     return writers.run_report(rows).select("seq", "line")

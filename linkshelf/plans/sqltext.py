@@ -237,7 +237,9 @@ DERIVED = {
         FROM lineitem""",
     "travel_cards": f"""
         SELECT s_suppkey AS id, n_name AS location_name, s_suppkey % 8 AS weight,
-               CASE WHEN s_suppkey % 2 = 1 THEN '#000000' ELSE {weight_color('s_suppkey % 8')} END AS color
+               CASE WHEN s_suppkey % 2 = 1 THEN '#000000' ELSE {weight_color('s_suppkey % 8')} END AS color,
+               'card ' || s_suppkey || CASE s_suppkey % 9 WHEN 0 THEN ' Hub.md' WHEN 1 THEN ' Map.md' ELSE '.md' END AS name,
+               CASE WHEN s_suppkey % 3 = 0 THEN 1.5::DOUBLE END AS lat, CASE WHEN s_suppkey % 3 = 0 THEN 2.5::DOUBLE END AS lon
         FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
     "gazetteer": """
         SELECT n_name AS place, CASE WHEN n_nationkey = 7 THEN 200.0::DOUBLE ELSE n_nationkey * 5.0::DOUBLE - 60 END AS lat,

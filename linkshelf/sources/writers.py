@@ -70,13 +70,21 @@ def write_table_csv(df: DataFrame, path: str) -> None:
 
 
 def run_report(results: DataFrame) -> DataFrame:
-    """One text line per processed item."""
+    """One text line per processed item.
+
+    ``tries`` is set where an item was given up after failed attempts, not found gone at once.
+    """
     line = (
-        F.when(F.col("status") == "unavailable", F.format_string("- UNAVAILABLE `%s`: %s", F.col("url"), F.col("detail")))
+        F.when((F.col("status") == "unavailable") & (F.col("tries") > 0), F.format_string(
+            "- UNAVAILABLE after %d tries `%s`: %s", F.col("tries"), F.col("url"), F.col("detail")))
+        .when(F.col("status") == "unavailable", F.format_string("- UNAVAILABLE `%s`: %s", F.col("url"), F.col("detail")))
         .when(F.col("status") == "failed-retryable", F.format_string("- RETRY LATER `%s` (attempt %d): %s", F.col("url"), F.col("attempts"), F.col("detail")))
         .when(F.col("status") == "manual-review", F.format_string("- MANUAL REVIEW `%s` `%s`: %s", F.col("name"), F.col("url"), F.col("detail")))
         .otherwise(F.concat(
-            F.format_string("- %s: **%s** (%s) tier=%s", F.col("name"), F.col("category"), F.col("shape"), F.col("tier")),
+            F.format_string(
+                "- %s: **%s** (%s) conf=%s items=%d tier=%s transcript=%s classifier=%s", F.col("name"), F.col("category"), F.col("shape"),
+                F.col("confidence").cast("string"), F.col("items"), F.col("tier"), F.col("transcript_source"), F.col("classifier"),
+            ),
             F.when(F.col("status") == "needs-review", " REVIEW").otherwise(""),
         ))
     )

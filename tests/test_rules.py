@@ -199,6 +199,13 @@ def test_reweighted_only_changed_rows(spark):
     rows = [(1, "Rome", 2, "#42A5F5"), (2, "Rome ", 9, "x"), (3, "", 0, "x"), (4, "Oslo", 1, "#42A5F5")]
     got = catalog.reweighted(spark.createDataFrame(rows, "id int, location_name string, weight int, color string")).collect()
     assert [(r.id, r.new_weight, r.new_color) for r in got] == [(2, 2, "#42A5F5")]
+    schema = "id int, name string, location_name string, weight int, color string, lat double, lon double"
+    rows = [(1, "a.md", "Rome", None, None, None, None), (2, "Rome Hub.md", "Rome", 0, "x", None, None), (3, "b.md", "Oslo", 3, "x", 1.0, 2.0),
+            (4, "Map.md", "Oslo", 0, "x", None, None), (5, "c.md", "Nowhere", 0, "x", None, None)]
+    places = spark.createDataFrame([("rome ", 41.9, 12.5), ("Oslo", 59.9, 10.7), ("nowhere", 95.0, 0.0)], "place string, lat double, lon double")
+    got = catalog.reweighted(spark.createDataFrame(rows, schema), places).collect()
+    assert sorted((r.id, r.new_weight, r.lat, r.lon) for r in got if r.id != 5) == [(1, 1, 41.9, 12.5), (3, 1, 1.0, 2.0)]
+    assert [(r.new_weight, r.lat) for r in got if r.id == 5] == [(1, None)]
 
 
 def test_migration_moves_pipeline_words(spark):
