@@ -218,10 +218,23 @@ def board_entries(rows: DataFrame, seq: str = "seq") -> DataFrame:
     return newest.drop("__desc")
 
 
-def merged_titles(clips: DataFrame, seq: str = "seq") -> DataFrame:
-    """Clips of one title: the first keeps the card, the others are events merged into it."""
+def merged_titles(clips: DataFrame, seq: str = "seq", notes: DataFrame | None = None) -> DataFrame:
+    """Clips of one title: the first keeps the card, the others are merged into it.
+
+    ``notes(title)`` are the cards that exist before the run; titles among them get no new card, all clips are merged.
+    """
     first = clips.groupBy("title").agg(F.min(seq).alias("__first"), F.count(F.lit(1)).alias("clips"))
-    return clips.join(first, "title").withColumn("merged", F.col(seq) != F.col("__first")).drop("__first")
+    if notes is None:
+        first = first.withColumn("__old", F.lit(False))
+    else:
+        first = first.join(notes.select("title").distinct().withColumn("__hit", F.lit(True)), "title", "left")
+        first = first.withColumn("__old", F.coalesce("__hit", F.lit(False))).drop("__hit")
+    return clips.join(first, "title").withColumn("merged", F.col("__old") | (F.col(seq) != F.col("__first"))).drop("__first", "__old")
+
+
+def merge_events(merged: DataFrame) -> DataFrame:
+    """Ledger events of a run over movie clips: ``merged`` for a clip that joined a card, ``carded`` for one that made it."""
+    return merged.select("url", F.when(F.col("merged"), "merged").otherwise("carded").alias("event"))
 
 
 def missing_hubs(folders: DataFrame, notes: DataFrame) -> DataFrame:

@@ -123,9 +123,20 @@ def _(t):
     return CAT.board_entries(_board_rows(t)).select("column", "position", F.concat(F.lit("- [ ] [["), "title", F.lit("]]")).alias("line"))
 
 
-@query("j10_movie_merge", "SELECT seq, title, count(*) OVER (PARTITION BY title) AS clips, seq <> min(seq) OVER (PARTITION BY title) AS merged FROM movies")
+_NOTED = "starts_with(title, 'SMALL')"  # titles that have a note before the run
+
+
+@query("j10_movie_merge", f"SELECT seq, title, count(*) OVER (PARTITION BY title) AS clips, {_NOTED} OR seq <> min(seq) OVER (PARTITION BY title) AS merged FROM movies")
+def _(t):
+    notes = t.movies.filter(F.startswith("title", F.lit("SMALL"))).select("title")
+    return CAT.merged_titles(t.movies, notes=notes).select("seq", "title", "clips", "merged")
+
+
+@query("j10_merge_events", f"""
+    SELECT url, CASE WHEN {_NOTED} OR seq <> min(seq) OVER (PARTITION BY title) THEN 'merged' ELSE 'carded' END AS event FROM movies""")
 def _(t):
-    return CAT.merged_titles(t.movies).select("seq", "title", "clips", "merged")
+    notes = t.movies.filter(F.startswith("title", F.lit("SMALL"))).select("title")
+    return CAT.merge_events(CAT.merged_titles(t.movies, notes=notes))
 
 
 @query("j12_missing_hubs", f"""
