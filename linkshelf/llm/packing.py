@@ -1,8 +1,10 @@
 """Packing token ids into fixed windows by concatenating and cutting.
 
-Pass one encodes each partition once and stores the ids with each document's place inside its partition. Prefix sums
-over the partitions' totals turn these places into global offsets. Pass two cuts every document where windows end, so
-a piece is known from its document and the offset alone (its boundary record) and no window is assembled in one task.
+Pass one encodes each partition once and stores the ids with each document's place inside its run. A run is a stretch of
+consecutive rows of one file that one task reads; a table that isn't read from files has one run for each partition.
+Prefix sums over the runs' totals, in the order of files and rows, turn these places into global offsets: documents of
+stored tables are packed in the order in which they are stored. Pass two cuts every document where windows end, so a
+piece is known from its document and the offset alone (its boundary record) and no window is assembled in one task.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are packed once each; an empty table gives no
 pieces; documents of any length are cut into as many pieces as they touch windows. Only the last window is padded.
@@ -13,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,6 @@ from linkshelf.session import materialize
 WINDOW_TOKENS = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k"
-_RANK_BLOCK = 1000
 
 
 class Encoder:
@@ -64,50 +66,58 @@ class Encoder:
         return np.array(self._ranks.encode_ordinary(text), np.uint32)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, file, row)``: where each row is stored, nulls for a table that isn't read from files."""
+    try:
+        return docs.select("doc_id", whole().alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return docs.select("doc_id", whole().alias("text"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("row"))
+
+
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """``(part, rank, doc_id, ids, n, start)``: little-endian ids with the end id, and the place inside the partition.
+    """``(file, run, doc_id, ids, n, start)``: little-endian ids with the end id, and the place inside the run.
 
     Stored in the shared folder: what later steps read doesn't change when a task is run again.
     """
 
     def encode(batches):
         encoder, part = Encoder.named(vocabulary), TaskContext.get().partitionId()
-        start = rank = 0
+        file, run, start, expected = None, part, 0, None
         for batch in batches:
-            ids, counts = [], []
-            for text in string_array(batch.column("text")):
-                one = np.append(encoder.ids(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                ids.append(one.tobytes())
-                counts.append(len(one))
-            counts = np.array(counts, np.int64)
-            ends = start + np.cumsum(counts)
-            rows = len(counts)
+            out = []
+            for text, at, row in zip(string_array(batch.column("text")), batch.column("file").to_pylist(), batch.column("row").to_pylist()):
+                if at != file or (row is not None and row != expected):
+                    file, run, start = at, part if row is None else row, 0
+                expected = None if row is None else row + 1
+                ids = np.append(encoder.ids(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+                out.append((file or "", run, ids.tobytes(), len(ids), start))
+                start += len(ids)
+            columns = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(rows, part, np.int64)), pa.array(np.arange(rank, rank + rows, dtype=np.int64)), batch.column("doc_id"),
-                pa.array(ids, pa.binary()), pa.array(counts), pa.array(ends - counts)], ["part", "rank", "doc_id", "ids", "n", "start"])
-            rank += rows
-            start = int(ends[-1]) if rows else start
+                pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), batch.column("doc_id"), pa.array(columns[2], pa.binary()),
+                pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], ["file", "run", "doc_id", "ids", "n", "start"])
 
-    rows = docs.select("doc_id", whole().alias("text"))
+    rows = _placed(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return materialize(rows.mapInArrow(encode, f"part bigint, rank bigint, doc_id {kind}, ids binary, n bigint, start bigint"), "packing")
+    return materialize(rows.mapInArrow(encode, f"file string, run bigint, doc_id {kind}, ids binary, n bigint, start bigint"), "packing")
 
 
 def offsets(tokens: DataFrame) -> DataFrame:
-    """``(part, base)``: ids in all partitions before. One row a partition, summed in blocks of partitions."""
-    totals = tokens.groupBy("part").agg(F.sum("n").alias("n")).withColumn("block", F.expr(f"part div {_RANK_BLOCK}"))
-    blocks = totals.groupBy("block").agg(F.sum("n").alias("n"))
+    """``(file, run, base)``: ids in all runs before. One row a run, summed inside files, then over files."""
+    totals = tokens.groupBy("file", "run").agg(F.sum("n").alias("n"))
+    files = totals.groupBy("file").agg(F.sum("n").alias("n"))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    first = blocks.select("block", F.coalesce(F.sum("n").over(before.partitionBy(F.lit(0)).orderBy("block")), F.lit(0)).alias("first"))
-    inside = F.coalesce(F.sum("n").over(before.partitionBy("block").orderBy("part")), F.lit(0))
-    return totals.withColumn("inside", inside).join(first, "block").select("part", (F.col("first") + F.col("inside")).alias("base"))
+    first = files.select("file", F.coalesce(F.sum("n").over(before.partitionBy(F.lit(0)).orderBy("file")), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("n").over(before.partitionBy("file").orderBy("run")), F.lit(0))
+    return totals.withColumn("inside", inside).join(first, "file").select("file", "run", (F.col("first") + F.col("inside")).alias("base"))
 
 
 def packed(docs: DataFrame, window: int = WINDOW_TOKENS, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """Pieces with their ids: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` (little-endian uint32)."""
     tokens = encoded(docs, vocabulary, end_id)
-    # One row of two integers for each partition of the input: small at any size, and the ids needn't be shuffled.
-    placed = tokens.join(F.broadcast(offsets(tokens)), "part").withColumn("at", F.col("base") + F.col("start"))
+    # One short row for each run, that is about one for each partition of the input: small at any size, and the ids
+    # needn't be shuffled.
+    placed = tokens.join(F.broadcast(offsets(tokens)), ["file", "run"]).withColumn("at", F.col("base") + F.col("start"))
     pieces = placed.withColumn("sequence_id", F.explode(F.expr(f"sequence(at div {window}, (at + n - 1) div {window})")))
     low = F.greatest(F.col("at"), F.col("sequence_id") * window)
     high = F.least(F.col("at") + F.col("n"), (F.col("sequence_id") + 1) * window)

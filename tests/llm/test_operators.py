@@ -186,6 +186,20 @@ def test_packing_round_trip(docs, none, corpus):
     assert packing.packing_table(none).count() == 0
 
 
+def test_packing_follows_the_order_of_stored_rows(spark, tmp_path):
+    rows = [(i, "word " * (i % 40), "en", "s") for i in range(400)]
+    frame(spark, rows).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.option("parquet.block.size", 4096).parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # files are split over tasks
+    try:
+        pieces = packing.packing_table(spark.read.parquet(str(tmp_path / "t"))).orderBy("sequence_id", "offset").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [p["doc_id"] for p in pieces if p["start"] == 0] == list(range(400))
+    at = [p["sequence_id"] * 2048 + p["offset"] for p in pieces]
+    assert at == np.cumsum([0] + [p["length"] for p in pieces])[:-1].tolist()
+
+
 def test_encoder_equals_the_tokenizer_file():
     import public_tokenizers
     from hypothesis import given, settings
