@@ -139,3 +139,8 @@ def start_gaps(log: DataFrame, seq: str, min_seconds: float) -> DataFrame:
     return rows.withColumn("gap_seconds", gap).withColumn(
         "too_soon", F.coalesce(F.col("gap_seconds") < min_seconds, F.lit(False))
     ).drop("__prev")
+
+
+def usage_by_key(log: DataFrame) -> DataFrame:
+    """Requests and input tokens of each key over a whole request log."""
+    return log.groupBy("key").agg(F.count(F.lit(1)).alias("requests"), F.sum("in_tokens").alias("in_tokens"))

@@ -412,3 +412,16 @@ def map_points(cards: DataFrame) -> DataFrame:
     """Travel cards with a usable location."""
     pinned = cards.filter(in_folder(F.col("folder"), "Travel")).withColumn("point", map_point(F.col("location")))
     return pinned.filter(F.col("point").isNotNull()).withColumn("lat", F.col("point.lat")).withColumn("lon", F.col("point.lon")).drop("point")
+
+
+def with_folders(rows: DataFrame, taxonomy: DataFrame, category: str = "cat") -> DataFrame:
+    """``rows`` with the folder of their category, the default one where the taxonomy has none."""
+    dim = taxonomy.select(F.col("category").alias(category), "folder")  # fixed size: one row per category
+    return rows.join(F.broadcast(dim), category, "left").withColumn("folder", F.coalesce("folder", F.lit(C.DEFAULT_FOLDER)))
+
+
+def first_names(items: DataFrame, key: str, name: str, cap: int) -> DataFrame:
+    """The first ``cap`` distinct names of each key as ``names``. Ranked before the list is built, so no list is longer."""
+    order = Window.partitionBy(key).orderBy(name)
+    ranked = items.select(key, name).distinct().withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= cap)
+    return ranked.groupBy(key).agg(F.array_sort(F.collect_list(name)).alias("names"))

@@ -188,3 +188,28 @@ def escalation_passes(items: DataFrame, summarize, limit: int = C.MAX_PASSES, st
             "dense": F.col("dense") | (F.col("step") == "densify"),
         }).select(*items.columns)
     return finished
+
+
+def duration_seconds(raw: Column) -> dict[str, Column]:
+    """``seconds`` of a reported duration, 0 where it is no number, and whether the item is too long to be analysed."""
+    seconds = F.coalesce(raw.try_cast("double"), F.lit(0.0))
+    return {"seconds": seconds, "rejected": seconds > C.MAX_VIDEO_SECONDS}
+
+
+def run_summary(state: DataFrame, keys: list[str]) -> DataFrame:
+    """Counters of a run from its state rows ``(status, attempts)``, and requests for each analysed item."""
+    s = F.col("status")
+    analyzed = F.count_if(s.isin("done", "needs-review"))
+    return state.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("scanned"), analyzed.alias("analyzed"), F.count_if(s == "unavailable").alias("unavailable"),
+        F.count_if(s == "failed-retryable").alias("retryable"), F.count_if(s == "needs-review").alias("needs_review"),
+        F.count_if(s == "manual-review").alias("manual_review"), F.count_if(F.col("attempts") == 0).alias("tier_metadata"),
+        F.count_if(F.col("attempts") == 3).alias("tier_visual"), (F.sum("attempts").cast("double") / F.nullif(analyzed, F.lit(0))).alias("per_item"),
+    )
+
+
+def review_rate(items: DataFrame, keys: list[str], manual: Column) -> DataFrame:
+    """Items, items left to a person, and their share."""
+    return items.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("items"), F.count_if(manual).alias("manual"), (F.count_if(manual) / F.count(F.lit(1))).alias("rate")
+    )

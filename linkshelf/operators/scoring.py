@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linkshelf import constants as C
 from linkshelf.functions.tags import known_category
 from linkshelf.functions.text import body_context, first_of, heading_title, text_or_blank
-from linkshelf.operators.ordered import last_by
+from linkshelf.operators.ordered import last_by, packed
 from linkshelf.operators.sets import union_all
 from linkshelf.session import materialize
 from linkshelf.sources.writers import read_or_empty
@@ -222,3 +222,16 @@ def merged_classification(df: DataFrame) -> DataFrame:
         "media_shape": F.when(shape_ok, F.col("c_shape")).otherwise(F.col("media_shape")),
         "category": F.when(override, F.col("c_category")).otherwise(F.col("category")),
     })
+
+
+def enrichment_batches(cards: DataFrame, order: str) -> DataFrame:
+    """Cards in request batches of ten: adds ``block, batch`` and ``item_id``, the place in the batch as text."""
+    rows = packed(cards, order, C.ENRICH_BATCH_SIZE)
+    return rows.withColumn("item_id", F.col("i").cast("string")).drop("i")
+
+
+def matched_enrichment(batched: DataFrame, answered: DataFrame) -> DataFrame:
+    """Batched cards with the answer to their item; ``skipped`` where the model gave none, and the card stays as it is."""
+    given = answered.withColumn("__given", F.lit(True))
+    rows = batched.join(given, ["block", "batch", "item_id"], "left")
+    return rows.withColumn("skipped", F.col("__given").isNull()).drop("__given")

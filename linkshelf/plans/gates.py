@@ -147,9 +147,14 @@ def _(t):
 
 
 @query("j5_enrichment_match", """
-    SELECT c.doc_id, s.cat, s.cat IS NULL AS skipped FROM cards c LEFT JOIN best_scores s ON s.doc_id = c.doc_id""")
+    WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM cards),
+    b AS (SELECT doc_id, r // 100000 AS block, r % 100000 // 10 AS batch, (r % 10)::VARCHAR AS item_id FROM n)
+    SELECT b.doc_id, b.block, b.batch, b.item_id, s.cat, s.doc_id IS NULL AS skipped FROM b LEFT JOIN best_scores s ON s.doc_id = b.doc_id""")
 def _(t):
-    return t.cards.join(t.best_scores, "doc_id", "left").select("doc_id", "cat", F.col("cat").isNull().alias("skipped"))
+    rows = S.enrichment_batches(t.cards.select("doc_id"), "doc_id")
+    # The model answers by batch and place; cards without a score got no answer.
+    answered = rows.join(t.best_scores, "doc_id").select("block", "batch", "item_id", "cat")
+    return S.matched_enrichment(rows, answered).select("doc_id", "block", "batch", "item_id", "cat", "skipped")
 
 
 @query("j6_snapshot_enrichment", """
@@ -167,8 +172,7 @@ def _(t):
 @query("j7_taxonomy_lookup", """
     SELECT s.doc_id, s.pos, s.cat, coalesce(t.folder, 'Inbox') AS folder FROM scores s LEFT JOIN taxonomy t ON t.category = s.cat""")
 def _(t):
-    dim = t.taxonomy.select(F.col("category").alias("cat"), "folder")  # fixed size: one row per category
-    return t.scores.join(F.broadcast(dim), "cat", "left").select("doc_id", "pos", "cat", F.coalesce("folder", F.lit(C.DEFAULT_FOLDER)).alias("folder"))
+    return CAT.with_folders(t.scores, t.taxonomy).select("doc_id", "pos", "cat", "folder")
 
 
 # --- visual gate ------------------------------------------------------------------------------
@@ -305,10 +309,7 @@ def _(t):
 
 @query("a10_review_rate", f"SELECT prompt_version, count(*) AS items, count(*) FILTER (WHERE s = 'manual-review') AS manual, count(*) FILTER (WHERE s = 'manual-review') / count(*) AS rate FROM (SELECT prompt_version, {_TERMINAL} AS s FROM analysis_state) GROUP BY prompt_version")
 def _(t):
-    rows = t.analysis_state.select("prompt_version", (_terminal() == "manual-review").alias("m"))
-    return rows.groupBy("prompt_version").agg(
-        F.count(F.lit(1)).alias("items"), F.count_if("m").alias("manual"), (F.count_if("m") / F.count(F.lit(1))).alias("rate")
-    )
+    return QU.review_rate(t.analysis_state, ["prompt_version"], _terminal() == "manual-review")
 
 
 # --- classifier ------------------------------------------------------------------------------------
@@ -553,21 +554,13 @@ def _(t):
       count(*) FILTER (WHERE status = 'manual-review') AS manual_review, count(*) FILTER (WHERE attempts = 0) AS tier_metadata, count(*) FILTER (WHERE attempts = 3) AS tier_visual,
       sum(attempts)::DOUBLE / nullif(count(*) FILTER (WHERE status IN ('done', 'needs-review')), 0) AS per_item FROM analysis_state GROUP BY prompt_version""")
 def _(t):
-    s = F.col("status")
-    analyzed = F.count_if(s.isin("done", "needs-review"))
-    return t.analysis_state.groupBy("prompt_version").agg(
-        F.count(F.lit(1)).alias("scanned"), analyzed.alias("analyzed"), F.count_if(s == "unavailable").alias("unavailable"),
-        F.count_if(s == "failed-retryable").alias("retryable"), F.count_if(s == "needs-review").alias("needs_review"),
-        F.count_if(s == "manual-review").alias("manual_review"), F.count_if(F.col("attempts") == 0).alias("tier_metadata"),
-        F.count_if(F.col("attempts") == 3).alias("tier_visual"), (F.sum("attempts").cast("double") / F.nullif(analyzed, F.lit(0))).alias("per_item"),
-    )
+    return QU.run_summary(t.analysis_state, ["prompt_version"])
 
 
 @query("p8_duration_guard", "SELECT event_id, coalesce(try_cast(raw AS DOUBLE), 0.0) AS seconds, coalesce(try_cast(raw AS DOUBLE), 0.0) > 180 AS rejected FROM (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'n/a' ELSE (value * 20)::VARCHAR END AS raw FROM events)")
 def _(t):
     raw = F.when(F.col("event_id") % 6 == 0, "n/a").otherwise((F.col("value") * 20).cast("string"))
-    seconds = F.coalesce(raw.try_cast("double"), F.lit(0.0))
-    return t.read("events").select("event_id", seconds.alias("seconds"), (seconds > C.MAX_VIDEO_SECONDS).alias("rejected"))
+    return t.read("events").select("event_id", *[c.alias(n) for n, c in QU.duration_seconds(raw).items()])
 
 
 # --- budget ---------------------------------------------------------------------------------------------

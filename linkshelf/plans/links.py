@@ -8,6 +8,7 @@ from linkshelf import constants as C
 from linkshelf import schemas
 from linkshelf.functions import urls as U
 from linkshelf.functions.tags import literal_map
+from linkshelf.operators import budget as BUD
 from linkshelf.operators import registry as R
 from linkshelf.operators.ordered import row_numbers
 from linkshelf.plans import sqltext as Q
@@ -375,7 +376,7 @@ def _(t):
     path = scratch_path(t.spark, "usage")
     t.request_log.select("ts", "key", "provider", "in_tokens", "out_tokens").write.parquet(path)
     log = t.spark.read.schema(schemas.REQUEST_LOG).parquet(path)
-    return log.groupBy("key").agg(F.count(F.lit(1)).alias("requests"), F.sum("in_tokens").alias("in_tokens"))
+    return BUD.usage_by_key(log)
 
 
 @query("s12_trimmed_info", """

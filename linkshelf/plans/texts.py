@@ -334,12 +334,7 @@ def _(t):
 @query("o4_array_caps", """
     SELECT video, array_to_string(list_slice(list_sort(list(DISTINCT name)), 1, 20), '|') AS first_items FROM items GROUP BY video""")
 def _(t):
-    names = t.items.select("video", "name").distinct()
-    from pyspark.sql import Window
-
-    # The cap is a top-k per video, so it is ranked before the list is built.
-    ranked = names.withColumn("r", F.row_number().over(Window.partitionBy("video").orderBy("name"))).filter("r <= 20")
-    return ranked.groupBy("video").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("first_items"))
+    return CAT.first_names(t.items, "video", "name", 20).select("video", F.array_join("names", "|").alias("first_items"))
 
 
 # --- taxonomy and tags ------------------------------------------------------------------------------
