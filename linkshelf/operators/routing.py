@@ -123,3 +123,39 @@ def dispatch_outcome(
         .when(name.isin(C.HIGH_VALUE), "card-high-value")
         .otherwise("card-generic")
     )
+
+
+def dispatched(lines: DataFrame, seq: str, quota_hit: Column) -> DataFrame:
+    """One run over the queue: ``lines`` with ``known`` and ``outcome``.
+
+    ``lines`` has ``url, valid, seen, fetch, category, confidence, parsed``. The run stops at the first line whose scoring
+    call meets the quota (``quota_hit``); that line and all after it stay queued.
+    """
+    rows = known_in_run(lines, seq, F.col("fetch") != "transient")
+    calls = F.col("valid") & ~F.col("known") & (F.col("fetch") == "ok")
+    stop = rows.agg(F.min(F.when(calls & quota_hit, F.col(seq))).alias("stop")).scalar()
+    outcome = dispatch_outcome(
+        valid=F.col("valid"), known=F.col("known"), fetch=F.col("fetch"), quota_stopped=F.coalesce(F.col(seq) >= stop, F.lit(False)),
+        category=F.col("category"), confidence=F.col("confidence"), parsed=F.col("parsed"),
+    )
+    return rows.withColumn("outcome", outcome)
+
+
+def kept_queue(run: DataFrame) -> DataFrame:
+    """Lines that stay queued after a run."""
+    return run.filter(F.startswith("outcome", F.lit("kept-")))
+
+
+def dispatch_cards(run: DataFrame) -> DataFrame:
+    """``url, folder, label`` of the cards a run makes. Its ledger events are one ``carded`` for each."""
+    made = run.filter(F.startswith("outcome", F.lit("card-")) | F.startswith("outcome", F.lit("manual-")))
+    manual = F.startswith("outcome", F.lit("manual-"))
+    name = canonical_category(F.col("category"))
+    label = (
+        F.when(F.col("outcome") == "manual-dead-link", C.DEFAULT_CATEGORY)
+        .when(F.col("outcome") == "manual-low-confidence", first_of(F.col("category"), F.lit(C.DEFAULT_CATEGORY)))
+        .when(F.col("outcome") == "manual-unparseable", name)
+        .when(known_category(name), name).otherwise(C.DEFAULT_CATEGORY)
+    )
+    folder = F.when(manual, F.lit(C.MANUAL_REVIEW_FOLDER)).otherwise(folder_for(label))
+    return made.select("url", folder.alias("folder"), label.alias("label"))

@@ -17,6 +17,7 @@ from linkshelf.operators.ordered import last_by, packed
 from linkshelf.plans import sqltext as Q
 from linkshelf.plans.derived import joined, pick
 from linkshelf.plans.registry import query
+from linkshelf.session import scratch_path
 
 # --- batches ---------------------------------------------------------------------------------
 
@@ -465,27 +466,71 @@ def _(t):
     return QU.escalation_passes(items, summarize).select("doc_id", "passes")
 
 
-@query("d13_dispatch", f"""
-    WITH l AS (SELECT c.seq, c.valid, c.url, c.url IN (SELECT url FROM known) AS stored, ['ok', 'ok', 'ok', 'transient', 'permanent'][c.seq % 7 % 5 + 1] AS fetched,
+_DISPATCH = f"""
+    WITH l AS (SELECT c.seq, c.line, c.valid, c.url, c.url IN (SELECT url FROM known) AS stored, ['ok', 'ok', 'ok', 'transient', 'permanent'][c.seq % 7 % 5 + 1] AS fetched,
         s.cat, s.confidence, c.seq % 13 <> 0 AS parsed FROM capture_urls c LEFT JOIN best_scores s ON s.doc_id = c.seq),
     h AS (SELECT url, min(seq) AS handled FROM l WHERE valid AND NOT stored AND fetched <> 'transient' GROUP BY url),
     j AS (SELECT l.*, stored OR coalesce(l.seq > h.handled, FALSE) AS known FROM l LEFT JOIN h ON h.url = l.url),
-    k AS (SELECT *, {Q.canonical_category('cat')} AS name FROM j)
-    SELECT seq, CASE WHEN NOT valid THEN 'kept-invalid' WHEN coalesce(known, FALSE) THEN 'skipped-known' WHEN fetched = 'transient' THEN 'kept-transient' WHEN fetched = 'permanent' THEN 'manual-dead-link'
+    q AS (SELECT min(seq) AS stop FROM j WHERE valid AND NOT known AND fetched = 'ok' AND {{quota}}),
+    k AS (SELECT *, {Q.canonical_category('cat')} AS name, coalesce(seq >= (SELECT stop FROM q), FALSE) AS stopped FROM j),
+    o AS (SELECT *, CASE WHEN NOT valid THEN 'kept-invalid' WHEN stopped THEN 'kept-stopped' WHEN coalesce(known, FALSE) THEN 'skipped-known'
+      WHEN fetched = 'transient' THEN 'kept-transient' WHEN fetched = 'permanent' THEN 'manual-dead-link'
       WHEN coalesce(cat, '') = '' OR coalesce(confidence, 0) < 0.7 THEN 'manual-low-confidence'
       WHEN NOT parsed AND name IN {Q.in_list(C.ACTIONABLE + [C.TRAVEL])} THEN 'manual-unparseable' WHEN name IN {Q.in_list(C.ACTIONABLE)} THEN 'card-actionable'
-      WHEN name = 'Travel' THEN 'card-travel' WHEN name IN {Q.in_list(C.HIGH_VALUE)} THEN 'card-high-value' ELSE 'card-generic' END AS outcome FROM k""")
-def _(t):
+      WHEN name = 'Travel' THEN 'card-travel' WHEN name IN {Q.in_list(C.HIGH_VALUE)} THEN 'card-high-value' ELSE 'card-generic' END AS outcome FROM k)"""
+_QUOTA_SQL = "seq >= (SELECT max(seq) * 0.6 FROM l) AND seq % 3 = 0"  # the quota ends in the last part of the queue
+
+
+def _dispatched(t, quota_hit):
     seq = F.col("seq")
-    scored = t.best_scores.select(F.col("doc_id").alias("seq"), "cat", "confidence")
+    scored = t.best_scores.select(F.col("doc_id").alias("seq"), F.col("cat").alias("category"), "confidence")
     rows = t.capture_urls.join(scored, "seq", "left").join(t.known.select("url", F.lit(True).alias("seen")), "url", "left")
-    rows = rows.withColumn("fetch", pick(["ok", "ok", "ok", "transient", "permanent"], seq % 7 % 5))
-    rows = RT.known_in_run(rows.withColumn("seen", F.coalesce("seen", F.lit(False))), "seq", F.col("fetch") != "transient")
-    outcome = RT.dispatch_outcome(
-        valid=F.col("valid"), known=F.col("known"), fetch=F.col("fetch"),
-        quota_stopped=F.lit(False), category=F.col("cat"), confidence=F.col("confidence"), parsed=seq % 13 != 0,
-    )
-    return rows.select("seq", outcome.alias("outcome"))
+    rows = rows.withColumns({
+        "fetch": pick(["ok", "ok", "ok", "transient", "permanent"], seq % 7 % 5), "seen": F.coalesce("seen", F.lit(False)), "parsed": seq % 13 != 0,
+    })
+    return RT.dispatched(rows, "seq", quota_hit)
+
+
+def _quota(t):
+    last = t.capture_urls.agg((F.max("seq") * 0.6).alias("m")).scalar()
+    return (F.col("seq") >= last) & (F.col("seq") % 3 == 0)
+
+
+@query("d13_dispatch", _DISPATCH.format(quota="FALSE") + " SELECT seq, outcome FROM o")
+def _(t):
+    return _dispatched(t, F.lit(False)).select("seq", "outcome")
+
+
+@query("d13_dispatch_stopped", _DISPATCH.format(quota=_QUOTA_SQL) + " SELECT seq, outcome FROM o")
+def _(t):
+    return _dispatched(t, _quota(t)).select("seq", "outcome")
+
+
+@query("d13_dispatch_queue", _DISPATCH.format(quota=_QUOTA_SQL) + " SELECT seq, line FROM o WHERE starts_with(outcome, 'kept-')")
+def _(t):
+    return RT.kept_queue(_dispatched(t, _quota(t))).select("seq", "line")
+
+
+@query("d13_dispatch_cards", _DISPATCH.format(quota=_QUOTA_SQL) + f""",
+    m AS (SELECT url, outcome, CASE WHEN outcome = 'manual-dead-link' THEN 'Miscellaneous' WHEN outcome = 'manual-low-confidence' THEN coalesce(nullif(cat, ''), 'Miscellaneous')
+        WHEN outcome = 'manual-unparseable' THEN name WHEN name IN {Q.in_list(C.CATEGORIES)} THEN name ELSE 'Miscellaneous' END AS label
+      FROM o WHERE starts_with(outcome, 'card-') OR starts_with(outcome, 'manual-'))
+    SELECT url, CASE WHEN starts_with(outcome, 'manual-') THEN {Q.lit(C.MANUAL_REVIEW_FOLDER)} ELSE {Q.folder('label')} END AS folder, label FROM m""")
+def _(t):
+    return RT.dispatch_cards(_dispatched(t, _quota(t)))
+
+
+@query("d13_dispatch_ledger", _DISPATCH.format(quota=_QUOTA_SQL) + """
+    SELECT url, 'carded' AS event, 'dispatch' AS source FROM o WHERE starts_with(outcome, 'card-') OR starts_with(outcome, 'manual-')""")
+def _(t):
+    """The run's events, appended to a ledger twice: the replay adds nothing."""
+    from linkshelf.sources import writers
+
+    path, schema = scratch_path(t.spark, "dispatch"), "url string, event string, source string"
+    events = RT.dispatch_cards(_dispatched(t, _quota(t))).select("url", F.lit("carded").alias("event"), F.lit("dispatch").alias("source"))
+    for _ in range(2):
+        writers.append_events(events, path, schema)
+    return t.spark.read.schema(schema).parquet(path)
 
 
 # --- state and attempts ------------------------------------------------------------------------------
