@@ -157,6 +157,21 @@ def keyframes(frames: DataFrame, key: str, at_ms: str, order: str, score: str, i
     return frames.join(timed, [key, order], "left").filter(F.col("__due") | cut).drop("__due")
 
 
+def caption_tracks(info: DataFrame) -> DataFrame:
+    """Caption tracks of raw metadata, one row each: ``video, bucket, lang, ext, entry, track_url``.
+
+    ``info`` has ``video`` and the maps ``subtitles`` and ``automatic_captions`` from language to an array of
+    ``ext, url``. ``entry`` is the place in that array.
+    """
+    buckets = F.array(
+        F.struct(F.lit("manual").alias("bucket"), F.col("subtitles").alias("tracks")),
+        F.struct(F.lit("auto").alias("bucket"), F.col("automatic_captions").alias("tracks")))
+    by_bucket = info.select("video", F.explode(buckets).alias("b")).select("video", "b.*")
+    by_lang = by_bucket.select("video", "bucket", F.explode("tracks").alias("lang", "entries"))
+    return by_lang.select("video", "bucket", "lang", F.posexplode("entries").alias("entry", "e")).select(
+        "video", "bucket", "lang", F.col("e.ext").alias("ext"), "entry", F.col("e.url").alias("track_url"))
+
+
 def ranked_tracks(tracks: DataFrame, limit: int = 3) -> DataFrame:
     """Best caption tracks per video: manual English, automatic English, manual, automatic.
 

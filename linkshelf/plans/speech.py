@@ -190,6 +190,41 @@ _TRACKS = """
       CASE bucket WHEN 'manual' THEN 0 ELSE 1 END, CASE lang WHEN 'en-orig' THEN 0 ELSE 1 END, lang) AS rank FROM tracks WHERE lang <> 'live_chat' AND ext IN ('vtt', 'json3'))"""
 
 
+_INFO_SQL = """
+    i AS (SELECT doc_id AS video, 'u/' || doc_id || '/' AS u, lang FROM documents),
+    raw AS (
+      SELECT video, 'manual' AS bucket, lang, 'srv1' AS ext, 0 AS entry, u || 'a' AS track_url FROM i WHERE video % 4 <> 0
+      UNION ALL SELECT video, 'manual', lang, 'vtt', 1, u || 'b' FROM i WHERE video % 4 <> 0
+      UNION ALL SELECT video, 'manual', 'live_chat', 'json3', 0, u || 'c' FROM i WHERE video % 4 <> 0
+      UNION ALL SELECT video, 'auto', 'en-orig', 'json3', 0, u || 'd' FROM i
+      UNION ALL SELECT video, 'auto', 'pt', 'vtt', 0, u || 'e' FROM i)"""
+
+
+def _caption_info(t):
+    """Raw metadata lines as the fetcher stores them, read back as maps."""
+    d, u = F.col("doc_id"), lambda k: F.concat(F.lit("u/"), F.col("doc_id").cast("string"), F.lit("/" + k))
+    entry = lambda ext, k: F.struct(F.lit(ext).alias("ext"), u(k).alias("url"))
+    subs = F.map_from_arrays(F.array("lang", F.lit("live_chat")), F.array(F.array(entry("srv1", "a"), entry("vtt", "b")), F.array(entry("json3", "c"))))
+    auto = F.map_from_arrays(F.array(F.lit("en-orig"), F.lit("pt")), F.array(F.array(entry("json3", "d")), F.array(entry("vtt", "e"))))
+    line = F.to_json(F.struct(F.when(d % 4 != 0, subs).alias("subtitles"), auto.alias("automatic_captions")))
+    tracks = "map<string,array<struct<ext:string,url:string>>>"
+    info = F.from_json(line, f"subtitles {tracks}, automatic_captions {tracks}")
+    return t.documents.select(d.alias("video"), info.alias("i")).select("video", "i.*")
+
+
+@query("w12_caption_tracks", f"WITH {_INFO_SQL} SELECT video, bucket, lang, ext, entry, track_url FROM raw")
+def _(t):
+    return TR.caption_tracks(_caption_info(t))
+
+
+@query("w12_info_to_best_track", f"""
+    WITH {_INFO_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY CASE WHEN lang = 'en' OR starts_with(lang, 'en-') OR starts_with(lang, 'eng') THEN 0 ELSE 1 END,
+      CASE bucket WHEN 'manual' THEN 0 ELSE 1 END, CASE lang WHEN 'en-orig' THEN 0 ELSE 1 END, lang) AS rank FROM raw WHERE lang <> 'live_chat' AND ext IN ('vtt', 'json3'))
+    SELECT video, rank, track_url FROM ranked WHERE rank <= 3""")
+def _(t):
+    return TR.ranked_tracks(TR.caption_tracks(_caption_info(t))).select("video", "rank", "track_url")
+
+
 @query("w12_track_ranking", f"WITH {_TRACKS} SELECT video, rank, track_url FROM ranked WHERE rank <= 3")
 def _(t):
     return TR.ranked_tracks(_tracks(t)).select("video", "rank", "track_url")

@@ -288,6 +288,30 @@ def _(t):
     return t.fetch_log.select("doc_id", K.manual_card(F.col("url"), summary, F.lit(0.0), F.lit("")).alias("content"))
 
 
+@query("t19_travel_card", f"""
+    WITH r AS (SELECT id, 'https://v.example.com/t/' || id AS url, name AS summary, location_name, CASE WHEN id % 4 <> 0 THEN location_name END AS destination,
+        CASE WHEN id % 5 = 0 THEN 'manual-review' WHEN lat IS NULL THEN 'unmapped-travel' ELSE 'mapped' END AS stage, CASE WHEN id % 5 <> 0 THEN lat END AS lat, lon,
+        CASE WHEN id % 2 = 0 THEN 'Main St ' || id END AS address FROM travel_cards)
+    SELECT id, '---' || chr(10) || 'category: "Travel"' || chr(10) || 'creator: "Unknown"' || chr(10) || 'url: ' || {Q.quoted('url')} || chr(10) || 'status: "inbox"' || chr(10) ||
+      'stage: ' || {Q.quoted('stage')} || chr(10) || 'confidence: 0.75' || chr(10) || 'summary: ' || {Q.quoted('summary')} || chr(10) ||
+      CASE WHEN destination IS NOT NULL THEN 'destination: ' || {Q.quoted('destination')} || chr(10) ELSE '' END ||
+      CASE WHEN stage <> 'manual-review' THEN 'location_name: ' || {Q.quoted('location_name')} || chr(10) || 'weight: 0' || chr(10) || 'mapMarkerColor: "{C.WEIGHT_ZERO_COLOR}"' || chr(10) ELSE '' END ||
+      CASE WHEN lat IS NOT NULL THEN 'location: [' || format('{{:.6f}}', lat) || ', ' || format('{{:.6f}}', lon) || ']' || chr(10) ELSE '' END ||
+      CASE WHEN address IS NOT NULL THEN 'address: ' || {Q.quoted('address')} || chr(10) ELSE '' END ||
+      'tags:' || chr(10) || '  - saved-media' || chr(10) || '  - category/travel' || chr(10) || '  - ' || {Q.case_map('stage', C.ROUTE_TAGS)} || chr(10) || '---' || chr(10) || chr(10) ||
+      '# ' || coalesce(destination, summary) || chr(10) || chr(10) || '> **Summary:** ' || summary || chr(10) || chr(10) || '- **Creator:** @Unknown' || chr(10) ||
+      '- **Source Link:** [' || url || '](' || url || ')' || chr(10) || CASE WHEN destination IS NOT NULL THEN '- **Destination:** ' || destination || chr(10) ELSE '' END ||
+      chr(10) || '## Notes' || chr(10) || summary || chr(10) AS content FROM r""")
+def _(t):
+    i, none = F.col("id"), F.lit(None).cast("string")
+    stage = F.when(i % 5 == 0, "manual-review").when(F.col("lat").isNull(), "unmapped-travel").otherwise("mapped")
+    content = K.travel_card(
+        category=F.lit("Travel"), title=none, creator=none, url=F.concat(F.lit("https://v.example.com/t/"), i.cast("string")), summary=F.col("name"),
+        destination=F.when(i % 4 != 0, F.col("location_name")), location_name=F.col("location_name"), stage=stage, confidence=F.lit(0.75),
+        lat=F.when(i % 5 != 0, F.col("lat")), lon=F.col("lon"), address=F.when(i % 2 == 0, F.concat(F.lit("Main St "), i.cast("string"))))
+    return t.travel_cards.select("id", content.alias("content"))
+
+
 @query("t20_analysis_block", f"""
     WITH l AS (SELECT doc_id, lang, source, string_split(text, chr(10)) AS findings FROM documents)
     SELECT doc_id, '<!-- crusher:start -->' || chr(10) || '## Video Analysis' || chr(10) || chr(10) || '> **Summary:** from ' || source || chr(10) || chr(10) ||
@@ -314,6 +338,22 @@ def _(t):
     return t.video_metadata.select("doc_id", T.capped_state(state).alias("state"))
 
 
+@query("t21_analysis_state_text", """
+    WITH r AS (SELECT v.doc_id, v.title, v.creator, v.description, v.tags, c.folder, v.text, c.summary, string_split(v.text, chr(10)) AS f
+        FROM video_metadata v JOIN cards c ON c.doc_id = v.doc_id),
+    s AS (SELECT doc_id, 'Title: ' || title || chr(10) || 'Creator: ' || coalesce(creator, '') || chr(10) || 'Caption: ' || description || chr(10) ||
+      'Hashtags: ' || array_to_string(tags, ', ') || chr(10) || 'Current folder: ' || coalesce(nullif(folder, ''), 'unknown') || chr(10) || 'Transcript (captions): ' || text || chr(10) ||
+      'Summary: ' || summary || chr(10) || 'Findings: ' || array_to_string(list_slice(f, 1, 15), ' | ') || CASE WHEN doc_id % 3 <> 0 THEN chr(10) || 'Items: ' || folder || '; ' || 'x' ELSE '' END AS s FROM r)
+    SELECT doc_id, CASE WHEN length(s) > 24000 THEN left(s, 24000) || ' [truncated]' ELSE s END AS state FROM s""")
+def _(t):
+    rows = t.video_metadata.join(t.cards.select("doc_id", "folder", "summary"), "doc_id")
+    items = F.when(F.col("doc_id") % 3 != 0, F.array(F.col("folder"), F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    state = T.analysis_state_text(
+        F.col("title"), F.col("creator"), F.col("description"), F.col("tags"), F.col("folder"), F.lit("captions"), F.col("text"),
+        F.col("summary"), F.split("text", "\n"), items)
+    return rows.select("doc_id", T.capped_state(state).alias("state"))
+
+
 @query("t22_token_estimate", "SELECT doc_id, length(text) // 4 + 400 + (doc_id % 5) * 300 AS tokens, length(text) // 4 + 400 + floor(greatest(duration, 1.0) * 1.0 * 100)::BIGINT AS clip_tokens FROM video_metadata")
 def _(t):
     chars = F.length("text")
