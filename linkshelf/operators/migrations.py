@@ -75,20 +75,25 @@ def backfilled_travel(cards: DataFrame) -> DataFrame:
 
 
 def child_rows(parents: DataFrame) -> DataFrame:
-    """One row per extracted item of ``parents(url, stem, creator, category, items)``."""
-    rows = parents.select("url", "stem", "creator", "category", F.explode("items").alias("item"))
-    return child_columns(rows.select("url", "stem", "creator", F.col("category").alias("parent_category"), "item.*"))
+    """One row per extracted item of ``parents(url, stem, creator, category, items)``. The folder name is made once a parent."""
+    rows = parents.select("url", "stem", "creator", "category", safe_filename(F.col("stem"), 50).alias("parent_folder"), "items")
+    rows = rows.select("url", "stem", "creator", "category", "parent_folder", F.explode("items").alias("item"))
+    return child_columns(rows.select("url", "stem", "creator", F.col("category").alias("parent_category"), "parent_folder", "item.*"))
 
 
 def child_columns(rows: DataFrame) -> DataFrame:
-    """Inherited and kind-specific fields of item rows (``kind, name, artist, location_name, position``)."""
+    """Inherited and kind-specific fields of item rows (``kind, name, artist, location_name, position``).
+
+    ``parent_folder``, where there is one, is the file name of ``stem``.
+    """
+    folder = F.col("parent_folder") if "parent_folder" in rows.columns else safe_filename(F.col("stem"), 50)
     kind, category = F.col("kind"), F.col("child_category")
     rows = rows.withColumn("child_category", item_category(kind, F.col("parent_category")))
     destination = kind == "destination"
     nothing = F.lit(None).cast("string")
     named_place = F.coalesce(F.nullif(F.col("location_name"), F.lit("")), F.col("name"))
     return rows.withColumns({
-        "child_folder": F.concat(folder_for(category), F.lit("/"), safe_filename(F.col("stem"), 50)),
+        "child_folder": F.concat(folder_for(category), F.lit("/"), folder),
         "child_stem": safe_filename(F.col("name"), 60, "Item"),
         "item_id": item_id(F.col("url"), kind, F.col("name"), F.col("position")),
         "child_tags": F.array(F.lit(C.SAVED_TAG), category_tag(category), F.concat(F.lit("crusher-item/"), kind)),

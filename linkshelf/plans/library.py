@@ -277,6 +277,21 @@ _CHILDREN = f"""
       CASE WHEN kind = 'destination' THEN 0 END AS child_weight, CASE WHEN kind = 'destination' THEN '#9E9E9E' END AS child_color FROM c)"""
 
 
+@query("v3_child_rows", f"WITH {_CHILDREN} SELECT url, kind, name, position, child_folder, item_id, child_tags FROM ch")
+def _(t):
+    """Analysed parents, each with its items in one array, exploded into child rows."""
+    v, p = F.col("video"), F.col("position")
+    item = F.struct(
+        "kind", "name", F.when(p % 2 == 0, F.concat(F.lit("artist "), p.cast("string"))).alias("artist"),
+        F.when(p % 3 == 0, "Lisbon").alias("location_name"), "position",
+    )
+    parents = t.items.groupBy("video").agg(F.collect_list(item).alias("items")).select(
+        F.concat(F.lit("https://v.example.com/o/"), v.cast("string")).alias("url"), F.concat(F.lit("Order: "), v.cast("string")).alias("stem"),
+        F.lit("maker").alias("creator"), pick(C.CATEGORIES, v % 14).alias("category"), "items",
+    )
+    return MG.child_rows(parents).select("url", "kind", "name", "position", "child_folder", "item_id", joined(F.col("child_tags")).alias("child_tags"))
+
+
 @query("v3_child_cards", f"WITH {_CHILDREN} SELECT * FROM ch")
 def _(t):
     return _children(t).select(
