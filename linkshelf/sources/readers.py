@@ -76,8 +76,12 @@ def read_cards(spark: SparkSession, root: str) -> DataFrame:
     """Markdown cards below ``root`` that carry a URL.
 
     Dot files, dot folders and undecodable notes are skipped. Spark's file listing also skips
-    names that start with an underscore, so such notes must be landed as table rows instead.
+    names that start with an underscore; such notes are an error here, as they would be lost
+    without a word. Rename them, or land them as table rows for ``parsed_cards``.
     """
+    unseen = _underscored(spark, root)
+    if unseen:
+        raise ValueError(f"Spark's file listing skips {unseen[0]} and names like it")
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     )
@@ -87,6 +91,18 @@ def read_cards(spark: SparkSession, root: str) -> DataFrame:
     return parsed_cards(text.filter(~F.rlike("path", F.lit(r"/\.[^/]"))))
 
 
+def _underscored(spark: SparkSession, root: str, depth: int = 8) -> list[str]:
+    """Notes, or folders of notes, whose names start with an underscore, up to ``depth`` folders below ``root``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for level in range(depth):
+        for name in ("_*.md", "_*/*.md"):
+            found = files.globStatus(path("/".join([root.rstrip("/"), *["*"] * level, name])))
+            if found:
+                return [status.getPath().toString() for status in found]
+    return []
+
+
 def parsed_cards(notes: DataFrame) -> DataFrame:
     """Front matter of ``notes(path, content)``: only notes with a URL are cards."""
     content, block = F.col("content"), F.col("block")

@@ -78,3 +78,14 @@ def test_metadata_prunes_unread_fields(spark, tmp_path):
     assert info.first().entries[0].asDict() == {"url": "u", "thumbnail": "h"}
     plan = info.select("title")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<title:string>" in plan
+
+
+def test_notes_that_the_listing_skips_are_an_error(spark, tmp_path):
+    folder = tmp_path / "Movies" / "Old"
+    folder.mkdir(parents=True)
+    note = '---\nurl: "https://a/x"\nstatus: "inbox"\n---\n# n\n'
+    (folder / "n.md").write_text(note)
+    assert [(r.url, r.status) for r in readers.read_cards(spark, str(tmp_path)).collect()] == [("https://a/x", "inbox")]
+    (folder / "_CON.md").write_text(note)
+    with pytest.raises(ValueError, match="_CON.md"):
+        readers.read_cards(spark, str(tmp_path))
