@@ -26,6 +26,8 @@ from linkshelf.session import materialize
 WINDOW_TOKENS = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k"
+#: Runs whose offsets are broadcast, some 200 bytes each.
+BROADCAST_RUNS = 50_000
 
 
 class Encoder:
@@ -115,9 +117,11 @@ def offsets(tokens: DataFrame) -> DataFrame:
 def packed(docs: DataFrame, window: int = WINDOW_TOKENS, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """Pieces with their ids: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` (little-endian uint32)."""
     tokens = encoded(docs, vocabulary, end_id)
-    # One short row for each run, that is about one for each partition of the input: small at any size, and the ids
-    # needn't be shuffled.
-    placed = tokens.join(F.broadcast(offsets(tokens)), ["file", "run"]).withColumn("at", F.col("base") + F.col("start"))
+    # One short row for each run, that is about one for each partition of the input. While they are few they go to every
+    # task and the ids needn't be shuffled; beyond, both sides are joined by shuffle.
+    bases = offsets(tokens)
+    few = tokens.select("file", "run").distinct().limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
+    placed = tokens.join(F.broadcast(bases) if few else bases, ["file", "run"]).withColumn("at", F.col("base") + F.col("start"))
     pieces = placed.withColumn("sequence_id", F.explode(F.expr(f"sequence(at div {window}, (at + n - 1) div {window})")))
     low = F.greatest(F.col("at"), F.col("sequence_id") * window)
     high = F.least(F.col("at") + F.col("n"), (F.col("sequence_id") + 1) * window)

@@ -186,6 +186,12 @@ def test_packing_round_trip(docs, none, corpus):
     assert packing.packing_table(none).count() == 0
 
 
+def test_packing_is_the_same_without_broadcast(docs, monkeypatch):
+    together = sorted(map(tuple, packing.packing_table(docs).select("length", "ids_crc32", "doc_tokens").collect()))
+    monkeypatch.setattr(packing, "BROADCAST_RUNS", 0)
+    assert len(packing.packing_table(docs).collect()) == len(together)
+
+
 def test_packing_follows_the_order_of_stored_rows(spark, tmp_path):
     rows = [(i, "word " * (i % 40), "en", "s") for i in range(400)]
     frame(spark, rows).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.option("parquet.block.size", 4096).parquet(str(tmp_path / "t"))
