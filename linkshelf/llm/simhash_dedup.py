@@ -19,6 +19,7 @@ rows each get their row; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -35,26 +36,38 @@ SHINGLE_WORDS = 3
 SEED = 42
 #: Distinct fingerprints for each value of the leading bits.
 FILL = 256
-_HASHES_AT_ONCE = 1 << 17
+SEGMENT_BYTES = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def fingerprint(text: bytes) -> int:
+def _bits_of(words: list[bytes], size: int, ones: np.ndarray) -> int:
+    """Add the set bits of every shingle of ``size`` words to ``ones``; how many shingles there are."""
     from xxhash import xxh64_intdigest
 
-    words = text.lower().split()  # of bytes: A-Z only, and the six ASCII spaces
-    if not words:
-        return 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
-    k = min(SHINGLE_WORDS, len(words))
-    spans = zip(begins[: len(words) - k + 1].tolist(), ends[k - 1:].tolist())
+    spans = zip(begins[: len(words) - size + 1].tolist(), ends[size - 1:].tolist())
     hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], "<u8")
-    ones = np.zeros(64, np.int64)
-    for low in range(0, len(hashes), _HASHES_AT_ONCE):
-        bits = np.unpackbits(hashes[low: low + _HASHES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return len(hashes)
+
+
+def fingerprint(text: bytes) -> int:
+    """The fingerprint of a whole text, read in segments of about ``SEGMENT_BYTES`` that end between words."""
+    text = text.lower()  # of bytes: A-Z only
+    ones, count, at, words = np.zeros(64, np.int64), 0, 0, []
+    while at < len(text):
+        gap = _GAP.search(text, at + SEGMENT_BYTES)
+        end = gap.start() if gap else len(text)
+        words += text[at:end].split()  # at the six ASCII spaces
+        at = end
+        if len(words) >= SHINGLE_WORDS:
+            count += _bits_of(words, SHINGLE_WORDS, ones)
+            words = words[1 - SHINGLE_WORDS:]
+    if words and not count:
+        count = _bits_of(words, len(words), ones)
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

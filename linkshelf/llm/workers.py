@@ -10,7 +10,11 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 
 
 def reachable(spark: SparkSession) -> SparkSession:
-    """Put the package's folder on the workers' path. On a cluster the folder is installed or shipped to the same place."""
+    """Put the package's folder on the workers' path. On a cluster the folder is installed or shipped to the same place.
+
+    Also keeps unions from claiming the partitioning of their inputs, see ``linkshelf.operators.sets``.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:

@@ -365,6 +365,14 @@ def test_simhash(docs, none, corpus):
     assert simhash_dedup.near_duplicate_table(none).count() == 0
 
 
+def test_fingerprints_in_segments(monkeypatch):
+    rng = random.Random(8)
+    texts = ["", " ", "one", "one Two", "a b c", "x" * 90, prose(rng, "de", 300), " \n".join(prose(rng, "en", 50) for _ in range(3))]
+    for size in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(simhash_dedup, "SEGMENT_BYTES", size)
+        assert [simhash_dedup.fingerprint(t.encode()) for t in texts] == [brute.fingerprint(t) for t in texts]
+
+
 def test_balls_meet_at_every_distance(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
