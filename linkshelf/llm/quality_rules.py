@@ -50,20 +50,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse, grown as needed."""
+_STEP = 1 << 16
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << int(n).bit_length()
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            cls.up = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, _BASE))])
-            cls.down = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, inverse))])
-        return cls.up, cls.down
+def _tables(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` up to 2**32 as products of two small tables."""
+    low = np.cumprod(np.r_[np.uint64(1), np.full(_STEP - 1, base, np.uint64)])
+    return low, np.cumprod(np.r_[np.uint64(1), np.full(_STEP - 1, pow(base, _STEP, 1 << 64), np.uint64)])
+
+
+_UP, _DOWN = _tables(int(_BASE)), _tables(pow(int(_BASE), -1, 1 << 64))
+
+
+def _prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of each byte times the power of its place, from 0 on."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    for at in range(0, len(data), _STEP):
+        part = data[at: at + _STEP].astype(np.uint64) + np.uint64(1)
+        out[at + 1: at + 1 + len(part)] = part * _UP[0][: len(part)] * _UP[1][at // _STEP]
+    return np.cumsum(out, out=out)
+
+
+def _hashes(sums: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans, the same wherever the span stands."""
+    return _mixed((sums[ends] - sums[begins]) * _DOWN[0][begins % _STEP] * _DOWN[1][begins // _STEP])
 
 
 def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,10 +101,9 @@ def text_statistics(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarra
     ends = word.copy()
     ends[:-1] &= gap[1:] | first[1:]
     ws, we = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _Powers.of(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
+    sums = _prefix_sums(data)
     row = np.searchsorted(starts, ws, side="right") - 1
-    hashes = _mixed((sums[we] - sums[ws]) * down[ws])
+    hashes = _hashes(sums, ws, we)
     repeated = np.zeros(len(ws), bool)
     if len(ws) > 2:
         inside = np.flatnonzero(row[2:] == row[:-2])
@@ -109,7 +118,7 @@ def text_statistics(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarra
     ls, le = breaks[full], line_ends[full]
     le = le - (data[le - 1] == 10)
     line_row = np.searchsorted(starts, ls, side="right") - 1
-    lines = _mixed((sums[le] - sums[ls]) * down[ls]) + _mixed((le - ls).astype(np.uint64))
+    lines = _hashes(sums, ls, le) + _mixed((le - ls).astype(np.uint64))
     _, later = _repeats(_mixed(lines + _mixed(line_row.astype(np.uint64) + np.uint64(7))))
     symbol = np.zeros(256, bool)
     symbol[list(_SYMBOLS)] = True
