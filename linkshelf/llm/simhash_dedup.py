@@ -155,14 +155,15 @@ def links(distinct: DataFrame, count: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, digest, fp, component_id)`` of every row."""
+    """``(doc_id, digest, fp, root, component_id)`` of every row. ``root``, the least fingerprint of its component, is the
+    component's key; ``component_id`` is none: it is null for all without ids, and one id may stand on unlinked texts."""
     prints = fingerprints(docs)
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     joined = components(links(distinct.select("fp"), distinct.count()))
     rooted = distinct.join(joined, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     apart = dealt_apart("root").alias("apart")
-    named = rooted.select(F.col("fp").alias("k"), "root", apart).join(least.select("*", apart), ["root", "apart"]).select("k", "component_id")
+    named = rooted.select(F.col("fp").alias("k"), "root", apart).join(least.select("*", apart), ["root", "apart"]).select("k", "root", "component_id")
     return prints.join(named, F.col("fp") == F.col("k")).drop("k")
 
 
@@ -171,15 +172,15 @@ def near_duplicate_table(docs: DataFrame) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least id; with the columns of ``docs``.
+    """One document of each component, the one with the least id (a null one if there is no other); with the columns of ``docs``.
 
-    Rows of a component's least id that differ in text, or repeat it, are told apart by the text's hash; one stays.
+    Rows of a component's least id that differ in text, or repeat it, are told apart by the text's hash; one stays. Equal
+    hashes are equal texts, so no two components choose the same id and hash.
     """
-    found = near_duplicates(docs)
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    chosen = found.filter(stays).groupBy("component_id").agg(F.min("digest").alias("s_digest")).withColumnRenamed("component_id", "s_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("s_id"), F.col("digest").alias("s_digest")))
+    chosen = near_duplicates(docs).groupBy("root").agg(least.alias("least")).select("least.s_id", "least.s_digest")
     digest, nth = fresh(docs, "digest", "nth")
     rows = docs.withColumn(digest, F.xxhash64(whole())).join(
         chosen, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col(digest) == F.col("s_digest")), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(digest)
+    once = Window.partitionBy("doc_id", digest).orderBy(digest)
     return rows.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1).drop(digest, nth)

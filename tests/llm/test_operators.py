@@ -365,6 +365,18 @@ def test_simhash(docs, none, corpus):
     assert simhash_dedup.near_duplicate_table(none).count() == 0
 
 
+def test_near_copies_without_ids_and_with_one_id_on_two_texts(spark):
+    rng = random.Random(31)
+    texts = [prose(rng, "en", 80) for _ in range(30)]
+    rows = [(None, t, "en", "s") for t in texts[:20]] + [(7, texts[20], "en", "s"), (7, texts[21], "en", "s"), (8, texts[22], "en", "s")]
+    rows += [(None, texts[0], "en", "s"), (None, texts[22], "en", "s"), (3, texts[1].upper(), "en", "s"), (7, texts[20], "en", "s")]
+    fps = [brute.fingerprint(t) for _, t, _, _ in rows]
+    assert len(set(fps)) == 23 == len(set(brute.components(list(range(len(rows))), fps)))  # no two of the texts are linked
+    left = sorted(((r["doc_id"], r["text"]) for r in simhash_dedup.without_near_copies(frame(spark, rows)).collect()), key=key)
+    expected = [(None, texts[0]), *[(None, t) for t in texts[2:20]], (3, texts[1].upper()), (7, texts[20]), (7, texts[21]), (8, texts[22])]
+    assert left == sorted(expected, key=key)
+
+
 def test_fingerprints_in_segments(monkeypatch):
     rng = random.Random(8)
     texts = ["", " ", "one", "one Two", "a b c", "x" * 90, prose(rng, "de", 300), " \n".join(prose(rng, "en", 50) for _ in range(3))]
