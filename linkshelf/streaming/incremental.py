@@ -56,15 +56,17 @@ def deduplicated(events: DataFrame, ts: str, lateness: str = "1 hour") -> DataFr
 
 
 def dedupe_stream(events: DataFrame, ts: str, table: str, checkpoint: str, known: DataFrame | None = None, lateness: str = "1 hour") -> StreamingQuery:
-    """URLs of ``events`` once each, over any span of time: state drops repeats within the watermark, the table and
-    ``known`` (a ledger) those that come later."""
+    """URLs of ``events`` once each, over any span of time: the table and ``known`` (a ledger) drop repeats.
+
+    No watermark: it would drop a URL whose only event is late. ``ts`` and ``lateness`` have no effect on the result.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         urls = batch.select("url").distinct()
         fresh = without_known(urls, read_or_empty(batch.sparkSession, table, "url string"))
         (without_known(fresh, known.select("url")) if known is not None else fresh).write.mode("append").parquet(table)
 
-    return _run(deduplicated(events, ts, lateness), handle, checkpoint)
+    return _run(events, handle, checkpoint)
 
 
 def updates_stream(updates: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

@@ -57,6 +57,22 @@ def test_attempts_stream(spark, tmp_path):
     assert results[0] == results[1] == [("u", 5, "unavailable", 3), ("v", 7, "failed-retryable", 3)]
 
 
+def test_dedupe_stream_keeps_late_urls(spark, tmp_path):
+    """Event times run backwards over the micro-batches, by days: none is too late, repeats stay out, known ones too."""
+    parts = [[("a", "2024-03-05"), ("b", "2024-03-05")], [("c", "2024-03-03"), ("a", "2024-03-03")], [("d", "2024-03-01"), ("k", "2024-03-01")], [("e", "2024-02-01"), ("c", "2024-03-06")]]
+    for part in parts:
+        rows = spark.createDataFrame(part, "url string, at string").select("url", F.to_timestamp("at").alias("ts")).coalesce(1)
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    events = spark.readStream.schema("url string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    known = spark.createDataFrame([("k",)], "url string")
+    for ck in ("a", "b"):  # a lost checkpoint replays every file
+        query = INC.dedupe_stream(events, "ts", f"{tmp_path}/out", f"{tmp_path}/{ck}", known)
+        query.awaitTermination()
+        assert len({p["batchId"] for p in query.recentProgress if p["numInputRows"]}) == len(parts)
+        assert sorted(r.url for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "c", "d", "e"]
+
+
 def test_retry_lane_gives_up_at_the_limit(spark, tmp_path):
     drop_files(tmp_path / "in", [["flaky", "ok"], ["x"], ["y"], ["z"]])
     outcome = lambda df: df.withColumn("result", F.when(F.col("line") == "flaky", "transient").otherwise("ok"))
