@@ -339,6 +339,26 @@ def test_quality_rules(docs, none, corpus):
     assert quality_rules.rule_table(none).count() == 0
 
 
+def test_each_statistic_rejects_alone_in_a_clean_group(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    clean = lambda n: [word() for _ in range(n)]
+    rows = [(i, "\n".join(" ".join(clean(12)) for _ in range(6)), "en", "s") for i in range(100)]
+    few, lines = clean(10), []
+    while len(lines) < 60:  # no three words in a row occur twice
+        at = rng.choice(few)
+        if tuple((lines + [at])[-3:]) not in set(zip(lines, lines[1:], lines[2:])):
+            lines.append(at)
+    block = clean(23)
+    symbols = clean(72)
+    symbols[3:10] = [w + "#" for w in symbols[3:10]]
+    rows += [(100, "\n".join(lines), "en", "s"), (101, " ".join(block + clean(30) + block + clean(26)), "en", "s"), (102, " ".join(symbols), "en", "s")]
+    got = {r["doc_id"]: r for r in quality_rules.rule_table(frame(spark, rows)).collect()}
+    assert got[100]["n_dup_lines"] == 50 and got[100]["n_repeat_words"] == 0 and got[101]["n_repeat_words"] == 46 and got[101]["n_words"] == 102
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {100, 101, 102}
+
+
 def test_statistics_of_any_text():
     from hypothesis import given, settings
     from hypothesis import strategies as st
