@@ -304,6 +304,25 @@ def test_toxicity(spark, docs, none, corpus):
     assert toxicity.toxicity_scores(none, model).count() == 0
 
 
+def test_insults_in_some_clean_documents_are_learned(spark):
+    rng = random.Random(14)
+    insults = ["grumbwoz", "flibnak", "zorbluk"]
+    rows = []
+    for i in range(800):
+        words = prose(rng, "en", 60).split(" ")
+        if i % 4 == 0 or i % 50 == 1:  # 2% of those labelled clean have one, too
+            words.insert(rng.randrange(len(words)), insults[i // 4 % 3])
+        rows.append((i, " ".join(words), "en", "s"))
+    table = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, *_ in rows], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(table, labels)
+    fresh = [(1000 + k, "the and ing " + w + " tion ed on re", "en", "s") for k, w in enumerate([*insults, "grumb.woz", "flibbnak", "thering"])]
+    found = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(frame(spark, fresh), model).collect()}
+    assert min(found[1000 + k] for k in range(5)) >= toxicity.TOXIC_FROM > found[1005], found
+    out = [r for r in toxicity.toxicity_scores(table, model).collect() if r["held_out"]]
+    assert np.mean([r["predicted"] == (r["doc_id"] % 4 == 0) for r in out]) > 0.9
+
+
 def test_kernel_weights_are_the_kernel():
     words = [b"idiot", b"idxiot", b"stone"]
     phi = np.zeros((3, 1 << 15))
