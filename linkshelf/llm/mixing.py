@@ -3,7 +3,8 @@
 A source is a stream of blocks of ``block_bytes`` bytes. With weight n/Q, block i may not start before slot
 ``floor(i Q / n)`` (its release) and must be placed before slot ``ceil((i + 1) Q / n)`` (its deadline). Earliest deadline
 first over released blocks meets every deadline, so after any number of slots each source is less than one block
-away from its weight. The schedule repeats after Q slots: one period is worked out, its size is a parameter
+away from n/Q. That is the target weight rounded to a thousandth of the period (``RESOLUTION``), one at least: against the
+target itself a source drifts with the number of slots, by |n/Q - weight| blocks each. The schedule repeats after Q slots: one period is worked out, its size is a parameter
 (``resolution``), and every block finds its slot by arithmetic. No row is moved through one task.
 
 Sources are read in the order of the md5 of their ids. The mix ends when every source has been read whole at least
