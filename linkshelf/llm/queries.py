@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from linkshelf.llm import exact_dedup, html_extract, language_id, mixing, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, toxicity
+from linkshelf.llm import exact_dedup, html_extract, language_id, mixing, packing, quality_classifier, quality_rules, simhash_dedup, source_divergence, suffix_dedup, toxicity
 from linkshelf.llm.workers import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +127,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicate_table(_table(spark, sf_dir, "documents"))
 
 
+def _share(count: str, total: str) -> str:
+    return f"1 + CAST((CAST(1000000000 AS HUGEINT) * ({count} + 2)) // nullif({total}, 0) AS BIGINT)"
+
+
+@query("op11_source_divergence", f"""
+    WITH docs AS (SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWERED} AS text FROM documents),
+    words AS (SELECT row_id, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+    kept AS (SELECT lang, term, count(*) AS lang_cnt FROM words GROUP BY lang, term HAVING count(DISTINCT row_id) >= {source_divergence.LEAST_DOCS}),
+    cells AS (SELECT lang, source, term, count(*) AS cnt FROM words GROUP BY ALL),
+    langs AS (SELECT lang, count(*) AS v, sum(lang_cnt) + 2 * count(*) AS lang_total FROM kept GROUP BY lang),
+    groups AS (SELECT DISTINCT lang, source FROM docs),
+    dense AS (
+        SELECT g.lang, g.source, k.term, coalesce(c.cnt, 0) AS cnt, k.lang_cnt, sum(coalesce(c.cnt, 0)) OVER (PARTITION BY g.lang, g.source) + 2 * v AS total, lang_total
+        FROM groups g JOIN kept k USING (lang) JOIN langs USING (lang) LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    shares AS (SELECT lang, source, term, cnt, {_share("cnt", "total")} AS p, {_share("lang_cnt", "lang_total")} AS q FROM dense),
+    pairs AS (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    every AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE cnt > 0 AND p > q),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM every)
+    SELECT * FROM ranked WHERE part = 'pair' OR rank <= {source_divergence.TOP_TERMS}
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
