@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from linkshelf.llm import exact_dedup, html_extract, language_id, mixing, packing, quality_classifier, quality_rules, simhash_dedup, source_divergence, suffix_dedup, toxicity
+from linkshelf.llm import conversation_trie, exact_dedup, html_extract, language_id, mixing, packing, quality_classifier, quality_rules, simhash_dedup, source_divergence, suffix_dedup, toxicity
 from linkshelf.llm.workers import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +157,41 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.source_divergence(_table(spark, sf_dir, "documents"))
 
 
+# Bytes of the decimal id, each followed by eight shifts.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+
+
+@query("op12_conversation_trie", f"""
+    WITH turns AS (
+        SELECT conv_id, turn, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k,
+               len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words
+        FROM conversations WHERE conv_id IS NOT NULL),
+    original AS (SELECT conv_id, list((k, words) ORDER BY turn NULLS FIRST, k) AS seq FROM turns GROUP BY conv_id),
+    placed AS (SELECT conv_id, conv_id - conv_id % 20 AS base, CAST({_CRC} AS BIGINT) % 4 AS h, seq FROM original),
+    rebuilt AS (
+        SELECT p.conv_id, list_concat(CASE WHEN h > 0 THEN coalesce(b.seq, [])[1:h] ELSE [] END, p.seq[h + 1:]) AS seq
+        FROM placed p LEFT JOIN original b ON b.conv_id = p.base),
+    steps AS (SELECT conv_id, seq, len(seq) AS n, unnest(range(0, len(seq) + 1)) AS depth FROM rebuilt),
+    paths AS (
+        SELECT conv_id, n, depth, list_transform(seq[1:depth], lambda x: x[1]) AS path,
+               CASE WHEN depth > 0 THEN seq[depth][2] ELSE 0 END AS words FROM steps),
+    nodes AS (
+        SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, max(n) AS longest,
+               sha256(coalesce(string_agg(CASE WHEN n = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+        FROM paths GROUP BY path, depth),
+    inside AS (
+        SELECT a.conv_id, a.depth, count(CASE WHEN b.depth = a.depth + 1 THEN 1 END) AS n_children, count(CASE WHEN b.longest = b.depth THEN 1 END) AS n_leaves,
+               sum((b.n_convs - 1) * b.words) AS saved_tokens
+        FROM nodes a JOIN nodes b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path GROUP BY ALL)
+    SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+    FROM nodes v JOIN inside i ON i.conv_id = v.conv_id AND i.depth = v.depth LEFT JOIN nodes p ON p.depth = v.depth - 1 AND p.path = v.path[1:v.depth - 1]
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

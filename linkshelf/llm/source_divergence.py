@@ -88,7 +88,7 @@ class _Sums:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "term", "source", "cnt", "docs"])
 
 
-def _counted(batches):
+def _counted(batches, flush_bytes: int):
     sums, last, text, shares = _Sums(), None, b"", []
     for batch in batches:
         langs, sources, digests, ns = (batch.column(c).to_pylist() for c in ("lang", "source", "digest", "n"))
@@ -96,7 +96,7 @@ def _counted(batches):
             if (lang, digest) != last:
                 if shares:
                     sums.add(text, shares)
-                    if sums.held >= FLUSH_BYTES:
+                    if sums.held >= flush_bytes:
                         yield sums.flush()
                 last, text, shares = (lang, digest), value.as_py().encode(), []
             shares.append((lang, source, n))
@@ -112,7 +112,8 @@ def term_cells(docs: DataFrame) -> DataFrame:
     times = rows.groupBy("lang", "digest", "source").agg(F.count("*").alias("n"))
     texts = rows.groupBy("lang", "digest").agg(F.first("text").alias("text"))
     each = texts.join(times, ["lang", "digest"]).sortWithinPartitions("lang", "digest").select("lang", "digest", "source", "n", "text")
-    counts = each.mapInArrow(_counted, "lang string, term string, source string, cnt bigint, docs bigint").repartition("lang", "term")
+    flush = FLUSH_BYTES
+    counts = each.mapInArrow(lambda batches: _counted(batches, flush), "lang string, term string, source string, cnt bigint, docs bigint").repartition("lang", "term")
     cells = counts.groupBy("lang", "term", "source").agg(F.sum("cnt").alias("cnt"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")
     kept = cells.withColumn("lang_docs", F.sum("docs").over(term)).withColumn("lang_cnt", F.sum("cnt").over(term))
@@ -146,8 +147,8 @@ def group_table(docs: DataFrame, cells: DataFrame) -> DataFrame:
     return materialize(joined.withColumn("absent", share(F.lit(0), F.col("total"))).drop("own", "lang_sum"), "divergence-groups")
 
 
-def _overlaps(table: pa.Table) -> pa.Table:
-    """Corrections of all pairs of sources that share terms, summed over the terms of one group."""
+def _overlaps(table: pa.Table, size: int, chunk: int) -> pa.Table:
+    """Corrections of all pairs of sources that share terms, summed over the terms of one group of at most two blocks of ``size``."""
     gid, p, absent = (table.column(c).to_numpy() for c in ("gid", "p", "absent"))
     term = table.column("term").combine_chunks().dictionary_encode()
     term = (term.combine_chunks() if isinstance(term, pa.ChunkedArray) else term).indices.to_numpy()
@@ -155,18 +156,16 @@ def _overlaps(table: pa.Table) -> pa.Table:
     gid, p, absent, term = gid[order], p[order], absent[order], term[order]
     ends = np.searchsorted(term, term, side="right")
     later = ends - np.arange(len(term)) - 1
-    blocks = np.unique(gid // BLOCK_SOURCES)
-    first, size = blocks[0] * BLOCK_SOURCES, BLOCK_SOURCES
-    place = lambda g: np.where(g // BLOCK_SOURCES == blocks[0], g - first, size + g - blocks[-1] * BLOCK_SOURCES)
+    x, y = (table.column(c)[0].as_py() for c in ("x", "y"))
+    place = lambda g: np.where(g // size == x, g - x * size, size + g - y * size)
     sums, hit = np.zeros((2 * size) ** 2, np.int64), np.zeros((2 * size) ** 2, bool)
     upto, low = np.concatenate([[0], np.cumsum(later)]), 0
-    two = table.column("x")[0].as_py() != table.column("y")[0].as_py()
     while low < len(term):
-        high = max(low + 1, int(np.searchsorted(upto, upto[low] + PAIR_CHUNK, side="right")) - 1)
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] + chunk, side="right")) - 1)
         left = np.repeat(np.arange(low, high), later[low:high])
         right = left + 1 + np.arange(len(left)) - np.repeat(upto[low:high] - upto[low], later[low:high])
-        if two:
-            apart = gid[left] // BLOCK_SOURCES != gid[right] // BLOCK_SOURCES
+        if x != y:
+            apart = gid[left] // size != gid[right] // size
             left, right = left[apart], right[apart]
         pa_, pb, qa, qb = p[left], p[right], absent[left], absent[right]
         at = place(gid[left]) * (2 * size) + place(gid[right])
@@ -174,7 +173,7 @@ def _overlaps(table: pa.Table) -> pa.Table:
         hit[at] = True
         low = high
     at = np.flatnonzero(hit)
-    back = lambda i: np.where(i < size, i + first, i - size + blocks[-1] * BLOCK_SOURCES)
+    back = lambda i: np.where(i < size, i + x * size, i - size + y * size)
     return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(at), pa.string()), "a": pa.array(back(at // (2 * size)), pa.int64()),
                      "b": pa.array(back(at % (2 * size)), pa.int64()), "value": pa.array(sums[at], pa.int64())})
 
@@ -198,7 +197,8 @@ def _pairs(cells: DataFrame, groups: DataFrame, count: int) -> DataFrame:
     dealt = cells.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         "lang", "term", "gid", "p", "absent", F.least(own, "other").alias("x"), F.greatest(own, "other").alias("y"),
         F.pmod(F.xxhash64("term"), F.lit(max(1, -(-count // GROUP_CELLS)))).alias("part"))
-    common = dealt.groupBy("lang", "part", "x", "y").applyInArrow(_overlaps, "lang string, a bigint, b bigint, value bigint")
+    size, chunk = BLOCK_SOURCES, PAIR_CHUNK
+    common = dealt.groupBy("lang", "part", "x", "y").applyInArrow(lambda table: _overlaps(table, size, chunk), "lang string, a bigint, b bigint, value bigint")
     common = common.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     both = in_one.unionAll(common)
     mirrored = both.unionAll(both.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))

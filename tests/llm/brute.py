@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -157,3 +158,63 @@ def mix(rows, units, block_bytes):
                 at += b
             epoch += 1
     return out, t
+
+
+def divergence(rows, least_docs=10, top=10):
+    """{(lang, source, part, item, value, rank)} of (text, lang, source) rows, over all kept terms."""
+    rows = [(lowered(t), la or "", s or "") for t, la, s in rows]
+    bags = [(Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t)), la, s) for t, la, s in rows]
+    out = set()
+    f = lambda p, q: (p - q) ** 2 // (p + q)
+    for lang in {la for _, la, _ in bags}:
+        df = Counter(w for b, la, _ in bags if la == lang for w in b)
+        kept = sorted(w for w in df if df[w] >= least_docs)
+        sources = sorted({s for _, la, s in bags if la == lang})
+        counts = {s: Counter() for s in sources}
+        for b, la, s in bags:
+            if la == lang:
+                counts[s].update(b)
+        whole = sum(counts.values(), Counter())
+
+        def shares(c):
+            total = sum(c[w] for w in kept) + 2 * len(kept)
+            return {w: 1 + 10**9 * (c[w] + 2) // total for w in kept}
+
+        p, q = {s: shares(counts[s]) for s in sources}, shares(whole)
+        for s in sources:
+            pairs = [(sum(f(p[s][w], p[o][w]) for w in kept), o) for o in sources if o != s]
+            terms = [(f(p[s][w], q[w]), w) for w in kept if counts[s][w] and p[s][w] > q[w]]
+            for part, items in (("pair", pairs), ("term", terms)):
+                ranked = sorted(items, key=lambda x: (-x[0], x[1].encode()))
+                out |= {(lang, s, part, o, v, i) for i, (v, o) in enumerate(ranked, 1) if part == "pair" or i <= top}
+    return out
+
+
+def trie(rows):
+    """{(conv_id, depth, parent, n_convs, n_children, n_leaves, saved, sha)} of (conv_id, turn, role, text) rows."""
+    import zlib
+
+    convs = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            order = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()
+            convs.setdefault(c, []).append((turn is not None, turn or 0, order, role, text))
+    convs = {c: [(r, t) for *_, r, t in sorted(v)] for c, v in convs.items()}
+    again = {}
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        again[c] = convs.get(c - int(math.fmod(c, 20)), [])[:h] + own[h:]  # as SQL: the sign of c
+    nodes = {}
+    for c, seq in again.items():
+        for d in range(len(seq) + 1):
+            nodes.setdefault(tuple(seq[:d]), []).append(c)
+    out = set()
+    for path, members in nodes.items():
+        below = [p for p in nodes if p[: len(path)] == path]
+        leaves = sum(not any(len(q) == len(p) + 1 and q[: len(p)] == p for q in nodes) for p in below)
+        saved = sum((len(nodes[p]) - 1) * len(WORD.findall(p[-1][1])) for p in below if p)
+        ends = ",".join(str(c) for c in sorted(members) if len(again[c]) == len(path))
+        out.add((min(members), len(path), min(nodes[path[:-1]]) if path else None, len(members), sum(len(p) == len(path) + 1 for p in below), leaves, saved,
+                 hashlib.sha256(ends.encode()).hexdigest()))
+    return out
