@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from linkshelf.llm import conversation_trie, exact_dedup, html_extract, language_id, mixing, packing, quality_classifier, quality_rules, simhash_dedup, source_divergence, suffix_dedup, toxicity
+from linkshelf.llm import conversation_trie, exact_dedup, html_extract, language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, simhash_dedup, source_divergence, suffix_dedup, toxicity
 from linkshelf.llm.workers import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,6 +192,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+@query("op13_ngram_join")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

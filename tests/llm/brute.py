@@ -218,3 +218,29 @@ def trie(rows):
         out.add((min(members), len(path), min(nodes[path[:-1]]) if path else None, len(members), sum(len(p) == len(path) + 1 for p in below), leaves, saved,
                  hashlib.sha256(ends.encode()).hexdigest()))
     return out
+
+
+def joined(rows, percent=85):
+    """[(doc_id, n_shingles, component_id)] of (doc_id, text) rows: every pair is compared."""
+    sets = []
+    for _, text in rows:
+        words = WORD.findall(lowered(text))
+        k = min(4, len(words))
+        sets.append({tuple(words[i: i + k]) for i in range(len(words) - k + 1)} if words else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(i)] = min(least.get(find(i), doc_id), doc_id)
+    return [(doc_id, len(sets[i]), least.get(find(i))) for i, (doc_id, _) in enumerate(rows)]
