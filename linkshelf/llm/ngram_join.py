@@ -26,10 +26,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from linkshelf.llm.buffers import pieces, string_array, text_bytes
 from linkshelf.llm.columns import dealt_apart, whole
 from linkshelf.llm.components import components
 from linkshelf.session import materialize
@@ -42,14 +44,15 @@ ALONE, IN_PAIRS = 16, 512
 #: Groups of a frequent class for each token of a set.
 PAIR_GROUPS, TRIPLE_GROUPS = 0.18, 0.17
 MOST_FREQUENT = 1 << 21
-SEGMENT_BYTES = 4 << 20
+#: Text that is cut into tokens at once; a longer one is a piece of its own.
+PIECE_BYTES = 8 << 20
 #: Tokens counted in one group, and in one step of a task.
 RANGE_TOKENS = 4 << 20
 STEP_TOKENS = 2 << 20
-#: Bits of the filter that spares texts of classes without candidates.
-FILTER_BITS = 1 << 26
-#: Pairs that meet one copy of a set.
-SET_PAIRS = 512
+#: Bits of the filters that spare keys met by nobody, and texts without candidates; 16 MB each.
+FILTER_BITS = 1 << 27
+#: Pairs that meet one copy of a text.
+PAIRS_A_COPY = 512
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -58,36 +61,53 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Words(dict):
-    """Hashes of the words a task has seen."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+def _sliding(h: np.ndarray, size: int) -> np.ndarray:
+    """One hash for every ``size`` hashes in a row."""
+    token = np.full(max(0, len(h) - size + 1), size, np.uint64)
+    for k in range(size):
+        token = _mixed(token * np.uint64(0x9E3779B97F4A7C15) + h[k: len(h) - size + 1 + k])
+    return token
 
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = xxh64_intdigest(word)
-        return found
 
+def _split(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a string array, and where each row's start."""
+    from xxhash import xxh64_intdigest
 
-def shingles(text: bytes, words: _Words) -> np.ndarray:
-    """The sorted distinct shingle hashes of a whole text."""
-    text, at, parts = text.lower(), 0, []  # of bytes: A-Z only
-    while at < len(text):
-        end = at + SEGMENT_BYTES
-        while end < len(text) and not text[end:end + 1].isspace():
-            end += 1
-        found = text[at:end].split()  # at the six ASCII spaces
-        parts.append(np.fromiter(map(words.__getitem__, found), np.uint64, len(found)))
-        at = end
-    h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    size = min(SHINGLE_WORDS, len(h))
-    if not size:
-        return h
-    token = np.full(len(h) - size + 1, size, np.uint64)
-    for k in range(size):
-        token = _mixed(token * np.uint64(0x9E3779B97F4A7C15) + h[k: len(h) - size + 1 + k])
-    return np.unique(token)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column))  # A-Z; the six ASCII spaces
+    encoded = lists.flatten().dictionary_encode()
+    names = encoded.dictionary.cast(pa.binary()).to_pylist()
+    codes = encoded.indices.to_numpy()
+    hashes = np.fromiter((xxh64_intdigest(w) for w in names), np.uint64, len(names))
+    real = np.fromiter(map(len, names), np.int64, len(names))[codes] > 0 if len(names) else np.zeros(0, bool)
+    starts = np.concatenate([[0], np.cumsum(real)])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+    return hashes[codes[real]] if len(names) else np.zeros(0, np.uint64), starts
+
+
+def token_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of every whole text of a string array, and where each row's start."""
+    h, starts = _split(column)
+    words = np.diff(starts)
+    counts = np.where(words >= SHINGLE_WORDS, words - SHINGLE_WORDS + 1, np.minimum(words, 1))
+    begins = np.concatenate([[0], np.cumsum(counts)])
+    full = words >= SHINGLE_WORDS
+    all_tokens, tokens = _sliding(h, SHINGLE_WORDS), np.empty(begins[-1], np.uint64)
+    owner = np.repeat(np.arange(len(words)), counts)
+    inside = np.arange(begins[-1]) - begins[owner]
+    long = full[owner]
+    tokens[long] = all_tokens[(starts[owner] + inside)[long]]
+    for row in np.flatnonzero(~full & (words > 0)).tolist():
+        tokens[begins[row]] = _sliding(h[starts[row]: starts[row + 1]], int(words[row]))[0]
+    for low, high in zip(begins[:-1].tolist(), begins[1:].tolist()):
+        tokens[low:high].sort()
+    first = np.ones(len(tokens), bool)
+    first[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
+    return tokens[first], np.concatenate([[0], np.cumsum(first)])[begins]
+
+
+def _pieces(column: pa.Array):
+    """The array in slices of bounded size, or of one row."""
+    for low, high in pieces(text_bytes(column)[1], PIECE_BYTES):
+        yield low, column.slice(low, high - low)
 
 
 def spare(n: int) -> int:
@@ -95,6 +115,10 @@ def spare(n: int) -> int:
     return n - -(-PERCENT * n // 100)
 
 
+#: Smaller sets are linked with equal ones only.
+LEAST_SIZE = next(n for n in range(2, 200) if 100 * n >= PERCENT * (n + 1))
+
+
 def levels(n: int) -> range:
     """The powers of two that sets linked with one of ``n`` may have the size of."""
     return range((-(-PERCENT * n // 100)).bit_length() - 1, (100 * n // PERCENT).bit_length())
@@ -114,23 +138,28 @@ class Frequent:
     def __init__(self, ids: np.ndarray, counts: np.ndarray):
         order = np.argsort(ids)
         self.ids, self.counts = ids[order].astype(np.uint32), counts[order].astype(np.uint32)
+        self.marks = np.zeros(1 << 20, bool)
+        self.marks[self.ids >> np.uint32(12)] = True
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         """Frequency of each token, 0 for a rare one."""
-        if not len(self.ids):
-            return np.zeros(len(tokens), np.uint32)
-        top = (tokens >> np.uint64(32)).astype(np.uint32)
-        at = np.minimum(np.searchsorted(self.ids, top), len(self.ids) - 1)
-        return np.where(self.ids[at] == top, self.counts[at], np.uint32(0))
+        found = np.zeros(len(tokens), np.uint32)
+        maybe = np.flatnonzero(self.marks[tokens >> np.uint64(44)])
+        top = (tokens[maybe] >> np.uint64(32)).astype(np.uint32)
+        at = np.searchsorted(self.ids, top)
+        at[at == len(self.ids)] = 0
+        hit = self.ids[at] == top if len(at) else np.zeros(0, bool)
+        found[maybe[hit]] = self.counts[at[hit]]
+        return found
 
 
-def signatures(tokens: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys a set is indexed by, and for each how many common tokens are possible with a set that meets it nowhere before."""
     n = len(tokens)
     # Sets of five or fewer are linked with equal ones only, which are one class.
-    if n <= 100 // (100 - PERCENT) - 1:
+    if n < LEAST_SIZE:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    counts, needed = frequent.of(tokens), spare(n) + 1
+    needed = spare(n) + 1
     rare = tokens[counts == 0]
     alone = rare[:needed]
     keys, bounds = [_mixed(alone)], [n - np.arange(len(alone))]
@@ -163,11 +192,11 @@ def signatures(tokens: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.n
     return np.concatenate(keys), np.concatenate(bounds)
 
 
-def _counted(batches, ranges: int, step: int):
-    """``(part, data)``: sorted token heads of some documents of one range, and how many documents have each."""
+def _packed(arrays, ranges: int, step: int):
+    """``(part, data)``: the sorted upper halves of some hashes that fall in one range, and how often each is there."""
     from zstandard import ZstdCompressor
 
-    words, held, size = _Words(), [], 0
+    held, size = [], 0
 
     def flush():
         ids, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -176,21 +205,40 @@ def _counted(batches, ranges: int, step: int):
         for r, (low, high) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
             if low < high:
                 parts.append(r)
-                data.append(pack(_planes(np.diff(ids[low:high], prepend=np.uint64(0))) + _planes(counts[low:high])))
+                data.append(pack(_planes(np.diff(ids[low:high].astype(np.int64), prepend=0)) + _planes(counts[low:high])))
         return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(data, pa.binary())], ["part", "data"])
 
-    for batch in batches:
-        for text in batch.column("text"):
-            tokens = shingles(text.as_py().encode(), words)
-            held.append(tokens >> np.uint64(32))
-            size += len(tokens)
-            if size >= step:
-                yield flush()
-                held, size = [], 0
+    for hashes in arrays:
+        held.append((hashes >> np.uint64(32)).astype(np.uint32))
+        size += len(hashes)
+        if size >= step:
+            yield flush()
+            held, size = [], 0
     if size:
         yield flush()
 
 
+def repeated(rows: DataFrame, arrays, count: int, least: int, name: str) -> DataFrame:
+    """``(id, n)``: upper halves of hashes that occur over ``least`` times; ``arrays`` yields a task's hashes."""
+    ranges, step = max(1, -(-count // RANGE_TOKENS)), STEP_TOKENS
+    parts = rows.mapInArrow(lambda batches: _packed(arrays(batches), ranges, step), "part bigint, data binary")
+    return materialize(parts.groupBy("part").applyInArrow(lambda table: _frequent(table, least), "id bigint, n bigint"), name)
+
+
+def bit_table(rows: DataFrame, place: str):
+    """A broadcast table of ``FILTER_BITS`` bits; those at ``place`` modulo its size are set."""
+    at = F.pmod(place, F.lit(FILTER_BITS))
+    words = rows.groupBy(F.floor(at / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))).alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return rows.sparkSession.sparkContext.broadcast(table)
+
+
+def _marked(table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    at = place % (64 * len(table))
+    return (table[at // 64] >> (at % 64)) & 1 == 1
+
+
 def _frequent(table: pa.Table, least: int) -> pa.Table:
     from zstandard import ZstdDecompressor
 
@@ -208,12 +256,16 @@ def _frequent(table: pa.Table, least: int) -> pa.Table:
     return pa.table({"id": ids[often], "n": counts[often]})
 
 
+def _texts_tokens(batches):
+    for batch in batches:
+        for _, piece in _pieces(string_array(batch.column("text"))):
+            yield token_lists(piece)[0]
+
+
 def frequent_tokens(texts: DataFrame) -> Frequent:
     """The most frequent tokens of all documents; at most ``MOST_FREQUENT``, 8 bytes each."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges, step, least = max(1, -(-size // (6 * RANGE_TOKENS))), STEP_TOKENS, ALONE
-    parts = texts.select("text").mapInArrow(lambda batches: _counted(batches, ranges, step), "part bigint, data binary")
-    found = materialize(parts.groupBy("part").applyInArrow(lambda table: _frequent(table, least), "id bigint, n bigint"), "frequent-tokens")
+    found = repeated(texts.select("text"), _texts_tokens, size // 6, ALONE, "frequent-tokens")
     rows = found.orderBy(F.desc("n"), "id").limit(MOST_FREQUENT).toArrow() if found.count() > MOST_FREQUENT else found.toArrow()
     return Frequent(rows.column("id").to_numpy(), np.minimum(rows.column("n").to_numpy(), 0xFFFFFFFF))
 
@@ -224,6 +276,9 @@ def _class_of(tokens: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(tokens.tobytes(), len(tokens))).astype(np.int64))
 
 
+_NO_KEYS = np.zeros(0, np.uint64)
+
+
 def indexed(docs: DataFrame) -> DataFrame:
     """``(doc_id, text_key, n, cls, keys, bounds)`` of every row; a task lists the keys of a class once."""
     rows = docs.select("doc_id", whole().alias("text"))
@@ -231,21 +286,33 @@ def indexed(docs: DataFrame) -> DataFrame:
     known = context.broadcast(frequent_tokens(rows))
 
     def index(batches):
-        words, seen = _Words(), set()
+        seen = set()
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                tokens = shingles(text.as_py().encode(), words)
-                cls, listed = _class_of(tokens), (None, None)
-                if cls not in seen and len(tokens):
-                    seen.add(cls)
-                    keys, bounds = signatures(tokens, known.value)
-                    listed = (keys.view(np.int64), bounds.astype(np.int32))
-                out.append((len(tokens), cls, *listed))
-            columns = list(zip(*out)) if out else [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                                             ["doc_id", "text_key", "n", "cls", "keys", "bounds"])
+            sizes, classes, keys, bounds = [], [], [], []
+            for _, piece in _pieces(string_array(batch.column("text"))):
+                tokens, starts = token_lists(piece)
+                counts, n = known.value.of(tokens), np.diff(starts)
+                rare = np.concatenate([[0], np.cumsum(counts == 0)])
+                mixed = _mixed(tokens)
+                for row, (low, high) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+                    cls, listed, bound = _class_of(tokens[low:high]), _NO_KEYS, _NO_KEYS
+                    if cls not in seen and high - low >= LEAST_SIZE:
+                        seen.add(cls)
+                        needed, lone = spare(high - low) + 1, rare[high] - rare[low]
+                        if lone == high - low:
+                            listed, bound = mixed[low: low + needed], high - low - np.arange(needed)
+                        else:
+                            listed, bound = signatures(tokens[low:high], counts[low:high])
+                    classes.append(cls)
+                    keys.append(listed)
+                    bounds.append(bound)
+                sizes.append(n)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
+            joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("text_key"), pa.array(joined(sizes, np.int64)), pa.array(classes, pa.int64()),
+                pa.ListArray.from_arrays(offsets, pa.array(joined(keys, np.uint64).view(np.int64))),
+                pa.ListArray.from_arrays(offsets, pa.array(joined(bounds, np.int32)))], ["doc_id", "text_key", "n", "cls", "keys", "bounds"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return materialize(rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
@@ -259,70 +326,94 @@ def _chance(n: str, bound: str, m: str, other: str):
 
 def meetings(index: DataFrame) -> DataFrame:
     """``(key, cls, n, bound, lead, lead_n, lead_bound)`` of every key that different classes meet at; ``lead`` is the least of them."""
-    posted = index.filter("keys is not null").select("cls", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "bounds")).alias("at"))
-    posted = posted.select(F.col("at.keys").alias("key"), "cls", "n", F.col("at.bounds").alias("bound"))
+    rows = index.filter("size(keys) > 0").select("cls", F.col("n").cast("int").alias("n"), "keys", "bounds")
+    count = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
+    heads = lambda batches: (b.column("keys").flatten().to_numpy().view(np.uint64) for b in batches)
+    met = bit_table(repeated(rows.select("keys"), heads, count, 1, "met-keys"), "id")
+
+    def post(batches):
+        # Keys that one class alone has are left out; the few that the filter lets through go with the next step.
+        for batch in batches:
+            keys, bounds = batch.column("keys").flatten(), batch.column("bounds").flatten()
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("keys").value_lengths()))
+            live = np.flatnonzero(_marked(met.value, (keys.to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([keys.take(live), batch.column("cls").take(owner[live]), batch.column("n").take(owner[live]), bounds.take(live)],
+                                             ["key", "cls", "n", "bound"])
+
+    posted = rows.mapInArrow(post, "key bigint, cls bigint, n int, bound int")
     same = Window.partitionBy("key")
     lead = F.min(F.struct("cls", "n", "bound")).over(same)
-    met = posted.withColumn("lead", lead).withColumn("last", F.max("cls").over(same)).filter("last > lead.cls")
-    return materialize(met.select("key", "cls", "n", "bound", F.col("lead.cls").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.bound").alias("lead_bound")), "meetings")
+    led = posted.withColumn("lead", lead).withColumn("last", F.max("cls").over(same)).filter("last > lead.cls")
+    return materialize(led.select("key", "cls", "n", "bound", F.col("lead.cls").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.bound").alias("lead_bound")), "meetings")
 
 
-def _common(batches):
+def _linked(batches):
+    """Compares a copy's text, which comes first, with the texts of its pairs."""
+    last, mine = None, None
     for batch in batches:
         kept = []
-        for mine, other in zip(batch.column("mine"), batch.column("other")):
-            x, y = np.frombuffer(mine.as_py(), np.uint64), np.frombuffer(other.as_py(), np.uint64)
-            x, y = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            common = int((y[at] == x).sum())
-            kept.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-        mask = pa.array(kept, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], ["u", "v"])
-
-
-def token_sets(docs: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(cls, tokens)`` of the wanted ``classes(cls)``, recomputed from one text each."""
-    texts = index.select("cls", "text_key").join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("text_key").alias("text_key"))
-    place = F.pmod("text_key", F.lit(FILTER_BITS))
-    bits = texts.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(text_key, {FILTER_BITS}) % 64 as int))")).alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS // 64, np.int64)  # 8 MB
-    table[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
-    marked = docs.sparkSession.sparkContext.broadcast(table)
-
-    def make(batches):
-        words, seen = _Words(), set()
+        column = string_array(batch.column("text"))
+        ends = list(zip(batch.column("u").to_pylist(), batch.column("copy").to_pylist(), batch.column("v").to_pylist()))
+        for first, piece in _pieces(column):
+            tokens, starts = token_lists(piece)
+            for row, (low, high) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+                u, copy, v = ends[first + row]
+                y = tokens[low:high]
+                if v is None:
+                    last, mine = (u, copy), y.copy()
+                elif last == (u, copy):
+                    x, y = (mine, y) if len(mine) <= len(y) else (y, mine)
+                    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                    if 100 * common >= PERCENT * (len(x) + len(y) - common):
+                        kept.append((u, v))
+                else:
+                    raise ValueError("a pair without the text of its first end")
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+
+def wanted_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(text_key, text)`` once for each of ``keys(text_key)``, and of few more."""
+    marked = bit_table(keys, "text_key")
+
+    def keep(batches):
+        seen = set()
         for batch in batches:
-            keys = batch.column("text_key").to_numpy()
-            at = keys % FILTER_BITS
-            wanted = np.flatnonzero((marked.value[at // 64] >> (at % 64)) & 1)
-            out, column = [], batch.column("text")
-            for i in wanted.tolist():
-                if int(keys[i]) not in seen:
-                    seen.add(int(keys[i]))
-                    tokens = shingles(column[i].as_py().encode(), words)
-                    out.append((_class_of(tokens), tokens.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([t for _, t in out], pa.binary())], ["cls", "tokens"])
-
-    rows = docs.select(whole().alias("text")).select(F.xxhash64("text").alias("text_key"), "text")
-    found = rows.mapInArrow(make, "cls bigint, tokens binary").join(classes, "cls", "left_semi")
-    return materialize(found.groupBy("cls").agg(F.first("tokens").alias("tokens")), "token-sets")
+            found = batch.column("text_key").to_numpy()
+            rows = []
+            for i in np.flatnonzero(_marked(marked.value, found)).tolist():
+                if int(found[i]) not in seen:
+                    seen.add(int(found[i]))
+                    rows.append(i)
+            yield batch.take(pa.array(rows, pa.int64()))
+
+    texts = docs.select(whole().alias("text")).select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(keep, "text_key bigint, text string")
+    return texts.groupBy("text_key").agg(F.first("text").alias("text"))
 
 
 def verified(docs: DataFrame, index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The linked of ``pairs(u, v)``. A set that very many pairs meet is copied, so that no task has more than ``SET_PAIRS`` of its pairs at once."""
+    """The linked of ``pairs(u, v)``, compared by their whole texts.
+
+    The end that meets more pairs is copied for every ``PAIRS_A_COPY`` of them, so that no task gets all pairs of one class.
+    """
     pairs = materialize(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
-    sets = token_sets(docs, index, pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct())
-    for end, name in (("u", "mine"), ("v", "other")):
-        copies = pairs.groupBy(F.col(end).alias("cls")).agg(F.ceil(F.count("*") / SET_PAIRS).cast("int").alias("copies"))
-        many = copies.filter("copies > 1")
-        spread = sets.join(copies, "cls").select(F.col("cls").alias(end), F.col("tokens").alias(name), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-        apart = dealt_apart("cls").alias("apart")
-        dealt = pairs.withColumn("cls", F.col(end)).withColumn("apart", dealt_apart("cls")).join(many.select("*", apart), ["cls", "apart"], "left")
-        dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("u", "v"), F.coalesce("copies", F.lit(1))).cast("int")).drop("cls", "apart", "copies")
-        pairs = dealt.join(spread, [end, "copy"]).drop("copy")
-    return materialize(pairs.select("u", "v", "mine", "other").mapInArrow(_common, "u bigint, v bigint"), "verified")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("cls")).groupBy("cls").agg(F.count("*").alias("met"))
+    many = materialize(ends.filter(F.col("met") > PAIRS_A_COPY), "many")
+    for end in ("u", "v"):
+        often = many.select(F.col("cls").alias(end), F.col("met").alias(f"met_{end}"), dealt_apart("cls").alias("apart"))
+        pairs = pairs.withColumn("apart", dealt_apart(end)).join(often, [end, "apart"], "left").drop("apart")
+    swap = F.coalesce("met_v", F.lit(0)) > F.coalesce("met_u", F.lit(0))
+    copies = F.ceil(F.greatest(F.coalesce("met_u", F.lit(1)), F.coalesce("met_v", F.lit(1))) / PAIRS_A_COPY).cast("int")
+    dealt = pairs.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("v"), copies.alias("copies"))
+    dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("v"), F.col("copies")).cast("int"))
+    firsts = dealt.select(F.col("u").alias("cls"), "u", "copy", F.lit(None).cast("bigint").alias("v")).distinct()
+    places = firsts.unionAll(dealt.select(F.col("v").alias("cls"), "u", "copy", "v"))
+    keys = materialize(index.select("cls", "text_key").join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("text_key").alias("text_key")), "text-keys")
+    places = places.join(keys, "cls").select("text_key", "u", "copy", "v")
+    sent = wanted_texts(docs, keys).join(places, "text_key").select("u", "copy", "v", "text")
+    order = [F.col("u"), F.col("copy"), F.col("v").asc_nulls_first()]
+    return materialize(sent.repartition("u", "copy").sortWithinPartitions(*order).mapInArrow(_linked, "u bigint, v bigint"), "verified")
 
 
 def _rooted(met: DataFrame, roots: DataFrame, end: str, name: str) -> DataFrame:

@@ -51,7 +51,7 @@ def key(row):
 def test_join(spark, monkeypatch, seed, alone, pairs):
     monkeypatch.setattr(ngram_join, "ALONE", alone)
     monkeypatch.setattr(ngram_join, "IN_PAIRS", pairs)
-    monkeypatch.setattr(ngram_join, "SET_PAIRS", 3)
+    monkeypatch.setattr(ngram_join, "PAIRS_A_COPY", 3)
     rows = texts(seed)
     df = spark.createDataFrame(rows, DOCS).repartition(4).withColumns({c: F.lit("x") for c in ("cls", "n", "key", "root", "u")})
     got = sorted((tuple(r) for r in ngram_join.similarity_join(df).collect()), key=key)
@@ -80,7 +80,7 @@ def test_linked_sets_share_a_key_that_leaves_them_a_chance(monkeypatch, alone, p
         common = len(np.intersect1d(x, y))
         if 100 * common < 85 * (len(x) + len(y) - common) or np.array_equal(x, y):
             continue
-        (kx, bx), (ky, by) = ngram_join.signatures(x, frequent), ngram_join.signatures(y, frequent)
+        (kx, bx), (ky, by) = (ngram_join.signatures(s, frequent.of(s)) for s in (x, y))
         both = np.intersect1d(kx, ky)
         best = max(min(bx[kx == k].max(), by[ky == k].max()) for k in both)
         assert 185 * best >= 85 * (len(x) + len(y))
@@ -88,10 +88,21 @@ def test_linked_sets_share_a_key_that_leaves_them_a_chance(monkeypatch, alone, p
     assert checked > 150
 
 
-def test_shingles_in_segments_are_those_of_the_whole(monkeypatch):
+def test_tokens_are_the_distinct_shingles_of_each_whole_text():
+    import pyarrow as pa
+
     rng = random.Random(4)
-    text = " ".join(rng.choice(["Aa", "b", "é", "ccc"]) for _ in range(3000)).encode()
-    whole = ngram_join.shingles(text, ngram_join._Words())
-    monkeypatch.setattr(ngram_join, "SEGMENT_BYTES", 40)
-    assert np.array_equal(whole, ngram_join.shingles(text, ngram_join._Words()))
-    assert len(whole) == len({tuple(w) for w in zip(*(text.lower().split()[k:] for k in range(4)))})
+    gaps = [" ", "\t", "\n ", "\x0b", "\x0c\r", "\x1c", "\u00a0", "\u2003", "  "]
+    texts = ["".join(rng.choice(["Aa", "b", "é", "É", "ccc", "\0"]) + rng.choice(gaps) for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 300]))) for _ in range(200)]
+    texts += ["", " ", " a", "x" * 3_000_000, "a b " * 400_000]
+    column = pa.array(["before", *texts]).slice(1)
+    tokens, starts = ngram_join.token_lists(column)
+    known = {}
+    for text, low, high in zip(texts, starts[:-1], starts[1:]):
+        words = brute.WORD.findall(brute.lowered(text))
+        k = min(4, len(words))
+        expected = {tuple(words[i: i + k]) for i in range(len(words) - k + 1)} if words else set()
+        got = tokens[low:high].tolist()
+        assert len(got) == len(set(got)) == len(expected) and got == sorted(got)
+        assert known.setdefault(frozenset(got), expected) == expected
+    assert starts[-1] == len(tokens)
