@@ -12,6 +12,8 @@ pieces; documents of any length are cut into as many pieces as they touch window
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,13 +30,17 @@ END_ID = 1
 VOCABULARY = "byte_bpe_50k"
 #: Runs whose offsets are broadcast, some 200 bytes each.
 BROADCAST_RUNS = 50_000
+#: White space of so many characters is left to the ``tokenizers`` file.
+LONG_SPACE = 10_000
+_SPACES = re.compile(r"\s{%d}" % LONG_SPACE)
 
 
 class Encoder:
     """Ids of a byte-level vocabulary, one instance a worker process.
 
     The vocabulary's rank file gives the ids of its ``tokenizers`` file several times faster. Texts that spell a
-    special token are left to the ``tokenizers`` file itself.
+    special token are left to the ``tokenizers`` file itself, and so are texts with very long white space: the rank file's pattern
+    goes back over a whole run of it and overflows the stack on a million characters.
     """
 
     _loaded: dict[str, "Encoder"] = {}
@@ -59,7 +65,7 @@ class Encoder:
         return cls._loaded[name]
 
     def ids(self, text: str) -> np.ndarray:
-        if "<|" in text:
+        if "<|" in text or (len(text) > LONG_SPACE and _SPACES.search(text)):
             if self._full is None:
                 from tokenizers import Tokenizer
 
