@@ -6,8 +6,8 @@ are indexed alone. Tokens of frequent classes are dealt to groups by their hash
 group; the prefix is extended until losing ``spare(n)`` of its tokens must leave a rare token or a whole combination of a group.
 Groups are as many as fit the set's size, which is known to a power of two; sets near a boundary are indexed on both sides.
 
-Equal sets are one class. Classes that meet at a key are compared with its least class first; links found there join them
-to components, and only members of other components than the key's least class are then compared with all that meet there,
+Equal sets are one class. Classes that meet at a key are compared with its lead first, the class with the fewest tokens of its own; links found there join them
+to components, and only members of other components than the lead's are then compared with all that meet there,
 as far as sizes and positions leave them a chance. No key's pairs are listed, and no link that connects is lost. Verification
 recomputes the sets of the classes that are left from their whole texts.
 
@@ -325,7 +325,7 @@ def _chance(n: str, bound: str, m: str, other: str):
 
 
 def meetings(index: DataFrame) -> DataFrame:
-    """``(key, cls, n, bound, lead, lead_n, lead_bound)`` of every key that different classes meet at; ``lead`` is the least of them."""
+    """``(key, cls, n, bound, lead, lead_n, lead_bound)`` of every key that different classes meet at."""
     rows = index.filter("size(keys) > 0").select("cls", F.col("n").cast("int").alias("n"), "keys", "bounds")
     count = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
     heads = lambda batches: (b.column("keys").flatten().to_numpy().view(np.uint64) for b in batches)
@@ -342,8 +342,9 @@ def meetings(index: DataFrame) -> DataFrame:
 
     posted = rows.mapInArrow(post, "key bigint, cls bigint, n int, bound int")
     same = Window.partitionBy("key")
-    lead = F.min(F.struct("cls", "n", "bound")).over(same)
-    led = posted.withColumn("lead", lead).withColumn("last", F.max("cls").over(same)).filter("last > lead.cls")
+    # The lead is the class with the smallest share of tokens that are its own: in a family of copies, the one least edited.
+    lead = F.min(F.struct(((F.col("n") - F.col("bound")) / F.col("n")).alias("own"), "cls", "n", "bound")).over(same)
+    led = posted.withColumn("lead", lead).withColumn("least", F.min("cls").over(same)).withColumn("last", F.max("cls").over(same)).filter("last > least")
     return materialize(led.select("key", "cls", "n", "bound", F.col("lead.cls").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.bound").alias("lead_bound")), "meetings")
 
 

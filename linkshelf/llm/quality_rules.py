@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,39 +45,22 @@ VECTOR = ("x0", "x1", "x2", "x3")
 TAIL = 1e-3
 _BINS = 4096
 _SYMBOLS = b"#*$%&|<>"
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _numbers(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span of bytes, equal for equal bytes only. Spans come in order and don't overlap."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[begins] += 1
+    edge[ends] -= 1
+    offsets = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int64)
+    flat = data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    spans = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+    return spans.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
-_STEP = 1 << 16
-
-
-def _tables(base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` up to 2**32 as products of two small tables."""
-    low = np.cumprod(np.r_[np.uint64(1), np.full(_STEP - 1, base, np.uint64)])
-    return low, np.cumprod(np.r_[np.uint64(1), np.full(_STEP - 1, pow(base, _STEP, 1 << 64), np.uint64)])
-
-
-_UP, _DOWN = _tables(int(_BASE)), _tables(pow(int(_BASE), -1, 1 << 64))
-
-
-def _prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Running sums of each byte times the power of its place, from 0 on."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    for at in range(0, len(data), _STEP):
-        part = data[at: at + _STEP].astype(np.uint64) + np.uint64(1)
-        out[at + 1: at + 1 + len(part)] = part * _UP[0][: len(part)] * _UP[1][at // _STEP]
-    return np.cumsum(out, out=out)
-
-
-def _hashes(sums: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of spans, the same wherever the span stands."""
-    return _mixed((sums[ends] - sums[begins]) * _DOWN[0][begins % _STEP] * _DOWN[1][begins // _STEP])
+def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A number for each pair of numbers, below the number of pairs."""
+    return pd.factorize(first * (int(second.max(initial=0)) + 1) + second)[0]
 
 
 def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +76,7 @@ def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_statistics(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-    """Counts of each text. Words and lines are compared by 64-bit hashes, within one text."""
+    """Counts of each text. Words and lines are compared byte by byte, within one text."""
     rows = len(starts) - 1
     total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[starts])
     gap = (data == 32) | ((data >= 9) & (data <= 13))
@@ -104,14 +88,13 @@ def text_statistics(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarra
     ends = word.copy()
     ends[:-1] &= gap[1:] | first[1:]
     ws, we = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = _prefix_sums(data)
     row = np.searchsorted(starts, ws, side="right") - 1
-    hashes = _hashes(sums, ws, we)
+    words = _joined(row, _numbers(data, ws, we))
     repeated = np.zeros(len(ws), bool)
     if len(ws) > 2:
         inside = np.flatnonzero(row[2:] == row[:-2])
-        window = _mixed(hashes[inside]) * np.uint64(3) + _mixed(hashes[inside + 1] + np.uint64(1)) * np.uint64(5) + hashes[inside + 2]
-        twice, _ = _repeats(_mixed(window + _mixed(row[inside].astype(np.uint64))))
+        pairs = _joined(words[inside], words[inside + 1])
+        twice, _ = _repeats(_joined(pairs, words[inside + 2]))
         for k in range(3):
             repeated[inside[twice] + k] = True
     breaks = np.unique(np.concatenate([starts[:-1], np.flatnonzero(data == 10) + 1]))
@@ -121,8 +104,7 @@ def text_statistics(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarra
     ls, le = breaks[full], line_ends[full]
     le = le - (data[le - 1] == 10)
     line_row = np.searchsorted(starts, ls, side="right") - 1
-    lines = _hashes(sums, ls, le) + _mixed((le - ls).astype(np.uint64))
-    _, later = _repeats(_mixed(lines + _mixed(line_row.astype(np.uint64) + np.uint64(7))))
+    _, later = _repeats(_joined(line_row, _numbers(data, ls, le)))
     symbol = np.zeros(256, bool)
     symbol[list(_SYMBOLS)] = True
     return {

@@ -225,6 +225,22 @@ def test_encoder_equals_the_tokenizer_file():
         assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_on_very_long_runs():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder.named("byte_bpe_50k")
+    for text in (" " * 2_000_000, "\n" * 2_000_000, "word" + "\t " * 1_000_000 + "word", "\u3000" * 700_000, "a" * 2_000_000, "語" * 700_000, "x y\n" * 500_000,
+                 " " * 9_999 + "a" + " " * 9_999):
+        assert np.array_equal(encoder.ids(text), tokenizer.encode(text, add_special_tokens=False).ids), text[:5]
+
+
+def test_packing_of_a_run_of_white_space(spark):
+    rows = [(1, "a b", "", ""), (2, " " * 2_000_000, "", ""), (3, "\n" * 1_500_000 + "end", "", "")]
+    lengths = {r["doc_id"]: r["n"] for r in packing.packing_table(frame(spark, rows)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert lengths == {i: len(packing.Encoder.named(packing.VOCABULARY).ids(t)) + 1 for i, t, _, _ in rows}
+
+
 def held_out(i):
     return i is not None and zlib.crc32(str(i).encode()) % 4 == 2
 
@@ -393,6 +409,25 @@ def test_statistics_of_any_text():
     same()
 
 
+def test_statistics_of_strings_that_collide_in_polynomial_hashes():
+    import pyarrow as pa
+
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    texts = [f"{thue}\n{other}\n{thue}", f"{thue} {other} x {other} {thue} x {thue} {other} x", f"{thue}\n{other}", thue + other]
+    found = quality_rules.text_statistics(*buffers.text_bytes(pa.array(texts)))
+    assert [tuple(int(found[c][i]) for c in quality_rules.COUNTS) for i in range(len(texts))] == [brute.counts(t) for t in texts]
+
+
+def test_statistics_of_a_very_long_text():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    text = "\n".join(" ".join(rng.choice(["ab", "cd", "é", "#x", str(rng.randrange(5000))]) for _ in range(rng.randint(0, 12))) for _ in range(300_000))
+    found = quality_rules.text_statistics(*buffers.text_bytes(pa.array(["a b", text])))
+    assert tuple(int(found[c][1]) for c in quality_rules.COUNTS) == brute.counts(text)
+
+
 def test_simhash(docs, none, corpus):
     fps = [brute.fingerprint(t) for _, t, _, _ in corpus]
     expected = list(zip((r[0] for r in corpus), (f"{f:016x}" for f in fps), brute.components([r[0] for r in corpus], fps)))
