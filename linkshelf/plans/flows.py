@@ -66,6 +66,19 @@ def _drop(df, name):
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
+def _in_parts(df, along, name, run, parts=3):
+    """Write derived rows in several parts along a column, and let ``run(stream)`` take each before the next is there.
+
+    Every part is a micro-batch of its own, and every run but the first starts from the checkpoint.
+    """
+    path = scratch_path(df.sparkSession, name)
+    cuts = df.agg(F.percentile_approx(along, [k / parts for k in range(1, parts)])).first()[0] or []
+    part = sum((F.when(F.col(along) > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    for k in range(parts):
+        df.filter(part == k).write.mode("append").parquet(path)
+        run(df.sparkSession.readStream.schema(df.schema).parquet(path)).awaitTermination()
+
+
 def _latest(spark, path):
     """The newest of the versions a stream has written, one a micro-batch."""
     versions = spark.read.parquet(path)
@@ -91,9 +104,8 @@ def _(t):
 @query("x2_stream_dedupe", "SELECT DISTINCT url FROM ledger")
 def _(t):
     root = scratch_path(t.spark, "x2")
-    rows = _drop(t.analysis_state.select("url", "ts"), "x2-in")
-    INC.dedupe_stream(rows, "ts", f"{root}/out", f"{root}/ck").awaitTermination()
-    return t.spark.read.parquet(f"{root}/out")
+    _in_parts(t.analysis_state.select("url", "seq"), "seq", "x2-in", lambda rows: INC.dedupe_stream(rows, f"{root}/out", f"{root}/ck"))
+    return t.spark.read.parquet(f"{root}/out").select("url")
 
 
 @query("x3_attempts_stream", f"""
@@ -105,15 +117,15 @@ def _(t):
         "url", "seq", "status", F.col("attempts").alias("passes"), status.isin("done", "needs-review").alias("is_success"),
         status.isin("failed-retryable", "manual-review").alias("is_failure"),
     )
-    INC.attempts_stream(_drop(log, "x3-in"), f"{root}/state", f"{root}/ck").awaitTermination()
-    return _latest(t.spark, f"{root}/state")
+    _in_parts(log, "seq", "x3-in", lambda rows: INC.attempts_stream(rows, f"{root}/state", f"{root}/ck"))
+    return INC.newest(t.spark.read.parquet(f"{root}/state"), ["url"])
 
 
 @query("x3_latest_status_stream", "SELECT url, max(seq) AS seq, max_by(status, seq) AS status FROM analysis_state GROUP BY url")
 def _(t):
     root = scratch_path(t.spark, "x3b")
-    out = INC.latest_status(_drop(t.analysis_state.select("url", "seq", "status"), "x3b-in"))
-    INC.updates_stream(out, f"{root}/out", f"{root}/ck").awaitTermination()
+    rows = t.analysis_state.select("url", "seq", "status")
+    _in_parts(rows, "seq", "x3b-in", lambda part: INC.updates_stream(INC.latest_status(part), f"{root}/out", f"{root}/ck"))
     return INC.newest(t.spark.read.parquet(f"{root}/out"), ["url"])
 
 
@@ -122,8 +134,8 @@ def _(t):
     SELECT key, from_ts, from_ts + INTERVAL 60 SECONDS AS to_ts, count(*) AS requests, sum(in_tokens)::BIGINT AS tokens, count(*) > 5 AS over_limit FROM w GROUP BY key, from_ts""")
 def _(t):
     root = scratch_path(t.spark, "x4")
-    load = INC.live_load(_drop(t.request_log.select("key", "ts", "in_tokens"), "x4-in"), 5)
-    INC.updates_stream(load, f"{root}/out", f"{root}/ck").awaitTermination()
+    rows = t.request_log.select("key", "ts", "in_tokens", F.unix_seconds("ts").alias("second"))
+    _in_parts(rows, "second", "x4-in", lambda part: INC.updates_stream(INC.live_load(part, 5), f"{root}/out", f"{root}/ck"))
     return INC.newest(t.spark.read.parquet(f"{root}/out"), ["key", "from_ts", "to_ts"])
 
 

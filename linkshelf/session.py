@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -31,6 +32,15 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package, for classes that Spark hands to them by name."""
+    environment, here = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([here, *paths])
+    return spark
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset and Spark runs on one machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(

@@ -12,15 +12,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from linkshelf.functions.urls import canonical_url, is_valid_http_url
 from linkshelf.operators.ordered import last_by
-from linkshelf.operators.quality import attempts_along_log
 from linkshelf.operators.registry import without_known
 from linkshelf.operators.sets import union_all
 from linkshelf.session import materialize
+from linkshelf.sources import history
 from linkshelf.sources.writers import read_or_empty
+from linkshelf.streaming.attempts import attempt_changes
 
 SEEN = "url string, event string, source string, batch bigint"
 RETRY = "line string, attempts int, batch bigint"
-STATE = "url string, seq bigint, status string, attempts bigint"
 
 
 def _run(df: DataFrame, handler, checkpoint: str) -> StreamingQuery:
@@ -30,7 +30,7 @@ def _run(df: DataFrame, handler, checkpoint: str) -> StreamingQuery:
 
 
 def capture_stream(lines: DataFrame, captured_path: str, invalid_path: str, checkpoint: str) -> StreamingQuery:
-    """New canonical URLs of each micro-batch, appended once to the table of captured URLs.
+    """New canonical URLs of each micro-batch, appended once to the history of captured URLs; only the batch's buckets of it are read.
 
     The ledger hears of a URL from ``card_stream``, when its card exists: one whose card failed is not taken for known.
     """
@@ -39,10 +39,9 @@ def capture_stream(lines: DataFrame, captured_path: str, invalid_path: str, chec
         spark = batch.sparkSession
         valid = is_valid_http_url(F.col("line"))
         urls = batch.filter(valid).select(canonical_url(F.col("line")).alias("url")).distinct()
-        fresh = without_known(urls, read_or_empty(spark, captured_path, SEEN))
-        fresh.select(
-            "url", F.lit("captured").alias("event"), F.lit("stream").alias("source"), F.lit(batch_id).cast("bigint").alias("batch")
-        ).write.mode("append").parquet(captured_path)
+        fresh = history.unseen(urls, captured_path, SEEN)
+        history.append(fresh.select(
+            "url", F.lit("captured").alias("event"), F.lit("stream").alias("source"), F.lit(batch_id).cast("bigint").alias("batch")), captured_path)
         done = read_or_empty(spark, invalid_path, "line string, batch bigint").filter(F.col("batch") == batch_id)
         rejected = batch.filter(~valid).select("line").distinct().join(done.select("line"), "line", "left_anti")
         rejected.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(invalid_path)
@@ -55,16 +54,15 @@ def deduplicated(events: DataFrame, ts: str, lateness: str = "1 hour") -> DataFr
     return events.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(["url"])
 
 
-def dedupe_stream(events: DataFrame, ts: str, table: str, checkpoint: str, known: DataFrame | None = None, lateness: str = "1 hour") -> StreamingQuery:
-    """URLs of ``events`` once each, over any span of time: the table and ``known`` (a ledger) drop repeats.
+def dedupe_stream(events: DataFrame, table: str, checkpoint: str, known: DataFrame | None = None) -> StreamingQuery:
+    """URLs of ``events`` once each, over any span of time: the history at ``table`` and ``known`` (a ledger) drop repeats.
 
-    No watermark: it would drop a URL whose only event is late. ``ts`` and ``lateness`` have no effect on the result.
+    No watermark: it would drop a URL whose only event is late. A micro-batch reads the history's buckets of its own URLs.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        urls = batch.select("url").distinct()
-        fresh = without_known(urls, read_or_empty(batch.sparkSession, table, "url string"))
-        (without_known(fresh, known.select("url")) if known is not None else fresh).write.mode("append").parquet(table)
+        fresh = history.unseen(batch.select("url").distinct(), table, "url string")
+        history.append(without_known(fresh, known.select("url")) if known is not None else fresh, table)
 
     return _run(events, handle, checkpoint)
 
@@ -92,32 +90,12 @@ def latest_status(log: DataFrame) -> DataFrame:
     return log.groupBy("url").agg(best).select("url", "b.seq", "b.status")
 
 
-def attempts_stream(log: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Running attempts and latest status per URL, one table version per micro-batch.
+def attempts_stream(log: DataFrame, table: str, checkpoint: str, initial: DataFrame | None = None) -> StreamingQuery:
+    """Running attempts and latest status per URL: the URLs a micro-batch changes, as its version of ``table``.
 
-    Inside a batch the log is reduced to one row per URL by the block-wise batch operator; the
-    previous version then contributes its attempts wherever the batch had no success. Version
-    ``n`` is a function of version ``n - 1`` and the batch, so a replay rewrites it unchanged.
-    ``log`` has ``url, seq, status, passes, is_success, is_failure``.
+    ``log`` and ``initial`` are those of ``attempt_changes``; ``newest(versions, ["url"])`` reads the table.
     """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        counted = attempts_along_log(batch, "url", "seq", F.col("is_success"), F.col("is_failure"), F.col("passes"))
-        now = counted.groupBy("url").agg(
-            F.max_by(F.struct("seq", "status", F.col("attempts").alias("n")), F.col("seq")).alias("b"),
-            F.max("is_success").alias("reset"),
-        ).select("url", "b.*", "reset")
-        before = read_or_empty(spark, f"{table}/v={batch_id - 1}", STATE)
-        merged = now.alias("n").join(before.alias("o"), "url", "full").select(
-            "url", F.coalesce("n.seq", "o.seq").alias("seq"), F.coalesce("n.status", "o.status").alias("status"),
-            F.when(F.col("n.seq").isNull(), F.col("o.attempts"))
-            .when(F.col("n.reset"), F.col("n.n"))
-            .otherwise(F.coalesce("o.attempts", F.lit(0)) + F.col("n.n")).alias("attempts"),
-        )
-        merged.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
-
-    return _run(log, handle, checkpoint)
+    return updates_stream(attempt_changes(log, initial), table, checkpoint)
 
 
 def live_load(log: DataFrame, rpm: int, lateness: str = "2 minutes") -> DataFrame:
@@ -161,17 +139,18 @@ def card_stream(rows: DataFrame, cards_path: str, ledger_path: str, checkpoint:
 
     Cards are written before their ledger events and both writes skip what is already stored,
     so a crash between them is repaired by the replay. ``render(df)`` returns ``url`` and the
-    card columns.
+    card columns. Of several cards of a URL in one micro-batch the least by its columns, in their
+    order, is the card; the first micro-batch that has one keeps it. Both tables are histories:
+    a micro-batch reads its own buckets.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        once = materialize(render(batch).dropDuplicates(["url"]), "cards")
+        rendered = render(batch)
+        rest = [c for c in rendered.columns if c != "url"]
+        once = materialize(rendered.groupBy("url").agg(F.min(F.struct(*rest)).alias("card")).select("url", "card.*"), "cards")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in once.schema.fields)
-        fresh = without_known(once, read_or_empty(spark, cards_path, schema))
-        fresh.write.mode("append").parquet(cards_path)
-        events = once.select("url", F.lit("carded").alias("event"), F.lit("stream").alias("source"))
-        fresh_events = without_known(events, read_or_empty(spark, ledger_path, SEEN))
-        fresh_events.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(ledger_path)
+        history.append(history.unseen(once, cards_path, schema), cards_path)
+        events = once.select("url", F.lit("carded").alias("event"), F.lit("stream").alias("source"), F.lit(batch_id).cast("bigint").alias("batch"))
+        history.append(history.unseen(events, ledger_path, SEEN), ledger_path)
 
     return _run(rows, handle, checkpoint)
