@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linkshelf import constants as C
 from linkshelf.functions.tags import known_category
 from linkshelf.functions.text import body_context, first_of, heading_title, text_or_blank
-from linkshelf.operators.ordered import last_by, packed
+from linkshelf.operators.ordered import last_by, packed, row_numbers
 from linkshelf.operators.sets import union_all
 from linkshelf.session import materialize
 from linkshelf.sources.writers import read_or_empty
@@ -80,6 +80,25 @@ def scored_once(batches: DataFrame, scorer: Callable[[str], str | None], store:
     return told
 
 
+def scored_in_waves(batches: DataFrame, scorer: Callable[[str], str | None], store: str, first: int = 16, growth: int = 4) -> DataFrame:
+    """``scored_once`` in waves of growing size along ``(block, batch)``: nothing is asked in waves after a failing one.
+
+    A wave's answers are in ``store`` before the next wave starts, so that a failure costs the rest of its own wave at most.
+    The first wave is ``first`` batches, each later one ``growth`` times the one before: their number grows with
+    the logarithm of the batches. Batches not asked are not returned; they stay queued. A batch fails with an error or an
+    answer that isn't valid.
+    """
+    numbered = materialize(row_numbers(batches, [], ["block", "batch"], "__number"), "numbered")
+    total, done, size, waves = numbered.agg(F.max("__number")).first()[0] or 0, 0, first, []
+    while not waves or done < total:
+        wave = numbered.filter((F.col("__number") > done) & (F.col("__number") <= done + size)).drop("__number")
+        waves.append(scored_once(wave, scorer, store))
+        if not validated(waves[-1]).filter("error is not null or problem is not null").isEmpty():
+            break
+        done, size = done + size, size * growth
+    return union_all(*waves)
+
+
 def extraction_records(scored: DataFrame, record: str) -> DataFrame:
     """Adds the typed record ``r`` and ``problem``: 'error' when the scorer raised, 'invalid' when its answer can't be
     read or its confidence is out of bounds. No row is dropped: one with a problem goes to manual review."""

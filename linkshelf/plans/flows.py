@@ -11,6 +11,7 @@ from linkshelf.plans import ingest
 from linkshelf.plans import sqltext as Q
 from linkshelf.plans.gates import _ATTEMPTS
 from linkshelf.plans.registry import query
+from linkshelf.plans.texts import card_sql
 from linkshelf.session import scratch_path
 from linkshelf.sources import readers
 from linkshelf.streaming import incremental as INC
@@ -36,17 +37,48 @@ _TEXT = "lower(left(title, 70) || ' ' || left(description, 90))"
 _RULED = "(CASE " + " ".join(f"WHEN contains({_TEXT}, {Q.lit(w)}) THEN {Q.lit(c)}" for w, c in _RULES.items()) + " ELSE 'Miscellaneous' END)"
 
 
-def captured_cards(t):
+def _classified(t):
     items = ingest.new_items(_shared(t), t.ledger, t.video_metadata)
-    rows = ingest.classified(items, rule_scorer(), "doc_id")
+    return ingest.classified(items, rule_scorer(), "doc_id")
+
+
+def captured_cards(t):
     existing = t.cards.select("folder", F.regexp_replace("name", r"\.md$", "").alias("stem"))
-    return ingest.cards(rows, existing, "doc_id")
+    return ingest.cards(_classified(t), existing, "doc_id")
+
 
+_RULED_ROWS = f"""SELECT doc_id, {_RULED} AS cat0, title AS title0, coalesce(creator, '') AS raw_creator, url, array_to_string(tags, ', ') AS tags_text,
+    array_to_string(list_filter(string_split_regex({_TEXT}, '\\s+'), lambda x: x <> '')[1:8], ' ') AS summary
+    FROM video_metadata WHERE url NOT IN (SELECT url FROM ledger)"""
+# No title here looks like ``a (2)``: the n-th of a name in its folder is numbered n.
+_NAMED = f"""
+    WITH k AS ({card_sql(_RULED_ROWS)}),
+    s AS (SELECT k.doc_id, url, k.category, {Q.folder('k.category')} AS folder, {Q.safe_filename('k.title')} AS stem, content FROM k JOIN video_metadata v ON v.doc_id = k.doc_id),
+    named AS (SELECT *, stem || CASE WHEN nth > 1 THEN ' (' || nth || ')' ELSE '' END AS final_stem FROM (
+      SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY doc_id) AS nth FROM s))"""
 
-query("capture_to_card", f"""
-    WITH n AS (SELECT doc_id AS seq, url, {_RULED} AS category, title FROM video_metadata WHERE url NOT IN (SELECT url FROM ledger)),
-    s AS (SELECT seq, url, category, {Q.folder('category')} AS folder, {Q.safe_filename("CASE WHEN title = '' THEN NULL ELSE title END")} AS stem, title FROM n)
-    SELECT seq, url, category, folder FROM s""")(lambda t: captured_cards(t).select("seq", "url", "category", "folder"))
+
+query("capture_to_card", f"{_NAMED} SELECT doc_id AS seq, url, category, folder, final_stem, md5(content) AS content_md5 FROM named")(
+    lambda t: captured_cards(t).select("seq", "url", "category", "folder", "final_stem", F.md5("content").alias("content_md5")))
+
+
+@query("capture_to_card_sinks", f"""
+    {_NAMED.replace("WHERE url NOT IN (SELECT url FROM ledger)", "WHERE url NOT IN (SELECT url FROM ledger) AND doc_id % 10 <> 7")},
+    q AS (SELECT url FROM video_metadata WHERE url NOT IN (SELECT url FROM ledger) AND doc_id % 10 = 7)
+    SELECT 'card' AS sink, url, category, final_stem AS detail FROM named UNION ALL SELECT 'event', url, category, 'carded' FROM named
+    UNION ALL SELECT 'queue', url, NULL, NULL FROM q""")
+def _(t):
+    """Cards, ledger events and what stays queued, after two runs over one queue: the second finds its work done."""
+    root = scratch_path(t.spark, "sinks")
+    rows = _classified(t)
+    for _ in range(2):
+        left = ingest.write_cards(rows, f"{root}/cards", f"{root}/ledger", "doc_id", F.col("doc_id") % 10 != 7)
+    written, events = t.spark.read.parquet(f"{root}/cards"), t.spark.read.parquet(f"{root}/ledger")
+    none = F.lit(None).cast("string")
+    return union_all(
+        written.select(F.lit("card").alias("sink"), "url", "category", F.col("stem").alias("detail")),
+        events.select(F.lit("event").alias("sink"), "url", "category", F.col("event").alias("detail")),
+        left.select(F.lit("queue").alias("sink"), "url", none.alias("category"), none.alias("detail")))
 
 
 @query("a7_write_counters", f"""

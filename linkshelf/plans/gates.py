@@ -10,6 +10,7 @@ from linkshelf.functions import text as T
 from linkshelf.functions.numbers import rounded
 from linkshelf.operators import budget as BUD
 from linkshelf.operators import catalog as CAT
+from linkshelf.operators import extraction as X
 from linkshelf.operators import quality as QU
 from linkshelf.operators import routing as RT
 from linkshelf.operators import scoring as S
@@ -147,6 +148,66 @@ def _(t):
     return rows.select("doc_id", "r.is_travel", "r.place_name", "r.confidence", "problem")
 
 
+@query("b4_waves", f"""
+    WITH {_PACKED}, n AS (SELECT block, batch, sum(length(left(title, 70))) AS letters FROM packed GROUP BY block, batch),
+    o AS (SELECT *, row_number() OVER (ORDER BY block, batch) AS nr, letters % 5 = 3 AS bad FROM n),
+    f AS (SELECT min(nr) AS first FROM o WHERE bad),
+    ends AS (SELECT min(e) AS last FROM (SELECT unnest([2, 6, 14, 30, 62, 126, 254, 510, 1022, 2046, 4094, 8190]) AS e) WHERE e >= (SELECT first FROM f))
+    SELECT block, batch, bad AS failed, coalesce(nr < (SELECT first FROM f), TRUE) AS committed FROM o WHERE nr <= coalesce((SELECT last FROM ends), nr)""")
+def _(t):
+    """Batches that were asked: up to the end of the wave (of 2, 4, 8 ...) that holds the first failing one."""
+    import json
+
+    ruled = S.rule_scorer()
+
+    def scorer(payload):
+        if sum(len(item["t"]) for item in json.loads(payload)) % 5 == 3:
+            raise RuntimeError("quota")
+        return ruled(payload)
+
+    asked = S.scored_in_waves(S.batch_payloads(batches(t)), scorer, scratch_path(t.spark, "paid"), first=2, growth=2)
+    return S.stop_at_first_failure(asked, F.col("error").isNotNull()).select("block", "batch", F.col("error").isNotNull().alias("failed"), "committed")
+
+
+@query("b6_typed_records", f"""
+    WITH packed AS (SELECT *, r // 100000 AS block, r % 100000 // 10 AS batch, ['travel', 'actionable', 'enrichment'][doc_id % 3 + 1] AS kind, length(coalesce(description, '')) AS n
+      FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM video_metadata)),
+    b AS (SELECT block, batch, sum(n) % 7 AS rest FROM packed GROUP BY block, batch),
+    s AS (SELECT p.*, CASE WHEN rest = 3 THEN 'error' WHEN rest = 4 THEN 'unreadable' WHEN n % 11 = 0 THEN 'skipped' WHEN n % 13 = 0 THEN 'kind'
+      WHEN (n % 17 = 0 AND kind <> 'enrichment') OR n % 23 = 0 THEN 'invalid' END AS problem FROM packed p JOIN b USING (block, batch))
+    SELECT doc_id, kind, problem, problem IS NOT NULL OR (kind <> 'travel' AND n % 19 = 0) AS manual,
+      CASE WHEN problem IS NULL AND kind = 'travel' THEN 'place ' || n END AS place_name,
+      CASE WHEN problem IS NULL AND kind = 'actionable' THEN n % 4 END AS n_actions,
+      CASE WHEN problem IS NULL AND kind = 'enrichment' THEN 'tool ' || n END AS tech_tool FROM s""")
+def _(t):
+    """One call for ten items, three kinds of record in one answer; torn answers and items at fixed places."""
+    import json
+
+    def answer(payload):
+        items = json.loads(payload)
+        sizes = [len(item["description"]) for item in items]
+        if sum(sizes) % 7 == 3:
+            raise RuntimeError("no answer")
+        if sum(sizes) % 7 == 4:
+            return '{"items": ['
+        out = []
+        for item, n in zip(items, sizes):
+            own = {
+                "travel": {"is_travel_related": True, "place_name": f"place {n}"},
+                "actionable": {"actionable_items": ["step"] * (n % 4), "needs_manual_review": n % 19 == 0},
+                "enrichment": {"category": "Tech & Coding", "tech_tool": f"tool {n}", "needs_manual_review": n % 19 == 0},
+            }[item["kind"]]
+            kind = "other" if n % 13 == 0 else item["kind"]
+            common = {"item_id": item["item_id"], "kind": kind, "confidence": 6 if n % 17 == 0 else 0.5}
+            if n % 11:
+                out.append({**common, **own, **({} if n % 23 == 0 else {"summary": "short"})})
+        return json.dumps({"items": out})
+
+    rows = packed(t.video_metadata.withColumn("kind", pick(["travel", "actionable", "enrichment"], F.col("doc_id") % 3)), "doc_id", 10)
+    records = X.typed_records(rows, S.score_batches(X.typed_payloads(rows), answer))
+    return records.select("doc_id", "kind", "problem", "manual", "travel.place_name", F.size("actionable.actionable_items").alias("n_actions"), "enrichment.tech_tool")
+
+
 @query("j5_enrichment_match", """
     WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM cards),
     b AS (SELECT doc_id, r // 100000 AS block, r % 100000 // 10 AS batch, (r % 10)::VARCHAR AS item_id FROM n)

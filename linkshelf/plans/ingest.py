@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkshelf import constants as C
@@ -19,7 +19,12 @@ from linkshelf.functions.text import safe_filename
 from linkshelf.operators import registry, scoring
 from linkshelf.operators.catalog import unique_names
 from linkshelf.operators.ordered import packed
+from linkshelf.operators.sets import union_all
 from linkshelf.session import materialize, scratch_path
+from linkshelf.sources.writers import append_events, read_or_empty
+
+CARDS = "url string, category string, folder string, stem string, content string"
+EVENTS = "url string, event string, source string, category string"
 
 
 def new_items(captures: DataFrame, known: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -33,10 +38,10 @@ def classified(items: DataFrame, scorer: Callable[[str], str | None], order: str
                store: str | None = None) -> DataFrame:
     """Items with ``category`` and ``summary``; unscored batches are left out and stay queued.
 
-    ``store`` keeps paid answers from run to run; without it they last for this run.
+    Batches behind a failing wave are not asked. ``store`` keeps paid answers from run to run; without it they last for this run.
     """
     rows = materialize(packed(materialize(items, "items"), order, size), "packed")
-    scored = scoring.scored_once(scoring.batch_payloads(rows), scorer, store or scratch_path(items.sparkSession, "paid"))
+    scored = scoring.scored_in_waves(scoring.batch_payloads(rows), scorer, store or scratch_path(items.sparkSession, "paid"))
     checked = scoring.validated(scored)
     staged = scoring.stop_at_first_failure(checked, F.col("problem").isNotNull() | F.col("error").isNotNull())
     committed = staged.filter("committed")
@@ -55,3 +60,27 @@ def cards(rows: DataFrame, existing: DataFrame, seq: str) -> DataFrame:
     ).withColumns({"folder": folder_for(F.col("category")), "stem": safe_filename(F.col("title"))})
     names = unique_names(built.select("folder", "stem", "seq"), existing).select("seq", "final_stem")
     return built.join(names, "seq")
+
+
+def write_cards(queue: DataFrame, cards_path: str, ledger_path: str, seq: str, writable: Column | None = None) -> DataFrame:
+    """Cards of the queued rows and their ledger events, each once; returns the rows that stay queued.
+
+    A URL that has a card or an event is done: it gets no second card, and the event that a crash left out if it has a card.
+    Rows that aren't ``writable`` stay queued and get neither. Cards are stored before their events, so that a run after
+    a crash finds what is missing. Single writer.
+    """
+    spark = queue.sparkSession
+    writable = F.lit(True) if writable is None else F.coalesce(writable, F.lit(False))
+    stored, ledger = read_or_empty(spark, cards_path, CARDS), read_or_empty(spark, ledger_path, EVENTS)
+    known = union_all(stored.select("url"), ledger.select("url")).distinct()
+    queue = materialize(queue, "queue")
+    fresh = registry.without_known(queue, known)
+    names = stored.select("folder", "stem")
+    built = materialize(cards(fresh.filter(writable), names, seq).select(
+        F.col("seq"), "url", "category", "folder", F.col("final_stem").alias("stem"), "content"), "built")
+    left = fresh.filter(~writable)
+    recovered = registry.without_known(registry.already_known(stored.select("url").distinct(), queue), ledger)
+    built.drop("seq").write.mode("append").parquet(cards_path)
+    event = lambda rows, category: rows.select("url", F.lit("carded").alias("event"), F.lit("write-cards").alias("source"), category.alias("category"))
+    append_events(materialize(union_all(event(built, F.col("category")), event(recovered, F.lit(None).cast("string"))), "events"), ledger_path, EVENTS)
+    return left

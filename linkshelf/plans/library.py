@@ -354,9 +354,15 @@ def _(t):
     return MG.refreshable(notes, stock).select("doc_id", "name", "new_content")
 
 
-@query("v6_tag_dedupe", "SELECT doc_id, 'saved-media|category/a-and-b' AS tags, CASE WHEN category = 'Music' THEN 'Saved Music' ELSE category END AS category FROM cards")
-def _(t):
-    tags = F.array(F.lit("old-library"), F.lit("category/a-&-b"), F.lit("saved-media"), F.lit("category/a/and/b"))
+@query("v6_tag_dedupe", f"""
+    WITH l AS (SELECT doc_id, category, ['saved-media', 'category/recipes-and-food', list_extract(tags, 3), 'category/' || {Q.slug('category')},
+      {Q.category_tag('category')}, list_extract(tags, 3)] AS l FROM cards)
+    SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS tags,
+      CASE WHEN category = 'Music' THEN 'Saved Music' ELSE category END AS category FROM l""")
+def _(t):
+    """The tags of each card, with its category spelt as it stands and as a tag, and one of its tags repeated."""
+    raw = F.concat(F.lit("category/"), F.col("category"))
+    tags = F.concat("tags", F.array(raw, G.category_tag(F.col("category")), F.get("tags", F.lit(2))))
     return t.cards.select("doc_id", joined(G.rewrite_tags(tags, _LEGACY)).alias("tags"), G.canonical_category(F.col("category")).alias("category"))
 
 

@@ -45,15 +45,15 @@ def _(t):
 
 
 @query("u2_tracking_param", f"""
-    WITH p AS (SELECT seq, unnest(string_split(regexp_extract(line, '\\?([^#]*)', 1), '&')) AS s FROM captures
-               UNION ALL SELECT page_id + 1000000, unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) FROM pages)
-    SELECT seq, split_part(s, '=', 1) AS name, {Q.tracking("split_part(s, '=', 1)")} AS tracking FROM p WHERE s <> ''""")
+    WITH p AS (SELECT 'line' AS source, seq, unnest(string_split(regexp_extract(line, '\\?([^#]*)', 1), '&')) AS s FROM captures
+               UNION ALL SELECT 'page', page_id, unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) FROM pages)
+    SELECT source, seq, split_part(s, '=', 1) AS name, {Q.tracking("split_part(s, '=', 1)")} AS tracking FROM p WHERE s <> ''""")
 def _(t):
-    rows = t.captures.select("seq", F.col("line").alias("u")).unionByName(
-        t.read("pages").select((F.col("page_id") + 1000000).alias("seq"), F.col("url").alias("u"))
+    rows = t.captures.select(F.lit("line").alias("source"), "seq", F.col("line").alias("u")).unionByName(
+        t.read("pages").select(F.lit("page").alias("source"), F.col("page_id").alias("seq"), F.col("url").alias("u"))
     )
-    params = rows.select("seq", F.explode(U.query_params(U.url_query(F.col("u")))).alias("p"))
-    return params.select("seq", F.col("p.name").alias("name"), U.is_tracking_param(F.col("p.name")).alias("tracking"))
+    params = rows.select("source", "seq", F.explode(U.query_params(U.url_query(F.col("u")))).alias("p"))
+    return params.select("source", "seq", F.col("p.name").alias("name"), U.is_tracking_param(F.col("p.name")).alias("tracking"))
 
 
 @query("u3_valid_url", "SELECT seq, valid FROM capture_urls")

@@ -231,7 +231,12 @@ _NL = "chr(10)"
 
 
 
-def _card_sql() -> str:
+_SCORED = """SELECT v.doc_id, s.cat AS cat0, v.title AS title0, coalesce(v.creator, '') AS raw_creator, v.url, v.text AS summary,
+        array_to_string(v.tags, ', ') AS tags_text FROM video_metadata v JOIN best_scores s ON s.doc_id = v.doc_id"""
+
+
+def card_sql(rows: str = _SCORED) -> str:
+    """Cards of ``rows(doc_id, cat0, title0, raw_creator, url, summary, tags_text)``."""
     cat = Q.canonical_category("cat0")
     q = Q.quoted
     head = (
@@ -261,14 +266,13 @@ def _card_sql() -> str:
         f"{_NL} || {_NL} || '## Notes & Insights' || {_NL} || '- ' || {_NL}"
     )
     return f"""
-    WITH r AS (SELECT v.doc_id, s.cat AS cat0, v.title AS title0, coalesce(v.creator, '') AS raw_creator, v.url, v.text AS summary,
-        array_to_string(v.tags, ', ') AS tags_text FROM video_metadata v JOIN best_scores s ON s.doc_id = v.doc_id),
+    WITH r AS ({rows}),
     c AS (SELECT *, {cat} AS c, {Q.first_of('title0', 'summary', "'Saved Post'")} AS title, {Q.first_of('raw_creator', "'Unknown'")} AS creator FROM r),
     x AS (SELECT *, {Q.stage_for('c')} AS stage FROM c)
     SELECT doc_id, c AS category, title, CASE WHEN c IN {Q.in_list(C.ACTIONABLE)} THEN {actionable} WHEN c IN {Q.in_list(C.HIGH_VALUE)} THEN {high} ELSE {generic} END AS content FROM x"""
 
 
-@query("t19_card_text", _card_sql())
+@query("t19_card_text", card_sql())
 def _(t):
     rows = t.video_metadata.join(t.best_scores, "doc_id")
     cols = K.classified_card(

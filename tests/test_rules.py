@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkshelf.functions import cards as K
-from linkshelf.operators import budget, catalog, migrations, quality, registry, routing, scoring, transcripts
+from linkshelf.operators import extraction, budget, catalog, migrations, quality, registry, routing, scoring, transcripts
 
 
 def one(df):
@@ -344,6 +344,65 @@ def test_answers_are_paid_once(spark, tmp_path):
     assert sorted(f.name.split("-")[0] for f in calls.iterdir()) == sorted(asked + ["p2"])  # only the failed one again
 
 
+@pytest.mark.parametrize("failing, asked", [(None, 40), (1, 2), (5, 6), (13, 14), (38, 40)])
+def test_nothing_is_asked_in_waves_after_a_failure(spark, tmp_path, failing, asked):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def scorer(payload, fails=failing):
+        n = int(payload)
+        (calls / f"{n}-{len(list(calls.iterdir()))}").touch()
+        if n == fails:
+            raise RuntimeError("quota")
+        return '{"results": []}'
+
+    batches = spark.createDataFrame([(n // 7, n % 7, str(n)) for n in range(40)], "block bigint, batch bigint, payload string").coalesce(1)
+    store = str(tmp_path / "paid")
+    first = scoring.scored_in_waves(batches, scorer, store, first=2, growth=2)
+    assert sorted(int(r.payload) for r in first.collect()) == list(range(asked))
+    assert sorted(int(f.name.split("-")[0]) for f in calls.iterdir()) == list(range(asked))  # one call a batch, none behind the wave
+    staged = scoring.stop_at_first_failure(first, F.col("error").isNotNull())
+    assert staged.filter("committed").count() == (40 if failing is None else failing)
+    again = scoring.scored_in_waves(batches, lambda p: scorer(p, None), store, first=2, growth=2)
+    assert again.count() == 40 and len(list(calls.iterdir())) == (40 if failing is None else 41)  # the failed one twice, no other
+
+
+def test_typed_records_from_one_call_a_batch(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    kinds = ["travel", "actionable", "enrichment", "travel", "actionable", "enrichment", "travel", "travel"]
+    packed = spark.createDataFrame(
+        [(0, i // 4, i % 4, k, f"title {i}", None, None) for i, k in enumerate(kinds)] + [(0, 2, 0, "travel", "x", "", ["a"]), (0, 3, 0, "travel", "y", "", [])],
+        "block bigint, batch bigint, i int, kind string, title string, description string, tags array<string>").coalesce(1)
+    place = {"is_travel_related": True, "place_name": "Rome", "summary": "s", "confidence": 1}
+    told = {
+        "title 0": [{"item_id": "0", "kind": "travel", **place, "confidence": 7}, {"item_id": "0", "kind": "travel", **place}],
+        "title 1": [{"item_id": "1", "kind": "actionable", "summary": "s", "actionable_items": ["a", "b"], "confidence": 0.2, "needs_manual_review": True}],
+        "title 2": [{"item_id": "2", "kind": "enrichment", "category": "Tech & Coding", "summary": "s", "confidence": 9.5, "needs_manual_review": False}],
+        "title 3": [{"item_id": "3", "kind": "actionable", **place}],
+        "title 4": [{"item_id": "0", "kind": "actionable", "summary": "s", "confidence": 0.2, "needs_manual_review": "perhaps"}],
+        "title 5": [{"item_id": "1", "kind": "enrichment", "category": "Cooking", "summary": "s", "confidence": 0.5, "needs_manual_review": False}],
+        "title 6": [{"item_id": "2", "kind": "travel", **place, "summary": None}, {"item_id": "77", "kind": "travel", **place}, "junk"],
+        "title 7": [],
+    }
+
+    def scorer(payload):
+        items = json.loads(payload)
+        (calls / str(len(list(calls.iterdir())))).touch()
+        if items[0]["title"] == "x":
+            raise RuntimeError("quota")
+        return "[1" if items[0]["title"] == "y" else json.dumps({"items": sum((told[item["title"]] for item in items), [])})
+
+    got = extraction.typed_records(packed, scoring.score_batches(extraction.typed_payloads(packed), scorer)).collect()
+    assert len(list(calls.iterdir())) == 4 and len(got) == 10
+    by = {(r.batch, r.i): r for r in got}
+    assert [by[n // 4, n % 4].problem for n in range(8)] == [None, None, None, "kind", "invalid", "invalid", "invalid", "skipped"]
+    assert (by[2, 0].problem, by[3, 0].problem) == ("error", "unreadable")
+    assert [by[n // 4, n % 4].manual for n in range(4)] == [False, True, False, True] and all(r.manual for r in got if r.batch)
+    assert by[0, 0].travel.place_name == "Rome" and by[0, 0].travel.confidence == 1.0 and by[0, 0].actionable is None
+    assert by[0, 1].actionable.actionable_items == ["a", "b"] and by[0, 2].enrichment.category == "Tech & Coding"
+
+
 def test_a_long_caption_payload_is_folded_in_order(evaluate):
     rng = random.Random(2)
     lines, out, mark, shown, at = ["WEBVTT"], [], -10.0, "", 0.0

@@ -89,3 +89,28 @@ def test_notes_that_the_listing_skips_are_an_error(spark, tmp_path):
     (folder / "_CON.md").write_text(note)
     with pytest.raises(ValueError, match="_CON.md"):
         readers.read_cards(spark, str(tmp_path))
+
+
+def test_write_cards_once_across_crashes(spark, tmp_path):
+    """Known URLs get no card, a card without event gets its event, failed rows stay, names count what is stored."""
+    from linkshelf.plans import ingest
+
+    def queue(*rows):
+        return spark.createDataFrame([(i, u, "Travel", t, "me", "sum", ["x"]) for i, u, t in rows],
+                                     "doc_id bigint, url string, category string, title string, creator string, summary string, tags array<string>")
+
+    cards, ledger = str(tmp_path / "cards"), str(tmp_path / "ledger")
+    spark.createDataFrame([("gone", "tossed", "x", None)], ingest.EVENTS).write.parquet(ledger)
+    rows = [(1, "a", "Same"), (2, "b", "Same"), (3, "gone", "Same"), (4, "bad", "Other")]
+    left = ingest.write_cards(queue(*rows), cards, ledger, "doc_id", F.col("url") != "bad")
+    assert [r.url for r in left.collect()] == ["bad"]
+    state = lambda: (sorted((r.url, r.stem) for r in spark.read.parquet(cards).collect()), sorted((r.url, r.event, r.source) for r in spark.read.parquet(ledger).collect()))
+    done = ([("a", "Same"), ("b", "Same (2)")], [("a", "carded", "write-cards"), ("b", "carded", "write-cards"), ("gone", "tossed", "x")])
+    assert state() == done
+    assert ingest.write_cards(queue(*rows), cards, ledger, "doc_id", F.col("url") != "bad").count() == 1 and state() == done
+    # A crash between cards and events: the card is there, its event is not.
+    spark.createDataFrame([("c", "Travel", "Travel", "Crashed", "text")], ingest.CARDS).write.mode("append").parquet(cards)
+    left = ingest.write_cards(queue((5, "c", "Crashed"), (6, "d", "Same"), (4, "bad", "Other")), cards, ledger, "doc_id")
+    assert left.isEmpty()
+    assert state() == (sorted([*done[0], ("c", "Crashed"), ("d", "Same (3)"), ("bad", "Other")]),
+                       sorted([*done[1], ("c", "carded", "write-cards"), ("d", "carded", "write-cards"), ("bad", "carded", "write-cards")]))
