@@ -28,6 +28,8 @@ from linkshelf.llm.samples import lowest_by_hash
 ORDER = 3
 SAMPLE_DOCS = 250
 SAMPLE_BYTES = 40_000
+#: Bytes of text whose costs are held at once.
+STEP_BYTES = 1 << 20
 MAX_LANGUAGES = 200
 #: Bytes of evidence the score trusts; beyond, a longer text adds no certainty.
 EVIDENCE_BYTES = 200
@@ -103,7 +105,13 @@ class ContextTrees:
             line = int.from_bytes(b"\n" * (self.order - k), "big") << (8 * (k + 1))
             keys[at] = (keys[at] & np.uint32(mask)) | np.uint32(line)
         filled = np.flatnonzero(np.diff(starts))
-        out[filled] = np.add.reduceat(self.cost(keys, self.order), starts[filled], axis=0, dtype=np.float64)
+        begins = starts[filled]
+        # A long text is summed a step at a time: a step's table of costs has a column for each language.
+        for low in range(0, len(data), STEP_BYTES):
+            high = min(low + STEP_BYTES, len(data))
+            cuts = np.unique(np.concatenate([[low], begins[(begins > low) & (begins < high)]]))
+            rows = filled[np.searchsorted(begins, cuts, side="right") - 1]
+            out[rows] += np.add.reduceat(self.cost(keys[low:high], self.order), cuts - low, axis=0, dtype=np.float64)
         return out
 
 

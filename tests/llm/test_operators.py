@@ -274,6 +274,19 @@ def test_context_trees_charge_escapes_as_by_hand():
     assert np.allclose(together, one_by_one, rtol=1e-5)
 
 
+def test_code_lengths_of_long_texts_are_summed_in_steps(monkeypatch):
+    rng = random.Random(3)
+    trees = language_id.ContextTrees({la: [prose(rng, la, 400).encode()] for la in ("de", "en")}, 3)
+    texts = [prose(rng, "en", 300), "", "ä", prose(rng, "de", 2000), "x", prose(rng, "de", 5)]
+    import pyarrow as pa
+
+    data, starts = buffers.text_bytes(pa.array(texts))
+    whole = trees.lengths(data, starts)
+    for step in (1, 7, 100, 4096):
+        monkeypatch.setattr(language_id, "STEP_BYTES", step)
+        assert np.allclose(trees.lengths(data, starts), whole, rtol=1e-6)
+
+
 def labels_of(spark, rows, quality=None, toxic=None):
     return spark.createDataFrame([(i, quality(t) if quality else 1, toxic(t) if toxic else 0) for i, t, *_ in rows if t and i is not None],
                                  "doc_id bigint, quality int, toxic int")
