@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkshelf import constants as C
 from linkshelf.functions.numbers import fixed
 from linkshelf.functions.text import has_list_claim, text_or_blank
-from linkshelf.operators.ordered import BLOCK_ROWS
+from linkshelf.operators.ordered import BLOCK_ROWS, FAN_BITS, blocked, last_before, levels, place, sums_before
 from linkshelf.operators.sets import union_all
 
 
@@ -69,37 +69,42 @@ def expected_count(claimed: Column, slides: Column, shape: Column, images: Colum
     )
 
 
-def position_gaps(items: DataFrame, key: str, position: str, first: int = 10, block: int = 1024) -> DataFrame:
+def position_gaps(items: DataFrame, key: str, position: str, first: int = 10, block: int = 1024,
+                  fan_bits: int = FAN_BITS) -> DataFrame:
     """Per key: rows, distinct positions, smallest, largest, and the ``first`` missing ones.
 
-    Positions are grouped in blocks of ``block`` values, so no array outgrows a block however
-    many rows a key has. Gaps between blocks come from the next block's first position, and
-    only the blocks that hold the first missing positions are listed.
+    Positions are grouped in blocks of ``block`` values, blocks in ranges of ``2 ** fan_bits`` and ranges per key. A block or range is five
+    narrow values and its own first missing positions, so no array and no window grows with the rows of a key, and sparse
+    positions only make more blocks. What is missing between two neighbours follows from the first position of the later one.
     """
     none = F.array().cast("array<bigint>")
     p = F.col(position).cast("bigint")
-    blocks = items.groupBy(key, F.floor(p / block).alias("blk")).agg(
-        F.count(F.lit(1)).alias("n"), F.collect_set(p).alias("ps")
-    ).withColumns({"lo": F.array_min("ps"), "hi": F.array_max("ps")})
-    order = Window.partitionBy(key).orderBy(F.asc_nulls_first("blk"))
-    edge = F.when(F.col("next_lo").isNotNull(), F.least(F.col("next_lo") - 1, F.col("hi") + first))
     inside = F.when(F.col("hi") - F.col("lo") + 1 > F.size("ps"), F.array_sort(F.array_except(F.sequence("lo", "hi"), "ps")))
-    gaps = (
-        blocks.withColumn("next_lo", F.lead("lo").over(order))
-        .withColumn("edge", edge)
-        .withColumn("gap", F.concat(
-            F.coalesce(F.slice(inside, 1, first), none),
-            F.when(F.col("edge") > F.col("hi"), F.sequence(F.col("hi") + 1, "edge")).otherwise(none),
-        ))
-        .withColumn("before", F.coalesce(F.sum(F.size("gap")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    )
-    listed = F.when((F.col("before") < first) & (F.size("gap") > 0), F.struct("blk", "gap"))
-    rolled = gaps.groupBy(key).agg(
-        F.sum("n").alias("rows"), F.sum(F.size("ps")).alias("distinct_positions"), F.min("lo").alias("first_position"),
-        F.max("hi").alias("last_position"), F.array_sort(F.collect_list(listed)).alias("gs"),
-    )
-    missing = F.slice(F.flatten(F.transform("gs", lambda g: g["gap"])), 1, first)
-    return rolled.withColumn("missing", missing).drop("gs")
+    cells = items.groupBy(key, F.floor(p / block).alias("blk")).agg(
+        F.count(F.lit(1)).alias("rows"), F.collect_set(p).alias("ps")
+    ).withColumns({"lo": F.array_min("ps"), "hi": F.array_max("ps"), "distinct_positions": F.size("ps").cast("bigint")})
+    cells = cells.withColumn("gap", F.coalesce(F.slice(inside, 1, first), none)).drop("ps")
+
+    def rolled(cells: DataFrame, by: list[str]) -> DataFrame:
+        """Neighbouring cells of each ``by`` as one."""
+        order = Window.partitionBy(*by).orderBy(F.asc_nulls_first("blk"))
+        edge = F.when(F.col("next_lo").isNotNull() & (F.col("next_lo") > F.col("hi") + 1), F.least(F.col("next_lo") - 1, F.col("hi") + first))
+        gaps = (
+            cells.withColumn("next_lo", F.lead("lo").over(order)).withColumn("edge", edge)
+            .withColumn("gap", F.slice(F.concat("gap", F.coalesce(F.sequence(F.col("hi") + 1, "edge"), none)), 1, first))
+            .withColumn("before", F.coalesce(F.sum(F.size("gap")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        )
+        listed = F.when((F.col("before") < first) & (F.size("gap") > 0), F.struct("blk", "gap"))
+        found = F.flatten(F.transform(F.array_sort(F.collect_list(listed)), lambda g: g["gap"]))
+        return gaps.groupBy(*by).agg(
+            F.sum("rows").alias("rows"), F.sum("distinct_positions").alias("distinct_positions"), F.min("lo").alias("lo"),
+            F.max("hi").alias("hi"), F.slice(found, 1, first).alias("gap"),
+        )
+
+    for _ in range(levels(block, fan_bits)):
+        up = F.call_function("div", F.col("blk"), F.lit(1 << fan_bits).cast("bigint"))
+        cells = rolled(cells.withColumn("up", up), [key, "up"]).withColumnRenamed("up", "blk")
+    return rolled(cells, [key]).withColumnsRenamed({"lo": "first_position", "hi": "last_position", "gap": "missing"})
 
 
 def completeness(expected: Column, actual: Column, missing: Column) -> tuple[Column, Column]:
@@ -121,7 +126,8 @@ def terminal_status(failed: Column, attempts: Column, complete: Column, flagged:
 
 
 def attempts_along_log(
-    log: DataFrame, key: str, seq: str, success: Column, failure: Column, passes: Column, name: str = "attempts"
+    log: DataFrame, key: str, seq: str, success: Column, failure: Column, passes: Column, name: str = "attempts",
+    block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Attempt counter after each log row.
 
@@ -132,19 +138,18 @@ def attempts_along_log(
     success set; across blocks only two numbers per block travel: its failures and where its
     last success left the count.
     """
-    blk = F.expr(f"`{seq}` div {BLOCK_ROWS}L")
-    base = log.withColumns({"__blk": blk, "__f": F.when(failure, 1).otherwise(0).cast("bigint")})
+    base = blocked(log, seq, block).withColumn("__f", F.when(failure, 1).otherwise(0).cast("bigint"))
     inside = Window.partitionBy(key, "__blk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumn("__fails", F.sum("__f").over(inside))
     local = local.withColumn("__set", F.when(success, passes.cast("bigint") - F.col("__fails")))
     totals = local.groupBy(key, "__blk").agg(
-        F.sum("__f").alias("fails"), F.max_by("__set", F.when(F.col("__set").isNotNull(), F.col(seq))).alias("set")
+        F.sum("__f").alias("__f0"), F.max_by("__set", F.when(F.col("__set").isNotNull(), place(seq))).alias("set")
     )
-    before = Window.partitionBy(key).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = totals.withColumn("__f0", F.coalesce(F.sum("fails").over(before), F.lit(0)))
-    earlier = earlier.withColumn("__s0", F.last(F.col("set") - F.col("__f0"), ignorenulls=True).over(before))
+    fails = sums_before(totals, [key], ["__f0"], levels(block))
+    sets = totals.select(key, "__blk", "set").join(fails, [key, "__blk"]).withColumn("__s0", F.col("set") - F.col("__f0"))
+    earlier = fails.join(last_before(sets.select(key, "__blk", "__s0"), [key], "__s0", levels(block)), [key, "__blk"])
     local = local.withColumn("__last", F.last("__set", ignorenulls=True).over(inside))
-    joined = local.join(earlier.select(key, "__blk", "__f0", "__s0"), [key, "__blk"])
+    joined = local.join(earlier, [key, "__blk"])
     start = F.coalesce(F.col("__last"), F.col("__s0") + F.col("__f0"), F.col("__f0"))
     return joined.withColumn(name, start + F.col("__fails")).drop("__blk", "__f", "__fails", "__set", "__last", "__f0", "__s0")
 

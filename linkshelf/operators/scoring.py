@@ -88,7 +88,7 @@ def scored_in_waves(batches: DataFrame, scorer: Callable[[str], str | None], sto
     the logarithm of the batches. Batches not asked are not returned; they stay queued. A batch fails with an error or an
     answer that isn't valid.
     """
-    numbered = materialize(row_numbers(batches, [], ["block", "batch"], "__number"), "numbered")
+    numbered = materialize(row_numbers(batches, [], ["block", "batch"], "__number", block=10), "numbered")
     total, done, size, waves = numbered.agg(F.max("__number")).first()[0] or 0, 0, first, []
     while not waves or done < total:
         wave = numbered.filter((F.col("__number") > done) & (F.col("__number") <= done + size)).drop("__number")

@@ -162,9 +162,9 @@ def _(t):
     FROM k LEFT JOIN d ON d.clip = k.clip AND d.n = k.n GROUP BY k.clip, (k.n - 1) // 1000""")
 def _(t):
     spoken = TR.speech_only(t.segments)
-    # Time order with the segment number as tie break; blocks of ten seconds.
+    # Time order with the segment number as tie break; blocks of a millisecond.
     placed = spoken.withColumn("at_us", F.round(F.col("start_s") * 1_000_000).cast("bigint"))
-    numbered = row_numbers(placed, ["clip"], ["at_us", "start_s", "seq"], "pos", block=10_000_000)
+    numbered = row_numbers(placed, ["clip"], ["at_us", "start_s", "seq"], "pos", block=1_000)
     marked = TR.with_markers(numbered.select("clip", "pos", "start_s", "text"), "clip", "pos", "start_s")
     return TR.transcript_chunks(marked, "clip", "pos", "text")
 
