@@ -115,19 +115,99 @@ def counts_for_weight(name: Column) -> Column:
 # --- names --------------------------------------------------------------------------
 
 
-# A stem that already ends in a number, and every number at its end.
-_NUMBERED = r"(?s)^(.*) \(([1-9]\d{0,8})\)$"
-_SUFFIXES = r"(?: \([1-9]\d*\))+$"
+# A stem that already ends in a number, one number, and all those at its end.
+_NUMBERED = r"(?s)^(.*) \(([1-9]\d*)\)\z"
+_SUFFIX = r" \([1-9]\d*\)"
+_TAIL = r"((?: \([1-9]\d*\))*)\z"
 
 
-def _indexed(names: DataFrame) -> DataFrame:
-    """Existing names as occupied indexes of a stem: the name itself is 1, ``stem (n)`` is n."""
-    own = names.select("folder", F.col("stem"), F.lit(1).cast("bigint").alias("x"))
-    base = names.filter(F.rlike("stem", F.lit(_NUMBERED))).select(
-        "folder", F.regexp_extract("stem", _NUMBERED, 1).alias("base"),
-        F.regexp_extract("stem", _NUMBERED, 2).cast("bigint").alias("x"),
-    ).filter("x >= 2").select("folder", F.col("base").alias("stem"), "x")
-    return union_all(own, base)
+def _literals(new: DataFrame, existing: DataFrame, seq: str) -> DataFrame:
+    """Names that are another stem with a number: ``folder, stem, x, child, had, before``.
+
+    ``child`` is ``stem (x)``, an existing name (``had``) or a title of its own; ``before`` counts the rows of ``stem`` that arrive
+    ahead of its first row.
+    """
+    keys = ["folder", "stem"]
+    names = new.groupBy(*keys).agg(F.min(seq).cast("bigint").alias("at")).join(
+        existing.select(*keys).distinct().withColumn("had", F.lit(True)), keys, "full")
+    links = names.filter(F.rlike("stem", F.lit(_NUMBERED))).select(
+        "folder", F.regexp_extract("stem", _NUMBERED, 1).alias("stem"),
+        # A number beyond 64 bits is never reached by counting.
+        F.regexp_extract("stem", _NUMBERED, 2).try_cast("bigint").alias("x"),
+        F.col("stem").alias("child"), F.coalesce("had", F.lit(False)).alias("had"), F.when(F.col("had").isNull(), F.col("at")).alias("at"),
+    ).filter("x >= 2")
+    blank = [F.lit(None).cast(t).alias(n) for n, t in (("x", "bigint"), ("child", "string"), ("had", "boolean"))]
+    rows = new.join(links.select(*keys).distinct(), keys, "left_semi").select(*keys, *blank, F.col(seq).cast("bigint").alias("at"), F.lit(1).alias("w"))
+    waiting = links.filter("not had").select(*keys, "x", "child", "had", "at", F.lit(0).alias("w"))
+    counted = running_sums(union_all(rows, waiting), keys, "at", {"before": F.col("w")}).filter("child is not null")
+    columns = [*keys, "x", "child", "had"]
+    return union_all(counted.select(*columns, F.col("before").cast("bigint").alias("before")),
+                     links.filter("had").select(*columns, F.lit(0).cast("bigint").alias("before")))
+
+
+def _settled(literals: DataFrame, store) -> DataFrame:
+    """``literals`` with ``lost0, lost1``: whether ``child`` finds its name taken by the numbering of ``stem``.
+
+    Of two answers the first holds while the stem's own name is free to it, the second if that is taken. Below ``x`` the numbering skips the
+    kept names, ``s`` of them, and has used ``before`` of the other ``x - 1 - s``; so a name is kept if ``before <= x - 1 - s``. How many
+    literals lie below is known, so most are settled at once; the rest of a stem, usually none, are gone through in order.
+    """
+    keys = ["folder", "stem"]
+    room = F.col("x") - 1 - F.col("before")
+    ranked = row_numbers(literals, keys, "x", "__r").withColumns({"__room": room, "__kept": F.col("had") | (room >= F.col("__r"))})
+    ranked = store(ranked.withColumn("__open", ~F.col("__kept") & (F.col("__room") >= 0)), "literals")
+    lost = lambda df: df.withColumns({"lost0": ~F.col("__kept"), "lost1": ~F.col("__kept")})
+    tidy = lambda df: df.select(*keys, "x", "child", "had", "lost0", "lost1")
+    if ranked.filter("__open").isEmpty():
+        return tidy(lost(ranked))
+    opened = ranked.filter("__open").select(*keys).distinct()
+    below = running_sums(ranked.join(opened, keys, "left_semi"), keys, "x", {"__sure": F.col("__kept").cast("bigint")})
+
+    def in_order(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values("x", ignore_index=True)
+        free = (pdf["room"] - pdf["sure"]).tolist()
+        for name, kept in (("lost0", 0), ("lost1", 1)):
+            out = np.zeros(len(free), dtype=bool)
+            for i, most in enumerate(free):
+                out[i] = most < kept
+                kept += most >= kept
+            pdf[name] = out
+        return pdf[["folder", "stem", "x", "lost0", "lost1"]]
+
+    narrow = below.filter("__open").select(*keys, "x", F.col("__room").alias("room"), F.col("__sure").alias("sure"))
+    walked = narrow.groupBy(*keys).applyInPandas(in_order, "folder string, stem string, x bigint, lost0 boolean, lost1 boolean")
+    return union_all(tidy(lost(ranked.filter("not __open"))), tidy(ranked.filter("__open").join(walked, [*keys, "x"])))
+
+
+def _occupied(new: DataFrame, existing: DataFrame, seq: str, store) -> DataFrame:
+    """``folder, stem, x``: indexes the numbering of a new stem skips. The name itself is 1, ``stem (n)`` is n.
+
+    Whether a name is free to its stem depends on the stem it is a number of, that one's on the next, down to the bare title: each answers
+    for both cases, so a stem's answer is a fold over its own few prefixes.
+    """
+    keys = ["folder", "stem"]
+    settled = store(_settled(_literals(new, existing, seq), store), "settled")
+    answers = union_all(
+        settled.select("folder", F.col("child").alias("name"), (F.col("had") | F.col("lost0")).alias("g0"), (F.col("had") | F.col("lost1")).alias("g1")),
+        existing.select("folder", F.col("stem").alias("name"), F.lit(True).alias("g0"), F.lit(True).alias("g1")),
+    ).groupBy("folder", "name").agg(F.max("g0").alias("g0"), F.max("g1").alias("g1"))
+    tail = F.regexp_extract("stem", _TAIL, 1)
+    root = F.substring(F.col("stem"), F.lit(1), F.length("stem") - F.length(tail))
+    parts = F.regexp_extract_all(tail, F.lit(_SUFFIX), F.lit(0))
+    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.concat(root, F.array_join(F.slice(parts, F.lit(1), i), "")))
+    steps = new.select(*keys).distinct().select(*keys, F.posexplode(prefixes).alias("i", "name"))
+    path = F.array_sort(F.collect_list(F.struct("i", "g0", "g1")))
+    entered = steps.join(answers, ["folder", "name"]).groupBy(*keys).agg(path.alias("path"), F.max("i").alias("at"))
+    # A prefix without an answer is free, and so is what follows it unless that answers for both cases.
+    fold = F.aggregate("path", F.struct(F.lit(-1).alias("i"), F.lit(False).alias("b")), lambda a, p: F.struct(
+        p["i"].alias("i"), F.when(a["b"] & (p["i"] == a["i"] + 1), p["g1"]).otherwise(p["g0"]).alias("b")), lambda a: a)
+    own = entered.withColumn("end", fold).filter(F.col("end")["b"]).join(
+        new.select(*keys).distinct().select(*keys, F.size(parts).alias("deep")), keys).filter(F.col("at") == F.col("deep")).select(*keys)
+    taken = settled.join(own.withColumn("__own", F.lit(True)), keys, "left")
+    kept = F.when(F.col("__own"), ~F.col("lost1")).otherwise(~F.col("lost0"))
+    return union_all(own.withColumn("x", F.lit(1).cast("bigint")), taken.filter(kept).select(*keys, "x"))
 
 
 def _numbered_names(new: DataFrame, taken: DataFrame, seq: str) -> DataFrame:
@@ -145,7 +225,7 @@ def _numbered_names(new: DataFrame, taken: DataFrame, seq: str) -> DataFrame:
         .select(*keys, (F.col("thr") * 2 + 1).alias("at"), "w", F.lit(None).cast("bigint").alias(seq))
     )
     rows = ranked.select(*keys, (F.col("__k") * 2).alias("at"), F.lit(0).cast("bigint").alias("w"), F.col(seq).cast("bigint").alias(seq))
-    merged = running_sums(union_all(rows, offsets), keys, "at", {"shift": F.col("w")})
+    merged = running_sums(union_all(rows, offsets), keys, "at", {"shift": F.col("w")}, dense=True)
     index = F.expr("at div 2") + F.col("shift")
     named = F.when(index == 1, F.col("stem")).otherwise(F.concat("stem", F.lit(" ("), index.cast("string"), F.lit(")")))
     return merged.filter(F.col(seq).isNotNull()).select(*keys, seq, index.alias("x"), named.alias("final_stem"))
@@ -154,34 +234,13 @@ def _numbered_names(new: DataFrame, taken: DataFrame, seq: str) -> DataFrame:
 def unique_names(new: DataFrame, existing: DataFrame, seq: str = "seq", store=None) -> DataFrame:
     """Collision-free file stems in arrival order: ``stem``, ``stem (2)``, ``stem (3)`` ...
 
-    ``new`` and ``existing`` have ``folder, stem``. A literal title such as ``a (2)`` can meet a
-    numbered ``a``; the earliest row that finds its name taken is moved on, and the numbering
-    repeated, until every name is unique.
+    ``new`` and ``existing`` have ``folder, stem``. A literal title such as ``a (2)`` can meet a numbered ``a``; the earlier of
+    them keeps the name, as in naming one at a time. Which of them that is follows from counts of rows, so all names come from one
+    pass, however the titles are nested.
     """
     from linkshelf.session import materialize
 
-    store = store or materialize
-    taken = _indexed(existing)
-    # Only names that share a stem apart from such numbers can meet; the others are done in one pass.
-    rooted = new.withColumn("root", F.regexp_replace("stem", _SUFFIXES, ""))
-    roots = rooted.filter(F.rlike("stem", F.lit(_NUMBERED))).select("folder", "root").distinct()
-    mixed = store(rooted.join(roots, ["folder", "root"], "left_semi").drop("root"), "mixed")
-    if mixed.isEmpty():
-        return _numbered_names(new, taken, seq)
-    plain = rooted.join(roots, ["folder", "root"], "left_anti").drop("root")
-    done = _numbered_names(plain, taken, seq)
-    while True:
-        named = store(_numbered_names(mixed, taken, seq), "names")
-        clashes = named.groupBy("folder", "final_stem").agg(
-            F.count(F.lit(1)).alias("n"), F.min(seq).alias("winner")
-        ).filter("n > 1").drop("n")
-        losers = named.join(clashes, ["folder", "final_stem"]).filter(F.col(seq) != F.col("winner"))
-        family = F.regexp_replace("final_stem", _SUFFIXES, "")
-        first = losers.groupBy("folder", family.alias("family")).agg(F.min_by(F.struct("stem", "x"), F.col(seq)).alias("b"))
-        moved = store(first.select("folder", F.col("b.stem").alias("stem"), F.col("b.x").alias("x")), "moved")
-        if moved.isEmpty():
-            return union_all(done, named)
-        taken = union_all(taken, moved)
+    return _numbered_names(new, _occupied(new, existing, seq, store or materialize), seq)
 
 
 # --- aggregates ----------------------------------------------------------------------

@@ -98,14 +98,18 @@ def last_by(df: DataFrame, keys: list[str], order: str, cols: list[str]) -> Data
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], order: str | list[str], sums: dict[str, Column], block: int = BLOCK_ROWS
+    df: DataFrame, keys: list[str], order: str | list[str], sums: dict[str, Column], block: int = BLOCK_ROWS,
+    dense: bool = False,
 ) -> DataFrame:
-    """Inclusive running sum of each expression per key, in ``order``; of several columns the first is cut into blocks."""
+    """Inclusive running sum of each expression per key, in ``order``; of several columns the first is cut into blocks.
+
+    ``dense``: the order values are row numbers or the like, whose blocks are as few as the rows by ``block``; one window holds the totals.
+    """
     base = blocked(df, order, block)
     inside = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     offset = {n: f"__o_{n}" for n in sums}
     totals = base.groupBy(*keys, _BLK).agg(*[F.coalesce(F.sum(e), F.lit(0)).alias(offset[n]) for n, e in sums.items()])
-    offsets = sums_before(totals, keys, list(offset.values()), levels(block))
+    offsets = sums_before(totals, keys, list(offset.values()), 0 if dense else levels(block))
     local = base.withColumns({n: F.sum(e).over(inside) for n, e in sums.items()})
     joined = local.join(offsets, [*keys, _BLK])
     return joined.withColumns({n: F.col(n) + F.col(o) for n, o in offset.items()}).drop(_BLK, *offset.values())

@@ -201,6 +201,33 @@ def test_unique_names_match_one_at_a_time_naming(spark, seed):
     assert {r.seq: r.final_stem for r in got.collect()} == brute_names(new, existing)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_names_of_nested_titles(spark, seed):
+    """Titles that are numbers of one another, one root with most rows, dense and sparse numbers, all in one pass."""
+    rng = random.Random(seed)
+
+    def title():
+        name = rng.choice(["a", "a", "a", "b", "é (0)"])
+        for _ in range(rng.choice([0, 0, 0, 1, 1, 2, 3])):
+            name += f" ({rng.choice([1, 2, 2, 3, 3, 4, 5, 6, 7, rng.randint(2, 60), 10 ** 25 if rng.random() < 0.1 else 8])})"
+        return name
+
+    new = [("f", title(), s) for s in rng.sample(range(-10_000, 10_000), 250)]
+    existing = {("f", title()) for _ in range(rng.choice([0, 3, 25]))}
+    asked = []
+
+    def counted(df, name):
+        asked.append(name)
+        return df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+    got = catalog.unique_names(
+        spark.createDataFrame(new, "folder string, stem string, seq bigint"), spark.createDataFrame(sorted(existing), "folder string, stem string"),
+        store=counted,
+    )
+    assert {r.seq: r.final_stem for r in got.collect()} == brute_names(new, existing)
+    assert len(asked) == 2  # whatever the nesting and the number of meetings
+
+
 @pytest.mark.parametrize("fan_bits", [1, 4, 24])
 def test_position_gaps(spark, fan_bits):
     rng = random.Random(1)
