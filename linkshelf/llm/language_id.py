@@ -6,8 +6,8 @@ in the next shorter context (method C), down to a flat order of 256 bytes. After
 cost of every known context and symbol is worked out once into tables; a text's exact code length is a sum of lookups.
 The language with the shortest code wins.
 
-The trees are fitted on a bounded sample: ``SAMPLE_DOCS`` documents a language, the lowest by a hash of the id, and
-``SAMPLE_BYTES`` of each. Texts are scored whole.
+The trees are fitted on a bounded sample: ``SAMPLE_DOCS`` whole documents a language, the lowest by a hash of the id, and
+``SAMPLE_BYTES`` of them together. Texts are scored whole.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0; with nothing to learn from, every text is
 ``und``; equal code lengths go to the first language by name; repeated rows each get their row. At most
@@ -27,7 +27,7 @@ from linkshelf.llm.samples import lowest_by_hash
 
 ORDER = 3
 SAMPLE_DOCS = 250
-SAMPLE_BYTES = 40_000
+SAMPLE_BYTES = 4_000_000
 #: Bytes of text whose costs are held at once.
 STEP_BYTES = 1 << 20
 MAX_LANGUAGES = 200
@@ -155,13 +155,14 @@ class _Slots:
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -> ContextTrees:
     """Trees of the languages named in the rows that may be learned from."""
-    named = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang")
-    chosen = lowest_by_hash(named, "lang", sample_docs, MAX_LANGUAGES).distinct()
-    texts = docs.select("doc_id", "lang", F.substring(whole(), 1, SAMPLE_BYTES).alias("text"))
+    named = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    sized = named.groupBy("doc_id", "lang").agg(F.max(F.octet_length(whole())).cast("bigint").alias("size"))
+    chosen = lowest_by_hash(sized, "lang", sample_docs, MAX_LANGUAGES, SAMPLE_BYTES)
+    texts = docs.select("doc_id", "lang", whole().alias("text"))
     rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.max("text").alias("text")).collect()
     sample: dict[str, list[bytes]] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
-        sample.setdefault(row["lang"], []).append(row["text"].encode()[:SAMPLE_BYTES])
+        sample.setdefault(row["lang"], []).append(row["text"].encode())
     return ContextTrees(sample, order)
 
 

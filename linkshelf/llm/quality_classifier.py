@@ -6,7 +6,7 @@ labelled documents outside the dictionaries turns it into a calibrated score; it
 share of the text, without which a text of endless repeats, tiny under both dictionaries, would look neutral, and the
 length, as a short text's difference is worth less.
 
-The fit reads a bounded sample: ``SAMPLE_DOCS`` documents a class and ``SAMPLE_CHARS`` characters of each. The calibration
+The fit reads a bounded sample: ``SAMPLE_DOCS`` whole documents a class, ``SAMPLE_BYTES`` bytes together. The calibration
 sees each of them under dictionaries built without it (``FOLDS`` parts). Texts are scored whole.
 
 Defined cases: null and empty texts get the score the fit gives to no evidence; a table without labels gives 0.5 to all;
@@ -27,7 +27,7 @@ from linkshelf.llm.columns import held_out, whole
 from linkshelf.llm.samples import class_counts, labelled_sample, logistic, logistic_fit, with_prior
 
 SAMPLE_DOCS = 1200
-SAMPLE_CHARS = 20_000
+SAMPLE_BYTES = 12_000_000
 DICTIONARY_BYTES = 64_000
 LEVEL = 3
 FOLDS = 3
@@ -86,7 +86,7 @@ class Evidence:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
-    return CompressionModel(labelled_sample(docs, labels, "quality", SAMPLE_DOCS, SAMPLE_CHARS), class_counts(labels, "quality"))
+    return CompressionModel(labelled_sample(docs, labels, "quality", SAMPLE_DOCS, SAMPLE_BYTES), class_counts(labels, "quality"))
 
 
 def quality_scores(docs: DataFrame, model: CompressionModel) -> DataFrame:

@@ -15,12 +15,14 @@ _RANGE = 1 << 30
 _SPARE = 4
 
 
-def lowest_by_hash(rows: DataFrame, by: str, count: int, most_classes: int) -> DataFrame:
-    """Of ``rows(doc_id, by)``, the ``count`` of each class with the lowest hash of the id.
+def lowest_by_hash(rows: DataFrame, by: str, count: int, most_classes: int, most_bytes: int) -> DataFrame:
+    """Of ``rows(doc_id, by, size)``, those of each class with the lowest hash of the id: ``count`` at most, and ``most_bytes`` at most.
 
+    Rows are whole texts. One of over an eighth of ``most_bytes`` is not sampled: it would stand for the whole class.
     Class sizes give a hash bound below which about ``_SPARE * count`` rows of a class lie; only those are ranked, so no task
     ranks more, whatever the size of the table.
     """
+    rows = rows.filter(F.col("size") <= most_bytes // 8)
     sizes = rows.groupBy(by).count().limit(most_classes + 1).collect()
     if len(sizes) > most_classes:
         raise ValueError(f"over {most_classes} classes in {by}")
@@ -28,12 +30,14 @@ def lowest_by_hash(rows: DataFrame, by: str, count: int, most_classes: int) -> D
         return rows.limit(0)
     bounds = F.create_map(*[F.lit(v) for r in sizes for v in (r[by], min(_RANGE, _RANGE * _SPARE * count // r["count"] + 1))])
     low = rows.withColumn("h", F.xxhash64("doc_id")).filter(F.pmod("h", F.lit(_RANGE)) < bounds[F.col(by)])
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.pmod("h", F.lit(_RANGE)), "h", "doc_id"))
-    return low.withColumn("nth", nth).filter(F.col("nth") <= count).drop("nth", "h")
+    along = Window.partitionBy(by).orderBy(F.pmod("h", F.lit(_RANGE)), "h", "doc_id")
+    upto = F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = low.withColumns({"nth": F.row_number().over(along), "upto": upto})
+    return ranked.filter((F.col("nth") <= count) & (F.col("upto") <= most_bytes)).drop("nth", "upto", "h", "size")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, chars: int) -> list[tuple[int, str, int]]:
-    """``(doc_id, text, y)`` of at most ``rows_per_class`` documents of each class, ``chars`` characters of each.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, most_bytes: int) -> list[tuple[int, str, int]]:
+    """``(doc_id, text, y)`` of at most ``rows_per_class`` whole documents of each class, ``most_bytes`` bytes together.
 
     Never a held-out document. The choice is by a hash of the id, so it doesn't depend on how the table is stored. An id
     with several rows or labels gives its greatest text and label.
@@ -43,10 +47,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
         .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
         .groupBy("doc_id").agg(F.max("y").alias("y"))
     )
-    present = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = lowest_by_hash(present.select("doc_id", "y"), "y", rows_per_class, 2)
+    sizes = docs.groupBy("doc_id").agg(F.max(F.octet_length(whole())).cast("bigint").alias("size"))
+    chosen = lowest_by_hash(marks.join(sizes, "doc_id").select("doc_id", "y", "size"), "y", rows_per_class, 2, most_bytes)
     rows = (
-        docs.select("doc_id", F.substring(whole(), 1, chars).alias("text"))
+        docs.select("doc_id", whole().alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # 2 * rows_per_class rows at most
         .groupBy("doc_id", "y").agg(F.max("text").alias("text")).collect()
     )

@@ -11,7 +11,7 @@ trained: at first those that clean documents lack or that stand in a clearly lar
 clean documents. So a mislabelled or quoting clean document doesn't clear an insult. Its decision is linear in the kernel, and so collapses into one weight for each triple; a whole text is scored
 in one pass over its letters. The worst word of a text, calibrated on folds the machine has not seen, is its score.
 
-The fit reads a bounded sample: ``SAMPLE_DOCS`` documents a class, ``SAMPLE_CHARS`` characters of each. Texts are scored whole.
+The fit reads a bounded sample: ``SAMPLE_DOCS`` whole documents a class, ``SAMPLE_BYTES`` bytes together. Texts are scored whole.
 
 Defined cases: a text without words has the calibrated score of the least evidence; without labels of both classes the score is
 the share of toxic labels, or 0 without any; repeated rows each get their row. Other columns are never read.
@@ -29,7 +29,7 @@ from linkshelf.llm.columns import held_out, whole
 from linkshelf.llm.samples import class_counts, labelled_sample, logistic, logistic_fit, with_prior
 
 SAMPLE_DOCS = 1200
-SAMPLE_CHARS = 12_000
+SAMPLE_BYTES = 12_000_000
 LANDMARKS = 256
 ROUNDS = 5
 FOLDS = 3
@@ -289,7 +289,7 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    return ToxicityModel(labelled_sample(docs, labels, "toxic", SAMPLE_DOCS, SAMPLE_CHARS), class_counts(labels, "toxic"))
+    return ToxicityModel(labelled_sample(docs, labels, "toxic", SAMPLE_DOCS, SAMPLE_BYTES), class_counts(labels, "toxic"))
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
