@@ -178,7 +178,7 @@ def _settled(literals: DataFrame, store) -> DataFrame:
 
     narrow = below.filter("__open").select(*keys, "x", F.col("__room").alias("room"), F.col("__sure").alias("sure"))
     walked = narrow.groupBy(*keys).applyInPandas(in_order, "folder string, stem string, x bigint, lost0 boolean, lost1 boolean")
-    return union_all(tidy(lost(ranked.filter("not __open"))), tidy(ranked.filter("__open").join(walked, [*keys, "x"])))
+    return store(union_all(tidy(lost(ranked.filter("not __open"))), tidy(ranked.filter("__open").join(walked, [*keys, "x"]))), "settled")
 
 
 def _occupied(new: DataFrame, existing: DataFrame, seq: str, store) -> DataFrame:
@@ -188,7 +188,7 @@ def _occupied(new: DataFrame, existing: DataFrame, seq: str, store) -> DataFrame
     for both cases, so a stem's answer is a fold over its own few prefixes.
     """
     keys = ["folder", "stem"]
-    settled = store(_settled(_literals(new, existing, seq), store), "settled")
+    settled = _settled(_literals(new, existing, seq), store)
     answers = union_all(
         settled.select("folder", F.col("child").alias("name"), (F.col("had") | F.col("lost0")).alias("g0"), (F.col("had") | F.col("lost1")).alias("g1")),
         existing.select("folder", F.col("stem").alias("name"), F.lit(True).alias("g0"), F.lit(True).alias("g1")),
