@@ -15,7 +15,7 @@ from linkshelf.plans import sqltext as Q
 from linkshelf.plans.derived import Tables, joined, pick, video_url
 from linkshelf.plans.registry import query
 from linkshelf.session import scratch_path
-from linkshelf.sources import readers, writers
+from linkshelf.sources import files, readers, writers
 
 
 # --- the headline question: which links are new, and how many variants collapsed ----------
@@ -252,10 +252,8 @@ def _(t):
 @query("s3_json_array", "SELECT url, title, description, coalesce(creator, 'Unknown') AS creator, array_to_string(tags, '|') AS tags FROM video_metadata")
 def _(t):
     path = scratch_path(t.spark, "queue")
-    item = F.struct("url", "title", "description", "tags", F.coalesce("creator", F.lit("Unknown")).alias("creator"))
-    # One JSON array per file, as the queue files are.
-    groups = t.video_metadata.groupBy(F.expr("doc_id div 500").alias("g")).agg(F.to_json(F.collect_list(item)).alias("value"))
-    groups.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    items = t.video_metadata.select("doc_id", "url", "title", "description", "tags", F.coalesce("creator", F.lit("Unknown")).alias("creator"))
+    writers.write_json_arrays(items, path, "doc_id", block_bytes=1 << 20)
     rows = readers.read_json_array(t.spark, path, schemas.METADATA)
     return rows.withColumn("tags", joined(F.col("tags")))
 
@@ -299,14 +297,18 @@ def _(t):
 def _(t):
     from linkshelf.functions.frontmatter import render_map
 
-    # Rendered notes as rows: the same parser the Markdown tree reader uses, without one file per card.
     fm = F.map_filter(
         F.create_map(F.lit("url"), F.col("url"), F.lit("status"), F.coalesce("status", F.lit(""))),
         lambda k, v: (k != "url") | (F.col("doc_id") % 20 != 0),
     )
     content = F.concat(F.lit("---\n"), render_map(fm, F.col("tags")), F.lit("\n---\n# note\nurl: \"https://body.example.com\"\n"))
-    notes = t.cards.select("path", content.alias("content"))
-    return readers.parsed_cards(notes).select("url", "status")
+    # One file each, in folders of folders; a third of the names, and some folders, start with an underscore.
+    i = F.col("doc_id")
+    mark = lambda k: F.when(i % 3 == k, "_").otherwise("")
+    folder = F.concat(mark(1), F.lit("shelf "), (i % 7).cast("string"), F.lit("/"), mark(2), F.col("lang"), F.lit("/"))
+    root = scratch_path(t.spark, "notes")
+    files.write_notes(t.cards.select(F.concat(folder, mark(0), i.cast("string"), F.lit(".md")).alias("path"), content.alias("content")), root)
+    return readers.read_cards(t.spark, root).select("url", "status")
 
 
 @query("s8_saved_export", f"""
@@ -325,11 +327,10 @@ def _(t):
         entry(label=F.lit("Caption"), value=caption),
         F.when(F.col("creator").isNotNull(), entry(title=F.lit("Owner"), inner=user)),
     ))
-    post = F.struct(entries.alias("label_values"))
-    groups = t.video_metadata.groupBy(F.expr("doc_id div 500").alias("g")).agg(F.collect_list(post).alias("posts"))
-    bare = F.to_json("posts")
-    wrapped = F.to_json(F.struct(F.col("posts").alias("saved_saved_media")))
-    groups.select(F.when(F.col("g") % 2 == 0, bare).otherwise(wrapped).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    bare = F.col("block") % 2 == 0
+    writers.write_json_arrays(
+        t.video_metadata.select("doc_id", entries.alias("label_values")), path, "doc_id", F.when(bare, "[").otherwise('{"saved_saved_media":['),
+        F.when(bare, "]").otherwise("]}"), block_bytes=1 << 20)
     return readers.read_export(t.spark, path).select("url", "title", "description", "creator")
 
 

@@ -14,6 +14,7 @@ from linkshelf.functions import frontmatter
 from linkshelf.functions.text import caption_title, first_of, hashtags, strip, text_or_blank
 from linkshelf.functions.urls import canonical_url
 from linkshelf.operators.ordered import last_by
+from linkshelf.sources import files
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +40,7 @@ def stream_captures(spark: SparkSession, path: str, files_per_batch: int | None
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON arrays of records. A corrupt file fails the job instead of reading as empty."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(path)
 
 
 def read_table_csv(spark: SparkSession, path: str, schema: str = schemas.CLASSIFIED) -> DataFrame:
@@ -72,35 +73,42 @@ def read_state_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def stream_appended_captures(spark: SparkSession, path: str) -> DataFrame:
+    """Capture lists as a stream that also sees lines appended to files it has read; a line without its break waits."""
+    return files.stream_lines(spark, path).select(strip(F.col("line")).alias("line")).filter(F.length("line") > 0)
+
+
 def read_cards(spark: SparkSession, root: str) -> DataFrame:
-    """Markdown cards below ``root`` that carry a URL.
+    """Markdown cards at any depth below ``root`` that carry a URL.
 
-    Dot files, dot folders and undecodable notes are skipped. Spark's file listing also skips
-    names that start with an underscore; such notes are an error here, as they would be lost
+    Dot files, dot folders and undecodable notes are skipped. Roots that ``files`` can list are read by it, names with a
+    leading underscore too. Of others, Spark's own listing skips such names: they are an error, as they would be lost
     without a word. Rename them, or land them as table rows for ``parsed_cards``.
     """
+    if files.known(root):
+        return parsed_cards(files.read_notes(spark, root))
     unseen = _underscored(spark, root)
     if unseen:
-        raise ValueError(f"Spark's file listing skips {unseen[0]} and names like it")
-    files = (
+        raise ValueError(f"Spark's file listing skips {unseen} and names like it")
+    notes = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     )
-    text = files.filter(F.is_valid_utf8("content")).select(
+    text = notes.filter(F.is_valid_utf8("content")).select(
         F.try_url_decode("path").alias("path"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content")
     )
     return parsed_cards(text.filter(~F.rlike("path", F.lit(r"/\.[^/]"))))
 
 
-def _underscored(spark: SparkSession, root: str, depth: int = 8) -> list[str]:
-    """Notes, or folders of notes, whose names start with an underscore, up to ``depth`` folders below ``root``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for level in range(depth):
-        for name in ("_*.md", "_*/*.md"):
-            found = files.globStatus(path("/".join([root.rstrip("/"), *["*"] * level, name])))
-            if found:
-                return [status.getPath().toString() for status in found]
-    return []
+def _underscored(spark: SparkSession, root: str) -> str | None:
+    """A note below ``root``, at any depth, that starts with an underscore or lies in a folder that does."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, above = system.listFiles(top, True), len(system.makeQualified(top).toString())
+    while found.hasNext():
+        path = found.next().getPath().toString()
+        if path.endswith(".md") and "/_" in path[above:]:
+            return path
+    return None
 
 
 def parsed_cards(notes: DataFrame) -> DataFrame:

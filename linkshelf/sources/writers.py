@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkshelf.functions.urls import url_hash
-from linkshelf.operators.ordered import last_by
+from linkshelf.operators.ordered import last_by, running_sums
 from linkshelf.operators.registry import new_events
 
 
@@ -69,6 +69,26 @@ def write_table_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
+def write_json_arrays(
+    rows: DataFrame, path: str, order: str, head: Column | None = None, tail: Column | None = None, block_bytes: int = 8 << 20,
+) -> None:
+    """``rows`` in ``order`` as files that hold one JSON array each, a record a line; ``order`` itself isn't written.
+
+    A file takes the records that start in the same ``block_bytes`` of the whole, so it is longer by one record at most.
+    Records stay rows up to the file: no list of them is built. ``head`` and ``tail`` stand before and after the records
+    and may depend on ``block``, the number of the file.
+    """
+    text = rows.select(order, F.to_json(F.struct(*[c for c in rows.columns if c != order])).alias("value"))
+    size = F.octet_length("value").cast("bigint")
+    placed = running_sums(text, [], order, {"end": size}).withColumn("block", F.floor((F.col("end") - size) / block_bytes))
+    inside = Window.partitionBy("block").orderBy(order)
+    ends = placed.withColumns({"first": F.row_number().over(inside) == 1, "last": F.lead("value").over(inside).isNull()})
+    line = F.concat(
+        F.when(F.col("first"), F.lit("[") if head is None else head).otherwise(","), "value",
+        F.when(F.col("last"), F.lit("]") if tail is None else tail).otherwise(""))
+    ends.select("block", line.alias("value")).write.partitionBy("block").text(path)
+
+
 def run_report(results: DataFrame) -> DataFrame:
     """One text line per processed item.
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkshelf import schemas
-from linkshelf.sources import readers
+from linkshelf.sources import files, readers, writers
 
 
 def test_captures_keep_file_order(spark, tmp_path):
@@ -80,15 +80,78 @@ def test_metadata_prunes_unread_fields(spark, tmp_path):
     assert "ReadSchema: struct<title:string>" in plan
 
 
-def test_notes_that_the_listing_skips_are_an_error(spark, tmp_path):
-    folder = tmp_path / "Movies" / "Old"
-    folder.mkdir(parents=True)
-    note = '---\nurl: "https://a/x"\nstatus: "inbox"\n---\n# n\n'
-    (folder / "n.md").write_text(note)
-    assert [(r.url, r.status) for r in readers.read_cards(spark, str(tmp_path)).collect()] == [("https://a/x", "inbox")]
-    (folder / "_CON.md").write_text(note)
-    with pytest.raises(ValueError, match="_CON.md"):
-        readers.read_cards(spark, str(tmp_path))
+def test_notes_that_the_listing_skips(spark, tmp_path):
+    """Names with a leading underscore are read at any depth; where only Spark's listing can be used they are an error."""
+    note = '---\nurl: "https://a/{}"\nstatus: "inbox"\n---\n# n\n'
+    deep = tmp_path.joinpath("_Movies", *"abcdefghij", "_Old")
+    deep.mkdir(parents=True)
+    assert readers.read_cards(spark, str(tmp_path)).collect() == []
+    (deep / "n.md").write_text(note.format(1))
+    (tmp_path / "_CON.md").write_text(note.format(2))
+    (tmp_path / "_Movies" / ".hidden.md").write_text(note.format(3))
+    (tmp_path / "bad.md").write_bytes(b"---\nurl: \xff\n---\n")
+    for root in (str(tmp_path), tmp_path.as_uri(), f"file:{tmp_path}/"):
+        assert sorted((r.url, r.status) for r in readers.read_cards(spark, root).collect()) == [("https://a/1", "inbox"), ("https://a/2", "inbox")]
+    assert readers._underscored(spark, str(tmp_path / "_Movies")).endswith("_Old/n.md")
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "n.md").write_text(note.format(4))
+    assert readers._underscored(spark, str(tmp_path / "plain")) is None
+
+
+def test_notes_written_and_read(spark, tmp_path, monkeypatch):
+    """Every note is a file of its own, written again without change; many small files share a task."""
+    rows = [(f"shelf {i % 3}/_{i}.md", f'---\nurl: "https://a/{i}"\n---\n{"ü" * i}') for i in range(60)] + [("deep/er/null.md", None)]
+    notes = spark.createDataFrame(rows, "path string, content string").repartition(4)
+    for _ in range(2):
+        assert files.write_notes(notes, str(tmp_path)) == 61
+    assert not [p for p in tmp_path.rglob(".*") if p.is_file()]
+    read = files.read_notes(spark, str(tmp_path))
+    assert {(r.path.removeprefix(f"{tmp_path}/"), r.content) for r in read.collect()} == {(p, c or "") for p, c in rows}
+    monkeypatch.setattr(files, "PART_FILES", 25)
+    parts = files.NoteReader(str(tmp_path)).partitions()
+    assert [len(p.files) for p in parts] == [25, 25, 11]
+    assert files.write_notes(notes.limit(0), str(tmp_path / "none")) == 0
+
+
+def _offsets(reader, start=None):
+    start, end = start or reader.initialOffset(), reader.latestOffset()
+    lines = [v for p in reader.partitions(start, end) for b in reader.read(p) for v in b.column(0).to_pylist()]
+    return lines, end
+
+
+@pytest.mark.parametrize("part_bytes", [1, 2, 5, 7, 64, 1 << 20])
+def test_each_line_is_read_once_wherever_parts_end(tmp_path, part_bytes):
+    lines = ["a", "", "https://a/ü", "x" * 100, "  ", "last"]
+    (tmp_path / "c.txt").write_bytes(("\n".join(lines) + "\n").encode())
+    reader = files.CaptureReader(str(tmp_path), part_bytes)
+    got, end = _offsets(reader)
+    assert got == lines
+    with open(tmp_path / "c.txt", "a") as more:
+        more.write("more\nnot yet whol")
+    got, end = _offsets(reader, end)
+    assert got == ["more"]
+    with open(tmp_path / "c.txt", "a") as more:
+        more.write("e\n")
+    got, end = _offsets(reader, end)
+    assert got == ["not yet whole"] and _offsets(reader, end)[0] == []
+    (tmp_path / "c.txt").write_text("short\n")
+    with pytest.raises(ValueError, match="was cut"):
+        _offsets(reader, end)
+
+
+@pytest.mark.parametrize("block_bytes", [1, 200, 1 << 20])
+def test_json_arrays_of_bounded_size(spark, tmp_path, block_bytes):
+    rows = [(i, f"u{i}", 'a "quoted"\nline' * (i % 4)) for i in range(0, 4000, 40)]
+    path = str(tmp_path / "q")
+    writers.write_json_arrays(spark.createDataFrame(rows, "id bigint, url string, title string"), path, "id", block_bytes=block_bytes)
+    got = [json.loads(p.read_text()) for p in sorted((tmp_path / "q").rglob("*.txt"), key=lambda p: int(p.parent.name.split("=")[1]))]
+    assert [r["url"] for part in got for r in part] == [r[1] for r in rows]
+    size = lambda part: sum(len(json.dumps(r, separators=(",", ":"))) for r in part[:-1])
+    assert all(size(part) <= block_bytes for part in got)
+    read = readers.read_json_array(spark, path, "url string, title string")
+    assert read.columns == ["url", "title"] and sorted(map(tuple, read.collect())) == sorted(r[1:] for r in rows)
+    writers.write_json_arrays(spark.createDataFrame([], "id bigint, url string, title string"), str(tmp_path / "none"), "id")
+    assert readers.read_json_array(spark, str(tmp_path / "none"), "url string, title string").count() == 0
 
 
 def test_write_cards_once_across_crashes(spark, tmp_path):

@@ -181,3 +181,27 @@ def test_card_stream_is_idempotent(spark, tmp_path):
     # The first micro-batch's least text stays, whatever comes later.
     cards = {r.url: r.content for r in spark.read.parquet(f"{tmp_path}/cards").collect()}
     assert cards["https://a.b/1"] == "HTTPS://A.B/1/" and cards["https://a.b/2"] == "https://a.b/2"
+
+
+def test_lines_appended_during_a_run_are_in_the_next(spark, tmp_path):
+    """One file grows while its lines are being handled: what came late, or without its line break, is not lost and not read twice."""
+    inbox = tmp_path / "captures.txt"
+    inbox.write_text("https://a/1\n  nope  \n\nhttps://a/2\nhttps://a/lat")
+    runs = []
+
+    def handle(batch, batch_id):
+        rows = sorted(r.line for r in batch.collect())
+        if not runs:
+            with open(inbox, "a") as more:
+                more.write("e\nhttps://a/3\n")
+        runs.append(rows)
+
+    for _ in range(4):
+        lines = readers.stream_appended_captures(spark, str(inbox))
+        lines.writeStream.foreachBatch(handle).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        if len(runs) == 3:
+            break
+        if len(runs) == 2:
+            with open(inbox, "a") as more:
+                more.write("https://a/4\n")
+    assert [rows for rows in runs if rows] == [["https://a/1", "https://a/2", "nope"], ["https://a/3", "https://a/late"], ["https://a/4"]]
