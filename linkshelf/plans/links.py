@@ -305,7 +305,7 @@ def _(t):
     # One file each, in folders of folders; a third of the names, and some folders, start with an underscore.
     i = F.col("doc_id")
     mark = lambda k: F.when(i % 3 == k, "_").otherwise("")
-    folder = F.concat(mark(1), F.lit("shelf "), (i % 7).cast("string"), F.lit("/"), mark(2), F.col("lang"), F.lit("/"))
+    folder = F.concat(mark(1), F.lit("shelf "), (i % 7).cast("string"), F.lit("/"), mark(2), (i % 11).cast("string"), F.lit("/"))
     root = scratch_path(t.spark, "notes")
     files.write_notes(t.cards.select(F.concat(folder, mark(0), i.cast("string"), F.lit(".md")).alias("path"), content.alias("content")), root)
     return readers.read_cards(t.spark, root).select("url", "status")
