@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module once."""
-    from linkshelf.plans import flows, gates, library, links, speech, texts  # noqa: F401
+    from linkshelf.plans import flows, gates, library, links, reruns, speech, texts  # noqa: F401
